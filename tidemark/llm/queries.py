@@ -6,8 +6,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.llm.language_id import fit, predict
+from tidemark.llm.mixing import mix
 from tidemark.llm.packing import pack
+from tidemark.llm.simhash_dedup import near_duplicates
 from tidemark.llm.token_counts import count_tokens
 from tidemark.llm.token_store import write_store
 
@@ -16,10 +20,59 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
+    found = predict(docs, fit(docs.where(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP2_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), text, '')), 1, 15) AS BIGINT) AS h
+  FROM documents),
+s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS n, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w
+  FROM d GROUP BY source),
+o AS (
+  SELECT source, n, w, sum(n) OVER () AS total, row_number() OVER (ORDER BY 3.0 * n / w, source NULLS LAST) AS k FROM s WHERE n > 0),
+c AS (
+  SELECT *, total - coalesce(sum(3 * n) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+         sum(w) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_w
+  FROM o),
+f AS (
+  SELECT *, min(CASE WHEN 3 * n * open_w < rest * w THEN 1 ELSE 0 END) OVER (ORDER BY k) AS capped FROM c),
+g AS (
+  SELECT *, min(CASE WHEN capped = 0 THEN k END) OVER () AS first_open FROM f),
+t AS (
+  SELECT g.source, g.n, CASE WHEN g.capped = 1 THEN CAST(3 * g.n AS DOUBLE)
+         ELSE CAST(e.rest * g.w AS DOUBLE) / CAST(e.open_w AS DOUBLE) END AS target
+  FROM g LEFT JOIN g AS e ON e.k = g.first_open),
+b AS (SELECT source, n, target, CAST(floor(target / n) AS BIGINT) AS whole, target - floor(target / n) * n AS budget FROM t),
+u AS (
+  SELECT source, h, sum(size) AS own, sum(sum(size)) OVER (PARTITION BY source ORDER BY h ROWS UNBOUNDED PRECEDING) AS upto
+  FROM d GROUP BY source, h)
+SELECT d.doc_id, d.size, s.n AS source_size, coalesce(b.target, 0) AS target,
+       CAST(d.size * coalesce(b.whole + CASE WHEN 2 * (u.upto - u.own) + u.own <= 2 * b.budget THEN 1 ELSE 0 END, 0) AS BIGINT) AS taken
+FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source
+LEFT JOIN b ON d.source IS NOT DISTINCT FROM b.source
+LEFT JOIN u ON d.source IS NOT DISTINCT FROM u.source AND d.h = u.h
+"""
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
 
 
+def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=3)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
@@ -29,5 +82,8 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read(store.keys())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_best_fit_packing, op8_token_counts, op9_token_store)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_language_id, op2_source_mixing, op5_best_fit_packing, op6_simhash_groups, op8_token_counts, op9_token_store)
+}
+ORACLE_SQL: dict[str, str] = {"op2_source_mixing": OP2_SQL}
