@@ -12,6 +12,7 @@ from tidemark.llm.language_id import fit, predict
 from tidemark.llm.mixing import mix
 from tidemark.llm.packing import pack
 from tidemark.llm.simhash_dedup import near_duplicates
+from tidemark.llm.substring_dedup import remove_repeats
 from tidemark.llm.token_counts import count_tokens
 from tidemark.llm.token_store import write_store
 
@@ -65,6 +66,10 @@ LEFT JOIN u ON d.source IS NOT DISTINCT FROM u.source AND d.h = u.h
 """
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), window=35)
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
 
@@ -84,6 +89,6 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_source_mixing, op5_best_fit_packing, op6_simhash_groups, op8_token_counts, op9_token_store)
+    for f in (op1_language_id, op2_source_mixing, op3_substring_dedup, op5_best_fit_packing, op6_simhash_groups, op8_token_counts, op9_token_store)
 }
 ORACLE_SQL: dict[str, str] = {"op2_source_mixing": OP2_SQL}
