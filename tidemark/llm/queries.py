@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.urls import canonical_url_sql
+from tidemark.llm.ann_postings import search
 from tidemark.llm.language_id import fit, predict
+from tidemark.llm.media_sequences import texts_as_media
 from tidemark.llm.mixing import mix
 from tidemark.llm.packing import pack
 from tidemark.llm.simhash_dedup import near_duplicates
 from tidemark.llm.substring_dedup import remove_repeats
 from tidemark.llm.token_counts import count_tokens
 from tidemark.llm.token_store import write_store
+from tidemark.llm.warc_revisit import resolve_revisits
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +74,55 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), window=35)
 
 
+#: Captures made from pages: a full response at second page_id, and a not-modified record at second 3 * page_id whose
+#: validators are, by the last digit of page_id, those of a page of that URL, out of date, or absent.
+CAPTURES_SQL = """
+SELECT page_id * 2 AS capture_id, url, page_id AS ts, 'response' AS kind, {etag} AS etag, CAST(NULL AS {string}) AS last_modified,
+       {digest} AS payload_digest, page_id AS stamp FROM pages
+UNION ALL
+SELECT page_id * 2 + 1, url, page_id * 3, 'revisit',
+       CASE page_id % 10 WHEN 0 THEN NULL WHEN 1 THEN 'old' ELSE {weak} END, CAST(NULL AS {string}),
+       CASE page_id % 10 WHEN 0 THEN {digest} END, page_id * 3 FROM pages
+"""
+
+
+def op4_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "pages").createOrReplaceTempView("_op4_pages")
+    etag = "substr(md5(html), 1, 8)"
+    sql = CAPTURES_SQL.format(etag=etag, weak=f"'W/' || {etag}", digest="md5(html)", string="string").replace("FROM pages", "FROM _op4_pages")
+    pair = lambda k, v: (F.lit(k), v)
+    stamp = F.col("stamp").cast("string")
+    full = F.create_map(*pair("Content-Type", F.lit("text/html")), *pair("ETag", F.col("etag")), *pair("Date", stamp))
+    short = F.create_map(*pair("date", stamp), *pair("Cache-Control", F.lit("max-age=60")), *pair("Content-Length", F.lit("0")))
+    captures = spark.sql(sql).withColumn("headers", F.when(F.col("kind") == "response", full).otherwise(short))
+    found = resolve_revisits(captures)
+    entries = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return found.select("capture_id", "canonical_url", "response_id", "validated", "payload_digest", F.array_join(entries, ";").alias("merged_headers"))
+
+
+_ETAG = "substr(md5(html), 1, 8)"
+OP4_SQL = f"""
+WITH c AS ({CAPTURES_SQL.format(etag=_ETAG, weak=f"'W/' || {_ETAG}", digest="md5(html)", string="VARCHAR")}),
+u AS (SELECT *, {canonical_url_sql("url")} AS canonical_url FROM c),
+r AS (
+  SELECT *, max(CASE WHEN kind = 'response' THEN ts * 1000000000000 + capture_id END) OVER (
+    PARTITION BY canonical_url ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS code
+  FROM u),
+m AS (
+  SELECT r.capture_id, r.canonical_url, r.stamp, f.capture_id AS response_id, f.etag AS old_etag, f.payload_digest AS old_digest, f.stamp AS old_stamp,
+         CASE WHEN f.capture_id IS NULL THEN 'missing'
+              WHEN r.etag IS NOT NULL THEN CASE WHEN regexp_replace(r.etag, '^W/', '') = f.etag THEN 'etag' ELSE 'mismatch' END
+              WHEN r.payload_digest = f.payload_digest THEN 'digest' ELSE 'mismatch' END AS validated
+  FROM r LEFT JOIN u AS f ON f.kind = 'response' AND f.canonical_url = r.canonical_url AND f.capture_id = r.code % 1000000000000
+  WHERE r.kind = 'revisit')
+SELECT capture_id, canonical_url, CASE WHEN validated IN ('etag', 'digest') THEN response_id END AS response_id, validated,
+       CASE WHEN validated IN ('etag', 'digest') THEN old_digest END AS payload_digest,
+       CASE WHEN validated IN ('etag', 'digest')
+            THEN 'cache-control=max-age=60;content-type=text/html;date=' || stamp || ';etag=' || old_etag END AS merged_headers
+FROM m
+"""
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
 
@@ -78,6 +131,10 @@ def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=3)
 
 
+def op7_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return texts_as_media(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
@@ -87,8 +144,16 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read(store.keys())
 
 
+def op10_ann_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return search(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_source_mixing, op3_substring_dedup, op5_best_fit_packing, op6_simhash_groups, op8_token_counts, op9_token_store)
-}
-ORACLE_SQL: dict[str, str] = {"op2_source_mixing": OP2_SQL}
+    for f in (
+        op1_language_id, op2_source_mixing, op3_substring_dedup, op4_warc_revisit, op5_best_fit_packing,
+        op6_simhash_groups, op7_media_sequences, op8_token_counts, op9_token_store, op10_ann_postings,
+    )
+}
+ORACLE_SQL: dict[str, str] = {"op2_source_mixing": OP2_SQL, "op4_warc_revisit": OP4_SQL}
