@@ -25,7 +25,7 @@ from tidemark.llm.shared import map_rows, small_batches
 _WORD = re.compile(r"[^\W\d_]+")
 #: The same words for the JVM: letters and marks of any script.
 JVM_WORD = r"[\p{L}]+"
-GRAM_SIZES, SMOOTH, MAX_CACHED, MAX_CACHED_CHARS = (5, 4, 3, 2, 1), 0.5, 200_000, 48
+GRAM_SIZES, SMOOTH, MAX_CACHED, MAX_SCORES, MAX_CHARS = (5, 4, 3, 2, 1), 0.5, 500_000, 8_000_000, 48
 UNKNOWN = "und"
 
 
@@ -36,29 +36,40 @@ def grams(word: str, n: int) -> list[str]:
 
 
 class Model:
-    """languages, and rows of log frequencies by language for words and, by length, for n-grams."""
+    """languages, and one matrix of log frequencies by language; words and, by length, n-grams name its rows."""
 
     def __init__(self, languages: list[str], words: dict[str, list[int]], by_size: dict[int, dict[str, list[int]]]):
-        self.languages = languages
-        self.words = self._logs(words)
-        self.grams = {n: self._logs(by_size.get(n, {})) for n in GRAM_SIZES}
-
-    def _logs(self, counts: dict[str, list[int]]) -> dict[str, np.ndarray]:
-        total = np.sum(list(counts.values()), axis=0, dtype=float) if counts else 0
-        return {k: np.log((np.array(c, float) + SMOOTH) / (total + SMOOTH * len(counts))) for k, c in counts.items()}
-
-    def scores(self, word: str) -> np.ndarray:
-        known = self.words.get(word)
-        if known is not None:
-            return known
+        self.languages, self.words, self.grams = languages, {}, {n: {} for n in GRAM_SIZES}
+        parts = [np.zeros((1, len(languages)))]
+        for names, counts in [(self.words, words), *((self.grams[n], by_size.get(n, {})) for n in GRAM_SIZES)]:
+            at = sum(map(len, parts))
+            names.update((k, at + i) for i, k in enumerate(counts))
+            if counts:
+                own = np.array(list(counts.values()), float)
+                parts.append(np.log((own + SMOOTH) / (own.sum(axis=0) + SMOOTH * len(own))))
+        self.logs = np.concatenate(parts)
+
+    def rows(self, word: str) -> list[int]:
+        """Rows whose mean scores the word: its own, else those of its longest known n-grams, else the empty row."""
+        if word in self.words:
+            return [self.words[word]]
+        w = f"<{word}>"
         for n in GRAM_SIZES:
-            found = [self.grams[n][g] for g in grams(word, n) if g in self.grams[n]]
+            known = self.grams[n]
+            found = [known[g] for i in range(len(w) - n + 1) if (g := w[i : i + n]) in known]
             if found:
-                return np.mean(found, axis=0)
-        return np.zeros(len(self.languages))
+                return found
+        return [0]
 
+    def scores(self, words: list[str]) -> np.ndarray:
+        """A row of scores by language for each word."""
+        found = [self.rows(w) for w in words]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter((r for f in found for r in f), np.int64, int(sizes.sum()))
+        return np.add.reduceat(self.logs[flat], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
 
-def fit(docs: DataFrame, sample_docs: int = 1500, max_words: int = 30_000, max_grams: int = 20_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+
+def fit(docs: DataFrame, sample_docs: int = 1000, max_words: int = 20_000, max_grams: int = 20_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Counts words of the sample by language and derives n-gram counts from them.
 
     Rows whose id, text or lang is null teach nothing. No labelled rows: a model without languages.
@@ -72,9 +83,9 @@ def fit(docs: DataFrame, sample_docs: int = 1500, max_words: int = 30_000, max_g
     if not chosen:
         return Model([], {}, {})
     sample = docs.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in chosen], f"_i {dict(docs.dtypes)[id_col]}")), F.col(id_col) == F.col("_i"), "left_semi")
-    words = sample.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("l"), F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(JVM_WORD), F.lit(0))).alias("w")).where(F.length("w") <= MAX_CACHED_CHARS)
+    words = sample.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("l"), F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(JVM_WORD), F.lit(0))).alias("w")).where(F.length("w") <= MAX_CHARS)
     counted = words.groupBy("l", "w").agg(F.count("*").alias("n"))
-    kept = counted.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy(F.desc("n"), "w"))).where(F.col("r") <= 4 * max_words)
+    kept = counted.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy(F.desc("n"), "w"))).where(F.col("r") <= 2 * max_words)
     rows = sorted((r["l"], -r["n"], r["w"]) for r in kept.select("l", "n", "w").collect())
     languages = sorted({r[0] for r in rows})
     at = {x: i for i, x in enumerate(languages)}
@@ -97,23 +108,23 @@ class _Cache(dict):
     """word -> row of a growing matrix of scores; both start anew when full."""
 
     def __init__(self, model: Model):
-        self.model, self.rows = model, np.zeros((1024, len(model.languages)))
-
-    def __missing__(self, word: str) -> int:
-        at = len(self)
-        if at == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[at] = self.model.scores(word)
-        self[word] = at
-        return at
+        self.room = max(1 << 16, min(MAX_CACHED, MAX_SCORES // max(1, len(model.languages))))
+        self.model, self.scores = model, np.zeros((self.room, len(model.languages)))
 
     def total(self, words: list[str]) -> np.ndarray:
-        if len(self) > MAX_CACHED:
-            self.clear()
-        out = np.zeros(self.rows.shape[1])
-        for at in range(0, len(words), 1 << 16):
-            own = np.fromiter(map(self.__getitem__, words[at : at + (1 << 16)]), np.int64)
-            out += np.bincount(own, minlength=1) @ self.rows[: own.max() + 1] if len(own) > 4096 else self.rows[own].sum(axis=0)
+        """The words' scores summed up."""
+        out = np.zeros(self.scores.shape[1])
+        for at in range(0, len(words), 1 << 15):
+            some = words[at : at + (1 << 15)]
+            fresh = [w for w in set(some) if w not in self]
+            if len(self) + len(fresh) > self.room:
+                self.clear()
+                fresh = list(set(some))
+            if fresh:
+                first = len(self)
+                self.scores[first : first + len(fresh)] = self.model.scores(fresh)
+                self.update(zip(fresh, range(first, first + len(fresh)), strict=True))
+            out += self.scores[np.fromiter(map(self.__getitem__, some), np.int64, len(some))].sum(axis=0)
         return out
 
 
