@@ -56,3 +56,21 @@ def canonical_url_sql(url: str) -> str:
         f" || CASE WHEN length({path}) > 1 AND ends_with({path}, '/') THEN left({path}, -1) ELSE {path} END"
         f" || CASE WHEN {query} <> '' THEN '?' || {query} ELSE '' END END"
     )
+
+
+def canonical_url_spark_sql(url: str) -> str:
+    """The same in Spark SQL."""
+    names = ", ".join(f"'{x}'" for x in TRACKING)
+    get = lambda pattern, x=url: f"regexp_extract({x}, r'{pattern}', 1)"
+    scheme, authority = f"lower({get(_SCHEME)})", get(_AUTHORITY)
+    place = f"regexp_replace({authority}, '^.*@', '')"
+    port, path = get(":([0-9]+)$", place), get(_PATH)
+    kept = f"filter(split({get(_QUERY)}, '&'), x -> x <> '' AND lower(split_part(x, '=', 1)) NOT IN ({names}) AND NOT startswith(lower(split_part(x, '=', 1)), 'utm_'))"
+    keyed = f"array_sort(transform({kept}, x -> struct(split_part(x, '=', 1) AS n, regexp_replace(x, '^[^=]*=?', '') AS v, x AS x)))"
+    query = f"array_join(transform({keyed}, s -> s.x), '&')"
+    return (
+        f"CASE WHEN {scheme} = '' THEN {url} ELSE {scheme} || '://' || {get('^(.*@)', authority)} || lower(regexp_replace({place}, ':[0-9]*$', ''))"
+        f" || CASE WHEN {port} <> '' AND NOT (({scheme} = 'https' AND {port} = '443') OR ({scheme} = 'http' AND {port} = '80')) THEN ':' || {port} ELSE '' END"
+        f" || CASE WHEN length({path}) > 1 AND endswith({path}, '/') THEN left({path}, length({path}) - 1) ELSE {path} END"
+        f" || CASE WHEN {query} <> '' THEN '?' || {query} ELSE '' END END"
+    )
