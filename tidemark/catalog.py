@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.operators import aggregates, relational, texts
+from tidemark.operators import aggregates, clusters, dedup, lifecycle, ranking, relational, search, texts
 from tidemark.plans.run import both
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (relational, aggregates, texts):
-    _queries, _sql = both(_module.QUERIES)
-    QUERIES |= _queries
-    ORACLE_SQL |= _sql
+for _module in (relational, aggregates, texts, dedup, clusters, ranking, search, lifecycle):
+    _queries, _sql = both(getattr(_module, "QUERIES", {}))
+    QUERIES |= _queries | getattr(_module, "SPARK_QUERIES", {})
+    ORACLE_SQL |= _sql | getattr(_module, "ORACLES", {})
