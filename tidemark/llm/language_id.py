@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import map_rows, small_batches
+from tidemark.llm.shared import free_name, map_rows, small_batches
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: The same words for the JVM: letters and marks of any script.
@@ -129,7 +129,8 @@ class _Cache(dict):
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
-    """id, lang_pred, score for each row; with carry=True all columns of docs, then lang_pred and score.
+    """id, lang_pred, score for each row; with carry=True all columns of docs, then lang_pred and score (with underscores
+    added to their names where docs has columns of these names).
 
     lang_pred is `und` with score 0 for a null text, one without a letter, and for every text if the model knows no language.
     Equal likelihoods go to the first language by code point. Long texts are read whole; repeated and null ids are
@@ -151,15 +152,16 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     names = own.columns
     at = names.index(text_col)
     kept = names if carry else [id_col]
+    said, sure = free_name("lang_pred", kept), free_name("score", kept)
 
     def build():
         cache = _Cache(broadcast.value)
 
         def batch(b: pa.RecordBatch):
             got = [judge(cache, t) for t in b.column(at).to_pylist()]
-            return {c: b.column(names.index(c)) for c in kept} | {"lang_pred": [x[0] for x in got], "score": [x[1] for x in got]}
+            return {c: b.column(names.index(c)) for c in kept} | {said: [x[0] for x in got], sure: [x[1] for x in got]}
 
         return batch
 
     kinds = dict(own.dtypes)
-    return map_rows(own, {c: kinds[c] for c in kept} | {"lang_pred": "string", "score": "double"}, build)
+    return map_rows(own, {c: kinds[c] for c in kept} | {said: "string", sure: "double"}, build)

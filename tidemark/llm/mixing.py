@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import n_words, written
+from tidemark.llm.shared import free_name, n_words, written
 
 HASH_BITS, LEVEL_BITS = 60, 12
 #: One row a source reaches the driver; sources are a registry, and a larger one is refused rather than cut.
@@ -82,7 +82,8 @@ def mix(docs: DataFrame, cap: int = 3, cycle: tuple[int, ...] = (1, 2, 3), id_co
     source's words. Every row is taken floor(target / source_size) times, and once more below its source's threshold,
     so that no row is taken over `cap` times. A null source is a source of its own; rows of size 0 take nothing; repeated
     rows of one id share a hash and are taken together; an empty table gives no rows. Needs no order and no
-    randomness: reruns agree. With carry=True all columns of docs follow, under their own names, before `copies`.
+    randomness: reruns agree. With carry=True the result has all columns of docs and
+    then `copies` (with underscores added to the name where docs has it).
     """
     spark = docs.sparkSession
     rows = written(docs.select(F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), row_hash(id_col, text_col).alias("h"), F.col(id_col).alias("id")), "sizes")
@@ -95,9 +96,13 @@ def mix(docs: DataFrame, cap: int = 3, cycle: tuple[int, ...] = (1, 2, 3), id_co
     whole = {s: int(targets[s] // n) if n else 0 for s, n in sizes.items()}
     cuts = thresholds(rows, {s: targets[s] - whole[s] * n for s, n in sizes.items() if n}) if sizes else {}
     plan = spark.createDataFrame([(s, n, targets[s], whole[s], cuts.get(s, 0)) for s, n in sizes.items()], "_s string, _n long, _target double, _whole long, _cut long")
-    copies = F.col("_whole") + F.when(F.col("_h") < F.col("_cut"), 1).otherwise(0)
     if carry:
-        own = docs.withColumns({"_h": row_hash(id_col, text_col), "_size": n_words(F.col(text_col)), "_source": F.col(source_col)})
-        return own.join(F.broadcast(plan), F.col("_source").eqNullSafe(F.col("_s"))).select(*[docs[c] for c in docs.columns], copies.alias("copies"))
+        of, h, last = (free_name(x, docs.columns) for x in ("_of", "_hash", "copies"))
+        plan = plan.toDF(*[free_name(c, docs.columns) for c in plan.columns])
+        s, _, _, whole_, cut = (F.col(c) for c in plan.columns)
+        own = docs.withColumns({h: row_hash(id_col, text_col), of: F.col(source_col)})
+        copies = whole_ + F.when(F.col(h) < cut, 1).otherwise(0)
+        return own.join(F.broadcast(plan), F.col(of).eqNullSafe(s)).select(*docs.columns, copies.alias(last))
+    copies = F.col("_whole") + F.when(F.col("_h") < F.col("_cut"), 1).otherwise(0)
     own = rows.select(F.col("id").alias(id_col), F.col("size"), F.col("source").alias("_source"), F.col("h").alias("_h"))
     return own.join(F.broadcast(plan), F.col("_source").eqNullSafe(F.col("_s"))).select(id_col, "size", F.col("_n").alias("source_size"), F.col("_target").alias("target"), (F.col("size") * copies).alias("taken"), copies.alias("copies"))

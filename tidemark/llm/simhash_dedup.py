@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import arrow_schema, map_rows, small_batches, written
+from tidemark.llm.shared import arrow_schema, free_name, map_rows, small_batches, written
 
 BITS, PAGE, SHARD_AIM, SEED = 64, 128, 32, 42
 
@@ -306,7 +306,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_
 
         return batch
 
-    texts = docs.join(_limited(asked), F.col(id_col) == F.col("least")).select("node", text_col)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(_limited(asked), F.col("id") == F.col("least")).select("node", "text")
     whole = written(map_rows(texts, {"node": "long", "shingles": "array<long>"}, sets).dropDuplicates(["node"]), "sets")
     both = pairs.join(whole.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(whole.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
@@ -323,7 +323,8 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: s
     If ids repeat, one row of an id stays. The columns are those of docs.
     """
     found = written(similar_groups(docs, words, similarity, id_col, text_col), "groups")
-    gone = written(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct(), "gone")
-    left = docs.join(_limited(gone), F.col(id_col) == F.col("_gone"), "left_anti")
+    name = free_name("gone", docs.columns)
+    gone = written(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(name)).distinct(), "gone")
+    left = docs.join(_limited(gone), F.col(id_col) == F.col(name), "left_anti")
     known = found.where(F.col(id_col).isNotNull())
     return left if known.select(id_col).distinct().count() == known.count() else left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(left.where(F.col(id_col).isNull()))
