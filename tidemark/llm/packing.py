@@ -2,8 +2,9 @@
 
 Lengths are integers up to the capacity, so documents and gaps range-sort into at most `capacity` classes. A superstep
 takes the next lower class of pieces; its successor sweep finds the class of the smallest gap that fits; pieces and
-gaps of the two classes match by rank, which settles all conflicts at once; the matched gaps move to their new class;
-the step repeats until the class is used up, opening new sequences where no gap fits. A step moves whole runs of equal
+gaps of the two classes match by rank, which settles all conflicts at once (a gap takes pieces as long as they fit, as
+best-fit would); the matched gaps move to their new class; the step repeats until the class is used up, opening new
+sequences where no gap fits. A step moves whole runs of equal
 gaps, so the plan has a few runs for each class and never depends on the number of documents: the steps need only the
 histogram of lengths (at most `capacity` rows), while tokenizing, ranking and placing stay distributed and move no text.
 """
@@ -38,36 +39,36 @@ def plan_runs(counts: dict[int, int], capacity: int) -> np.ndarray:
                 insort(classes, gap)
             gaps[gap].append((first, n))
 
+    def fill(first: int, n: int, gap: int, length: int, rank: int, left: int) -> tuple[int, int]:
+        """Pieces of one length into n sequences of one gap, each filled as far as it goes; the rank after them, sequences used."""
+        each = gap // length
+        full, rest = divmod(min(left, n * each), each)
+        for j in range(each):
+            if full:
+                runs.append((length, rank, first, capacity - gap + j * length))
+                rank += full
+        put(gap - each * length, first, full)
+        for j in range(rest):
+            runs.append((length, rank, first + full, capacity - gap + j * length))
+            rank += 1
+        if rest:
+            put(gap - rest * length, first + full, 1)
+        return rank, full + (rest > 0)
+
     for length in sorted(counts, reverse=True):
-        left, rank = counts[length], 0
-        while left:
+        count, rank = counts[length], 0
+        while rank < count:
             at = bisect_left(classes, length)
             if at < len(classes):
                 gap = classes[at]
                 first, n = gaps[gap].pop()
                 if not gaps[gap]:
                     del gaps[gap], classes[at]
-                m = min(n, left)
-                runs.append((length, rank, first, capacity - gap))
-                put(gap, first + m, n - m)
-                put(gap - length, first, m)
-                rank, left = rank + m, left - m
-                continue
-            each = capacity // length
-            full, rest = divmod(left, each)
-            for j in range(each):
-                if full:
-                    runs.append((length, rank, opened, j * length))
-                    rank += full
-            put(capacity - each * length, opened, full)
-            opened += full
-            for j in range(rest):
-                runs.append((length, rank, opened, j * length))
-                rank += 1
-            if rest:
-                put(capacity - rest * length, opened, 1)
-                opened += 1
-            left = 0
+                rank, used = fill(first, n, gap, length, rank, count - rank)
+                put(gap, first + used, n - used)
+            else:
+                rank, used = fill(opened, count, capacity, length, rank, count - rank)
+                opened += used
     return np.array(sorted(runs), np.int64).reshape(-1, 4)
 
 
