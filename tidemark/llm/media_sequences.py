@@ -90,6 +90,11 @@ class _Sequence(HTMLParser):
         if text:
             self.items.append(["text", text, None, None])
 
+    def close_figure(self) -> None:
+        items, said = self.figures.pop()
+        for item in items if said else []:
+            item[3] = " ".join(said)
+
     def handle_starttag(self, tag, attrs):
         if tag in _SKIPPED:
             self.skip += 1
@@ -98,7 +103,7 @@ class _Sequence(HTMLParser):
         if tag in _BLOCKS:
             self.flush()
         if tag == "figure":
-            self.figures.append([])
+            self.figures.append(([], []))
         elif tag == "figcaption":
             self.caption = []
         elif tag in _MEDIA:
@@ -108,7 +113,7 @@ class _Sequence(HTMLParser):
                 item = ["media", None, own["src"], own.get("alt") or own.get("title")]
                 self.items.append(item)
                 if self.figures:
-                    self.figures[-1].append(item)
+                    self.figures[-1][0].append(item)
 
     def handle_endtag(self, tag):
         if tag in _SKIPPED and self.skip:
@@ -119,10 +124,10 @@ class _Sequence(HTMLParser):
         if tag == "figcaption" and self.caption is not None:
             said = " ".join("".join(self.caption).split())
             self.caption = None
-            for item in self.figures[-1] if self.figures else []:
-                item[3] = said or item[3]
+            if self.figures and said:
+                self.figures[-1][1].append(said)
         elif tag == "figure" and self.figures:
-            self.figures.pop()
+            self.close_figure()
         if tag in _BLOCKS:
             self.flush()
 
@@ -138,6 +143,8 @@ def parse_sequence(html: str | None) -> list[list[str | None]]:
     parser.feed(html or "")
     parser.close()
     parser.flush()
+    while parser.figures:
+        parser.close_figure()
     return parser.items
 
 
