@@ -8,8 +8,8 @@ Three steps, none of which compares all with all:
 2. Matching. For each anchor that occurs again, the fragment of words that its windows cover goes to the reference shard
    of that anchor. A shard builds the suffix automaton of its distinct fragments, with the number of places of each
    state, and streams each fragment through it: the matching statistics tell at each word whether the window that ends there
-   has another place. This compares words, not hashes. Anchors in over `hot` texts are split by window instead: their
-   windows are counted by 128-bit hash with pre-aggregation, so no task gathers a hot passage.
+   has another place. This compares words, not hashes. Anchors in over `hot` texts are not gathered:
+   their fragments, and the windows of fragments that occur once, are counted by 128-bit hash with pre-aggregation.
 3. Removal. Spans meet their texts by text hash; every word under a repeated window goes.
 """
 
@@ -22,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import arrow_schema, map_rows, small_batches, words_of, written
+from tidemark.llm.shared import arrow_schema, free_name, map_rows, small_batches, words_of, written
 
-HOT, MAX_CACHED = 200, 400_000
+HOT, MAX_CACHED = 200, 200_000
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
 
 
@@ -177,8 +177,9 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64)))
 
 
-def repeated_spans(docs: DataFrame, window: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(docs with text hashes _h, _g; by text hash: copies and the repeated spans as lists starts, counts)."""
+def repeated_spans(docs: DataFrame, window: int) -> DataFrame:
+    """By text hash (_h, _g) of docs (id, text): copies, and the repeated spans as lists starts, counts."""
+    id_col, text_col = "id", "text"
     hashed = docs.withColumns({"_h": F.xxhash64(text_col), "_g": F.hash(text_col)})
 
     def find():
@@ -214,17 +215,28 @@ def repeated_spans(docs: DataFrame, window: int, id_col: str, text_col: str) ->
 
         return batch
 
-    def windows():
+    def pieces():
         def batch(b: pa.RecordBatch):
-            parts = {c: [np.empty(0, np.int64)] for c in ("w", "v", "_h", "_g", "at")}
+            # a row for each text and distinct fragment of a hot anchor, with its places in that text and its windows' hashes
+            parts: dict[str, list] = {c: [np.empty(0, np.int64)] for c in ("w", "v", "_h", "_g")}
+            places, ws, vs = [], [], []
             for h, g, text, many in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 own = word_hashes(words_of(text))
                 hashes, first, n = anchors(own, window)
-                hot = np.flatnonzero(np.isin(hashes, many))
-                at = np.concatenate([np.arange(first[i], first[i] + n[i]) for i in hot]).astype(np.int64)
-                for c, v in zip(parts, (run_hashes(own, window)[at].view(np.int64), run_hashes(own, window, 1)[at].view(np.int64), np.full(len(at), h), np.full(len(at), g), at), strict=True):
-                    parts[c].append(v)
-            return {c: pa.array(np.concatenate(v)).cast(pa.int32() if c == "_g" else pa.int64()) for c, v in parts.items()}
+                w, v = (run_hashes(own, window, i).view(np.int64) for i in (0, 1))
+                found: dict[tuple, list[int]] = {}
+                for i in np.flatnonzero(np.isin(hashes, many)):
+                    lo, hi = int(first[i]), int(first[i] + n[i])
+                    found.setdefault((w[lo:hi].tobytes(), v[lo:hi].tobytes()), []).append(lo)
+                for (a, c), at in found.items():
+                    ws.append(np.frombuffer(a, np.int64))
+                    vs.append(np.frombuffer(c, np.int64))
+                    places.append(np.array(at, np.int64))
+                keys = [np.array([int.from_bytes(hashlib.blake2b(x[i], digest_size=8).digest(), "little", signed=True) for x in found], np.int64) for i in (0, 1)]
+                for c, x in zip(parts, (*keys, np.full(len(found), h), np.full(len(found), g)), strict=True):
+                    parts[c].append(x)
+            flat = {c: pa.array(np.concatenate(x)).cast(pa.int32() if c == "_g" else pa.int64()) for c, x in parts.items()}
+            return flat | {"at": _lists(places), "ws": _lists(ws), "vs": _lists(vs)}
 
         return batch
 
@@ -262,12 +274,18 @@ def repeated_spans(docs: DataFrame, window: int, id_col: str, text_col: str) ->
             yield flush(rest)
 
     spans = cold.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(match, "_h long, _g int, at long, n long")
-    hot = written(map_rows(chosen.where(F.size("many") > 0).select("_h", "_g", text_col, "many"), {"w": "long", "v": "long", "_h": "long", "_g": "int", "at": "long"}, windows), "windows")
-    twice = hot.groupBy("w", "v").agg(F.count("*").alias("c")).where("c > 1").select("w", "v")
-    spans = spans.union(hot.join(twice, ["w", "v"]).select("_h", "_g", "at", F.lit(1).cast("long").alias("n")))
-    by_text = spans.groupBy("_h", "_g").agg(F.collect_list("at").alias("starts"), F.collect_list("n").alias("counts"))
-    marks = texts.select("_h", "_g", "copies").join(by_text, ["_h", "_g"], "left").where("copies > 1 or starts is not null")
-    return hashed, marks
+    hot = written(map_rows(chosen.where(F.size("many") > 0).select("_h", "_g", text_col, "many"), {"w": "long", "v": "long", "_h": "long", "_g": "int", "at": "array<long>", "ws": "array<long>", "vs": "array<long>"}, pieces), "pieces")
+    kinds = hot.groupBy("w", "v").agg(F.sum(F.size("at")).alias("c"), *[F.first(x).alias(x) for x in ("ws", "vs", "_h", "_g", "at")])
+    kinds = written(kinds, "kinds")
+    # a fragment that occurs twice repeats in whole; the windows of the others are counted among those of all kinds
+    n = F.size("ws").cast("long")
+    whole = hot.join(kinds.where("c > 1").select("w", "v"), ["w", "v"]).select("_h", "_g", "at", F.transform("at", lambda x: n).alias("n"))
+    counted = kinds.select("c", F.explode(F.arrays_zip("ws", "vs")).alias("x")).groupBy("x.ws", "x.vs").agg(F.sum("c").alias("c")).where("c > 1").select("ws", "vs")
+    single = kinds.where("c = 1").select("_h", "_g", F.col("at")[0].alias("first"), F.posexplode(F.arrays_zip("ws", "vs")).alias("i", "x")).select("_h", "_g", (F.col("first") + F.col("i")).alias("at"), "x.ws", "x.vs")
+    ones = single.join(counted, ["ws", "vs"]).select("_h", "_g", F.array("at").alias("at"), F.array(F.lit(1).cast("long")).alias("n"))
+    spans = spans.select("_h", "_g", F.array("at").alias("at"), F.array("n").alias("n")).union(whole).union(ones)
+    by_text = spans.groupBy("_h", "_g").agg(F.flatten(F.collect_list("at")).alias("starts"), F.flatten(F.collect_list("n")).alias("counts"))
+    return texts.select("_h", "_g", "copies").join(by_text, ["_h", "_g"], "left").where("copies > 1 or starts is not null")
 
 
 def keep_mask(n: int, copies: int | None, starts: list[int] | None, counts: list[int] | None, window: int) -> np.ndarray | None:
@@ -288,14 +306,15 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     A null text has no words (rewrite leaves it null); texts shorter than the window lose nothing; all places of a repeated
     window are judged on the input, so the first is removed like the others. Repeated rows are repeats. Null ids
     are rows like any other; an empty table gives no rows. A rewritten text joins its kept words by one space; a text
-    that loses nothing stays as it is. Columns of docs named like the helpers (_h, _g) are not supported with rewrite.
+    that loses nothing stays as it is.
     """
     small_batches(docs.sparkSession)
     own = docs if rewrite else docs.select(id_col, text_col)
-    hashed, marks = repeated_spans(own, window, id_col, text_col)
-    joined = hashed.join(marks, ["_h", "_g"], "left")
     names, kinds = own.columns, dict(own.dtypes)
-    joined = joined.select(*names, "copies", "starts", "counts")
+    marks = repeated_spans(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), window)
+    marks = marks.toDF(*[free_name(c, names) for c in marks.columns])
+    h, g, *found = marks.columns
+    joined = own.withColumns({h: F.xxhash64(text_col), g: F.hash(text_col)}).join(marks, [h, g], "left").select(*names, *found)
     at = names.index(text_col)
     kept = names if rewrite else [id_col]
     columns = {c: kinds[c] for c in kept} | ({} if rewrite else {"n_words": "long", "n_removed": "long", "kept_sha256": "string"})
