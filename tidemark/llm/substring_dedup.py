@@ -218,25 +218,23 @@ def repeated_spans(docs: DataFrame, window: int) -> DataFrame:
     def pieces():
         def batch(b: pa.RecordBatch):
             # a row for each text and distinct fragment of a hot anchor, with its places in that text and its windows' hashes
-            parts: dict[str, list] = {c: [np.empty(0, np.int64)] for c in ("w", "v", "_h", "_g")}
-            places, ws, vs = [], [], []
+            parts: dict[str, list] = {c: [np.empty(0, np.int64)] for c in ("anchor", "w", "_h", "_g")}
+            places, ws = [], []
             for h, g, text, many in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 own = word_hashes(words_of(text))
                 hashes, first, n = anchors(own, window)
-                w, v = (run_hashes(own, window, i).view(np.int64) for i in (0, 1))
-                found: dict[tuple, list[int]] = {}
+                w = run_hashes(own, window, 1).view(np.int64) if len(own) >= window else own
+                found: dict[tuple[int, bytes], list[int]] = {}
                 for i in np.flatnonzero(np.isin(hashes, many)):
                     lo, hi = int(first[i]), int(first[i] + n[i])
-                    found.setdefault((w[lo:hi].tobytes(), v[lo:hi].tobytes()), []).append(lo)
-                for (a, c), at in found.items():
-                    ws.append(np.frombuffer(a, np.int64))
-                    vs.append(np.frombuffer(c, np.int64))
-                    places.append(np.array(at, np.int64))
-                keys = [np.array([int.from_bytes(hashlib.blake2b(x[i], digest_size=8).digest(), "little", signed=True) for x in found], np.int64) for i in (0, 1)]
-                for c, x in zip(parts, (*keys, np.full(len(found), h), np.full(len(found), g)), strict=True):
-                    parts[c].append(x)
+                    found.setdefault((int(hashes[i]), w[lo:hi].tobytes()), []).append(lo)
+                places += [np.array(at, np.int64) for at in found.values()]
+                ws += [np.frombuffer(x, np.int64) for _, x in found]
+                keys = [int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True) for _, x in found]
+                for c, x in zip(parts, ([a for a, _ in found], keys, [h] * len(found), [g] * len(found)), strict=True):
+                    parts[c].append(np.array(x, np.int64))
             flat = {c: pa.array(np.concatenate(x)).cast(pa.int32() if c == "_g" else pa.int64()) for c, x in parts.items()}
-            return flat | {"at": _lists(places), "ws": _lists(ws), "vs": _lists(vs)}
+            return flat | {"at": _lists(places), "ws": _lists(ws)}
 
         return batch
 
@@ -274,15 +272,16 @@ def repeated_spans(docs: DataFrame, window: int) -> DataFrame:
             yield flush(rest)
 
     spans = cold.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(match, "_h long, _g int, at long, n long")
-    hot = written(map_rows(chosen.where(F.size("many") > 0).select("_h", "_g", text_col, "many"), {"w": "long", "v": "long", "_h": "long", "_g": "int", "at": "array<long>", "ws": "array<long>", "vs": "array<long>"}, pieces), "pieces")
-    kinds = hot.groupBy("w", "v").agg(F.sum(F.size("at")).alias("c"), *[F.first(x).alias(x) for x in ("ws", "vs", "_h", "_g", "at")])
+    # the anchor's hash and another of the fragment, or of the window, make 128 bits
+    hot = written(map_rows(chosen.where(F.size("many") > 0).select("_h", "_g", text_col, "many"), {"anchor": "long", "w": "long", "_h": "long", "_g": "int", "at": "array<long>", "ws": "array<long>"}, pieces), "pieces")
+    kinds = hot.groupBy("anchor", "w").agg(F.sum(F.size("at")).alias("c"), *[F.first(x).alias(x) for x in ("ws", "_h", "_g", "at")])
     kinds = written(kinds, "kinds")
     # a fragment that occurs twice repeats in whole; the windows of the others are counted among those of all kinds
     n = F.size("ws").cast("long")
-    whole = hot.join(kinds.where("c > 1").select("w", "v"), ["w", "v"]).select("_h", "_g", "at", F.transform("at", lambda x: n).alias("n"))
-    counted = kinds.select("c", F.explode(F.arrays_zip("ws", "vs")).alias("x")).groupBy("x.ws", "x.vs").agg(F.sum("c").alias("c")).where("c > 1").select("ws", "vs")
-    single = kinds.where("c = 1").select("_h", "_g", F.col("at")[0].alias("first"), F.posexplode(F.arrays_zip("ws", "vs")).alias("i", "x")).select("_h", "_g", (F.col("first") + F.col("i")).alias("at"), "x.ws", "x.vs")
-    ones = single.join(counted, ["ws", "vs"]).select("_h", "_g", F.array("at").alias("at"), F.array(F.lit(1).cast("long")).alias("n"))
+    whole = hot.join(kinds.where("c > 1").select("anchor", "w"), ["anchor", "w"]).select("_h", "_g", "at", F.transform("at", lambda x: n).alias("n"))
+    counted = kinds.select("anchor", "c", F.explode("ws").alias("x")).groupBy("anchor", "x").agg(F.sum("c").alias("c")).where("c > 1").select("anchor", "x")
+    single = kinds.where("c = 1").select("anchor", "_h", "_g", F.col("at")[0].alias("first"), F.posexplode("ws").alias("i", "x")).select("anchor", "_h", "_g", (F.col("first") + F.col("i")).alias("at"), "x")
+    ones = single.join(counted, ["anchor", "x"]).select("_h", "_g", F.array("at").alias("at"), F.array(F.lit(1).cast("long")).alias("n"))
     spans = spans.select("_h", "_g", F.array("at").alias("at"), F.array("n").alias("n")).union(whole).union(ones)
     by_text = spans.groupBy("_h", "_g").agg(F.flatten(F.collect_list("at")).alias("starts"), F.flatten(F.collect_list("n")).alias("counts"))
     return texts.select("_h", "_g", "copies").join(by_text, ["_h", "_g"], "left").where("copies > 1 or starts is not null")
