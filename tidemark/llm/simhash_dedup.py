@@ -199,8 +199,11 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, id_col: st
 #: At a similarity of 0.8, two texts share no key with a chance of (1 - 0.8 ** 2) ** 10, under 1 in 25,000, and differ in 39
 #: of 256 bits (deviation 6); unrelated texts differ in 128 (deviation 8).
 WIDE, KEYS, MINIMA, WIDE_RADIUS = 4, 10, 2, 80
-#: A shard of up to so many is compared in full; a larger one gives each member its nearest and a chain to the others.
+#: A shard of up to so many is compared in full; a larger one gives each member its nearest and a chain to the others, and
+#: then compares in full what these leave in different parts.
 ALL_PAIRS = 48
+#: Members of a large shard whose shingle sets are compared in one task, against as many others.
+BLOCK = 1024
 #: Ids that may be broadcast; above, the join shuffles.
 MAX_BROADCAST_IDS = 1_000_000
 
@@ -233,10 +236,10 @@ def wide_sketch(shingles: np.ndarray) -> tuple[np.ndarray, bytes]:
     return keys.view(np.int64), np.packbits(2 * ones > len(shingles), bitorder="little").tobytes()
 
 
-def candidates(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
+def candidates(values: np.ndarray, radius: int, all_pairs: int = ALL_PAIRS) -> list[tuple[int, int]]:
     """Pairs of positions within the radius: all in a small shard; else each one's nearest, and its way to the others."""
     tree, out = BKTree(values), []
-    small = len(values) <= ALL_PAIRS
+    small = len(values) <= all_pairs
     open_ = np.ones(len(values), bool)
     for i in range(len(values)):
         if not open_[i]:
@@ -258,16 +261,96 @@ def candidates(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return out
 
 
+def crossing(key: int, keys: np.ndarray, values: np.ndarray, centers: np.ndarray, radius: int, block: int = BLOCK) -> list[tuple[int, int, int]]:
+    """(task, side, position): members of a shard within the radius of a member of another part (center).
+
+    A pair that shares several keys belongs to the shard of the first. Tasks of one side compare all their members, those of two
+    sides each of one with each of the other, so every pair of parts meets once and no task has over two blocks.
+    """
+    _, part, sizes = np.unique(centers, return_inverse=True, return_counts=True)
+    order = np.lexsort((part, sizes[part]))  # small parts first, so large ones are only looked at from outside
+    part, keys, values = part[order], keys[order], values[order]
+    ends = np.append(np.flatnonzero(np.diff(part)) + 1, len(part))
+    hit = np.zeros(len(part), bool)
+    for i in range(ends[-2] if len(ends) > 1 else 0):
+        lo = int(ends[np.searchsorted(ends, i, side="right")])
+        near = lo + np.flatnonzero(np.bitwise_count(values[lo:] ^ values[i]).sum(axis=1, dtype=np.int64) <= radius)
+        near = near[keys[i][(keys[near] == keys[i]).argmax(axis=1)] == key]
+        hit[near] = True
+        hit[i] |= len(near) > 0
+    blocks = [b for b in np.split(np.flatnonzero(hit), range(block, int(hit.sum()), block)) if len(b)]
+    out = []
+    for g, one in enumerate(blocks):
+        for h, other in enumerate(blocks[g:], g):
+            if part[one[0]] != part[other[-1]]:  # parts are in one piece each
+                out += [(g * len(blocks) + h, side, int(order[x])) for side, own in enumerate([one] if g == h else [one, other]) for x in own]
+    return out
+
+
+def links_between(centers: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Pairs of positions that join whatever parts a pair of sets at `similarity` or more joins; all sets have members."""
+    part = np.unique(centers, return_inverse=True)[1]
+    sizes = np.array([len(x) for x in sets])
+    ids = np.split(np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32), np.cumsum(sizes)[:-1])
+    mark, out, crossed = np.zeros(sum(map(len, sets)), bool), [], len(np.unique(sides)) > 1
+    for i in range(len(sets)):
+        others = i + 1 + np.flatnonzero(part[i + 1 :] != part[i])
+        if crossed:
+            others = others[sides[others] != sides[i]]
+        others = others[np.minimum(sizes[others], sizes[i]) >= similarity * np.maximum(sizes[others], sizes[i])]
+        mark[ids[i]] = True
+        for at in range(0, len(others), 256):
+            own = others[at : at + 256]
+            own = own[part[own] != part[i]]
+            if not len(own):
+                continue
+            shared = np.add.reduceat(mark[np.concatenate([ids[x] for x in own])], np.append(0, np.cumsum(sizes[own])[:-1]), dtype=np.int64)
+            for x in own[shared >= similarity * (sizes[own] + sizes[i] - shared)]:
+                if part[x] != part[i]:
+                    out.append((i, int(x)))
+                    part[part == part[x]] = part[i]
+        mark[ids[i]] = False
+    return out
+
+
 def _limited(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _lost_links(parts: DataFrame, whole: DataFrame, similarity: float, all_pairs: int, block: int) -> DataFrame | None:
+    """a, b: links between different parts (column center) of a large shard; none if every large shard has one part."""
+    dealt = parts.where("least is not null and node != 0").select(F.explode("keys").alias("key"), "node", "center", "keys", "bits")
+    sizes = dealt.groupBy("key").agg(F.count("*").alias("n"), F.min("center").alias("lo"), F.max("center").alias("hi"))
+    mixed = written(sizes.where((F.col("n") > all_pairs) & (F.col("lo") != F.col("hi"))).select("key"), "mixed")
+    if mixed.isEmpty():
+        return None
+
+    def find(shard: pa.Table) -> pa.Table:
+        key, node = shard.column("key")[0].as_py(), shard.column("node").to_numpy()
+        keys = np.array(shard.column("keys").to_pylist(), np.int64)
+        values = np.frombuffer(b"".join(shard.column("bits").to_pylist()), "<u8").reshape(len(node), -1)
+        found = crossing(key, keys, values, shard.column("center").to_numpy(), WIDE_RADIUS, block)
+        columns = {"key": [key] * len(found), "task": [x[0] for x in found], "side": [x[1] for x in found], "node": [int(node[x[2]]) for x in found]}
+        return pa.table(columns, schema=arrow_schema("key long, task long, side int, node long"))
+
+    def check(shard: pa.Table) -> pa.Table:
+        node, flat = shard.column("node").to_numpy(), shard.column("shingles").combine_chunks()
+        sets = np.split(flat.flatten().to_numpy(), np.cumsum(flat.value_lengths().to_numpy())[:-1])
+        found = links_between(shard.column("center").to_numpy(), shard.column("side").to_numpy(), sets, similarity)
+        return pa.table({name: [int(node[x[i]]) for x in found] for i, name in enumerate("ab")}, schema=arrow_schema("a long, b long"))
+
+    asked = written(dealt.join(mixed, "key").groupBy("key").applyInArrow(find, "key long, task long, side int, node long"), "crossings")
+    own = asked.join(parts.select("node", "center"), "node").join(whole, "node").select("key", "task", "side", "node", "center", "shingles")
+    return written(own.groupBy("key", "task").applyInArrow(check, "a long, b long").distinct(), "more")
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", all_pairs: int = ALL_PAIRS, block: int = BLOCK) -> DataFrame:
     """id, component_id: groups of texts joined by chains of shingle sets with a Jaccard similarity of at least `similarity`.
 
     Fingerprints of 64 bits can't part a similarity of 0.8 from chance by equal blocks (10 bits differ), so here shards are dealt
     by min-hash keys, and BK-trees over 256-bit SimHash fingerprints propose the pairs, which then are compared by their
-    whole sets. Equal sets are one node from the start. Texts without words form one group; rows
+    whole sets. Members of a large shard that these leave in different groups meet once more with their sets, and each pair of them
+    within the radius is compared. Equal sets are one node from the start. Texts without words form one group; rows
     without id are grouped by equal sets only; repeated rows give a row each; an empty table gives none.
     """
     small_batches(docs.sparkSession)
@@ -295,7 +378,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_
     def links(coded: list[bytes]) -> list[tuple[int, int]]:
         values = np.frombuffer(b"".join(c[:-8] for c in coded), "<u8").reshape(len(coded), -1)
         ids = [int.from_bytes(c[-8:], "big", signed=True) for c in coded]
-        return [(max(ids[x], ids[y]), min(ids[x], ids[y])) for x, y in candidates(values, WIDE_RADIUS)]
+        return [(max(ids[x], ids[y]), min(ids[x], ids[y])) for x, y in candidates(values, WIDE_RADIUS, all_pairs)]
 
     pairs = written(_by_shard(dealt, 1, "coded", links).where("a != b").distinct(), "pairs")
     asked = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "least"), "node"), "asked")
@@ -311,7 +394,12 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_
     both = pairs.join(whole.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(whole.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     joined = components(both.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select("a", "b"))
-    placed = nodes.join(joined, "node", "left").select("node", "least", F.coalesce("center", "node").alias("center"))
+    parts = written(nodes.join(joined, "node", "left").withColumn("center", F.coalesce("center", "node")), "parts")
+    more = _lost_links(parts, whole, similarity, all_pairs, block)
+    if more is not None and not more.isEmpty():
+        joined = components(joined.select(F.col("node").alias("a"), F.col("center").alias("b")).union(more))
+        parts = nodes.join(joined, "node", "left").withColumn("center", F.coalesce("center", "node"))
+    placed = parts.select("node", "least", "center")
     named = placed.groupBy("center").agg(F.min("least").alias("component_id"))
     by_node = written(placed.join(named, "center").select("node", "component_id"), "named")
     return own.join(by_node, "node").select(F.col("id").alias(id_col), "component_id")
