@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 from tidemark.functions import text as t
+from tidemark.functions.folding import word_spans
 from tidemark.plans.dialect import Dialect
 from tidemark.plans.run import Query
 
@@ -100,7 +105,7 @@ def manual_merge(d: Dialect) -> str:
 
 
 def entity_mentions(d: Dialect) -> str:
-    """Whole-word mentions of names in texts (ASCII): first place by bytes, each once."""
+    """Names of 8 to 100 characters among a text's words (ASCII), each once with its first place; `entity_spans` has every span."""
     words = d.distinct(d.filter(d.split("lower(plain_text)", "[^a-z0-9]+"), "w", "length(w) BETWEEN 4 AND 100"))
     alias = "(SELECT DISTINCT lower(part) AS alias FROM " + d.explode(f"(SELECT item_id AS bid, {d.split('text', '[^A-Za-z0-9]+')} AS ps FROM benchmark)".replace("item_id AS bid", "item_id AS bid"), "ps", "part") + " WHERE length(part) BETWEEN 8 AND 100)"
     at = "instr(lower(i.plain_text), x.w)" if d.spark else "strpos(lower(i.plain_text), x.w)"
@@ -114,6 +119,29 @@ def entity_resolution(d: Dialect) -> str:
         FROM (SELECT display_name FROM v_sources UNION SELECT display_name FROM v_entities) n LEFT JOIN (SELECT normalized_name, min(entity_id) AS entity_id FROM v_entities GROUP BY normalized_name) b ON b.normalized_name = lower(n.display_name)"""
 
 
+def entity_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole-word span of every name of 2 to 100 characters: item_id, alias, utf8_start, utf8_length, mentioned_text.
+
+    Case, diacritics and width are folded in the texts. Names are the distinct words (ASCII letters and digits) of the benchmark texts.
+    """
+    part = F.explode(F.transform(F.split("text", "[^A-Za-z0-9]+"), F.lower)).alias("alias")
+    names = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(part).where(F.length("alias").between(2, 100)).distinct()
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("item_id"), "text")
+
+    def spans(batches):
+        schema = pa.schema([("item_id", pa.int64()), ("alias", pa.string()), ("utf8_start", pa.int64()), ("utf8_length", pa.int64()), ("mentioned_text", pa.string())])
+        for batch in batches:
+            for at in range(0, len(batch), 200):
+                own = batch.slice(at, 200)
+                rows = [(i, *x) for i, text in zip(own.column(0).to_pylist(), own.column(1).to_pylist(), strict=True) for x in word_spans(text) if 2 <= len(x[0]) <= 100]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+
+    found = texts.mapInArrow(spans, "item_id long, alias string, utf8_start long, utf8_length long, mentioned_text string")
+    return found.join(names, "alias").select("item_id", "alias", "utf8_start", "utf8_length", "mentioned_text")
+
+
+SPARK_QUERIES = {f.__name__: f for f in (entity_spans,)}
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
