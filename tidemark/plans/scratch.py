@@ -8,11 +8,18 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Drops the shuffle files of a statement when it ends: those behind a written table are not read again.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _made: list[tuple[SparkSession, str]] = []
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a local session without one gets a folder of its own, a cluster is refused."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session.
+
+    Where it is unset, a local session (tests) gets a folder of its own; a cluster is refused, as a
+    machine-local folder there would be invisible to the other machines.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local"):
@@ -22,13 +29,24 @@ def folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    spark = df.sparkSession
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path under the shared folder; removed when the driver's Python ends."""
     path = f"{folder(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
     if not _made:
         atexit.register(_remove)
     _made.append((spark, path))
-    df.write.parquet(path)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
