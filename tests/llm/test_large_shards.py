@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from tests.llm.test_operators import joined_by_hand, sorted_rows
-from tidemark.llm import simhash_dedup
+from tidemark.llm import similar_groups, simhash_dedup
 
 
 def families(seed: int, n: int, size: int = 320) -> list[tuple[int, str]]:
@@ -27,31 +27,25 @@ def families(seed: int, n: int, size: int = 320) -> list[tuple[int, str]]:
 @pytest.mark.parametrize("seed", [1, 2])
 def test_families_of_a_template_are_joined_in_large_shards(spark, seed):
     rows = families(seed, 320)
-    sets = [(i, frozenset(simhash_dedup.shingle_set(t, 5).tolist())) for i, t in rows]
+    sets = [(i, frozenset(similar_groups.shingle_set(t, 5).tolist())) for i, t in rows]
     want = joined_by_hand(sets, lambda a, b: len(a[1] & b[1]) >= 0.8 * len(a[1] | b[1]))
     assert 4 <= len({c for _, c in want}) < 60
-    found = simhash_dedup.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    found = similar_groups.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
     assert sorted_rows(found, "doc_id", "component_id") == want
 
 
 def test_blocks_of_a_shard_and_small_limits_give_the_same(spark):
     rows = families(3, 120)
-    sets = [(i, frozenset(simhash_dedup.shingle_set(t, 5).tolist())) for i, t in rows]
+    sets = [(i, frozenset(similar_groups.shingle_set(t, 5).tolist())) for i, t in rows]
     want = joined_by_hand(sets, lambda a, b: len(a[1] & b[1]) >= 0.8 * len(a[1] | b[1]))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    found = simhash_dedup.similar_groups(docs, all_pairs=4, block=16)
+    found = similar_groups.similar_groups(docs, searched=8, compared=16)
     assert sorted_rows(found, "doc_id", "component_id") == want
 
 
-@pytest.mark.parametrize("block", [7, 1000])
-def test_each_pair_of_parts_meets_in_one_task(block):
-    r = np.random.default_rng(block)
-    n = 90
-    values, centers = r.integers(0, 2**63, (1, 4)).astype(np.uint64).repeat(n, 0), r.integers(0, 9, n)
-    keys = np.stack([np.full(n, 5), r.integers(0, 3, n)], axis=1)
-    tasks = {}
-    for task, side, at in simhash_dedup.crossing(5, keys, values, centers, 3, block):
-        tasks.setdefault(task, {}).setdefault(side, set()).add(at)
-    met = {(min(x, y), max(x, y)) for t in tasks.values() for x in t[0] for y in (t[1] if 1 in t else t[0])}
-    assert {(x, y) for x in range(n) for y in range(x) if centers[x] != centers[y]} <= {(y, x) for x, y in met}
-    assert all(len(side) <= block for t in tasks.values() for side in t.values())
+def test_hot_shards_in_blocks_give_the_same(spark):
+    r = np.random.default_rng(4)
+    docs = spark.createDataFrame([(i, " ".join(f"w{x}" for x in np.where(r.random(60) < 0.03, r.integers(0, 99, 60), np.arange(60)))) for i in range(300)], "doc_id long, text string").repartition(3)
+    want = sorted_rows(simhash_dedup.near_duplicates(docs), "doc_id", "fingerprint", "component_id")
+    assert len({x[2] for x in want}) < 250
+    assert sorted_rows(simhash_dedup.near_duplicates(docs, hot_shard=20), "doc_id", "fingerprint", "component_id") == want

@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tidemark.llm import ann_postings, language_id, media_sequences, mixing, packing, simhash_dedup, substring_dedup, token_counts, token_store, warc_revisit
+from tidemark.llm import ann_postings, bk_forest, language_id, media_sequences, mixing, packing, similar_groups, simhash_dedup, substring_dedup, token_counts, token_store, warc_revisit
 from tidemark.llm.word_tokens import WordTokens
 
 WORDS, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -39,6 +39,15 @@ def test_language_id(spark, docs, no_docs):
     assert carried.columns == [*docs.columns, "lang_pred_", "score"] and carried.count() == docs.count()
 
 
+def test_language_learns_long_runs_and_words_that_occur_once(spark):
+    run = "".join(chr(0x4E00 + i * 37 % 900) for i in range(200))
+    docs = spark.createDataFrame([(1, run, "zh"), (2, "einmal", "de"), (3, None, "de"), (4, run[50:150], None)], "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    assert model.languages == ["de", "zh"] and "einmal" in model.words and run[:48] in model.words and run[10:15] in model.grams[5]
+    found = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(docs, model).collect()}
+    assert found == {1: "zh", 2: "de", 3: "und", 4: "zh"}
+
+
 def test_language_backoff_takes_the_longest_known_grams():
     model = language_id.Model(["a", "b"], {"known": [5, 1]}, {5: {"<zqwx": [1, 9]}, 1: {"z": [9, 1]}})
     assert model.rows("known") == [model.words["known"]]
@@ -144,13 +153,15 @@ def test_warc_revisit(spark):
     ]
     schema = "capture_id long, url string, ts long, kind string, etag string, last_modified string, payload_digest string, headers map<string,string>, id long, r string"
     table = spark.createDataFrame([tuple(x.values()) for x in data], schema)
-    for slices in (1, 7, 256):
+    for slices in (1, 7, 64):
         found = warc_revisit.resolve_revisits(table, slices)
         got = sorted((r["capture_id"], r["response_id"] or 0, r["validated"]) for r in found.collect())
         assert got == [(4, 1, "etag"), (5, 1, "etag"), (6, 3, "etag"), (7, 0, "mismatch"), (8, 0, "missing"), (9, 0, "unchecked"), (10, 0, "missing"), (11, 0, "missing"), (12, 3, "digest"), (12, 3, "digest")]
     one = found.where("capture_id = 4").first()
     assert one["canonical_url"] == "http://a.example/x" and one["headers"] == {"etag": "e1", "content-type": "t", "date": "new"}
     assert warc_revisit.resolve_revisits(table.where("false")).count() == 0
+    doubled = spark.createDataFrame([tuple(plain(capture_id=1, ts=1, etag="e", headers={"Vary": "a", "vary": "b", "X": "1", "x": "2"}).values()), tuple(plain(capture_id=2, ts=2, kind="revisit", etag="e", headers={"DATE": "c", "date": "d"}).values())], schema)
+    assert warc_revisit.resolve_revisits(doubled).first()["headers"] == {"vary": "a", "x": "1", "date": "c"}
 
 
 def test_packing(docs, no_docs):
@@ -239,36 +250,75 @@ def test_blocks_lose_no_link(n):
         assert any((a & m) % (1 << 64) == (b & m) % (1 << 64) for m in masks)
 
 
-def test_bk_tree_and_stars():
-    r = np.random.default_rng(1)
-    base = r.integers(0, 1 << 62, 40, np.uint64)
-    values = np.unique(np.concatenate([base] + [base ^ (np.uint64(1) << r.integers(0, 60, 40, np.uint64)) for _ in range(30)]))
-    tree = simhash_dedup.BKTree(values)
-    for v in values[::37]:
-        assert sorted(tree.within(np.array([v]), 3)) == np.flatnonzero(np.bitwise_count(values ^ v) <= 3).tolist()
-    centre = dict(simhash_dedup.stars(values, 2))
-    groups = {min([i, *np.flatnonzero([centre.get(j, j) == centre.get(i, i) for j in range(len(values))])]) for i in range(len(values))}
-    assert len(groups) == 40
+@pytest.mark.parametrize(("n", "words", "radius", "n_shards"), [(900, 1, 3, 20), (500, 4, 80, 3), (1, 1, 3, 1), (0, 1, 3, 1)])
+def test_bk_forest_finds_what_a_scan_finds(n, words, radius, n_shards):
+    r = np.random.default_rng(n)
+    base = r.integers(0, 1 << 63, (max(1, n // 20), words)).astype(np.uint64)
+    values = base[r.integers(0, len(base), n)] ^ (np.uint64(1) << r.integers(0, 64, (n, words)).astype(np.uint64))
+    shard = np.sort(r.integers(0, n_shards, n))
+    forest, found, part = bk_forest.Forest(values, shard), set(), np.arange(n)
+    for asked, got, far in forest.searches(radius):
+        assert np.array_equal(bk_forest.hamming(values[asked], values[got]), far)
+        found |= set(zip(asked.tolist(), got.tolist(), strict=True))
+        part, _ = bk_forest.unite(part, asked, got, far)
+    want = {(i, int(j)) for i in range(n) for j in np.flatnonzero((shard == shard[i]) & (np.bitwise_count(values ^ values[i]).sum(axis=1) <= radius))}
+    assert found == want
+    assert [x for _, x in joined_by_hand([(i, i) for i in range(n)], lambda a, b: (a[0], b[0]) in want)] == part.tolist()
+
+
+def test_bk_tree_follows_only_edges_within_the_radius():
+    values = np.array([0, 0b1, 0b11, 0b111111, 1 << 40], np.uint64)
+    forest = bk_forest.Forest(values, np.zeros(5, int))
+    assert sorted(zip(forest.code // (1 << 16), forest.code % (1 << 16), forest.child, strict=True)) == [(0, 1, 1), (0, 2, 2), (0, 6, 3), (1, 2, 4)]
+
+
+def kept_by_hand(rows, similarity=0.8, words=5):
+    """Row numbers of one row of each group: the smallest id, null ids last."""
+    sets = [frozenset(similar_groups.shingle_set(t, words).tolist()) for _, t in rows]
+    groups = joined_by_hand(list(enumerate(sets)), lambda a, b: a[1] == b[1] or len(a[1] & b[1]) >= similarity * len(a[1] | b[1]))
+    least = {}
+    for i, g in groups:
+        least[g] = min(least.get(g, i), i, key=lambda x: (rows[x][0] is None, rows[x][0] or 0))
+    return sorted(least.values())
 
 
 def test_similar_groups(docs, no_docs):
     rows = docs.collect()
-    sets = [(r["doc_id"], frozenset(simhash_dedup.shingle_set(r["text"], 5).tolist())) for r in rows]
-    alike = lambda a, b: a[1] == b[1] or (a[0] is not None and b[0] is not None and len(a[1] & b[1]) >= 0.8 * len(a[1] | b[1]))
-    found = simhash_dedup.similar_groups(docs)
-    want = joined_by_hand(sets, alike)
-    assert sorted_rows(found, "doc_id", "component_id") == want
-    kept = simhash_dedup.keep_one(docs)
+    sets = [(r["doc_id"], frozenset(similar_groups.shingle_set(r["text"], 5).tolist())) for r in rows]
+    alike = lambda a, b: a[1] == b[1] or len(a[1] & b[1]) >= 0.8 * len(a[1] | b[1])
+    found = similar_groups.similar_groups(docs)
+    assert sorted_rows(found, "doc_id", "component_id") == joined_by_hand(sets, alike)
+    kept = similar_groups.keep_one(docs)
     assert kept.columns == docs.columns
-    ids = [r["doc_id"] for r in kept.collect()]
-    assert sorted(i for i in ids if i is not None) == sorted({c for i, c in want if i is not None}) and ids.count(None) == 2
-    assert simhash_dedup.keep_one(no_docs).count() == 0
+    want = [rows[i]["doc_id"] for i in kept_by_hand([(r["doc_id"], r["text"]) for r in rows])]
+    assert sorted_rows(kept, "doc_id") == sorted(((i,) for i in want), key=key) and want.count(None) == 1
+    assert similar_groups.keep_one(no_docs).count() == 0
+
+
+def test_keep_one_tells_rows_of_one_id_apart(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (1, b), (1, a), (2, a), (2, c), (None, b), (None, c.upper()), (None, "only here"), (None, "only here"), (3, None), (4, "")]
+    kept = similar_groups.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert sorted_rows(kept, "doc_id", "text") == sorted([(1, a), (1, b), (2, c), (None, "only here"), (3, None)], key=key)
+
+
+@given(st.integers(1, 60), st.integers(0, 70), st.sampled_from([0.5, 0.8, 0.9]), st.integers(0, 5))
+@settings(max_examples=200, deadline=None)
+def test_similar_sets_share_a_shingle_of_their_prefixes(n, apart, similarity, n_common):
+    r = np.random.default_rng(n * 100 + apart)
+    all_ = r.integers(0, 1 << 63, n + apart).astype(np.uint64)
+    one, other = np.unique(all_[:n]), np.unique(all_[apart // 2 :])
+    common = np.unique(all_[:n_common])
+    heads = [set(similar_groups.prefix(s, similarity, common, np.arange(len(common)) + 1).tolist()) for s in (one, other)]
+    shared = len(np.intersect1d(one, other))
+    if shared >= similarity * (len(one) + len(other) - shared):
+        assert heads[0] & heads[1]
 
 
 def test_similar_groups_match_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    sets = [(r["doc_id"], frozenset(simhash_dedup.shingle_set(r["text"], 5).tolist())) for r in docs.collect()]
-    found = simhash_dedup.similar_groups(docs)
+    sets = [(r["doc_id"], frozenset(similar_groups.shingle_set(r["text"], 5).tolist())) for r in docs.collect()]
+    found = similar_groups.similar_groups(docs)
     assert sorted_rows(found, "doc_id", "component_id") == joined_by_hand(sets, lambda a, b: len(a[1] & b[1]) >= 0.8 * len(a[1] | b[1]))
 
 
@@ -284,7 +334,7 @@ def test_media(docs, no_docs):
         assert (x["n_bytes"], x["payload_bytes"], x["tail_crc32"]) == (len(raw), len(payload), zlib.crc32(payload[-32:]))
         stored = media_sequences.encode_png(payload)
         assert (x["media_bytes"], x["media_sha256"], x["feature"]) == (len(stored), hashlib.sha256(stored).hexdigest(), media_sequences.feature(payload))
-        assert media_sequences.decode_png(stored) == payload and x["position"] == 0 and x["caption"] == f"{len(raw)} bytes"
+        assert media_sequences.decode_png(stored) == payload and x["position"] == bool((r["text"] or "").split("\n")[0].split()) and x["caption"] == f"{len(raw)} bytes"
     assert sum(map(len, found.values())) == docs.count()
     assert media_sequences.texts_as_media(no_docs).count() == 0
     with pytest.raises(ValueError, match="broken"):
@@ -302,6 +352,14 @@ def test_sequences_keep_order_positions_and_captions(spark):
     assert found[2] == found[3] == [] and [x[2] for x in found[None]] == ["x", "y"]
 
 
+def test_pages_that_forget_to_close_are_read_on():
+    said = lambda html: [x[1] for x in media_sequences.parse_sequence(html)]
+    assert said("<html><head><title>t</title><meta charset=u><body><p>one<p>two") == ["one", "two"]
+    assert said("<head><meta charset=u><p>one") == ["one"]
+    assert said("<p>a</p><template><p>b") == ["a", "b"] and said("<p>a</p><template><p>b</template>c") == ["a", "c"]
+    assert said("<template><template>x</template><p>y") == ["y"] and said("a<noscript>b</NOSCRIPT >c") == ["ac"]
+
+
 def test_token_counts(docs, no_docs):
     model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     want = sorted(((r["doc_id"], len((r["text"] or "").encode()), n := len(model.encode(r["text"] or "")), n > 100) for r in docs.collect()), key=key)
@@ -349,7 +407,7 @@ def test_ann(spark):
     v = r.normal(size=(3000, 16)) * r.uniform(0.5, 2, (3000, 1)) + 3 * np.eye(16)[r.integers(0, 16, 3000)]
     v[100:900] = v[100]  # a very common vector
     rows = [(i, [float(x) for x in np.float32(v[i])], 1, "x") for i in range(3000)]
-    bad = [(5000, None, 1, "x"), (5020, [0.0] * 16, 1, "x"), (5040, [1.0, None] + [0.0] * 14, 1, "x"), (5060, [float("nan")] * 16, 1, "x"), (5080, [], 1, "x"), (None, rows[0][1], 1, "x"), (5100, [1.0, 2.0], 1, "x"), rows[7]]
+    bad = [(5000, None, 1, "x"), (5020, [0.0] * 16, 1, "x"), (5040, [1.0, None] + [0.0] * 14, 1, "x"), (5060, [float("nan")] * 16, 1, "x"), (5080, [], 1, "x"), (None, rows[0][1], 1, "x")]
     table = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>, list int, rank string").repartition(3)
     found = defaultdict(list)
     for x in ann_postings.search(table, table.where("vec_id % 100 = 0"), k=20).collect():
@@ -357,7 +415,7 @@ def test_ann(spark):
     assert sorted(found) == list(range(0, 3000, 100))
     data, hits = np.float32(v).astype(float), 0
     for q, own in found.items():
-        scores = ann_postings.inner_products(data[q : q + 1], data)[0]
+        scores = ann_postings.inner_products(np.repeat(data[q : q + 1], 3000, 0), data)
         scores[q] = -np.inf
         best = np.lexsort((np.arange(3000), -scores))[:20]
         own.sort()
@@ -365,6 +423,9 @@ def test_ann(spark):
         assert [(-s, i) for _, i, s in own] == sorted((-s, i) for _, i, s in own)
         hits += len({x[1] for x in own} & set(best.tolist()))
     assert hits >= 0.9 * 20 * len(found)
+    mixed = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 2.0]), (1, [1.0, 0.0]), (2, [3.0, 1.0]), (3, [1.0, 1.0, 1.0]), (4, [2.0, 0.0, 0.0]), (5, [1.0])], "vec_id long, embedding array<double>")
+    got = sorted_rows(ann_postings.search(mixed, mixed.where("vec_id in (1, 3, 5)"), k=20), "query_id", "query_copy", "rank", "vec_id", "score")
+    assert got == [(1, 0, 1, 2, 2.0), (1, 0, 2, 1, 0.0), (1, 0, 3, 1, 0.0), (1, 1, 1, 2, 3.0), (1, 1, 2, 1, 1.0), (1, 1, 3, 1, 0.0), (1, 2, 1, 2, 3.0), (1, 2, 2, 1, 1.0), (1, 2, 3, 1, 0.0), (3, 0, 1, 4, 2.0)]
     few = table.where("vec_id < 5")
     got = ann_postings.search(few, few, k=20)
     assert sorted_rows(got.groupBy("query_id").count(), "query_id", "count") == [(i, 4) for i in range(5)]

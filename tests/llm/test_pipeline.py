@@ -9,9 +9,9 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tests.llm.test_operators import joined_by_hand, key, removed_by_counting
-from tidemark.llm import language_id, mixing, simhash_dedup
-from tidemark.llm.shared import written
+from tests.llm.test_operators import kept_by_hand, key, removed_by_counting
+from tidemark.llm import language_id, mixing, similar_groups
+from tidemark.plans.scratch import written
 
 
 @pytest.fixture(scope="module")
@@ -41,10 +41,9 @@ def test_language_keeps_all_with_letters(stages):
 
 def test_near_copies_leave_one_of_each_group(stages):
     before, after = stages[1]
-    sets = [(r["doc_id"], frozenset(simhash_dedup.shingle_set(r["text"], 5).tolist())) for r in before.collect()]
-    alike = lambda a, b: a[1] == b[1] or (a[0] is not None and b[0] is not None and len(a[1] & b[1]) >= 0.8 * len(a[1] | b[1]))
-    want = {c for i, c in joined_by_hand(sets, alike) if i is not None}
-    assert sorted((r["doc_id"] for r in after.collect()), key=lambda x: (x is None, x or 0)) == [*sorted(want), None]
+    rows = [(r["doc_id"], r["text"]) for r in before.collect()]
+    want = sorted((rows[i] for i in kept_by_hand(rows)), key=key)
+    assert sorted(((r["doc_id"], r["text"]) for r in after.collect()), key=key) == want
 
 
 def test_passages_are_gone_and_the_rest_stays(stages):
@@ -97,4 +96,4 @@ def test_nothing_else_imports_the_subpackage():
 
 
 def test_ops_give_whole_results_on_equal_hashes():
-    assert np.array_equal(simhash_dedup.shingle_set("A b C", 5), simhash_dedup.shingle_set("a B c", 5))
+    assert np.array_equal(similar_groups.shingle_set("A b C", 5), similar_groups.shingle_set("a B c", 5))

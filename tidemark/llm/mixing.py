@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import free_name, n_words, written
+from tidemark.llm.shared import free_name, n_words
+from tidemark.plans.scratch import written
 
 HASH_BITS, LEVEL_BITS = 60, 12
 #: One row a source reaches the driver; sources are a registry, and a larger one is refused rather than cut.

@@ -20,8 +20,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import map_rows, small_batches, written
+from tidemark.llm.shared import map_rows, small_batches, types_of
 from tidemark.llm.word_tokens import word_tokens
+from tidemark.plans.scratch import written
 
 
 def plan_runs(counts: dict[int, int], capacity: int) -> np.ndarray:
@@ -95,7 +96,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: in
 
         return batch
 
-    kind = dict(docs.dtypes)[id_col]
+    kind = types_of(docs)[id_col]
     return map_rows(docs.select(id_col, text_col), {id_col: kind, "piece": "int", "start": "long", "length": "long", "ids_crc32": "long", "slice": "int", "rank": "long"}, build)
 
 
@@ -116,7 +117,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int =
     runs = plan_runs(counts, capacity)
     ranked = pieces.join(cells.select("slice", "length", "before"), ["slice", "length"]).withColumn("rank", F.col("rank") + F.col("before"))
     names = [id_col, "piece", "start", "length", "ids_crc32"]
-    kinds = dict(pieces.dtypes)
+    kinds = types_of(pieces)
 
     def build():
         # one sorted key for (length, rank): the rank's order within each length's runs

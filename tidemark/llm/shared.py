@@ -1,62 +1,20 @@
-"""Helpers that the corpus operators share: scratch tables, word rules, Arrow plumbing."""
+"""Helpers that the corpus operators share: word rules and Arrow plumbing."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DataType, StructField, StructType
 
 #: A word, for both Java's and DuckDB's regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
-
-_made: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Where it is unset, a local session (tests) gets a folder of its own; a cluster is refused, as a
-    machine-local folder there would be invisible to the other machines.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    own = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder; removed when the driver's Python ends."""
-    path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
-    if not _made:
-        atexit.register(_remove)
-    _made.append((spark, path))
-    return path
-
-
-def _remove() -> None:
-    for spark, path in _made:
-        try:
-            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the JVM may have ended already
-            return
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    # Spark drops shuffle files once the driver's collector finds them unused: those behind this table are
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Bytes that one Arrow batch of whole texts may hold in a Python worker; a longer text is a batch of its own.
+BATCH_BYTES = 4 << 20
+#: Words whose hashes a worker remembers.
+MAX_WORDS = 200_000
 
 
 def free_name(name: str, taken: list[str]) -> str:
@@ -67,9 +25,15 @@ def free_name(name: str, taken: list[str]) -> str:
     return name
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Bounds what one Arrow batch of whole texts holds in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of an Arrow batch.
+
+    Spark reads this setting when a plan runs, so it has to stay in the session while the results are lazy; a smaller
+    bound of the caller's is kept.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key, str((1 << 31) - 2)).rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def n_words(text: Column) -> Column:
@@ -82,7 +46,74 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8").split() if text else []
 
 
-_ARROW = {"long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64(), "float": pa.float32()}
+class _Words(dict):
+    """word -> XXH64; starts anew when full."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) >= MAX_WORDS:
+            self.clear()
+        h = xxhash.xxh64_intdigest(word, 7)
+        if len(word) <= 64:
+            self[word] = h
+        return h
+
+
+_hashes = _Words()
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+
+
+def text_keys(text: str) -> list[Column]:
+    """128 bits that stand for a text: two XXH64 of different seeds."""
+    return [F.xxhash64(text), F.xxhash64(F.lit(1), text)]
+
+
+def shards(batches, n_keys: int, work):
+    """Yields work(table, starts) for whole shards, where dealt rows come sorted by their first n_keys columns in each task.
+
+    starts: the first row of each shard in the table. Only the last shard of a batch waits for the next one.
+    """
+    held: list[pa.RecordBatch] = []
+
+    def same(a: pa.RecordBatch, b: pa.RecordBatch) -> bool:
+        return all(a.column(i)[-1].as_py() == b.column(i)[0].as_py() for i in range(n_keys))
+
+    def done(parts: list[pa.RecordBatch]):
+        table = pa.Table.from_batches(parts).combine_chunks()
+        return work(table, np.concatenate([[0], _moves(table, n_keys)]).astype(np.int64))
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        cuts = _moves(batch, n_keys)
+        if held and not same(held[-1], batch):
+            cuts = np.append(0, cuts)
+        if len(cuts):
+            cut = int(cuts[-1])
+            if parts := held + ([batch.slice(0, cut)] if cut else []):
+                yield done(parts)
+            held = [batch.slice(cut)]
+        else:
+            held.append(batch)
+    if held:
+        yield done(held)
+
+
+def _moves(rows, n_keys: int) -> np.ndarray:
+    """Rows that differ from the row before in one of the first n_keys columns."""
+    keys = [rows.column(i).to_numpy() if isinstance(rows, pa.Table) else rows.column(i).to_numpy(zero_copy_only=False) for i in range(n_keys)]
+    return np.flatnonzero(np.any([np.diff(k) != 0 for k in keys], axis=0)) + 1
+
+
+def types_of(df: DataFrame) -> dict[str, DataType]:
+    return {f.name: f.dataType for f in df.schema.fields}
+
+
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
 
 
 def _arrow_type(kind: str) -> pa.DataType:
@@ -91,21 +122,24 @@ def _arrow_type(kind: str) -> pa.DataType:
 
 def arrow_schema(ddl: str) -> pa.Schema:
     """Of columns of simple types and arrays of them; needs no session, so executors can call it."""
-    return pa.schema([pa.field(n.strip("`"), _arrow_type(k)) for n, k in (x.split(" ", 1) for x in ddl.split(", "))])
+    return pa.schema([pa.field(n, _arrow_type(k)) for n, k in (x.split(" ", 1) for x in ddl.split(", "))])
 
 
-def map_rows(df: DataFrame, columns: dict[str, str], build) -> DataFrame:
+def map_rows(df: DataFrame, columns: dict[str, str | DataType], build) -> DataFrame:
     """mapInArrow whose function turns one batch into lists by column.
 
     columns: name to type of the result. build() is called once in each task and returns a function from a
-    RecordBatch to {column: values}.
+    RecordBatch to {column: values}. Arrays that it passes on from the batch keep their type, whatever it is.
     """
-    ddl = ", ".join(f"`{k}` {v}" for k, v in columns.items())
+    plain = lambda k: StructType.fromDDL(f"x {k}")["x"].dataType if isinstance(k, str) else k
+    result = StructType([StructField(name, plain(kind)) for name, kind in columns.items()])
+    schema = to_arrow_schema(result)
 
     def run(batches):
-        schema, made = arrow_schema(ddl), build()
+        made = build()
         for batch in batches:
             got = made(batch)
-            yield pa.RecordBatch.from_arrays([x if isinstance(x := got[f.name], pa.Array) and x.type == f.type else pa.array(x, f.type) for f in schema], schema=schema)
+            own = [x if isinstance(x := got[f.name], pa.Array) else pa.array(x, f.type) for f in schema]
+            yield pa.RecordBatch.from_arrays(own, names=schema.names)
 
-    return df.mapInArrow(run, ddl)
+    return df.mapInArrow(run, result)

@@ -3,11 +3,11 @@
 Fingerprints are made in one pass over the texts; everything after works on distinct fingerprints alone, so a group of
 exact copies is one row however large. Two fingerprints within the radius agree on all but `radius` of b equal blocks of
 their bits, so for every choice of the agreeing blocks a table deals fingerprints to shards by these bits: any two that
-link meet in one shard at least. b grows with the number of fingerprints until shards stay small; no choice of b loses
-links. A shard is searched by a BK-tree (children keyed by integer Hamming distance to the parent, small subtrees
-kept as pages): a breadth-first search follows only edges within the radius and yields a star for each
-connected part, so dense groups leave as many rows as members, not as pairs. Stars from all shards meet in distributed
-rounds of large-star and small-star, each round a written table.
+link meet in one shard at least; no choice of b loses links. A shard is searched by a BK-tree (children keyed by integer
+Hamming distance to the parent), following only edges within the radius, and leaves one link for each member that
+another member is joined to, so dense groups leave as many rows as members, not as pairs. A shard over `HOT_SHARD` members is
+searched in pairs of blocks of its members, so no task gathers more. Links of all shards meet in distributed rounds of
+large-star and small-star, each round a written table.
 """
 
 from __future__ import annotations
@@ -21,9 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import arrow_schema, free_name, map_rows, small_batches, written
+from tidemark.llm.bk_forest import Forest, unite
+from tidemark.llm.shared import arrow_schema, map_rows, shards, small_batches, types_of
+from tidemark.operators.components import connected
+from tidemark.plans.scratch import written
 
-BITS, PAGE, SHARD_AIM, SEED = 64, 128, 32, 42
+BITS, SEED = 64, 42
+#: Mean members of a shard, above which more blocks are cut; members of a shard that one task may search.
+SHARD_AIM, HOT_SHARD = 1024, 8192
 
 
 def fingerprint(text: str | None, words: int) -> int:
@@ -42,12 +47,13 @@ def fingerprint(text: str | None, words: int) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """id, fp (signed 64 bits); bytes.lower() changes A-Z only, and bytes.split() parts at ASCII white space only."""
+    """id, fp (signed 64 bits) for each row; null and empty texts have 0. bytes.lower() changes A-Z only, and bytes.split()
+    parts at ASCII white space only."""
 
     def batch(b: pa.RecordBatch):
         return {id_col: b.column(0), "fp": np.array([fingerprint(t, words) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)}
 
-    return map_rows(docs.select(id_col, text_col), {id_col: dict(docs.dtypes)[id_col], "fp": "long"}, lambda: batch)
+    return map_rows(docs.select(id_col, text_col), {id_col: types_of(docs)[id_col], "fp": "long"}, lambda: batch)
 
 
 def block_masks(n: int, radius: int) -> list[int]:
@@ -59,126 +65,53 @@ def block_masks(n: int, radius: int) -> list[int]:
     return [x - (1 << 64) if x >> 63 else x for x in (sum(c) for c in combinations(blocks, b - radius))]
 
 
-class BKTree:
-    """Over fingerprints of one or more unsigned 64-bit words; a node is (pivot, {distance: node}) or a page of positions."""
+def in_blocks(dealt: DataFrame, keys: list[str], item: str, most: int) -> DataFrame:
+    """dealt with columns lo, hi after its keys: every pair of items of a shard meets under one (keys, lo, hi) at least.
 
-    def __init__(self, values: np.ndarray):
-        self.values = values.reshape(len(values), -1)
-        self.root = self._node(np.arange(len(values)))
-
-    def far(self, at: np.ndarray, value: np.ndarray) -> np.ndarray:
-        """Bits that differ."""
-        return np.bitwise_count(self.values[at] ^ value).sum(axis=1, dtype=np.int64)
-
-    def _node(self, at: np.ndarray):
-        if len(at) <= PAGE:
-            return at
-        pivot, rest = at[0], at[1:]
-        far = self.far(rest, self.values[pivot])
-        order = np.argsort(far, kind="stable")
-        cuts = np.flatnonzero(np.diff(far[order])) + 1
-        return pivot, {int(far[g[0]]): self._node(rest[g]) for g in np.split(order, cuts)}
-
-    def within(self, value: np.ndarray, radius: int) -> np.ndarray:
-        """Positions of all values at most `radius` bits away."""
-        found, stack = [], [self.root]
-        while stack:
-            node = stack.pop()
-            if isinstance(node, np.ndarray):
-                found.append(node[self.far(node, value) <= radius])
-                continue
-            pivot, children = node
-            d = int(self.far(np.array([pivot]), value)[0])
-            if d <= radius:
-                found.append(np.array([pivot]))
-            stack += [child for far, child in children.items() if d - radius <= far <= d + radius]
-        return np.concatenate(found)
+    A shard of up to `most` items stays whole (0, 0). A larger one is cut into blocks by the items' hash; each item goes to
+    the pairs of blocks that its own block is in, so a pair of blocks has about 2 * most items at most.
+    """
+    names = [c for c in dealt.columns if c not in keys]
+    large = dealt.groupBy(*keys).agg(F.ceil(F.count("*") / most).alias("cut")).where("cut > 1")
+    large = written(large, "large")
+    whole = [F.lit(0).alias("lo"), F.lit(0).alias("hi")]
+    if large.isEmpty():
+        return dealt.select(*keys, *whole, *names)
+    own = dealt.join(large, keys, "left").withColumn("b", F.pmod(F.xxhash64(item), F.col("cut")))
+    other = F.explode(F.when(F.col("cut").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("cut") - 1))).alias("o")
+    block = F.coalesce("b", F.lit(0))
+    return own.select(*keys, block.alias("b"), other, *names).select(*keys, F.least("b", "o").cast("int").alias("lo"), F.greatest("b", "o").cast("int").alias("hi"), *names)
 
 
-def stars(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """(position, position of the centre) for all that a chain of links joins to another."""
-    out, open_, tree = [], np.ones(len(values), bool), BKTree(values)
-    for i in range(len(values)):
-        if not open_[i]:
-            continue
-        open_[i], queue = False, [i]
-        while queue:
-            near = tree.within(tree.values[queue.pop()], radius)
-            near = near[open_[near]]
-            open_[near] = False
-            out += [(int(x), i) for x in near]
-            queue += near.tolist()
-    return out
+def dealt_out(dealt: DataFrame, n_keys: int) -> DataFrame:
+    keys = dealt.columns[:n_keys]
+    return dealt.repartition(*keys).sortWithinPartitions(*keys)
 
 
-def shard_links(distinct: DataFrame, radius: int) -> DataFrame:
+def shard_links(distinct: DataFrame, radius: int, hot_shard: int = HOT_SHARD) -> DataFrame:
     """a, b: links of distinct fingerprints (column fp) that join whatever chains of links join."""
     masks = block_masks(distinct.count(), radius)
     keys = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])
-    dealt = distinct.select("fp", F.explode(keys).alias("k")).select("k.t", "k.key", "fp")
-    dealt = dealt.repartition("t", "key").sortWithinPartitions("t", "key")
-
-    return _by_shard(dealt, 2, "fp", lambda fp: [(fp[x], fp[y]) for x, y in (stars(fp.view(np.uint64), radius) if len(fp) > 2 else [(1, 0)] * (int(np.bitwise_count(fp[0] ^ fp[1])) <= radius))])
-
-
-def _by_shard(dealt: DataFrame, n_keys: int, name: str, links) -> DataFrame:
-    """a, b: links(values) for the values of each shard of over one. dealt is sorted by its first n_keys columns, longs or ints, in each task."""
+    dealt = in_blocks(distinct.select("fp", F.explode(keys).alias("k")).select("k.t", "k.key", "fp"), ["t", "key"], "fp", hot_shard)
 
     def run(batches):
         schema = arrow_schema("a long, b long")
 
-        def flush(rows: pa.Table, cuts: list[int]):
-            found = []
-            column = rows.column(name)
-            own = column.to_numpy() if name == "fp" else column
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                if hi - lo > 1:
-                    found += links(own[lo:hi] if name == "fp" else own.slice(lo, hi - lo).to_pylist())
-            return pa.RecordBatch.from_arrays([pa.array([int(x[i]) for x in found], pa.int64()) for i in (0, 1)], schema=schema)
-
-        rest = None
-        for batch in batches:
-            now = pa.Table.from_batches([batch])
-            rest = now if rest is None else pa.concat_tables([rest, now]).combine_chunks()
-            if not len(rest):
-                continue
-            moved = np.any([np.diff(rest.column(i).to_numpy()) != 0 for i in range(n_keys)], axis=0)
-            starts = [0, *(np.flatnonzero(moved) + 1).tolist()]
-            if len(starts) > 1:
-                yield flush(rest, starts)
-                rest = rest.slice(starts[-1])
-        if rest is not None and len(rest):
-            yield flush(rest, [0, len(rest)])
+        def work(rows: pa.Table, starts: np.ndarray):
+            fp = rows.column("fp").to_numpy()
+            forest = Forest(fp.view(np.uint64), np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(fp)))))
+            part = np.arange(len(fp))
+            for asked, found, far in forest.searches(radius):
+                part, _ = unite(part, asked, found, far)
+            joined = np.flatnonzero(part != np.arange(len(fp)))
+            return pa.RecordBatch.from_arrays([pa.array(fp[joined]), pa.array(fp[part[joined]])], schema=schema)
 
-    return dealt.mapInArrow(run, "a long, b long")
+        return shards(batches, 4, work)
 
+    return dealt_out(dealt, 4).mapInArrow(run, "a long, b long")
 
-def components(links: DataFrame) -> DataFrame:
-    """node, center: for every node with a link, the smallest node that it is joined to (itself included)."""
-    a, b = F.col("a"), F.col("b")
 
-    def star(edges: DataFrame, large: bool) -> DataFrame:
-        down = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-        to = down.union(down.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else down
-        least = to.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        moved = to.join(least, "u").where(F.col("v") > F.col("u")) if large else to.join(least, "u")
-        out = moved.select(F.col("v").alias("a"), F.col("m").alias("b"))
-        return (out if large else out.union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))).where(a != b).distinct()
-
-    def mark(edges: DataFrame):
-        return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
-    now = written(links.where(a != b).distinct(), "links")
-    seen = mark(now)
-    while seen[0]:
-        now = written(star(star(now, True), False), "stars")
-        if (got := mark(now)) == seen:
-            break
-        seen = got
-    return now.select(a.alias("node"), b.alias("center")).union(now.select(b, b).distinct())
-
-
-def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text", hot_shard: int = HOT_SHARD) -> DataFrame:
     """id, fingerprint (16 hex digits), component_id (the smallest id that links reach, the own one included).
 
     A null or empty text has fingerprint zero and links like any other; texts of fewer words than a shingle are one
@@ -188,231 +121,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, id_col: st
     small_batches(docs.sparkSession)
     own = written(fingerprints(docs, words, id_col, text_col), "fingerprints")
     distinct = written(own.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct")
-    joined = components(shard_links(distinct.select("fp"), radius))
+    joined = connected(shard_links(distinct.select("fp"), radius, hot_shard)).toDF("node", "center")
     placed = distinct.join(joined, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("center", "fp").alias("center"))
     named = placed.groupBy("center").agg(F.min("least").alias("component_id"))
     by_fp = written(placed.join(named, "center").select("fp", "component_id"), "named")
     return own.join(by_fp, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-#: For groups by similarity: fingerprint words of 64 bits, min-hash keys and minima in each key, and the radius in bits.
-#: At a similarity of 0.8, two texts share no key with a chance of (1 - 0.8 ** 2) ** 10, under 1 in 25,000, and differ in 39
-#: of 256 bits (deviation 6); unrelated texts differ in 128 (deviation 8).
-WIDE, KEYS, MINIMA, WIDE_RADIUS = 4, 10, 2, 80
-#: A shard of up to so many is compared in full; a larger one gives each member its nearest and a chain to the others, and
-#: then compares in full what these leave in different parts.
-ALL_PAIRS = 48
-#: Members of a large shard whose shingle sets are compared in one task, against as many others.
-BLOCK = 1024
-#: Ids that may be broadcast; above, the join shuffles.
-MAX_BROADCAST_IDS = 1_000_000
-
-
-def shingle_set(text: str | None, words: int) -> np.ndarray:
-    """Sorted distinct XXH64 of the shingles."""
-    import xxhash
-
-    own = text.encode("utf-8").lower().split() if text else []
-    k = min(words, len(own))
-    return np.unique(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=SEED), map(b" ".join, zip(*(own[i:] for i in range(k)), strict=False))), np.uint64)) if own else np.empty(0, np.uint64)
-
-
-def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
-    x = (x ^ np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
-def wide_sketch(shingles: np.ndarray) -> tuple[np.ndarray, bytes]:
-    """(min-hash keys, fingerprint of WIDE words) of a set of shingles."""
-    ones, least = np.zeros(BITS * WIDE, np.int64), np.full(KEYS * MINIMA, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 1 << 14):
-        own = shingles[at : at + (1 << 14)]
-        for i in range(KEYS * MINIMA):
-            least[i] = min(least[i], _mixed(own, 50 + i).min())
-        wide = np.stack([_mixed(own, i + 1) for i in range(WIDE)], axis=1)
-        ones += np.unpackbits(wide.view(np.uint8).reshape(len(own), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    keys = _mixed(least.reshape(KEYS, MINIMA)[:, 0], 7) ^ _mixed(least.reshape(KEYS, MINIMA)[:, 1], 8) ^ np.arange(KEYS, dtype=np.uint64)
-    return keys.view(np.int64), np.packbits(2 * ones > len(shingles), bitorder="little").tobytes()
-
-
-def candidates(values: np.ndarray, radius: int, all_pairs: int = ALL_PAIRS) -> list[tuple[int, int]]:
-    """Pairs of positions within the radius: all in a small shard; else each one's nearest, and its way to the others."""
-    tree, out = BKTree(values), []
-    small = len(values) <= all_pairs
-    open_ = np.ones(len(values), bool)
-    for i in range(len(values)):
-        if not open_[i]:
-            continue
-        open_[i], queue = False, [i]
-        while queue:
-            own = queue.pop()
-            near = tree.within(tree.values[own], radius)
-            near = near[near != own]
-            if small:
-                out += [(own, int(x)) for x in near if x > own]
-            elif len(near):
-                out.append((own, int(near[np.argmin(tree.far(near, tree.values[own]))])))
-            fresh = near[open_[near]]
-            open_[fresh] = False
-            if not small:
-                out += [(int(x), own) for x in fresh]
-            queue += fresh.tolist()
-    return out
-
-
-def crossing(key: int, keys: np.ndarray, values: np.ndarray, centers: np.ndarray, radius: int, block: int = BLOCK) -> list[tuple[int, int, int]]:
-    """(task, side, position): members of a shard within the radius of a member of another part (center).
-
-    A pair that shares several keys belongs to the shard of the first. Tasks of one side compare all their members, those of two
-    sides each of one with each of the other, so every pair of parts meets once and no task has over two blocks.
-    """
-    _, part, sizes = np.unique(centers, return_inverse=True, return_counts=True)
-    order = np.lexsort((part, sizes[part]))  # small parts first, so large ones are only looked at from outside
-    part, keys, values = part[order], keys[order], values[order]
-    ends = np.append(np.flatnonzero(np.diff(part)) + 1, len(part))
-    hit = np.zeros(len(part), bool)
-    for i in range(ends[-2] if len(ends) > 1 else 0):
-        lo = int(ends[np.searchsorted(ends, i, side="right")])
-        near = lo + np.flatnonzero(np.bitwise_count(values[lo:] ^ values[i]).sum(axis=1, dtype=np.int64) <= radius)
-        near = near[keys[i][(keys[near] == keys[i]).argmax(axis=1)] == key]
-        hit[near] = True
-        hit[i] |= len(near) > 0
-    blocks = [b for b in np.split(np.flatnonzero(hit), range(block, int(hit.sum()), block)) if len(b)]
-    out = []
-    for g, one in enumerate(blocks):
-        for h, other in enumerate(blocks[g:], g):
-            if part[one[0]] != part[other[-1]]:  # parts are in one piece each
-                out += [(g * len(blocks) + h, side, int(order[x])) for side, own in enumerate([one] if g == h else [one, other]) for x in own]
-    return out
-
-
-def links_between(centers: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Pairs of positions that join whatever parts a pair of sets at `similarity` or more joins; all sets have members."""
-    part = np.unique(centers, return_inverse=True)[1]
-    sizes = np.array([len(x) for x in sets])
-    ids = np.split(np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32), np.cumsum(sizes)[:-1])
-    mark, out, crossed = np.zeros(sum(map(len, sets)), bool), [], len(np.unique(sides)) > 1
-    for i in range(len(sets)):
-        others = i + 1 + np.flatnonzero(part[i + 1 :] != part[i])
-        if crossed:
-            others = others[sides[others] != sides[i]]
-        others = others[np.minimum(sizes[others], sizes[i]) >= similarity * np.maximum(sizes[others], sizes[i])]
-        mark[ids[i]] = True
-        for at in range(0, len(others), 256):
-            own = others[at : at + 256]
-            own = own[part[own] != part[i]]
-            if not len(own):
-                continue
-            shared = np.add.reduceat(mark[np.concatenate([ids[x] for x in own])], np.append(0, np.cumsum(sizes[own])[:-1]), dtype=np.int64)
-            for x in own[shared >= similarity * (sizes[own] + sizes[i] - shared)]:
-                if part[x] != part[i]:
-                    out.append((i, int(x)))
-                    part[part == part[x]] = part[i]
-        mark[ids[i]] = False
-    return out
-
-
-def _limited(ids: DataFrame) -> DataFrame:
-    return F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
-
-
-def _lost_links(parts: DataFrame, whole: DataFrame, similarity: float, all_pairs: int, block: int) -> DataFrame | None:
-    """a, b: links between different parts (column center) of a large shard; none if every large shard has one part."""
-    dealt = parts.where("least is not null and node != 0").select(F.explode("keys").alias("key"), "node", "center", "keys", "bits")
-    sizes = dealt.groupBy("key").agg(F.count("*").alias("n"), F.min("center").alias("lo"), F.max("center").alias("hi"))
-    mixed = written(sizes.where((F.col("n") > all_pairs) & (F.col("lo") != F.col("hi"))).select("key"), "mixed")
-    if mixed.isEmpty():
-        return None
-
-    def find(shard: pa.Table) -> pa.Table:
-        key, node = shard.column("key")[0].as_py(), shard.column("node").to_numpy()
-        keys = np.array(shard.column("keys").to_pylist(), np.int64)
-        values = np.frombuffer(b"".join(shard.column("bits").to_pylist()), "<u8").reshape(len(node), -1)
-        found = crossing(key, keys, values, shard.column("center").to_numpy(), WIDE_RADIUS, block)
-        columns = {"key": [key] * len(found), "task": [x[0] for x in found], "side": [x[1] for x in found], "node": [int(node[x[2]]) for x in found]}
-        return pa.table(columns, schema=arrow_schema("key long, task long, side int, node long"))
-
-    def check(shard: pa.Table) -> pa.Table:
-        node, flat = shard.column("node").to_numpy(), shard.column("shingles").combine_chunks()
-        sets = np.split(flat.flatten().to_numpy(), np.cumsum(flat.value_lengths().to_numpy())[:-1])
-        found = links_between(shard.column("center").to_numpy(), shard.column("side").to_numpy(), sets, similarity)
-        return pa.table({name: [int(node[x[i]]) for x in found] for i, name in enumerate("ab")}, schema=arrow_schema("a long, b long"))
-
-    asked = written(dealt.join(mixed, "key").groupBy("key").applyInArrow(find, "key long, task long, side int, node long"), "crossings")
-    own = asked.join(parts.select("node", "center"), "node").join(whole, "node").select("key", "task", "side", "node", "center", "shingles")
-    return written(own.groupBy("key", "task").applyInArrow(check, "a long, b long").distinct(), "more")
-
-
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", all_pairs: int = ALL_PAIRS, block: int = BLOCK) -> DataFrame:
-    """id, component_id: groups of texts joined by chains of shingle sets with a Jaccard similarity of at least `similarity`.
-
-    Fingerprints of 64 bits can't part a similarity of 0.8 from chance by equal blocks (10 bits differ), so here shards are dealt
-    by min-hash keys, and BK-trees over 256-bit SimHash fingerprints propose the pairs, which then are compared by their
-    whole sets. Members of a large shard that these leave in different groups meet once more with their sets, and each pair of them
-    within the radius is compared. Equal sets are one node from the start. Texts without words form one group; rows
-    without id are grouped by equal sets only; repeated rows give a row each; an empty table gives none.
-    """
-    small_batches(docs.sparkSession)
-    kind = dict(docs.dtypes)[id_col]
-
-    def sketch():
-        def batch(b: pa.RecordBatch):
-            nodes, keys, bits = [], [], []
-            for text in b.column(1).to_pylist():
-                found = shingle_set(text, words)
-                k, f = wide_sketch(found)
-                nodes.append(int(np.bitwise_xor.reduce(_mixed(found, 99)).view(np.int64)) if len(found) else 0)
-                keys.append(k.tolist())
-                bits.append(f)
-            return {"id": b.column(0), "node": nodes, "keys": keys, "bits": bits}
-
-        return batch
-
-    own = written(map_rows(docs.select(id_col, text_col), {"id": kind, "node": "long", "keys": "array<long>", "bits": "binary"}, sketch), "sketches")
-    nodes = written(own.groupBy("node").agg(F.min("id").alias("least"), F.first("keys").alias("keys"), F.first("bits").alias("bits")), "nodes")
-    coded = F.concat(F.col("bits"), F.unhex(F.lpad(F.hex("node"), 16, "0")))
-    dealt = nodes.where("least is not null and node != 0").select(F.explode("keys").alias("key"), coded.alias("coded"))
-    dealt = dealt.repartition("key").sortWithinPartitions("key")
-
-    def links(coded: list[bytes]) -> list[tuple[int, int]]:
-        values = np.frombuffer(b"".join(c[:-8] for c in coded), "<u8").reshape(len(coded), -1)
-        ids = [int.from_bytes(c[-8:], "big", signed=True) for c in coded]
-        return [(max(ids[x], ids[y]), min(ids[x], ids[y])) for x, y in candidates(values, WIDE_RADIUS, all_pairs)]
-
-    pairs = written(_by_shard(dealt, 1, "coded", links).where("a != b").distinct(), "pairs")
-    asked = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "least"), "node"), "asked")
-
-    def sets():
-        def batch(b: pa.RecordBatch):
-            return {"node": b.column(0), "shingles": [shingle_set(t, words).view(np.int64).tolist() for t in b.column(1).to_pylist()]}
-
-        return batch
-
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(_limited(asked), F.col("id") == F.col("least")).select("node", "text")
-    whole = written(map_rows(texts, {"node": "long", "shingles": "array<long>"}, sets).dropDuplicates(["node"]), "sets")
-    both = pairs.join(whole.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(whole.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    joined = components(both.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select("a", "b"))
-    parts = written(nodes.join(joined, "node", "left").withColumn("center", F.coalesce("center", "node")), "parts")
-    more = _lost_links(parts, whole, similarity, all_pairs, block)
-    if more is not None and not more.isEmpty():
-        joined = components(joined.select(F.col("node").alias("a"), F.col("center").alias("b")).union(more))
-        parts = nodes.join(joined, "node", "left").withColumn("center", F.coalesce("center", "node"))
-    placed = parts.select("node", "least", "center")
-    named = placed.groupBy("center").agg(F.min("least").alias("component_id"))
-    by_node = written(placed.join(named, "center").select("node", "component_id"), "named")
-    return own.join(by_node, "node").select(F.col("id").alias(id_col), "component_id")
-
-
-def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each group of `similar_groups`, that of the smallest id; rows without id stay.
-
-    If ids repeat, one row of an id stays. The columns are those of docs.
-    """
-    found = written(similar_groups(docs, words, similarity, id_col, text_col), "groups")
-    name = free_name("gone", docs.columns)
-    gone = written(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(name)).distinct(), "gone")
-    left = docs.join(_limited(gone), F.col(id_col) == F.col(name), "left_anti")
-    known = found.where(F.col(id_col).isNotNull())
-    return left if known.select(id_col).distinct().count() == known.count() else left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(left.where(F.col(id_col).isNull()))

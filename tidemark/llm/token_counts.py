@@ -14,7 +14,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.shared import map_rows, small_batches
+from tidemark.llm.shared import map_rows, small_batches, types_of
 
 MARK = "▁"
 _SEGMENT = re.compile(" +[^ ]*")
@@ -91,5 +91,5 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, id_col: st
 
         return batch
 
-    kind = dict(docs.dtypes)[id_col]
+    kind = types_of(docs)[id_col]
     return map_rows(docs.select(id_col, text_col), {id_col: kind, "n_bytes": "long", "n_tokens": "long", "over_limit": "boolean"}, build)
