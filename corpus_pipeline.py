@@ -13,39 +13,59 @@ from pyspark.sql import functions as F
 from tidemark.llm.language_id import UNKNOWN, fit, predict
 from tidemark.llm.mixing import mix
 from tidemark.llm.packing import pack
-from tidemark.llm.shared import written
-from tidemark.llm.simhash_dedup import keep_one
+from tidemark.llm.similar_groups import keep_one
 from tidemark.llm.substring_dedup import remove_repeats
+from tidemark.plans.scratch import written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents of a recognized language: those that have letters and no tie between languages."""
+    """Keeps documents of a recognized language: with letters, and a best language that has over half of the likelihood.
+
+    Rejects null and empty texts, texts without letters, and ties at half or less. Repeated rows and null ids stay as they are; an
+    empty table (or one without labels) gives an empty one.
+    """
     found = predict(docs, fit(docs), carry=True)
     said, score = found.columns[-2:]
     return found.where((F.col(said) != UNKNOWN) & (F.col(score) > 0.5)).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of exact and near copies (five-word shingles, similarity of 0.8 or more)."""
+    """Keeps one document of each group of exact and near copies (five-word shingles, similarity of 0.8 or more).
+
+    The smallest id stays; rows without id give way to one; repeated rows are copies; texts without words are one group; an
+    empty table gives an empty one.
+    """
     return keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes words under any window of 35 words that starts anywhere else; a document left without words goes."""
+    """Removes words under any window of 35 words that starts anywhere else; a document left without words goes.
+
+    Null and blank texts go too; all places of a window go, first and repeated ones alike; null ids are rows like any other; an
+    empty table gives an empty one. A text that loses nothing stays as it is, and n_chars follows the text.
+    """
     left = remove_repeats(docs, window=35, rewrite=True)
     left = left.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return left.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else left
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes each document as often as the mix of its source does: a row for each time."""
+    """Takes each document as often as the mix of its source does: a row for each time.
+
+    A null source is a source of its own; texts without words are taken never; rows of one id go together, whatever their
+    texts; an empty table gives an empty one.
+    """
     taken = mix(docs, carry=True)
     copies = taken.columns[-1]
     return taken.where(F.col(copies) > 0).withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the mix into sequences of at most 4,096 tokens; a row for each piece."""
+    """Packs the mix into sequences of at most 4,096 tokens; a row for each piece.
+
+    A null text is an empty one (its end id alone); repeated rows and null ids are packed like any other; longer texts are cut into
+    pieces, none is dropped; an empty table gives no rows.
+    """
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
 
 
