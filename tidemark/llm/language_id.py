@@ -4,37 +4,33 @@ A known word adds its log frequency in each language. A word never seen in train
 character n-grams: the mean log frequency of those of length 5, else 4, and so on down to 1. The language with the largest
 sum wins; its score is its share of the likelihood at equal priors.
 
-The model is fitted on a bounded sample: at most `sample_docs` labelled documents of each language (those of the smallest id hash),
-at most `max_words` words and `max_grams` n-grams of each length and language, all documented parameters. So the
-model's size has a bound whatever the corpus; prediction runs over all documents.
+The model is fitted on a bounded sample: at most `sample_docs` labelled documents of each language (those of the smallest
+id hash), a documented parameter. It learns every word and n-gram of the sample, so its size is bounded by the sample
+whatever the corpus; prediction runs over all documents.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from tidemark.llm.shared import free_name, map_rows, small_batches
+from tidemark.llm.shared import free_name, map_rows, small_batches, types_of
+from tidemark.plans.scratch import written
 
-_WORD = re.compile(r"[^\W\d_]+")
-#: The same words for the JVM: letters and marks of any script.
-JVM_WORD = r"[\p{L}]+"
-GRAM_SIZES, SMOOTH, MAX_CACHED, MAX_SCORES, MAX_CHARS = (5, 4, 3, 2, 1), 0.5, 500_000, 8_000_000, 48
+#: A word is a run of letters; a longer one (a clause, in scripts without spaces) is cut into words of 48 letters.
+_WORD = re.compile(r"[^\W\d_]{1,48}")
+#: The same for the JVM, where texts are learnt from.
+JVM_WORD = r"\p{L}{1,48}"
+GRAM_SIZES, SMOOTH, MAX_CACHED, MAX_SCORES = (5, 4, 3, 2, 1), 0.5, 200_000, 8_000_000
 UNKNOWN = "und"
 
 
-def grams(word: str, n: int) -> list[str]:
-    """Character n-grams of the word between its boundary marks."""
-    w = f"<{word}>"
-    return [w[i : i + n] for i in range(len(w) - n + 1)]
-
-
 class Model:
     """languages, and one matrix of log frequencies by language; words and, by length, n-grams name its rows."""
 
@@ -69,10 +65,11 @@ class Model:
         return np.add.reduceat(self.logs[flat], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
 
 
-def fit(docs: DataFrame, sample_docs: int = 1000, max_words: int = 20_000, max_grams: int = 20_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Counts words of the sample by language and derives n-gram counts from them.
+def fit(docs: DataFrame, sample_docs: int = 1000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Counts the words of the sample and their n-grams by language.
 
-    Rows whose id, text or lang is null teach nothing. No labelled rows: a model without languages.
+    Rows whose id, text or lang is null teach nothing; rows that share an id are sampled together. No labelled rows: a
+    model without languages.
     """
     known = docs.select(F.col(id_col).alias("i"), F.col(lang_col).alias("l")).where("i is not null and l is not null")
     least = known.withColumn("h", F.xxhash64(F.col("i").cast("string"))).withColumn("slot", F.pmod("h", F.lit(64)))
@@ -82,26 +79,23 @@ def fit(docs: DataFrame, sample_docs: int = 1000, max_words: int = 20_000, max_g
     chosen = [r["i"] for r in ids.select("i").distinct().collect()]  # at most sample_docs a language
     if not chosen:
         return Model([], {}, {})
-    sample = docs.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in chosen], f"_i {dict(docs.dtypes)[id_col]}")), F.col(id_col) == F.col("_i"), "left_semi")
-    words = sample.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("l"), F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(JVM_WORD), F.lit(0))).alias("w")).where(F.length("w") <= MAX_CHARS)
-    counted = words.groupBy("l", "w").agg(F.count("*").alias("n"))
-    kept = counted.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy(F.desc("n"), "w"))).where(F.col("r") <= 2 * max_words)
-    rows = sorted((r["l"], -r["n"], r["w"]) for r in kept.select("l", "n", "w").collect())
-    languages = sorted({r[0] for r in rows})
+    kind = StructType([StructField("_i", types_of(docs)[id_col])])
+    sample = docs.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in chosen], kind)), F.col(id_col) == F.col("_i"), "left_semi")
+    words = sample.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("l"), F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(JVM_WORD), F.lit(0))).alias("w"))
+    counted = written(words.groupBy("l", "w").agg(F.count("*").alias("n")), "words")
+    marked = F.concat(F.lit("<"), F.col("w"), F.lit(">"))
+    size = F.explode(F.array(*[F.lit(n) for n in GRAM_SIZES])).alias("size")
+    starts = F.when(F.length("m") >= F.col("size"), F.sequence(F.lit(1), F.length("m") - F.col("size") + 1))
+    pieces = counted.select("l", "n", marked.alias("m"), size).select("l", "n", "size", F.explode(F.transform(starts, lambda i: F.substring(F.col("m"), i, F.col("size")))).alias("w"))
+    by_gram = pieces.groupBy("l", "size", "w").agg(F.sum("n").alias("n"))
+    # all of the sample, which is bounded
+    found = counted.select("l", F.lit(0).alias("size"), "w", "n").unionByName(by_gram).orderBy("size", "w", "l").toArrow().to_pydict()
+    languages = sorted(set(found["l"]))
     at = {x: i for i, x in enumerate(languages)}
-    by_word: dict[str, list[int]] = {}
-    by_size: dict[int, dict[str, list[int]]] = {n: {} for n in GRAM_SIZES}
-    for lang, own in groupby(rows, key=lambda r: r[0]):
-        for rank, (_, n, word) in enumerate(own):
-            if rank < max_words and -n > 1:
-                by_word.setdefault(word, [0] * len(languages))[at[lang]] = -n
-            for size in GRAM_SIZES:
-                for g in grams(word, size):
-                    by_size[size].setdefault(g, [0] * len(languages))[at[lang]] += -n
-    for size, found in by_size.items():
-        top = sorted(found.items(), key=lambda x: (-sum(x[1]), x[0]))[: max_grams * len(languages)]
-        by_size[size] = dict(top)
-    return Model(languages, by_word, by_size)
+    by_size: dict[int, dict[str, list[int]]] = {n: {} for n in (0, *GRAM_SIZES)}
+    for lang, n, word, times in zip(found["l"], found["size"], found["w"], found["n"], strict=True):
+        by_size[n].setdefault(word, [0] * len(languages))[at[lang]] = times
+    return Model(languages, by_size.pop(0), by_size)
 
 
 class _Cache(dict):
@@ -137,7 +131,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     rows like any other; an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
-    broadcast = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_words and max_grams
+    broadcast = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample that it was fitted on
 
     def judge(cache: _Cache, text: str | None) -> tuple[str, float]:
         words = _WORD.findall(text.lower()) if text else []
@@ -163,5 +157,5 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
         return batch
 
-    kinds = dict(own.dtypes)
+    kinds = types_of(own)
     return map_rows(own, {c: kinds[c] for c in kept} | {said: "string", sure: "double"}, build)
