@@ -4,12 +4,13 @@ Three steps, none of which compares all with all:
 
 1. Anchors. Of the 18-word hashes inside each 35-word window, the smallest is the window's anchor. Equal windows have equal
    anchors, so only windows whose anchor occurs twice can repeat. An anchor owns consecutive windows; about a
-   tenth of all positions are anchors. Equal texts count once here: if a text occurs twice, all of it repeats.
+   tenth of all positions are anchors. Equal texts (by 128-bit hash) count once here: if a text occurs twice, all of it repeats.
 2. Matching. For each anchor that occurs again, the fragment of words that its windows cover goes to the reference shard
    of that anchor. A shard builds the suffix automaton of its distinct fragments, with the number of places of each
    state, and streams each fragment through it: the matching statistics tell at each word whether the window that ends there
-   has another place. This compares words, not hashes. Anchors in over `hot` texts are not gathered:
-   their fragments, and the windows of fragments that occur once, are counted by 128-bit hash with pre-aggregation.
+   has another place. This compares words, not hashes. Anchors with over HOT places are not gathered in a shard:
+   their fragments, and the windows of fragments that occur once, are counted by 128-bit hash with pre-aggregation. Either
+   way every window that has another place is found; two different windows pass for one with a chance of 2^-128 a pair.
 3. Removal. Spans meet their texts by text hash; every word under a repeated window goes.
 """
 
@@ -22,27 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import arrow_schema, free_name, map_rows, small_batches, words_of, written
+from tidemark.llm.shared import arrow_schema, free_name, map_rows, shards, small_batches, text_keys, types_of, word_hashes, words_of
+from tidemark.plans.scratch import written
 
-HOT, MAX_CACHED = 200, 200_000
+#: Places of an anchor above which its fragments are counted by hash, so that no task gathers them.
+HOT = 200
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
 
 
-class _Words(dict):
-    """word -> XXH64; starts anew when full."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= MAX_CACHED:
-            self.clear()
-        h = xxhash.xxh64_intdigest(word, 7)
-        if len(word) <= 64:
-            self[word] = h
-        return h
-
-
-_hashes = _Words()
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -59,10 +47,6 @@ def _power(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[which]
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-
-
 def run_hashes(words: np.ndarray, k: int, which: int = 0) -> np.ndarray:
     """A hash of each run of k words."""
     n = len(words)
@@ -180,7 +164,7 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 def repeated_spans(docs: DataFrame, window: int) -> DataFrame:
     """By text hash (_h, _g) of docs (id, text): copies, and the repeated spans as lists starts, counts."""
     id_col, text_col = "id", "text"
-    hashed = docs.withColumns({"_h": F.xxhash64(text_col), "_g": F.hash(text_col)})
+    hashed = docs.withColumns(dict(zip(("_h", "_g"), text_keys(text_col), strict=True)))
 
     def find():
         def batch(b: pa.RecordBatch):
@@ -189,8 +173,8 @@ def repeated_spans(docs: DataFrame, window: int) -> DataFrame:
 
         return batch
 
-    kind = dict(docs.dtypes)[id_col]
-    found = map_rows(hashed.where(F.col(text_col).isNotNull()).select("_h", "_g", F.col(id_col).alias("id"), text_col), {"_h": "long", "_g": "int", "id": kind, "anchors": "array<long>"}, find)
+    kind = types_of(docs)[id_col]
+    found = map_rows(hashed.where(F.col(text_col).isNotNull()).select("_h", "_g", F.col(id_col).alias("id"), text_col), {"_h": "long", "_g": "long", "id": kind, "anchors": "array<long>"}, find)
     # equal texts once: the one of the least id stands for all
     texts = written(found.where(F.size("anchors") > 0).groupBy("_h", "_g").agg(F.count("*").alias("copies"), F.min("id").alias("id"), F.first("anchors").alias("anchors")), "texts")
     places = texts.select("_h", "_g", F.explode("anchors").alias("anchor"))
@@ -233,22 +217,20 @@ def repeated_spans(docs: DataFrame, window: int) -> DataFrame:
                 keys = [int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True) for _, x in found]
                 for c, x in zip(parts, ([a for a, _ in found], keys, [h] * len(found), [g] * len(found)), strict=True):
                     parts[c].append(np.array(x, np.int64))
-            flat = {c: pa.array(np.concatenate(x)).cast(pa.int32() if c == "_g" else pa.int64()) for c, x in parts.items()}
+            flat = {c: pa.array(np.concatenate(x)) for c, x in parts.items()}
             return flat | {"at": _lists(places), "ws": _lists(ws)}
 
         return batch
 
-    cold = map_rows(chosen.where(F.size("some") > 0).select("_h", "_g", text_col, "some"), {"anchor": "long", "_h": "long", "_g": "int", "at": "long", "words": "binary"}, fragments)
+    cold = map_rows(chosen.where(F.size("some") > 0).select("_h", "_g", text_col, "some"), {"anchor": "long", "_h": "long", "_g": "long", "at": "long", "words": "binary"}, fragments)
 
     def match(batches):
-        schema = arrow_schema("_h long, _g int, at long, n long")
+        schema = arrow_schema("_h long, _g long, at long, n long")
 
-        def flush(rows: pa.Table) -> pa.RecordBatch:
-            anchor = rows.column("anchor").to_numpy()
+        def work(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
             h, g, at, words = (rows.column(c).to_pylist() for c in ("_h", "_g", "at", "words"))
-            cuts = [0, *(np.flatnonzero(np.diff(anchor) != 0) + 1).tolist(), len(anchor)]
             out = ([], [], [], [])
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
+            for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(h)], strict=True):
                 places: dict[bytes, int] = {}
                 for w in words[lo:hi]:
                     places[w] = places.get(w, 0) + 1
@@ -259,21 +241,11 @@ def repeated_spans(docs: DataFrame, window: int) -> DataFrame:
                             c.append(v)
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
 
-        rest = None
-        for b in batches:
-            now = pa.Table.from_batches([b])
-            rest = now if rest is None else pa.concat_tables([rest, now])
-            anchor = rest.column("anchor").to_numpy()
-            cut = len(anchor) - int(np.argmax(anchor[::-1] != anchor[-1])) if len(anchor) and anchor[0] != anchor[-1] else 0
-            if cut:
-                yield flush(rest.slice(0, cut))
-                rest = rest.slice(cut)
-        if rest is not None and len(rest):
-            yield flush(rest)
-
-    spans = cold.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(match, "_h long, _g int, at long, n long")
+        return shards(batches, 1, work)
+
+    spans = cold.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(match, "_h long, _g long, at long, n long")
     # the anchor's hash and another of the fragment, or of the window, make 128 bits
-    hot = written(map_rows(chosen.where(F.size("many") > 0).select("_h", "_g", text_col, "many"), {"anchor": "long", "w": "long", "_h": "long", "_g": "int", "at": "array<long>", "ws": "array<long>"}, pieces), "pieces")
+    hot = written(map_rows(chosen.where(F.size("many") > 0).select("_h", "_g", text_col, "many"), {"anchor": "long", "w": "long", "_h": "long", "_g": "long", "at": "array<long>", "ws": "array<long>"}, pieces), "pieces")
     kinds = hot.groupBy("anchor", "w").agg(F.sum(F.size("at")).alias("c"), *[F.first(x).alias(x) for x in ("ws", "_h", "_g", "at")])
     kinds = written(kinds, "kinds")
     # a fragment that occurs twice repeats in whole; the windows of the others are counted among those of all kinds
@@ -309,11 +281,11 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     """
     small_batches(docs.sparkSession)
     own = docs if rewrite else docs.select(id_col, text_col)
-    names, kinds = own.columns, dict(own.dtypes)
+    names, kinds = own.columns, types_of(own)
     marks = repeated_spans(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), window)
     marks = marks.toDF(*[free_name(c, names) for c in marks.columns])
     h, g, *found = marks.columns
-    joined = own.withColumns({h: F.xxhash64(text_col), g: F.hash(text_col)}).join(marks, [h, g], "left").select(*names, *found)
+    joined = own.withColumns(dict(zip((h, g), text_keys(text_col), strict=True))).join(marks, [h, g], "left").select(*names, *found)
     at = names.index(text_col)
     kept = names if rewrite else [id_col]
     columns = {c: kinds[c] for c in kept} | ({} if rewrite else {"n_words": "long", "n_removed": "long", "kept_sha256": "string"})
