@@ -1,12 +1,15 @@
 """Resolving not-modified revisit records to the latest earlier full response of the same canonical URL.
 
-An as-of join without a range join and without one task for a hot URL: time is cut into slices; inside (URL, slice) a
+An as-of join without a range join and without one task for a hot URL: time is cut into slices that hold equally many
+captures (bursts get more slices; where the cuts lie never changes a result); inside (URL, slice) a
 running window finds the latest response before each revisit; where a slice has none yet, the last response of the
 slices before it is carried in, from a table with one row for each URL and slice.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,18 +20,22 @@ PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "la
 
 
 def _lower_keys(headers: Column) -> Column:
-    return F.map_from_entries(F.array_sort(F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))))
+    """Names in lower case; of names that differ by case alone, the first by code point counts."""
+    sorted_ = F.array_sort(F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["key"].alias("own"), e["value"].alias("value"))))
+    first = F.filter(sorted_, lambda e, i: (i == 0) | (F.get(sorted_, i - 1)["key"] != e["key"]))
+    return F.map_from_entries(F.transform(first, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))))
 
 
 def _tag(etag: Column) -> Column:
     return F.regexp_replace(etag, '^W/', "")
 
 
-def resolve_revisits(captures: DataFrame, slices: int = 256) -> DataFrame:
+def resolve_revisits(captures: DataFrame, slices: int = 64) -> DataFrame:
     """For each revisit: capture_id, canonical_url, response_id, validated, payload_digest, headers.
 
     captures: capture_id long, url string, ts timestamp or number, kind ('response' or 'revisit'), etag, last_modified,
-    payload_digest string, headers map<string,string> (names unique but for case). Other columns are not read.
+    payload_digest string, headers map<string,string> (of names that differ by case alone, the first by code point counts).
+    Other columns are not read.
     The response is the latest with a strictly earlier time (ties: larger capture_id). validated: 'etag' if both have one
     and they match (weakly), else 'last-modified' likewise, else 'digest'; 'mismatch' if a validator that both have
     differs, 'unchecked' if they share none, 'missing' without an earlier response. response_id, payload_digest and
@@ -37,13 +44,9 @@ def resolve_revisits(captures: DataFrame, slices: int = 256) -> DataFrame:
     gives none.
     """
     own = captures.select("capture_id", canonical_url(F.col("url")).alias("canonical_url"), F.col("ts"), "kind", "etag", "last_modified", "payload_digest", "headers")
-    span = own.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
     at = F.col("ts").cast("double")
-    if span["lo"] is None:
-        slice_ = F.lit(0)
-    else:
-        lo, hi = (x.timestamp() if hasattr(x, "timestamp") else float(x) for x in span)
-        slice_ = F.coalesce(F.floor((at - lo) / max((hi - lo) / slices, 1e-9)).cast("int"), F.lit(-1))
+    cuts = own.agg(F.percentile_approx(at, [i / slices for i in range(1, slices)], 10_000).alias("cuts")).first()["cuts"] if slices > 1 else []
+    slice_ = reduce(lambda a, c: a + (at >= c).cast("int"), sorted(set(cuts or [])), F.lit(0))
     full = F.struct(F.col("capture_id").alias("id"), "etag", "last_modified", F.col("payload_digest").alias("digest"), "headers")
     rows = own.withColumns({"slice": slice_, "full": F.when((F.col("kind") == "response") & F.col("ts").isNotNull(), full), "later": F.when(F.col("kind") == "response", 1).otherwise(0)})
     rows = rows.where(F.col("kind").isin("response", "revisit"))
