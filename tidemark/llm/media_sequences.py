@@ -9,20 +9,25 @@ join moves a short row for each reference and each distinct payload, never the p
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import map_rows, scratch_path, small_batches
+from tidemark.llm.shared import map_rows, small_batches, types_of
+from tidemark.plans.scratch import scratch_path
 
 WIDTH, FILL, LEVEL, MAX_SEEN = 576, 255, 1, 200_000
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
-_SKIPPED = {"script", "style", "noscript", "template", "head"}
+_SKIPPED = {"script", "style", "noscript", "template", "title"}
+#: Skipped only where they are closed: a page that forgets to close one is read on.
+_CLOSED = re.compile("</(noscript|template|title)[\\s/>]", re.IGNORECASE)
 _MEDIA = {"img", "video", "audio", "source", "embed"}
 _BLOCKS = {"p", "div", "article", "section", "figure", "figcaption", "li", "ul", "ol", "table", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "br", "hr", "nav", "body", "blockquote", "pre"}
 
@@ -79,10 +84,11 @@ def feature(payload: bytes) -> str:
 
 
 class _Sequence(HTMLParser):
-    def __init__(self):
+    def __init__(self, closed: Counter):
         super().__init__(convert_charrefs=True)
         self.items: list[list[str | None]] = []
-        self.text, self.skip, self.figures, self.caption = [], 0, [], None
+        self.text, self.figures, self.caption = [], [], None
+        self.closed, self.skip = closed, Counter()  # closing tags to come; open tags whose content is skipped
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
@@ -96,9 +102,9 @@ class _Sequence(HTMLParser):
             item[3] = " ".join(said)
 
     def handle_starttag(self, tag, attrs):
-        if tag in _SKIPPED:
-            self.skip += 1
-        if self.skip:
+        if tag in _SKIPPED and (tag in ("script", "style") or self.closed[tag] > self.skip[tag]):
+            self.skip[tag] += 1
+        if self.skip.total():
             return
         if tag in _BLOCKS:
             self.flush()
@@ -116,10 +122,11 @@ class _Sequence(HTMLParser):
                     self.figures[-1][0].append(item)
 
     def handle_endtag(self, tag):
-        if tag in _SKIPPED and self.skip:
-            self.skip -= 1
+        if tag in _SKIPPED:
+            self.closed[tag] -= 1
+            self.skip[tag] = max(0, self.skip[tag] - 1)
             return
-        if self.skip:
+        if self.skip.total():
             return
         if tag == "figcaption" and self.caption is not None:
             said = " ".join("".join(self.caption).split())
@@ -132,14 +139,14 @@ class _Sequence(HTMLParser):
             self.flush()
 
     def handle_data(self, data):
-        if self.skip:
+        if self.skip.total():
             return
         (self.text if self.caption is None else self.caption).append(data)
 
 
 def parse_sequence(html: str | None) -> list[list[str | None]]:
     """[kind, text, source, caption] in document order; a figure's caption goes to its media, wherever it stands."""
-    parser = _Sequence()
+    parser = _Sequence(Counter(x.lower() for x in _CLOSED.findall(html or "")))
     parser.feed(html or "")
     parser.close()
     parser.flush()
@@ -152,7 +159,8 @@ def sequences(pages: DataFrame, id_col: str = "page_id", html_col: str = "html")
     """id, sequence array<struct<position, kind, text, source, digest, caption>>.
 
     digest: what follows `sha256:` in the source, else null. Null or empty HTML gives an empty sequence; malformed
-    HTML is read as the parser recovers it; repeated rows and null ids give rows like any other. Only the two named columns are read.
+    HTML is read as the parser recovers it (a head, template or title that is never closed hides nothing); very long pages are
+    read whole; repeated rows and null ids give rows like any other. Only the two named columns are read; an empty table gives no rows.
     """
     small_batches(pages.sparkSession)
     names = ("kind", "body", "source", "caption")
@@ -161,14 +169,17 @@ def sequences(pages: DataFrame, id_col: str = "page_id", html_col: str = "html")
         found = [parse_sequence(h) for h in b.column(1).to_pylist()]
         return {id_col: b.column(0)} | {c: [[x[i] for x in f] for f in found] for i, c in enumerate(names)}
 
-    rows = map_rows(pages.select(id_col, html_col), {id_col: dict(pages.dtypes)[id_col]} | dict.fromkeys(names, "array<string>"), lambda: batch)
+    rows = map_rows(pages.select(id_col, html_col), {id_col: types_of(pages)[id_col]} | dict.fromkeys(names, "array<string>"), lambda: batch)
     zipped = F.arrays_zip(F.transform("kind", lambda x, i: i), *names)
     made = F.transform(zipped, lambda s: F.struct(s["0"].alias("position"), s["kind"].alias("kind"), s["body"].alias("text"), s["source"].alias("source"), F.nullif(F.regexp_extract(s["source"], "^sha256:([0-9a-f]{64})$", 1), F.lit("")).alias("digest"), s["caption"].alias("caption")))
     return rows.select(id_col, made.alias("sequence"))
 
 
 def store_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Writes a row for each document: id, n_bytes, digest, media (PNG; null where this task has stored the digest before)."""
+    """Writes a row for each document: id, n_bytes, digest, media (PNG; null where this task has stored the digest before).
+
+    A null text is an empty one; repeated rows and null ids are rows like any other; an empty table writes none.
+    """
     small_batches(docs.sparkSession)
 
     def build():
@@ -190,12 +201,15 @@ def store_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
         return batch
 
-    kind = dict(docs.dtypes)[id_col]
+    kind = types_of(docs)[id_col]
     map_rows(docs.select(id_col, text_col), {id_col: kind, "n_bytes": "long", "digest": "string", "media": "binary"}, build).write.option("compression", "none").parquet(path)
 
 
 def stored_features(media: DataFrame) -> DataFrame:
-    """From stored bytes, a row for each distinct digest: digest and what the payload and its stored form are like."""
+    """From stored bytes, a row for each distinct digest: digest and what the payload and its stored form are like.
+
+    Rows without media are passed over; broken bytes raise ValueError; equal digests, of any number of rows, give one row.
+    """
     columns = {"digest": "string", "payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string"}
 
     def batch(b: pa.RecordBatch):
@@ -210,26 +224,46 @@ def stored_features(media: DataFrame) -> DataFrame:
 
 
 def resolve(found: DataFrame, media: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """id, position, caption and the features for each media reference of `sequences()`; unknown digests give nulls."""
+    """id, position, caption and the features for each media reference of `sequences()`, aligned with its place in the text.
+
+    Digests that are null or unknown give null features; a sequence without references gives no rows; repeated rows and
+    null ids give rows like any other.
+    """
     refs = found.select(id_col, F.explode("sequence").alias("s")).where("s.kind = 'media'")
     refs = refs.select(id_col, F.col("s.position").alias("position"), F.col("s.caption").alias("caption"), F.col("s.digest").alias("digest"))
     return refs.join(stored_features(media), "digest", "left")
 
 
+def payload_digest(text: Column) -> Column:
+    """The digest of payload_of(text)."""
+    raw = F.coalesce(text, F.lit("")).cast("binary")
+    n = F.octet_length(raw)
+    fill = F.greatest(F.lit(WIDTH), F.ceil(n / WIDTH).cast("int") * WIDTH) - n
+    return F.sha2(F.concat(raw, F.unhex(F.repeat(F.lit(f"{FILL:02X}"), fill))), 256)
+
+
+def illustrated(text: Column) -> Column:
+    """HTML of a text's lines as paragraphs, with a figure that refers to the text's payload after the first."""
+    said = F.coalesce(text, F.lit(""))
+    safe = lambda c: F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    first = F.substring_index(said, "\n", 1)
+    rest = F.substring(said, F.length(first) + 2, F.length(said))
+    figure = F.concat(F.lit("<figure><img src='sha256:"), payload_digest(text), F.lit("' alt=''><figcaption>"), F.octet_length(said).cast("string"), F.lit(" bytes</figcaption></figure>"))
+    return F.concat(F.lit("<p>"), safe(first), F.lit("</p>"), figure, F.lit("<p>"), F.replace(safe(rest), F.lit("\n"), F.lit("</p><p>")), F.lit("</p>"))
+
+
 def texts_as_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """Stores every text as an image, refers to it from an HTML page, parses that page and resolves its reference.
+    """Stores every text as an image; reads a page of the text's own paragraphs with a figure among them, and resolves the figure.
 
-    Returns id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, position, caption.
-    A null text is an empty one (one row of fill); equal texts share one digest; null ids and repeated rows give rows
-    like any other; an empty table gives none. Only the two named columns are read.
+    Returns id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, position (of the
+    figure in its page's sequence: 1 after a first line of text, 0 where that line is blank), caption. A null text is an
+    empty one (one row of fill); equal texts share one digest; null ids and repeated rows give rows like any other; an
+    empty table gives none. Only the two named columns are read.
     """
     path = path or scratch_path(docs.sparkSession, "media")
     store_texts(docs, path, id_col, text_col)
-    kept = docs.sparkSession.read.parquet(path)
-    figure = F.concat(F.lit("<figure><img src='sha256:"), F.col("digest"), F.lit("' alt=''><figcaption>"), F.col("n_bytes").cast("string"), F.lit(" bytes</figcaption></figure>"))
-    pages = kept.select(F.struct(F.col(id_col).alias("id"), "n_bytes").alias("page"), figure.alias("html"))
-    pages = pages.select(F.to_json("page").alias("page"), "html")
-    done = resolve(sequences(pages, "page"), kept, "page")
-    kind = dict(docs.dtypes)[id_col]
-    page = F.from_json("page", f"id {kind}, n_bytes long")
-    return done.select(page["id"].alias(id_col), page["n_bytes"].alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    text = F.col(text_col)
+    page = F.struct(F.col(id_col).alias("id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
+    pages = docs.select(page.alias("page"), illustrated(text).alias("html"))
+    done = resolve(sequences(pages, "page", "html"), docs.sparkSession.read.parquet(path), "page")
+    return done.select(F.col("page.id").alias(id_col), "page.n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
