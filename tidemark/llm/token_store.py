@@ -18,9 +18,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from tidemark.llm.shared import arrow_schema, map_rows, scratch_path, small_batches
+from tidemark.llm.shared import arrow_schema, map_rows, small_batches
 from tidemark.llm.word_tokens import word_tokens
+from tidemark.plans.scratch import scratch_path
 
 KEYS_PER_BUCKET = 50_000
 LEVELS, LOAD = 48, 1.6
@@ -175,11 +177,13 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int = 2, path: str
 
     A null text is an empty one. Rows without id come first, told apart by their number; rows that share an id follow
     each other and are told apart by `copy`. An empty table gives a store without documents. Columns other than the
-    two named are not read. Shards are range partitions of the id; each task streams its ids to a file of its own
+    two named are not read. Ids must be whole numbers (TypeError otherwise). Shards are range partitions of the id; each task streams its ids to a file of its own
     attempt, and only files named by the committed rows belong to the store, so repeated tasks do no harm. path must be
     a URI that pyarrow's file systems open on every executor (default: under the session's shared folder).
     """
     spark = docs.sparkSession
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"ids of a token store are whole numbers, not {docs.schema[id_col].dataType.simpleString()}")
     small_batches(spark)
     path = path or scratch_path(spark, "token-store")
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -219,7 +223,10 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int = 2, path: str
     parts = [r["part"] for r in shards]
     starts = np.concatenate([[0], np.cumsum([r["n"] for r in shards])]).astype(int)[: len(shards)].tolist()
     n_buckets = max(1, -(-sum(r["rows"] for r in shards) // KEYS_PER_BUCKET))
-    of = F.create_map(*[F.lit(x) for i, p in enumerate(parts) for x in (p, i)]) if parts else F.create_map(F.lit(0), F.lit(0))
-    keyed = rows.withColumn("bucket", _bucket(n_buckets)).withColumn("shard", of[F.col("part")]).select("bucket", "doc_id", "copy", "shard", "place", "n_tokens")
+    keyed = rows.withColumn("bucket", _bucket(n_buckets)).select("bucket", "doc_id", "copy", F.col("part").alias("shard"), "place", "n_tokens")
     keyed.groupBy("bucket").applyInArrow(_build_bucket, INDEX).write.parquet(f"{path}/index")
-    return TokenStore(spark, path, [r["file"] for r in shards], starts, width, n_buckets)
+    # shards are numbered by partition; one without documents has no file
+    files, first = [""] * (max(parts, default=-1) + 1), [0] * (max(parts, default=-1) + 1)
+    for r, start in zip(shards, starts, strict=True):
+        files[r["part"]], first[r["part"]] = r["file"], start
+    return TokenStore(spark, path, files, first, width, n_buckets)
