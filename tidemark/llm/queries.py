@@ -26,6 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language and score by a model of the documents whose id's crc32 mod 4 is not 2.
+
+    Null texts and those without a letter are `und` with score 0; documents without id are not held out and teach nothing; ties
+    go to the first language by code point; repeated rows give a row each; an empty table gives none.
+    """
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
     found = predict(docs, fit(docs.where(~held_out)))
@@ -33,6 +38,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document, with its source's size and target.
+
+    A null text has size 0 and takes 0; a null source comes last in the weights' order; rows of one id are taken together;
+    an empty table gives no rows.
+    """
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -71,6 +81,11 @@ LEFT JOIN u ON d.source IS NOT DISTINCT FROM u.source AND d.h = u.h
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document, and what is left without repeated windows of 35 words.
+
+    A null text has no words (the hash is that of no bytes); repeated rows repeat each other; texts under 35 words lose
+    nothing; null ids give rows like any other; an empty table gives none.
+    """
     return remove_repeats(table(spark, sf_dir, "documents"), window=35)
 
 
@@ -87,6 +102,10 @@ SELECT page_id * 2 + 1, url, page_id * 3, 'revisit',
 
 
 def op4_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Revisits made from pages, each with the full response that it stands for.
+
+    Null urls match nothing; equal times go to the larger capture id; repeated pages give a row each; an empty table gives none.
+    """
     table(spark, sf_dir, "pages").createOrReplaceTempView("_op4_pages")
     etag = "substr(md5(html), 1, 8)"
     sql = CAPTURES_SQL.format(etag=etag, weak=f"'W/' || {etag}", digest="md5(html)", string="string").replace("FROM pages", "FROM _op4_pages")
@@ -124,27 +143,55 @@ FROM m
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces with their sequences and offsets.
+
+    A null text is an empty one (its end id alone); repeated rows and null ids are packed like any other; an empty table
+    gives no rows.
+    """
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
 
 
 def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and the smallest id that links of at most 3 bits reach.
+
+    Null and empty texts have fingerprint zero; null ids name no component unless all of its ids are null; repeated rows
+    give a row each; an empty table gives none.
+    """
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=3)
 
 
 def op7_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text as a stored image, found through the figure of its page.
+
+    A null text is an empty one; equal texts share one digest; repeated rows and null ids give rows like any other; an
+    empty table gives none.
+    """
     return texts_as_media(table(spark, sf_dir, "documents"))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document.
+
+    A null text has none of either; repeated rows and null ids give rows like any other; an empty table gives none.
+    """
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place, length and checksum, read back from a written store.
+
+    A null text is an empty one (its end id alone); documents without id come first; rows of one id follow each other in
+    the order of their texts; an empty table gives no rows.
+    """
     store = write_store(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return store.read(store.keys())
 
 
 def op10_ann_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every vector whose id is divisible by 20.
+
+    Unusable vectors take no part; ties go to the smaller id; repeated ids are rows of their own; an empty table gives no rows.
+    """
     vectors = table(spark, sf_dir, "embeddings")
     return search(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
