@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tidemark.llm import ann_postings, bk_forest, language_id, media_sequences, mixing, packing, similar_groups, simhash_dedup, substring_dedup, token_counts, token_store, warc_revisit
+from tidemark.llm import ann_postings, bk_forest, language_id, media_sequences, mixing, packing, shared, similar_groups, simhash_dedup, substring_dedup, token_counts, token_store, warc_revisit
 from tidemark.llm.word_tokens import WordTokens
 
 WORDS, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -103,6 +103,17 @@ def test_shares_stay_below_the_cap_and_add_up(sizes):
     assert sum(found.values()) == pytest.approx(sum(sizes.values()))
 
 
+@given(st.lists(st.tuples(st.text("abé日", min_size=1, max_size=30), st.sampled_from([" ", "\t ", "\n", " \x0b"])), max_size=12), st.sampled_from(["", " "]))
+@settings(max_examples=200, deadline=None)
+def test_word_hashes_are_of_words_wherever_they_stand(parts, head):
+    data = (head + "".join(w + s for w, s in parts)).encode()
+    chunk, shared.CHUNK_BYTES = shared.CHUNK_BYTES, 40
+    try:
+        assert shared.word_hashes(data).tolist() == [int(shared.word_hashes(w)[0]) for w in data.split()]
+    finally:
+        shared.CHUNK_BYTES = chunk
+
+
 def removed_by_counting(rows, window):
     words = [(r["text"] or "").encode().split() for r in rows]
     n = Counter(tuple(w[i : i + window]) for w in words for i in range(len(w) - window + 1))

@@ -13,8 +13,8 @@ from pyspark.sql.types import DataType, StructField, StructType
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes that one Arrow batch of whole texts may hold in a Python worker; a longer text is a batch of its own.
 BATCH_BYTES = 4 << 20
-#: Words whose hashes a worker remembers.
-MAX_WORDS = 200_000
+#: Bytes whose words are hashed at once; a word of half as many or more is hashed by itself.
+CHUNK_BYTES = 1 << 20
 
 
 def free_name(name: str, taken: list[str]) -> str:
@@ -46,25 +46,61 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8").split() if text else []
 
 
-class _Words(dict):
-    """word -> XXH64; starts anew when full."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= MAX_WORDS:
-            self.clear()
-        h = xxhash.xxh64_intdigest(word, 7)
-        if len(word) <= 64:
-            self[word] = h
-        return h
-
-
-_hashes = _Words()
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+_SPACE = np.zeros(256, bool)
+_SPACE[list(b" \t\n\r\f\v")] = True
+_BASE = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd base and of its inverse, modulo 2^64."""
+    if not _powers or len(_powers[0]) < n:
+        size = max(1 << 14, 1 << (n - 1).bit_length())
+        steps = [np.full(size, b, np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+        for x in steps:
+            x[0] = 1
+        _powers[:] = [np.cumprod(x) for x in steps]
+    return _powers[0][:n], _powers[1][:n]
+
+
+def _short_hashes(data: bytes) -> np.ndarray:
+    own = np.frombuffer(data, np.uint8)
+    inside = np.zeros(len(own) + 2, np.int8)
+    inside[1:-1] = ~_SPACE[own]
+    edge = np.diff(inside)
+    first, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    up, down = powers(len(own))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(own * up)])
+    x = (sums[end] - sums[first]) * down[first]
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(32)
+    for i in np.flatnonzero(end - first >= CHUNK_BYTES // 2):
+        x[i] = _long_hash(data[first[i] : end[i]])
+    return x
+
+
+def _long_hash(word: bytes) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(word, 7)
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """64 bits for each word of data.split(), all words at once: a polynomial of the word's bytes, finalized."""
+    out, at = [np.empty(0, np.uint64)], 0
+    while at < len(data):
+        end = at + CHUNK_BYTES
+        if end < len(data):
+            end = max(data.rfind(c, at, end) for c in (b" ", b"\t", b"\n", b"\r", b"\f", b"\v"))
+            if end <= at:  # no white space but, maybe, the first byte: a word of the length of a chunk
+                word = data[at:].split(None, 1)[0]
+                out.append(np.array([_long_hash(word)], np.uint64))
+                at = data.index(word, at) + len(word)
+                continue
+        out.append(_short_hashes(data[at:end]))
+        at = end
+    return np.concatenate(out)
 
 
 def text_keys(text: str) -> list[Column]:

@@ -3,14 +3,15 @@
 A similarity of 0.8 is about 10 of 64 SimHash bits, too many for blocks of agreeing bits. So there are two steps, over distinct sets
 of shingles (equal sets are one node from the start, however many texts have them):
 
-1. Shards are dealt by min-hash keys and searched by BK-trees over 256-bit fingerprints; each shard proposes every member's nearest
+1. Shards are dealt by min-hash keys and searched by BK-trees over 128-bit fingerprints; each shard proposes every member's nearest
    one and a spanning forest of what lies within the radius, as many pairs as members. Whole sets decide on each pair. This
    joins nearly all that belongs together.
 2. The exact completion: in one order of all shingles, common ones last, two sets at the similarity share one of their first
    n - ceil(similarity * n) + 1 shingles. Wherever members of different groups share such a shingle, pairs of different groups
    whose sizes and fingerprints allow the similarity are compared by whole sets, in pairs of blocks of bounded
-   size. So no link is lost but by the fingerprint's chance: at the similarity, sets differ in some 39 of 256 bits (deviation
-   6), and up to EXACT_RADIUS bits are compared, which leaves a chance under 1e-13 for a pair.
+   size. Fingerprints exclude in two ways: by 512 parities of the shingles, which differ in no more bits than the sets differ in
+   shingles, so that they never exclude a link; and by SimHash, where sets at the similarity differ in some 19 of 128 bits
+   (deviation 4) and only pairs over EXACT_RADIUS bits apart are passed over, a chance under 1e-13 for a link.
 """
 
 from __future__ import annotations
@@ -22,18 +23,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.bk_forest import Forest, unite
+from tidemark.llm.bk_forest import Forest, hamming, unite
 from tidemark.llm.shared import arrow_schema, free_name, map_rows, shards, small_batches, text_keys, types_of, word_hashes
 from tidemark.llm.simhash_dedup import dealt_out, in_blocks
 from tidemark.operators.components import connected
 from tidemark.plans.scratch import written
 
 #: Fingerprint words of 64 bits, min-hash keys and minima in each key, and the radius in bits within which step 1 proposes.
-WIDE, KEYS, MINIMA, WIDE_RADIUS = 4, 6, 2, 80
+WIDE, KEYS, MINIMA, WIDE_RADIUS = 2, 6, 2, 44
+#: Parity bits of a set, after its SimHash words in the column bits.
+PARITIES = 512
 #: Radius in bits within which step 2 compares whole sets.
-EXACT_RADIUS = 96
+EXACT_RADIUS = 56
 #: Members of a shard that one task searches in step 1, and half of those that one task compares by whole sets in step 2.
 SEARCHED, COMPARED = 4096, 512
+#: Pairs for each member of a shard that are compared one by one; the members of a shard with more are compared together.
+PAIRS_A_MEMBER = 4
+#: Of each set's shards, the first that are known wherever the set is: a pair that meets in one of these is compared there alone.
+FIRSTS = 8
 #: Shingles known to be common, which come last in the order of step 2; any number gives the same groups.
 MAX_COMMON = 100_000
 #: Rows of three numbers that may be broadcast; above, the join shuffles.
@@ -48,14 +55,15 @@ def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the runs of `words` words, A-Z lowered; a shorter text is one run."""
-    own = text.encode("utf-8").lower().split() if text else []
-    if not own:
-        return np.empty(0, np.uint64)
-    h, k = word_hashes(own), min(words, len(own))
-    n = len(own) - k + 1
-    x = np.zeros(n, np.uint64)
-    for i in range(k):
-        x = x * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n]
+    h = word_hashes(text.encode("utf-8").lower()) if text else np.empty(0, np.uint64)
+    if not len(h):
+        return h
+    k = min(words, len(h))
+    n = len(h) - k + 1
+    x = h[:n].copy()
+    for i in range(1, k):
+        x *= np.uint64(0x9E3779B97F4A7C15)
+        x += h[i : i + n]
     return np.unique(_mixed(x, k))
 
 
@@ -64,19 +72,26 @@ def set_key(shingles: np.ndarray) -> int:
     return int(np.bitwise_xor.reduce(_mixed(shingles, 99)).view(np.int64)) if len(shingles) else 0
 
 
-def wide_sketch(shingles: np.ndarray) -> tuple[np.ndarray, bytes]:
-    """(min-hash keys, fingerprint of WIDE words) of a set of shingles."""
-    ones, least = np.zeros(64 * WIDE, np.int64), np.full(KEYS * MINIMA, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 1 << 14):
-        own = shingles[at : at + (1 << 14)]
-        for i in range(KEYS * MINIMA):
-            least[i] = min(least[i], _mixed(own, 50 + i).min())
+def fingerprint(shingles: np.ndarray) -> bytes:
+    """SimHash of WIDE words, then PARITIES bits: is the number of shingles that fall on the bit odd?"""
+    ones, parity = np.zeros(64 * WIDE, np.int64), np.zeros(PARITIES, np.int64)
+    for at in range(0, len(shingles), 1 << 15):
+        own = shingles[at : at + (1 << 15)]
         wide = np.stack([_mixed(own, i + 1) for i in range(WIDE)], axis=1)
-        ones += np.unpackbits(wide.view(np.uint8).reshape(len(own), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    keys = np.arange(KEYS, dtype=np.uint64)
-    for i in range(MINIMA):
-        keys ^= _mixed(least.reshape(KEYS, MINIMA)[:, i], 7 + i)
-    return keys.view(np.int64), np.packbits(2 * ones > len(shingles), bitorder="little").tobytes()
+        ones += np.unpackbits(wide.view(np.uint8).reshape(len(own), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+        parity += np.bincount((own % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES)
+    return np.packbits(np.concatenate([2 * ones > len(shingles), parity % 2 == 1]), bitorder="little").tobytes()
+
+
+def min_hash_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """KEYS signed 64-bit keys for each of the sets, none of them empty."""
+    size = np.array([len(s) for s in sets])
+    all_, starts = np.concatenate([np.empty(0, np.uint64), *sets]), np.cumsum(size) - size
+    keys = np.repeat(np.arange(KEYS, dtype=np.uint64)[None], len(sets), axis=0)
+    for i in range(KEYS if len(sets) else 0):
+        for j in range(MINIMA):
+            keys[:, i] ^= _mixed(np.minimum.reduceat(_mixed(all_, 50 + i * MINIMA + j), starts), 7 + j)
+    return keys.view(np.int64)
 
 
 def common_shingles(sets: dict[int, np.ndarray], least: int = 3) -> tuple[list[int], list[int]]:
@@ -111,16 +126,36 @@ def proposals(values: np.ndarray, starts: np.ndarray, radius: int) -> tuple[np.n
     return tuple(np.concatenate([np.empty(0, np.int64), *x]).astype(np.int64) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 2
 
 
-def crossing(values: np.ndarray, starts: np.ndarray, center: np.ndarray, size: np.ndarray, similarity: float, radius: int) -> np.ndarray:
-    """Positions of members that could link to a member of another group in their shard."""
-    forest = Forest(values, np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(values)))))
-    hit = np.zeros(len(values), bool)
+def met_before(key: np.ndarray, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Do the rows of one and other have a number below key in common?"""
+    out = np.zeros(len(key), bool)
+    for at in range(0, len(key), 1 << 14):
+        own = slice(at, at + (1 << 14))
+        out[own] = ((one[own, :, None] == other[own, None, :]) & (one[own, :, None] < key[own, None, None])).any(axis=(1, 2))
+    return out
+
+
+def crossing(values: np.ndarray, parity: np.ndarray, starts: np.ndarray, key: np.ndarray, firsts: np.ndarray, center: np.ndarray, size: np.ndarray, similarity: float, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(members, a, b): pairs of different groups in a shard that could link, as pairs where a shard has few, else as members.
+
+    A pair that shares a shard before this one, as far as their first ones tell, is left to that.
+    """
+    n = np.diff(np.append(starts, len(values)))
+    shard = np.repeat(np.arange(len(starts)), n)
+    forest, pairs = Forest(values, shard), [np.empty((0, 2), np.int64)]
     for asked, found, _ in forest.searches(radius):
-        open_ = center[asked] != center[found]
+        open_ = (asked < found) & (center[asked] != center[found])
         open_ &= np.minimum(size[asked], size[found]) >= similarity * np.maximum(size[asked], size[found]) - 1e-9
-        hit[asked[open_]] = True
-        hit[found[open_]] = True
-    return np.flatnonzero(hit)
+        asked, found = asked[open_], found[open_]
+        # at the similarity, sets differ in this many shingles at most, and their parities in no more bits
+        open_ = hamming(parity[asked], parity[found]) <= (size[asked] + size[found]) * ((1 - similarity) / (1 + similarity)) + 1e-9
+        asked, found = asked[open_], found[open_]
+        open_ = ~met_before(key[asked], firsts[asked], firsts[found])
+        pairs.append(np.stack([asked[open_], found[open_]], axis=1))
+    all_ = np.concatenate(pairs)
+    many = np.bincount(shard[all_[:, 0]], minlength=len(starts)) > PAIRS_A_MEMBER * n
+    dense = many[shard[all_[:, 0]]]
+    return np.unique(all_[dense]), all_[~dense, 0], all_[~dense, 1]
 
 
 def links_between(centers: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -152,22 +187,20 @@ def _limited(rows: DataFrame) -> DataFrame:
 
 
 def _bits(rows: pa.Table) -> np.ndarray:
-    return np.frombuffer(b"".join(rows.column("bits").to_pylist()), "<u8").reshape(len(rows), WIDE)
+    """SimHash words, then parity words, of each row."""
+    return np.frombuffer(b"".join(rows.column("bits").to_pylist()), "<u8").reshape(len(rows), WIDE + PARITIES // 64)
 
 
 def _sketches(rows: DataFrame, words: int) -> DataFrame:
     """id, h, g, node, keys, bits; and, on one row of each batch, the batch's common shingles."""
 
     def batch(b: pa.RecordBatch):
-        out = {c: [] for c in ("node", "keys", "bits")}
-        sets = {}
-        for text in b.column(3).to_pylist():
-            own = shingle_set(text, words)
-            keys, bits = wide_sketch(own)
-            node = set_key(own)
-            sets[node] = own
-            for c, v in zip(out, (node, keys.tolist(), bits), strict=True):
-                out[c].append(v)
+        own = [shingle_set(t, words) for t in b.column(3).to_pylist()]
+        nodes = [set_key(s) for s in own]
+        sets = {n: s for n, s in zip(nodes, own, strict=True) if len(s)}
+        keys = dict(zip(sets, min_hash_keys(list(sets.values())).tolist(), strict=True))
+        bits = {n: fingerprint(s) for n, s in sets.items()}
+        out = {"node": nodes, "keys": [keys.get(n, []) for n in nodes], "bits": [bits.get(n, b"") for n in nodes]}
         rest = [None] * (len(b) - 1)
         common, times = common_shingles(sets)
         return out | {c: b.column(i) for i, c in enumerate(("id", "h", "g"))} | {"common": [common, *rest], "times": [times, *rest]}
@@ -202,7 +235,7 @@ def _proposed(nodes: DataFrame, searched: int) -> DataFrame:
 
         def work(rows: pa.Table, starts: np.ndarray):
             node = rows.column("node").to_numpy()
-            x, y = proposals(_bits(rows), starts, WIDE_RADIUS)
+            x, y = proposals(_bits(rows)[:, :WIDE], starts, WIDE_RADIUS)
             return pa.RecordBatch.from_arrays([pa.array(np.maximum(node[x], node[y])), pa.array(np.minimum(node[x], node[y]))], schema=schema)
 
         return shards(batches, 2, work)
@@ -240,25 +273,38 @@ def _lost_links(rows: DataFrame, own: DataFrame, parts: DataFrame, words: int, s
     mixed = written(postings.join(written(mixed, "mixed"), "key"), "mixed")
     # keys that the same nodes share are one
     alike = mixed.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s")).groupBy("n", "s").agg(F.min("key").alias("key"))
-    dealt = mixed.join(alike.select("key"), "key").join(found.select("node", "size", "bits"), "node").select("key", "node", "center", "size", "bits")
+    chosen = written(mixed.join(alike.select("key"), "key"), "chosen")
+    firsts = chosen.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("key")), 1, FIRSTS).alias("firsts"))
+    dealt = chosen.join(found.select("node", "size", "bits").join(firsts, "node"), "node").select("key", "node", "center", "size", "bits", "firsts")
     dealt = dealt_out(in_blocks(dealt, ["key"], "node", compared), 3)
-    kinds = "key long, lo int, hi int, node long, center long"
+    kinds = "key long, lo int, hi int, node long, center long, other long"
 
     def find(batches):
         schema = arrow_schema(kinds)
 
         def work(rows: pa.Table, starts: np.ndarray):
             col = {c: rows.column(c).to_numpy() for c in ("key", "lo", "hi", "node", "center", "size")}
-            at = crossing(_bits(rows), starts, col["center"], col["size"], similarity, EXACT_RADIUS)
-            return pa.RecordBatch.from_arrays([pa.array(col[c][at]) for c in schema.names], schema=schema)
+            bits = _bits(rows)
+            flat = rows.column("firsts").combine_chunks()
+            flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
+            n = flat.value_lengths().to_numpy()
+            firsts = np.full((len(rows), FIRSTS), np.iinfo(np.int64).max)
+            firsts[np.arange(FIRSTS) < n[:, None]] = flat.flatten().to_numpy()
+            at, x, y = crossing(bits[:, :WIDE], bits[:, WIDE:], starts, col["key"], firsts, col["center"], col["size"], similarity, EXACT_RADIUS)
+            pairs = np.unique(np.sort(np.stack([col["node"][x], col["node"][y]], axis=1), axis=1), axis=0)
+            none = np.zeros(len(pairs), np.int64)
+            made = {c: np.concatenate([col[c][at], none]) for c in ("key", "lo", "hi", "center")} | {"node": np.concatenate([col["node"][at], pairs[:, 1]])}
+            other = pa.array(np.concatenate([np.zeros(len(at), np.int64), pairs[:, 0]]), mask=np.arange(len(at) + len(pairs)) < len(at))
+            return pa.RecordBatch.from_arrays([other if f.name == "other" else pa.array(made[f.name].astype(f.type.to_pandas_dtype())) for f in schema], schema=schema)
 
         return shards(batches, 3, work)
 
     asked = written(dealt.mapInArrow(find, kinds), "crossings")
     if asked.isEmpty():
         return None
-    nodes = asked.select("node").distinct().join(parts.select("node", "least"), "node")
-    whole = _sets(rows, nodes, words)
+    pairs = written(asked.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct(), "pairs")
+    nodes = asked.select("node").union(pairs.select("b")).distinct().join(parts.select("node", "least"), "node")
+    whole = written(_sets(rows, nodes, words), "sets")
 
     def check(batches):
         schema = arrow_schema("a long, b long")
@@ -274,8 +320,15 @@ def _lost_links(rows: DataFrame, own: DataFrame, parts: DataFrame, words: int, s
 
         return shards(batches, 3, work)
 
-    dealt = dealt_out(asked.join(whole, "node").select("key", "lo", "hi", "node", "center", "shingles"), 3)
-    return written(dealt.mapInArrow(check, "a long, b long").distinct(), "more")
+    dense = dealt_out(asked.where("other is null").join(whole, "node").select("key", "lo", "hi", "node", "center", "shingles"), 3)
+    return written(dense.mapInArrow(check, "a long, b long").union(_linked(pairs, whole, similarity)).distinct(), "more")
+
+
+def _linked(pairs: DataFrame, whole: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets reach the similarity."""
+    side = lambda n, c: whole.select(F.col("node").alias(n), F.col("shingles").alias(c))
+    shared = F.size(F.array_intersect("x", "y"))
+    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -293,9 +346,7 @@ def _grouped(docs: DataFrame, words: int, similarity: float, id_col: str, text_c
     pairs = written(_proposed(nodes, searched), "pairs")
     asked = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "least"), "node"), "asked")
     whole = written(_sets(rows, asked, words), "sets")
-    both = pairs.join(whole.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(whole.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    joined = connected(both.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select("a", "b")).toDF("node", "center")
+    joined = connected(_linked(pairs, whole, similarity)).toDF("node", "center")
     parts = written(nodes.join(joined, "node", "left").select("node", "least", "bits", F.coalesce("center", "node").alias("center")), "parts")
     more = _lost_links(rows, own, parts, words, similarity, compared)
     if more is not None and not more.isEmpty():

@@ -168,7 +168,7 @@ def repeated_spans(docs: DataFrame, window: int) -> DataFrame:
 
     def find():
         def batch(b: pa.RecordBatch):
-            found = [anchors(word_hashes(words_of(t)), window)[0] for t in b.column(3).to_pylist()]
+            found = [anchors(word_hashes((t or "").encode()), window)[0] for t in b.column(3).to_pylist()]
             return {"_h": b.column(0), "_g": b.column(1), "id": b.column(2), "anchors": _lists(found)}
 
         return batch
@@ -190,7 +190,7 @@ def repeated_spans(docs: DataFrame, window: int) -> DataFrame:
             out = {c: [] for c in ("anchor", "_h", "_g", "at", "words")}
             for h, g, text, some in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 words = words_of(text)
-                hashes, first, n = anchors(word_hashes(words), window)
+                hashes, first, n = anchors(word_hashes(text.encode()), window)
                 for i in np.flatnonzero(np.isin(hashes, some)):
                     lo = int(first[i])
                     for c, v in zip(out, (int(hashes[i]), h, g, lo, b" ".join(words[lo : lo + int(n[i]) + window - 1])), strict=True):
@@ -205,7 +205,7 @@ def repeated_spans(docs: DataFrame, window: int) -> DataFrame:
             parts: dict[str, list] = {c: [np.empty(0, np.int64)] for c in ("anchor", "w", "_h", "_g")}
             places, ws = [], []
             for h, g, text, many in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                own = word_hashes(words_of(text))
+                own = word_hashes(text.encode())
                 hashes, first, n = anchors(own, window)
                 w = run_hashes(own, window, 1).view(np.int64) if len(own) >= window else own
                 found: dict[tuple[int, bytes], list[int]] = {}
