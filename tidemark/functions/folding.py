@@ -32,6 +32,17 @@ def fold_key(texts: pd.Series) -> pd.Series:
     return texts.map(fold, na_action="ignore")
 
 
+@F.pandas_udf(StringType())
+def author_key(names: pd.Series) -> pd.Series:
+    """Case and diacritics folded, trimmed; nothing for a blank name."""
+
+    def key(name: str) -> str | None:
+        bare = "".join(c for c in unicodedata.normalize("NFD", name) if not unicodedata.combining(c))
+        return unicodedata.normalize("NFC", bare).lower().strip() or None
+
+    return names.map(key, na_action="ignore")
+
+
 def alias_spans(text: str, alias: str) -> list[tuple[int, int, str]]:
     """(UTF-8 start, UTF-8 length, original spelling) of each whole occurrence, case, diacritics and width folded.
 

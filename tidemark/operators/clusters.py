@@ -35,18 +35,25 @@ def revision_alignment_exact(d: Dialect) -> str:
 
 
 def _scores(d: Dialect) -> str:
-    """Candidate scores of accepted memberships against their event; titles stand for segments and events."""
+    """Scores of items against the events that they are members of; titles stand for segments and events.
+
+    An item's entities are those of the events that accepted it, an event's entity is its own; a group of sources that another
+    member of the event has already counts little as independent.
+    """
     overlap = lambda a, b: f"CASE WHEN {d.size(a)} = 0 OR {d.size(b)} = 0 THEN 0.0 ELSE {d.common(a, b)} * 1.0 / least({d.size(a)}, {d.size(b)}) END"
     jaccard = lambda a, b: f"CASE WHEN {d.size(a)} + {d.size(b)} - {d.common(a, b)} = 0 THEN 0.0 ELSE {d.common(a, b)} * 1.0 / ({d.size(a)} + {d.size(b)} - {d.common(a, b)}) END"
     item, event = t.tokens_cluster(d, "tp.name"), t.tokens_cluster(d, "ev.event_text")
+    none = "CAST(array() AS ARRAY<BIGINT>)" if d.spark else "CAST([] AS BIGINT[])"
     return f"""SELECT item_id, event_id, semantic, entity_overlap, topic_overlap, temporal, independence,
         {W_SEMANTIC} * semantic + {W_ENTITY} * entity_overlap + {W_TOPIC} * topic_overlap + {W_TEMPORAL} * temporal + {W_TITLE} * semantic + {W_CITATION} * 0.0 + {W_INDEPENDENCE} * independence + {W_COHERENCE} * semantic AS score FROM (
-        SELECT m.item_id, m.event_id, {jaccard("tp.words", "ev.words")} AS semantic, {overlap("tp.topics", "ev.topics")} AS topic_overlap, CASE WHEN s.is_followed THEN 1.0 ELSE 0.0 END AS entity_overlap,
-        greatest(0.0, 1 - abs(m.published_at - ev.started_at) / ({DECAY_DAYS} * 86400.0)) AS temporal, CASE WHEN m.role = 'independent' THEN 1.0 ELSE 0.2 END AS independence
-        FROM (SELECT DISTINCT event_id, item_id, source_id, role, published_at FROM v_memberships WHERE decision <> 'rejected') m
+        SELECT m.item_id, m.event_id, {jaccard("tp.words", "ev.words")} AS semantic, {overlap("tp.topics", "ev.topics")} AS topic_overlap, {overlap(f"coalesce(en.entities, {none})", "ev.entities")} AS entity_overlap,
+        greatest(0.0, 1 - abs(m.published_at - ev.started_at) / ({DECAY_DAYS} * 86400.0)) AS temporal, CASE WHEN g.members > 1 THEN 0.2 ELSE 1.0 END AS independence
+        FROM (SELECT DISTINCT event_id, item_id, source_id, published_at FROM v_memberships WHERE decision <> 'rejected') m
         JOIN v_sources s ON s.source_id = m.source_id
+        JOIN (SELECT x.event_id, y.independence_group, count(DISTINCT x.item_id) AS members FROM v_memberships x JOIN v_sources y ON y.source_id = x.source_id WHERE x.decision <> 'rejected' GROUP BY x.event_id, y.independence_group) g ON g.event_id = m.event_id AND g.independence_group = s.independence_group
         JOIN (SELECT item_id, {item.replace("tp.", "")} AS words, {d.array("topic", "topic_kind")} AS topics FROM v_topics) tp ON tp.item_id = m.item_id
-        JOIN (SELECT e.event_id, e.started_at, {event.replace("ev.event_text", "x.name")} AS words, {d.array("x.topic", "x.topic_kind")} AS topics FROM v_events e
+        LEFT JOIN (SELECT x.item_id, {d.gather("e.entity_id")} AS entities FROM v_memberships x JOIN v_events e ON e.event_id = x.event_id WHERE x.decision = 'accepted' GROUP BY x.item_id) en ON en.item_id = m.item_id
+        JOIN (SELECT e.event_id, e.started_at, {d.array("e.entity_id")} AS entities, {event.replace("ev.event_text", "x.name")} AS words, {d.array("x.topic", "x.topic_kind")} AS topics FROM v_events e
               JOIN (SELECT event_id, max(item_id) AS item_id FROM v_memberships GROUP BY event_id) l ON l.event_id = e.event_id JOIN v_topics x ON x.item_id = l.item_id) ev ON ev.event_id = m.event_id) c"""
 
 
@@ -69,27 +76,60 @@ def cluster_assign(d: Dialect) -> str:
         WHERE rn <= {MOST} AND best >= {THRESHOLD} AND (rn = 1 OR (score >= {SECONDARY} AND best - score <= {MARGIN}))"""
 
 
+#: What each connector and host adds, and the reasons of a primary choice, in their order.
+CONNECTOR_SCORES = {"github": 0.42, "arxiv": 0.46, "bluesky": 0.16, "x": 0.16, "rss": 0.12, "atom": 0.12, "jsonFeed": 0.12, "website": 0.12}
+REASONS = {
+    "official": "first-party Source/entity relationship", "github": "official repository artifact", "arxiv": "paper record", "bluesky": "author account evidence",
+    "complete": "complete source text", "dated": "connector publication timestamp", "none": "most direct available evidence",
+}
+
+
+def _primary(d: Dialect) -> str:
+    """Memberships with their primary score and its trace; connector, host and length of text are by the source and the quantity."""
+    connector = "CASE s.ecosystem WHEN 'chinaFocused' THEN 'github' WHEN 'globalFocused' THEN 'arxiv' WHEN 'mixed' THEN 'bluesky' ELSE 'rss' END"
+    host = "CASE s.source_id % 5 WHEN 0 THEN 'github.com' WHEN 1 THEN 'export.arxiv.org' WHEN 2 THEN 'notgithub.com' ELSE 'example.org' END"
+    base = f"""SELECT m.item_id, m.event_id, m.ordinal, m.source_id, m.provenance, s.is_followed AS official, {connector} AS connector, {host} AS host, CAST(m.quantity * 100 AS BIGINT) AS text_bytes, CASE WHEN m.ordinal % 4 <> 3 THEN m.published_at END AS dated
+        FROM v_memberships m JOIN v_sources s ON s.source_id = m.source_id WHERE m.decision <> 'rejected'"""
+    of_connector = "CASE connector " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in CONNECTOR_SCORES.items()) + " ELSE 0.0 END"
+    of_host = f"CASE WHEN host = 'github.com' OR {'endswith' if d.spark else 'ends_with'}(host, 'arxiv.org') THEN 0.18 ELSE 0.0 END"
+    score = f"CASE WHEN official THEN 0.45 ELSE 0.0 END + {of_connector} + {of_host} + least(0.16, text_bytes / 25000.0) + CASE WHEN dated IS NOT NULL THEN 0.04 ELSE 0.0 END"
+    when = {"official": "official", "github": "connector = 'github'", "arxiv": "connector = 'arxiv'", "bluesky": "connector IN ('bluesky', 'x')", "complete": "text_bytes >= 1200", "dated": "dated IS NOT NULL"}
+    why = d.join(d.filter(d.array(*[f"CASE WHEN {c} THEN '{REASONS[k]}' ELSE '' END" for k, c in when.items()]), "x", "x <> ''"), "'; '")
+    return f"SELECT item_id, event_id, ordinal, source_id, provenance, round(CAST({score} AS DOUBLE), 6) AS score, coalesce(nullif({why}, ''), '{REASONS['none']}') AS trace FROM ({base}) b"
+
+
 def primary_score(d: Dialect) -> str:
     """How well a source item stands as primary evidence, with the reasons."""
-    kind = "CASE s.ecosystem WHEN 'chinaFocused' THEN 0.42 WHEN 'globalFocused' THEN 0.46 WHEN 'mixed' THEN 0.16 ELSE 0.12 END"
-    why = d.filter(d.array("CASE WHEN s.is_followed THEN 'official source' ELSE '' END", "CASE WHEN s.ecosystem = 'globalFocused' THEN 'paper record' ELSE '' END", "CASE WHEN m.confidence > 0.9 THEN 'dated' ELSE '' END"), "x", "x <> ''")
-    return f"""SELECT item_id, source_id, event_id, max(primary_score) AS primary_score, max(trace) AS trace FROM (
-        SELECT m.item_id, m.source_id, m.event_id, {d.real(f"CASE WHEN s.is_followed THEN 0.45 ELSE 0.0 END + {kind} + least(0.16, m.quantity / 25000.0) + CASE WHEN m.confidence > 0.9 THEN 0.04 ELSE 0.0 END")} AS primary_score, {d.join(why, "'; '")} AS trace
-        FROM v_memberships m JOIN v_sources s ON s.source_id = m.source_id WHERE m.decision <> 'rejected') x GROUP BY item_id, source_id, event_id"""
+    return f"SELECT item_id, source_id, event_id, max(score) AS primary_score, max(trace) AS trace FROM ({_primary(d)}) x GROUP BY item_id, source_id, event_id"
+
+
+def primary_switch(d: Dialect) -> str:
+    """The primary that an event has after its latest member came: the new one only if better by over 0.08; a reader's choice stays."""
+    row = lambda order: f"row_number() OVER (PARTITION BY event_id ORDER BY ordinal {order}, item_id {order}, source_id {order})"
+    switched = "c.provenance <> 'user' AND n.score > c.score + 0.08"
+    return f"""WITH p AS (SELECT *, {row('')} AS first_n, {row('DESC')} AS last_n FROM ({_primary(d)}) x)
+        SELECT c.event_id, c.item_id AS current_item, n.item_id AS new_item, CASE WHEN {switched} THEN n.item_id ELSE c.item_id END AS primary_item,
+        CASE WHEN c.provenance = 'user' THEN concat(c.trace, '; user override remains authoritative') WHEN {switched} THEN n.trace ELSE c.trace END AS trace
+        FROM (SELECT * FROM p WHERE first_n = 1) c JOIN (SELECT * FROM p WHERE last_n = 1 AND first_n > 1) n ON n.event_id = c.event_id"""
+
+
+#: Weight of a membership by its decision.
+_WEIGHT = "greatest(0.0, confidence * CASE WHEN decision = 'accepted' AND provenance = 'user' THEN 1.5 WHEN decision = 'accepted' THEN 1.0 WHEN decision = 'provisional' THEN 0.5 ELSE 0.0 END)"
 
 
 def membership_weight(d: Dialect) -> str:
     """Weight of each decision: confidence by 1.5 where the reader accepted, by 1, by a half, or nothing."""
-    return f"SELECT decision, role, count(*) AS n, {d.real('avg(confidence * CASE decision WHEN ' + chr(39) + 'accepted' + chr(39) + ' THEN 1.0 WHEN ' + chr(39) + 'provisional' + chr(39) + ' THEN 0.5 ELSE 0.0 END)')} AS mean_weight FROM v_memberships GROUP BY decision, role"
+    return f"SELECT decision, provenance, role, count(*) AS n, {d.real(f'avg({_WEIGHT})')} AS mean_weight FROM v_memberships GROUP BY decision, provenance, role"
 
 
 def split_identity(d: Dialect) -> str:
-    """The partition of a split that keeps the event's identity: largest weighted overlap, then count, then hash of its sorted members."""
+    """The partition of a split that keeps the event's identity: largest share of the weight, then count, then hash of its sorted members."""
     string = "STRING" if d.spark else "VARCHAR"
     key = d.sha256(d.join(d.gather(f"CAST(item_id AS {string})"), "'|'"))
-    weight = "greatest(0.0, confidence * CASE decision WHEN 'accepted' THEN 1.0 WHEN 'provisional' THEN 0.5 ELSE 0.0 END)"
+    share = "CASE WHEN sum(weight) OVER (PARTITION BY event_id) > 0 THEN weight / sum(weight) OVER (PARTITION BY event_id) ELSE 0.0 END"
     return f"""SELECT event_id, partition_id, members, overlap FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY overlap DESC, members DESC, h) AS rn FROM (
-        SELECT event_id, role AS partition_id, count(DISTINCT item_id) AS members, {d.real(f'sum({weight})')} AS overlap, {key} AS h FROM v_memberships GROUP BY event_id, role) y) x WHERE rn = 1"""
+        SELECT event_id, partition_id, members, h, {d.real(share)} AS overlap FROM (
+        SELECT event_id, role AS partition_id, count(*) AS members, round(CAST(sum({_WEIGHT}) AS DOUBLE), 9) AS weight, {key} AS h FROM v_memberships GROUP BY event_id, role) z) y) x WHERE rn = 1"""
 
 
 def merge_identity(d: Dialect) -> str:
@@ -145,7 +185,7 @@ SPARK_QUERIES = {f.__name__: f for f in (entity_spans,)}
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        segment_spans, revision_alignment_exact, cluster_scores, cluster_assign, primary_score, membership_weight, split_identity,
+        segment_spans, revision_alignment_exact, cluster_scores, cluster_assign, primary_score, primary_switch, membership_weight, split_identity,
         merge_identity, manual_merge, entity_mentions, entity_resolution,
     )
 }

@@ -18,8 +18,13 @@ def insert_ignore(d: Dialect) -> str:
 
 
 def insert_replace(d: Dialect) -> str:
-    """Insert or replace under two unique keys: the last row wins and removes any that it meets on either key."""
-    return "SELECT a.item_id, a.topic, a.topic_kind FROM v_topics a WHERE NOT EXISTS (SELECT 1 FROM v_topics b WHERE b.topic = a.topic AND b.topic_kind = a.topic_kind AND b.item_id > a.item_id)"
+    """Insert or replace under two unique keys, (topic, kind) and name: a row removes all earlier ones that it meets on either.
+
+    So what stays is the last row of each of its keys.
+    """
+    return """SELECT v.item_id, v.topic, v.topic_kind, v.name FROM v_topics v
+        JOIN (SELECT max(item_id) AS item_id FROM v_topics GROUP BY topic, topic_kind) a ON a.item_id = v.item_id
+        JOIN (SELECT max(item_id) AS item_id FROM v_topics GROUP BY name) b ON b.item_id = v.item_id"""
 
 
 def scd2_supersede(d: Dialect) -> str:
@@ -29,25 +34,32 @@ def scd2_supersede(d: Dialect) -> str:
 
 
 def tombstone_overlay(d: Dialect) -> str:
-    """Removals laid over items at reading: three of five kinds blank the content, remote deletion keeps it."""
-    kind = "CASE l.quality * 2 + l.toxic WHEN 0 THEN 'remoteDeletion' WHEN 1 THEN 'policyPurge' WHEN 3 THEN 'userPurge' ELSE NULL END"
-    return f"""SELECT i.item_id, {kind} AS deletion_kind, CASE WHEN {kind} IN ('policyPurge', 'userPurge') THEN '' ELSE i.content_hash END AS visible_hash,
-        {kind} IS NULL AS is_live FROM v_items i LEFT JOIN labels l ON l.doc_id = i.item_id"""
+    """Removals laid over items at reading: three of five kinds purge title and text, remote deletion keeps the item in search."""
+    kinds = ("remoteDeletion", "userTrash", "userPurge", "legalPolicyPurge", "connectorMandatedPurge")
+    kind = "CASE (l.quality * 2 + l.toxic + l.doc_id) % 7 " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(kinds)) + " END"
+    purged = "kind IN ('userPurge', 'legalPolicyPurge', 'connectorMandatedPurge')"
+    return f"""SELECT item_id, kind AS deletion_kind, CASE WHEN kind IS NULL THEN 'live' WHEN kind = 'remoteDeletion' THEN 'remoteDeletedRetained' ELSE 'tombstoned' END AS state,
+        CASE WHEN {purged} THEN '[Purged]' ELSE title END AS title, CASE WHEN {purged} THEN 0 ELSE {d.n_bytes("plain_text")} END AS text_bytes, kind IS NULL OR kind = 'remoteDeletion' AS searchable
+        FROM (SELECT i.item_id, i.title, i.plain_text, {kind} AS kind FROM v_items i LEFT JOIN labels l ON l.doc_id = i.item_id) x"""
 
 
 def gc_mark_sweep(d: Dialect) -> str:
-    """Blobs that nothing refers to: marked now, swept once they have been in quarantine for a week."""
+    """Blobs: what nothing refers to is put in quarantine, and deleted once it has been there for seven days; the rest stays.
+
+    References are the accepted memberships of full quantity; the quarantine of earlier runs is by the item's number.
+    """
     now = d.now("2001-06-01 00:00:00")
-    return f"""SELECT t.item_id, coalesce(m.last_at, 0) AS last_at, CASE WHEN m.last_at IS NULL THEN 'sweep' WHEN {now} - m.last_at > 604800 * 52 THEN 'sweep' WHEN {now} - m.last_at > 604800 THEN 'quarantine' ELSE 'keep' END AS action
-        FROM v_topics t LEFT JOIN (SELECT item_id, max(published_at) AS last_at FROM v_memberships WHERE decision <> 'rejected' GROUP BY item_id) m ON m.item_id = t.item_id"""
+    return f"""SELECT item_id, quarantined_at, CASE WHEN referenced THEN 'keep' WHEN quarantined_at IS NULL THEN 'quarantine' WHEN {now} - quarantined_at >= 604800 THEN 'delete' ELSE 'wait' END AS action
+        FROM (SELECT t.item_id, m.item_id IS NOT NULL AS referenced, CASE t.item_id % 4 WHEN 1 THEN {now} - 259200 WHEN 2 THEN {now} - 604800 WHEN 3 THEN {now} - 864000 END AS quarantined_at
+              FROM v_topics t LEFT JOIN (SELECT DISTINCT item_id FROM v_memberships WHERE decision = 'accepted' AND quantity >= 49) m ON m.item_id = t.item_id) x"""
 
 
 def job_lease_candidates(d: Dialect) -> str:
-    """Jobs to lease: pending ones and those whose lease ran out, with the attempt they start; the next one first."""
+    """The next hundred jobs to lease: pending ones and those whose lease ran out, by time and id, with the attempt that they start."""
     now = d.now("2024-01-25 00:00:00")
-    return f"""SELECT job_id, attempts + 1 AS attempt, row_number() OVER (ORDER BY next_attempt_at, job_id) AS place FROM (
+    return f"""SELECT job_id, attempts + 1 AS attempt, next_attempt_at FROM (
         SELECT item_id AS job_id, count(*) AS attempts, max(captured_at) + least(21600, CAST(power(2, least(count(*), 10)) AS BIGINT) * 15) AS next_attempt_at, bool_or(metric = 'signup' AND captured_at > {now} - 600) AS leased
-        FROM v_metrics WHERE captured_at <= {now} AND metric IN ('error', 'signup') GROUP BY item_id) x WHERE NOT leased AND next_attempt_at <= {now}"""
+        FROM v_metrics WHERE captured_at <= {now} AND metric IN ('error', 'signup') GROUP BY item_id) x WHERE NOT leased AND next_attempt_at <= {now} ORDER BY next_attempt_at, job_id LIMIT 100"""
 
 
 def sync_health_latest(d: Dialect) -> str:

@@ -17,50 +17,75 @@ NOW = "2001-11-05 00:00:00"
 
 def _snapshot(d: Dialect) -> str:
     now = d.now(NOW)
-    return f"""SELECT e.event_id, e.title, e.started_at, e.weight, coalesce(c.sources, 0) AS sources, coalesce(c.groups_n, 0) AS groups_n, coalesce(c.ecosystems, 0) AS ecosystems, coalesce(c.followed, FALSE) AS followed,
-        coalesce(c.topics, 0) AS topics, coalesce(c.best, 0.0) AS best, coalesce(v.recent, 0) AS recent, coalesce(v.prior, 0) AS prior, coalesce(c.members, 0) AS members,
-        CASE WHEN coalesce(v.recent, 0) >= 2 THEN least(1.0, v.recent / greatest(2.0, v.prior / 7.0)) ELSE 0.0 END AS velocity, coalesce(c.latest_at, e.started_at) AS latest_at
-        FROM v_events e
-        LEFT JOIN (SELECT m.event_id, count(DISTINCT m.source_id) AS sources, count(DISTINCT s.independence_group) AS groups_n, count(DISTINCT s.ecosystem) AS ecosystems, bool_or(s.is_followed) AS followed, count(DISTINCT t.topic) AS topics, max(m.confidence) AS best, count(*) AS members, max(m.published_at) AS latest_at
+    # the primary membership is the first that is not rejected; its trace tells a first-party source, a repository or a paper
+    traced = "s.is_followed OR s.ecosystem IN ('chinaFocused', 'globalFocused')"
+    primary = f"min(struct(m.ordinal, m.item_id, m.source_id, {traced} AS traced)).traced" if d.spark else f"min({{'a': m.ordinal, 'b': m.item_id, 'c': m.source_id, 'traced': {traced}}}).traced"
+    china, world = (f"count(DISTINCT CASE WHEN s.ecosystem = '{x}' THEN s.independence_group END)" for x in ("chinaFocused", "globalFocused"))
+    return f"""SELECT e.event_id, e.title, e.change_kind, e.is_saved, e.started_at, e.weight, coalesce(c.sources, 0) AS sources, coalesce(c.groups_n, 0) AS groups_n, coalesce(c.ecosystems, 0) AS ecosystems,
+        coalesce(p.is_followed, FALSE) AS followed_people, coalesce(c.followed_source, FALSE) AS followed_source, coalesce(c.followed_topic, FALSE) AS followed_topic,
+        coalesce(c.topics, 0) AS topics, coalesce(c.best, 0.0) AS best, CASE WHEN coalesce(c.traced, FALSE) THEN 1.0 ELSE 0.65 END AS authority, coalesce(v.recent, 0) AS recent, coalesce(v.prior, 0) AS prior,
+        coalesce(c.china, 0) >= 2 AND coalesce(c.world, 0) >= 2 AS covered_both, CAST(floor(e.weight / 100) AS BIGINT) AS reader_chars,
+        CASE WHEN coalesce(v.recent, 0) >= 2 THEN least(1.0, v.recent / greatest(2.0, v.prior / 7.0)) ELSE 0.0 END AS velocity, greatest(coalesce(c.latest_at, e.started_at), e.started_at) AS latest_at
+        FROM v_events e LEFT JOIN v_entities p ON p.entity_id = e.entity_id
+        LEFT JOIN (SELECT m.event_id, count(DISTINCT m.source_id) AS sources, count(DISTINCT s.independence_group) AS groups_n, count(DISTINCT s.ecosystem) AS ecosystems, bool_or(s.is_followed) AS followed_source, bool_or(t.is_followed) AS followed_topic,
+                   count(DISTINCT t.topic) AS topics, max(m.confidence) AS best, {primary} AS traced, {china} AS china, {world} AS world, max(m.published_at) AS latest_at
                    FROM v_memberships m JOIN v_sources s ON s.source_id = m.source_id JOIN v_topics t ON t.item_id = m.item_id WHERE m.decision <> 'rejected' GROUP BY m.event_id) c ON c.event_id = e.event_id
-        LEFT JOIN (SELECT event_id, count(DISTINCT CASE WHEN published_at >= {now} - 86400 THEN source_id END) AS recent, count(DISTINCT CASE WHEN published_at < {now} - 86400 THEN source_id END) AS prior FROM v_memberships GROUP BY event_id) v ON v.event_id = e.event_id
-        WHERE e.lifecycle = 'active'"""
+        LEFT JOIN (SELECT m.event_id, count(DISTINCT CASE WHEN m.published_at >= {now} - 86400 THEN s.independence_group END) AS recent, count(DISTINCT CASE WHEN m.published_at < {now} - 86400 THEN s.independence_group END) AS prior
+                   FROM v_memberships m JOIN v_sources s ON s.source_id = m.source_id GROUP BY m.event_id) v ON v.event_id = e.event_id
+        WHERE e.lifecycle = 'active' AND NOT e.is_tombstoned"""
 
 
 def event_snapshot(d: Dialect) -> str:
-    """One row for each event with all that ranking needs: one plan in place of many statements for each event."""
-    return f"SELECT event_id, title, sources, groups_n, ecosystems, followed, topics, {d.real('best')} AS best, recent, prior, {d.real('velocity')} AS velocity, latest_at FROM ({_snapshot(d)}) x"
+    """One row for each live event with all that ranking needs: one plan in place of many statements for each event."""
+    flags = "followed_people, followed_source, followed_topic, is_saved, covered_both"
+    return f"SELECT event_id, title, change_kind, sources, groups_n, ecosystems, {flags}, topics, {d.real('best')} AS best, {d.real('authority')} AS authority, recent, prior, {d.real('velocity')} AS velocity, reader_chars, latest_at FROM ({_snapshot(d)}) x"
+
+
+#: How far a change matters, by its kind.
+MAGNITUDE = {"initial": 1.0, "majorUpdate": 1.0, "correction": 1.0, "contentUpdate": 0.72, "merge": 0.72, "split": 0.72, "minorMetadata": 0.25}
+#: Weights of the clamped signals, and what each tie to the reader adds.
+WEIGHTS = {"importance": 0.20, "relevance": 0.17, "novelty": 0.12, "authority": 0.12, "coverage": 0.11, "velocity": 0.09, "recency": 0.09, "diversity": 0.05}
+BONUSES = {"followed_people": 0.025, "followed_source": 0.015, "followed_topic": 0.01, "is_saved": 0.01}
+#: Reasons in the order in which they are given.
+REASONS = [
+    ("followed_people", "followedPerson"), ("followed_source", "followedSource"), ("followed_topic", "followedTopic"), ("authority >= 0.75", "primarySource"),
+    ("coverage >= 0.65", "independentCoverage"), ("velocity >= 0.72", "rapidGrowth"), ("novelty >= 0.72", "novelDevelopment"), ("is_saved", "savedRelationship"),
+]
 
 
 def _signals(d: Dialect) -> str:
     now = d.now(NOW)
+    magnitude = "CASE change_kind " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in MAGNITUDE.items()) + " END"
+    coverage = "least(1.0, groups_n / 8.0)"
     signals = {
-        "importance": clamp01("0.5 + 0.06 * sources"), "relevance": "CASE WHEN followed THEN 1.0 WHEN topics > 2 THEN 0.8 ELSE 0.15 END",
-        "novelty": "CASE title WHEN '1-URGENT' THEN 1.0 WHEN '2-HIGH' THEN 0.72 ELSE 0.25 END", "authority": "CASE WHEN best >= 0.95 THEN 1.0 ELSE 0.65 END",
-        "coverage": "least(1.0, groups_n / 8.0)", "recency": f"greatest(0.0, 1 - ({now} - latest_at) / 3600.0 / 96)", "diversity": "least(1.0, sources / 10.0)", "velocity": "velocity",
+        "importance": f"least(1.0, ({magnitude}) * 0.55 + {coverage} * 0.45)", "relevance": "CASE WHEN followed_people OR followed_topic OR followed_source THEN 1.0 WHEN is_saved THEN 0.8 ELSE 0.15 END",
+        "novelty": magnitude, "authority": "authority", "coverage": coverage, "velocity": "velocity",
+        "recency": f"greatest(0.0, 1 - greatest(0, {now} - latest_at) / 3600.0 / 96)", "diversity": "least(1.0, sources / 10.0)",
     }
-    return f"SELECT event_id, title, members, sources, ecosystems, followed, {', '.join(f'CAST({v} AS DOUBLE) AS {k}' for k, v in signals.items())} FROM ({_snapshot(d)}) x"
+    return f"SELECT event_id, title, sources, groups_n, {', '.join(BONUSES)}, covered_both, reader_chars, {now} - latest_at AS age_s, {', '.join(f'CAST({v} AS DOUBLE) AS {k}' for k, v in signals.items())} FROM ({_snapshot(d)}) x"
 
 
 def ranking_signals(d: Dialect) -> str:
     """Eight signals of each event."""
-    return f"SELECT event_id, {', '.join(f'{d.real(c)} AS {c}' for c in ('importance', 'relevance', 'novelty', 'authority', 'coverage', 'recency', 'diversity', 'velocity'))} FROM ({_signals(d)}) x"
+    return f"SELECT event_id, {', '.join(f'{d.real(c)} AS {c}' for c in WEIGHTS)} FROM ({_signals(d)}) x"
 
 
 def _ranked(d: Dialect) -> str:
-    bonus = "CASE WHEN followed THEN 0.025 ELSE 0.0 END + CASE WHEN velocity > 0.5 THEN 0.015 ELSE 0.0 END + CASE WHEN ecosystems > 1 THEN 0.01 ELSE 0.0 END + CASE WHEN authority = 1.0 THEN 0.01 ELSE 0.0 END"
-    score = f"0.20 * importance + 0.17 * relevance + 0.12 * novelty + 0.12 * authority + 0.11 * coverage + 0.09 * recency + 0.09 * diversity + 0.05 * velocity + {bonus}"
-    why = d.filter(d.array("CASE WHEN importance >= 0.75 THEN 'important' ELSE '' END", "CASE WHEN relevance >= 0.65 THEN 'relevant' ELSE '' END", "CASE WHEN novelty >= 0.72 THEN 'new' ELSE '' END", "CASE WHEN coverage >= 0.72 THEN 'widelyCovered' ELSE '' END", "CASE WHEN authority >= 0.75 THEN 'primarySource' ELSE '' END"), "x", "x <> ''")
-    return f"SELECT event_id, title, members, sources, ecosystems, velocity, followed, relevance, round({score}, 6) AS score, {d.join(why)} AS reasons FROM ({_signals(d)}) y"
+    score = " + ".join([f"{w} * {clamp01(c)}" for c, w in WEIGHTS.items()] + [f"CASE WHEN {c} THEN {w} ELSE 0.0 END" for c, w in BONUSES.items()])
+    why = d.filter(d.array(*[f"CASE WHEN {c} THEN '{r}' ELSE '' END" for c, r in REASONS]), "x", "x <> ''")
+    return f"SELECT event_id, title, sources, groups_n, {', '.join(BONUSES)}, covered_both, reader_chars, age_s, authority, velocity, round(CAST({score} AS DOUBLE), 6) AS score, {d.join(why)} AS reasons FROM ({_signals(d)}) y"
 
 
 def ranked_events(d: Dialect) -> str:
-    """Scores and reasons; scores may pass 1 and are not clamped."""
+    """Scores and reasons; ties to the reader may carry a score past 1, as scores are not clamped."""
     return f"SELECT event_id, {d.real('score', 5)} AS score, reasons FROM ({_ranked(d)}) z"
 
 
 #: Sections in the order in which they are filled: name, condition, most entries; fifteen in all.
-SECTIONS = [("today", "TRUE", 5), ("emerging", "velocity > 0", 3), ("people", "followed", 3), ("worthReading", "members >= 6", 3), ("crossEcosystem", "ecosystems > 2", 2), ("rest", "TRUE", 15)]
+SECTIONS = [
+    ("today", "age_s <= 604800 AND (authority >= 0.8 OR groups_n >= 2 OR followed_source OR followed_people OR followed_topic)", 5), ("emerging", "velocity > 0", 3),
+    ("peopleYouFollow", "followed_people OR followed_source", 3), ("worthReading", "reader_chars >= 1200", 3), ("chinaGlobal", "covered_both", 2), ("everythingElse", "TRUE", 15),
+]
 ALL_ENTRIES = 15
 
 
@@ -90,13 +115,25 @@ def _digest_sql(d: Dialect) -> str:
 
 
 def briefing_decisions(d: Dialect) -> str:
-    """Trigger by state: create an initial digest once a day, children only where a change is material."""
-    triggers = ", ".join(f"('{x}')" for x in ("scheduled", "additional", "material", "manual", "launch"))
-    states = ", ".join(f"({i}, {str(a).upper()}, {str(b).upper()}, {m}, {g})" for i, (a, b, m, g) in enumerate((a, b, m, g) for a in (False, True) for b in (False, True) for m in (0.3, 0.6, 0.8) for g in (0, 2)))
-    material = "((NOT seen AND materiality >= 0.55) OR (seen AND materiality >= 0.72 AND growth >= 2))"
-    return f"""SELECT name, state_id, CASE WHEN NOT has_initial THEN CASE WHEN name IN ('scheduled', 'manual', 'launch') THEN 'createInitial' ELSE 'none' END
-        WHEN name = 'manual' THEN 'createChild' WHEN name IN ('additional', 'material') AND {material} THEN 'createChild' ELSE 'none' END AS decision
-        FROM (VALUES {triggers}) AS t(name) JOIN (VALUES {states}) AS s(state_id, has_initial, seen, materiality, growth) ON TRUE"""
+    """What each trigger does in each state of the day: an initial digest once, children for additional times, requests and material changes.
+
+    Changes are the live events with a growth of evidence, so that every kind and threshold occurs; times are those of a schedule.
+    """
+    triggers = ", ".join(f"('{k}', '{at}')" for k, at in [("opening", ""), ("manualRefresh", ""), ("scheduled", "08:00"), ("scheduled", "12:30"), ("scheduled", "18:00"), ("scheduled", "21:00")])
+    states = ", ".join(f"({i}, {str(has).upper()}, '{done}')" for i, (has, done) in enumerate([(False, ""), (True, ""), (True, "12:30"), (True, "12:30,18:00")]))
+    daily, additional = "08:00", "12:30,18:00"
+    # the change that comes with each trigger of kind eventChanged
+    changes = f"""SELECT event_id, change_kind, importance, growth, is_new, primary_arrived, corrected, lineage_changed,
+        corrected OR lineage_changed OR primary_arrived OR change_kind IN ('majorUpdate', 'correction', 'merge', 'split') OR CASE WHEN is_new THEN importance >= 0.55 ELSE importance >= 0.72 AND growth >= 2 AND change_kind <> 'minorMetadata' END AS material
+        FROM (SELECT s.event_id, e.change_kind, s.importance, s.sources AS growth, e.weight < 50000 AS is_new, s.event_id % 97 = 0 AS primary_arrived, s.event_id % 89 = 0 AS corrected, s.event_id % 83 = 0 AS lineage_changed
+              FROM ({_signals(d)}) s JOIN v_events e ON e.event_id = s.event_id) c"""
+    listed = lambda one, times: f"({one} <> '' AND contains({times}, {one}))"
+    first = f"CASE WHEN kind IN ('opening', 'manualRefresh') OR (kind = 'scheduled' AND (at_time = '{daily}' OR {listed('at_time', repr(additional))})) THEN 'initialDaily' ELSE 'noRevision' END"
+    later = f"CASE WHEN kind = 'manualRefresh' THEN 'manualRefresh' WHEN kind = 'eventChanged' AND material THEN CASE WHEN is_new THEN 'materialEvent' ELSE 'majorUpdate' END WHEN kind = 'scheduled' AND {listed('at_time', repr(additional))} AND NOT {listed('at_time', 'done')} THEN 'additionalBriefing' ELSE 'noRevision' END"
+    state = f"(VALUES {states}) AS s(state_id, has_initial, done)"
+    return f"""SELECT kind, at_time, state_id, event_id, CASE WHEN has_initial THEN {later} ELSE {first} END AS decision FROM (
+        SELECT kind, at_time, state_id, has_initial, done, CAST(NULL AS BIGINT) AS event_id, FALSE AS material, FALSE AS is_new FROM (VALUES {triggers}) AS t(kind, at_time) JOIN {state} ON TRUE
+        UNION ALL SELECT 'eventChanged', '', state_id, has_initial, done, event_id, material, is_new FROM ({changes}) c JOIN {state} ON TRUE) x"""
 
 
 def schedule_times(d: Dialect) -> str:
