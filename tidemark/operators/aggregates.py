@@ -57,14 +57,16 @@ def ordered_hash_list(d: Dialect) -> str:
 
 def weighted_membership_sum(d: Dialect) -> str:
     """Identity weight of each event: confidence by 1, or by half where provisional; negative weights count nothing."""
-    weight = "greatest(0.0, confidence * CASE decision WHEN 'accepted' THEN CASE WHEN role = 'independent' THEN 1.5 ELSE 1.0 END WHEN 'provisional' THEN 0.5 ELSE 0.0 END)"
+    weight = "greatest(0.0, confidence * CASE decision WHEN 'accepted' THEN CASE WHEN provenance = 'user' THEN 1.5 ELSE 1.0 END WHEN 'provisional' THEN 0.5 ELSE 0.0 END)"
     return f"SELECT event_id, {d.real(f'sum({weight})')} AS weight, min(published_at) AS started_at, max(published_at) AS ended_at FROM v_memberships GROUP BY event_id"
 
 
 def nearest_rank_percentile(d: Dialect) -> str:
-    """p50 and p95 by nearest rank: the element at ceil((n - 1) * q) of the sorted values, from 0."""
-    at = lambda q: d.at(d.gather_all("value"), f"ceil((count(*) - 1) * {q}) + 1")
-    return f"SELECT metric, count(*) AS n, {d.real(at('0.5'))} AS p50, {d.real(at('0.95'))} AS p95 FROM v_metrics GROUP BY metric"
+    """p50 and p95 by nearest rank: the element at ceil((n - 1) * q) of the sorted values, from 0; equal values are counted first."""
+    at = lambda q: f"min(CASE WHEN upto > ceil((total - 1) * {q}) THEN value END)"
+    over = "OVER (PARTITION BY metric{})"
+    return f"""SELECT metric, CAST(max(total) AS BIGINT) AS n, {d.real(at('0.5'))} AS p50, {d.real(at('0.95'))} AS p95 FROM (
+        SELECT metric, value, sum(n) {over.format(' ORDER BY value ROWS UNBOUNDED PRECEDING')} AS upto, sum(n) {over.format('')} AS total FROM (SELECT metric, value, count(*) AS n FROM v_metrics GROUP BY metric, value) c) u GROUP BY metric"""
 
 
 def latest_row_per_key(d: Dialect) -> str:
@@ -109,15 +111,15 @@ def read_status(d: Dialect) -> str:
 
 
 def digest_rank(d: Dialect) -> str:
-    """Rank within a section, from 0."""
-    return "SELECT event_id, title AS section, row_number() OVER (PARTITION BY title ORDER BY weight DESC, event_id) - 1 AS rank_n FROM v_events WHERE lifecycle = 'active'"
+    """Rank within a section, from 0: the fifteen that a digest can take."""
+    return "SELECT event_id, section, rn - 1 AS rank_n FROM (SELECT event_id, title AS section, row_number() OVER (PARTITION BY title ORDER BY weight DESC, event_id) AS rn FROM v_events WHERE lifecycle = 'active') x WHERE rn <= 15"
 
 
 def initial_and_current_revision(d: Dialect) -> str:
     """The first and the latest revision of a day."""
-    day = "CAST(floor(captured_at / 86400) AS BIGINT)"
-    return f"""SELECT DISTINCT {day} AS day_n, first_value(event_id) OVER (PARTITION BY {day} ORDER BY captured_at, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS initial_id,
-        last_value(event_id) OVER (PARTITION BY {day} ORDER BY captured_at, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS current_id FROM v_metrics"""
+    day, key = "CAST(floor(captured_at / 86400) AS BIGINT)", "captured_at * 10000000 + event_id"
+    first, last = ("min_by", "max_by") if d.spark else ("arg_min", "arg_max")
+    return f"SELECT {day} AS day_n, {first}(event_id, {key}) AS initial_id, {last}(event_id, {key}) AS current_id FROM v_metrics GROUP BY {day}"
 
 
 def top_per_topic(d: Dialect) -> str:
@@ -126,9 +128,10 @@ def top_per_topic(d: Dialect) -> str:
 
 
 def stable_distinct(d: Dialect) -> str:
-    """Distinct words of a text as a sorted set with its size."""
-    words = d.distinct(d.filter(d.split("lower(name)", r"\s+"), "w", "w <> ''"))
-    return f"SELECT item_id, {d.join(words, chr(39) + ' ' + chr(39))} AS words, {d.size(words)} AS n FROM v_topics"
+    """Distinct words of a text in the order of their first occurrence."""
+    words = d.filter(d.split("lower(concat(name, ' ', topic_kind, ' ', name))", r"\s+"), "w", "w <> ''")
+    once = f"array_distinct({words})" if d.spark else f"list_filter({words}, lambda w, i: list_position({words}, w) = i)"
+    return f"SELECT item_id, {d.join(once, chr(39) + ' ' + chr(39))} AS words, {d.size(once)} AS n FROM v_topics"
 
 
 def duplicate_family_summary(d: Dialect) -> str:

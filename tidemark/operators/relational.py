@@ -9,8 +9,9 @@ NOW = "1999-01-01 00:00:00"
 
 
 def scan_live_items(d: Dialect) -> str:
-    """Live items: neither removed at the source nor by the reader (here: items of a source that is not archived)."""
-    return "SELECT item_id, source_id, language_code, content_hash, published_at FROM v_items WHERE language_code <> 'xx' AND source_id IS NOT NULL"
+    """Live items: neither removed at the source nor by the reader (here: labels of low quality stand for removal at the source, toxic ones for removal by the reader)."""
+    return """SELECT i.item_id, i.source_id, i.language_code, i.content_hash, i.published_at FROM v_items i LEFT JOIN labels l ON l.doc_id = i.item_id
+        WHERE coalesce(l.quality, 1) <> 0 AND coalesce(l.toxic, 0) = 0"""
 
 
 def active_events_topn(d: Dialect) -> str:
@@ -40,11 +41,11 @@ def coverage_star(d: Dialect) -> str:
 
 
 def alias_rank_left_join(d: Dialect) -> str:
-    """The best alias by name: linked ones first (condition in ON), then confidence, then length, then id."""
+    """The best alias by name: linked ones first (condition inside the joined side), then confidence, then length, then id."""
     return f"""SELECT normalized_name, entity_id, linked FROM (
         SELECT c.normalized_name, c.entity_id, CASE WHEN o.event_id IS NULL THEN 0 ELSE 1 END AS linked,
                row_number() OVER (PARTITION BY c.kind, c.nation_id ORDER BY CASE WHEN o.event_id IS NULL THEN 1 ELSE 0 END, c.balance DESC, length(c.display_name) DESC, c.entity_id) AS rn
-        FROM v_entities c LEFT JOIN (SELECT entity_id, min(event_id) AS event_id FROM v_events WHERE lifecycle = 'active' GROUP BY entity_id) o ON o.entity_id = c.entity_id AND o.event_id > 100) x WHERE rn = 1"""
+        FROM v_entities c LEFT JOIN (SELECT entity_id, min(event_id) AS event_id FROM v_events WHERE lifecycle = 'active' GROUP BY entity_id) o ON o.entity_id = c.entity_id) x WHERE rn = 1"""
 
 
 def optional_blob_left_join(d: Dialect) -> str:
@@ -69,8 +70,8 @@ def followed_flag(d: Dialect) -> str:
 
 
 def pending_segments_anti(d: Dialect) -> str:
-    """Items without an accepted or provisional membership."""
-    return "SELECT t.item_id, t.topic FROM v_topics t WHERE NOT EXISTS (SELECT 1 FROM v_memberships m WHERE m.item_id = t.item_id AND m.decision IN ('accepted', 'provisional') AND m.confidence > 0.9)"
+    """Documents and parts without an accepted or provisional membership."""
+    return "SELECT t.item_id, t.kind FROM (SELECT item_id, 'part' AS kind FROM v_topics UNION ALL SELECT -1 - item_id, 'document' FROM v_items) t WHERE NOT EXISTS (SELECT 1 FROM v_memberships m WHERE m.item_id = t.item_id AND m.decision IN ('accepted', 'provisional'))"
 
 
 def unreferenced_triple_anti(d: Dialect) -> str:
@@ -82,8 +83,9 @@ def unreferenced_triple_anti(d: Dialect) -> str:
 
 
 def duplicate_pair_selfjoin(d: Dialect) -> str:
-    """Pairs of different items in the same duplicate group (here: equal content)."""
-    return "SELECT a.item_id AS left_id, b.item_id AS right_id FROM v_items a JOIN v_items b ON a.content_hash = b.content_hash AND a.item_id < b.item_id"
+    """Items in a duplicate group of two or more (here: equal content), each with the group's representative and size."""
+    return """SELECT i.item_id, g.representative, g.members FROM v_items i
+        JOIN (SELECT content_hash, min(item_id) AS representative, count(*) AS members FROM v_items GROUP BY content_hash HAVING count(*) > 1) g ON g.content_hash = i.content_hash"""
 
 
 def in_subquery_and_not_in(d: Dialect) -> str:
@@ -110,9 +112,10 @@ def endpoint_health_scalar_aggs(d: Dialect) -> str:
 
 
 def endpoint_match_or_join(d: Dialect) -> str:
-    """Same group and (same name or same balance): the OR split into two equi-joins and a distinct union."""
-    one = "SELECT a.source_id AS left_id, b.source_id AS right_id FROM v_sources a JOIN v_sources b ON a.independence_group = b.independence_group AND a.source_id < b.source_id AND {}"
-    return f"{one.format('a.display_name = b.display_name')} UNION {one.format('a.is_followed = b.is_followed AND a.ecosystem = b.ecosystem')}"
+    """Same group and (same name or same standing): the OR split into two equi-joins, each with the first source of its key."""
+    one = "SELECT a.source_id, b.source_id AS match_id FROM v_sources a JOIN (SELECT {0}, min(source_id) AS source_id FROM v_sources GROUP BY {0}) b ON {1} AND a.source_id <> b.source_id"
+    on = lambda *cs: (", ".join(cs), " AND ".join(f"a.{c} = b.{c}" for c in cs))
+    return f"{one.format(*on('independence_group', 'display_name'))} UNION {one.format(*on('independence_group', 'is_followed', 'ecosystem'))}"
 
 
 def cannot_link_cross(d: Dialect) -> str:
@@ -133,7 +136,7 @@ def expiry_and_due(d: Dialect) -> str:
     now = d.now("2024-01-15 00:00:00")
     bucket = f"CAST(floor({now} / 1800) AS BIGINT)"
     return f"""SELECT item_id, last_at, concat('scheduled-refresh:', item_id, ':', {bucket}) AS idempotency_key
-        FROM (SELECT item_id, max(captured_at) AS last_at FROM v_metrics WHERE captured_at <= {now} GROUP BY item_id) m WHERE last_at IS NULL OR last_at <= {now} - 1800"""
+        FROM (SELECT item_id, max(captured_at) AS last_at, CASE WHEN item_id % 3 > 0 THEN min(captured_at) + (item_id % 50) * 86400 END AS expires_at FROM v_metrics WHERE captured_at <= {now} GROUP BY item_id) m WHERE (last_at IS NULL OR last_at <= {now} - 1800) AND (expires_at IS NULL OR expires_at > {now})"""
 
 
 def historical_search_union(d: Dialect) -> str:
@@ -148,12 +151,13 @@ def historical_search_union(d: Dialect) -> str:
 
 
 def set_operations(d: Dialect) -> str:
-    """Overlap, Jaccard similarity and difference of the topic sets of sources, against all topics of their group."""
-    return f"""SELECT source_id, {d.common("own", "peers")} AS shared, {d.size("own")} AS own_n, {d.size("peers")} AS peers_n,
-        {d.real(f"{d.common('own', 'peers')} * 1.0 / ({d.size('own')} + {d.size('peers')} - {d.common('own', 'peers')})")} AS jaccard
-        FROM (SELECT m.source_id, {d.gather("t.topic")} AS own FROM v_memberships m JOIN v_topics t ON t.item_id = m.item_id WHERE m.decision = 'accepted' AND m.confidence > 0.95 GROUP BY m.source_id) a
-        JOIN (SELECT s.source_id AS peer_of, {d.gather("t.topic")} AS peers FROM v_sources s JOIN v_memberships m ON m.source_id = s.source_id JOIN v_topics t ON t.item_id = m.item_id WHERE m.decision = 'rejected' AND m.confidence > 0.95 GROUP BY s.source_id) b
-        ON a.source_id = b.peer_of"""
+    """Overlap, Jaccard similarity and difference of each source's accepted topics against all topics of its group."""
+    shared = d.common("own", "peers")
+    return f"""SELECT source_id, {shared} AS shared, {d.size("own")} AS own_n, {d.size("peers")} AS peers_n, {d.size("peers")} - {shared} AS missing,
+        {d.real(f"{shared} * 1.0 / ({d.size('own')} + {d.size('peers')} - {shared})")} AS jaccard
+        FROM (SELECT m.source_id, s.independence_group, {d.gather("t.topic")} AS own FROM v_memberships m JOIN v_sources s ON s.source_id = m.source_id JOIN v_topics t ON t.item_id = m.item_id WHERE m.decision = 'accepted' GROUP BY m.source_id, s.independence_group) a
+        JOIN (SELECT s.independence_group, {d.gather("t.topic")} AS peers FROM v_sources s JOIN v_memberships m ON m.source_id = s.source_id JOIN v_topics t ON t.item_id = m.item_id GROUP BY s.independence_group) b
+        ON a.independence_group = b.independence_group"""
 
 
 def binding_status(d: Dialect) -> str:
@@ -163,8 +167,8 @@ def binding_status(d: Dialect) -> str:
 
 
 def hash_join_dictionary(d: Dialect) -> str:
-    """Unique-key lookup of in-memory dictionaries."""
-    return "SELECT m.event_id, m.item_id, t.topic, t.price FROM v_memberships m JOIN v_topics t ON t.item_id = m.item_id WHERE m.role = 'independent' AND m.confidence >= 0.9"
+    """Unique-key lookup of each membership's item, counted by event: the lookup reads every membership."""
+    return "SELECT m.event_id, count(*) AS found, count(DISTINCT t.topic) AS topics, round(sum(t.price), 2) AS price FROM v_memberships m JOIN v_topics t ON t.item_id = m.item_id GROUP BY m.event_id"
 
 
 QUERIES: dict[str, Query] = {

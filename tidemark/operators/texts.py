@@ -118,6 +118,7 @@ def _spark_url(x: str) -> str:
 
 def http_redaction(d: Dialect) -> str:
     """Header and query redaction: values whose name holds a secret fragment are replaced; user and fragment go."""
+    # fixed values: fragments of secret header and parameter names
     header = "authorization|cookie|api-key|apikey|access-token|session|csrf|xsrf|client-secret|signature"
     query = "token|key|secret|signature|sig|auth|session|code|credential|password"
     items = d.filter(d.split("regexp_extract(url, " + d.re(r"\?([^#]*)") + ", 1)", "&"), "q", "q <> ''")
@@ -129,11 +130,11 @@ def http_redaction(d: Dialect) -> str:
 
 
 def meta_extract(d: Dialect) -> str:
-    """Title by og:title, title or host; language and charset by attribute."""
+    """Title by og:title, title or host; description by og:description or its meta; language by attribute."""
     get = lambda p: f"nullif(regexp_extract(html, {d.re(p)}, 1), '')"
     host = "regexp_extract(url, " + d.re("://([^/?#]+)") + ", 1)"
     og = 'property=["' + "\\x27" + ']og:title["' + "\\x27" + '] content=["' + "\\x27" + ']([^"]*)'
-    return f"SELECT page_id, coalesce({get(og)}, {get('<title>([^<]*)</title>')}, {host}) AS title, {get('<html lang=.([a-z]+)')} AS lang, {host} AS host FROM v_pages"
+    return f"SELECT page_id, coalesce({get(og)}, {get('<title>([^<]*)</title>')}, {host}) AS title, coalesce({get(og.replace('title', 'description'))}, {get('name=.description. content=.([^">]*)')}) AS description, {get('<html lang=.([a-z]+)')} AS lang, {host} AS host FROM v_pages"
 
 
 def plain_text_simple(d: Dialect) -> str:
@@ -146,17 +147,30 @@ def plain_text_simple(d: Dialect) -> str:
 
 
 def feed_autodiscovery(d: Dialect) -> str:
-    """Links of each page in order of appearance, first kept, then the well-known feed paths of its host."""
-    links = d.find_all("html", '<a href="[^"]*"')
+    """Feeds that each page names in alternate links, in order of appearance and resolved against its host, then the well-known paths.
+
+    The pages at hand name none, so each has a head of its own in front: an RSS and a JSON feed, an icon and a translation.
+    """
     base = "regexp_extract(url, " + d.re("^([a-z]+://[^/?#]+)") + ", 1)"
+    head = "'<link rel=\"icon\" href=\"/i.png\"><LINK rel=\"alternate\" type=\"application/rss+xml\" href=\"/feed-' || page_id || '.xml\"><link href=\"https://feeds.example.org/' || page_id || '\" type=\"application/feed+json\" rel=\"alternate home\"><link rel=\"alternate\" hreflang=\"de\" href=\"/de\">'"
+    tags = d.find_all(f"({head} || html)", "(?i)<link [^>]*>")
+    rel = "(?i)rel=.([^>]*[ \"])?alternate[ \"]"
+    feeds = d.filter(tags, "t", f"{d.matches('t', rel)} AND {d.matches('lower(t)', 'type=.[^>]*(rss|atom|feed.json)')}")
+    href = "regexp_extract(t, " + d.re('(?i)href="([^"]*)"') + ", 1)"
+    links = d.map(feeds, "t", f"CASE WHEN {d.starts(href, chr(39) + '/' + chr(39))} THEN {base} || {href} ELSE {href} END")
+    # fixed values: the well-known feed paths
     known = d.map(d.array(*[f"'{p}'" for p in ("/feed", "/feed.xml", "/rss", "/rss.xml", "/atom.xml", "/index.xml")]), "p", f"{base} || p")
-    return f"SELECT page_id, {d.size(links)} AS links_n, {d.join(d.distinct(links), chr(39) + ' ' + chr(39))} AS links, {d.join(known, chr(39) + ' ' + chr(39))} AS known_paths FROM v_pages"
+    return f"SELECT page_id, {d.size(links)} AS links_n, {d.join(links, chr(39) + ' ' + chr(39))} AS links, {d.join(known, chr(39) + ' ' + chr(39))} AS known_paths FROM v_pages"
 
 
 def connector_routing(d: Dialect) -> str:
-    """Connector by host, default rss then website."""
-    host = "lower(regexp_extract(url, " + d.re("://([^/?#]+)") + ", 1))"
-    return f"SELECT page_id, CASE WHEN {host} LIKE '%github.com' THEN 'github' WHEN {host} LIKE '%reddit.com' THEN 'reddit' WHEN {host} LIKE '%bsky.app' THEN 'bluesky' WHEN {host} LIKE '%arxiv.org' THEN 'arxiv' WHEN {host} LIKE 'm.%' THEN 'website' ELSE 'rss,website' END AS route, {host} AS host FROM v_pages"
+    """Connectors to try by host (the host itself or one below it), in order; rss then website for all others."""
+    host = "lower(regexp_extract(u, " + d.re("^[a-zA-Z]+://([^/:?#]+)") + ", 1))"
+    sites = {"github.com": "github", "reddit.com": "reddit", "bsky.app": "bluesky", "arxiv.org": "arxiv", "news.ycombinator.com": "hackernews"}
+    of = lambda h: f"({host} = '{h}' OR {'endswith' if d.spark else 'ends_with'}({host}, '.{h}'))"
+    route = "CASE " + " ".join(f"WHEN {of(h)} THEN '{c},rss,website'" for h, c in sites.items()) + " ELSE 'rss,website' END"
+    known = ", ".join(f"({-1 - i}, 'https://{x}')" for i, x in enumerate(("github.com/a/b", "notgithub.com/a", "export.arxiv.org/abs/1", "old.reddit.com/r/x", "bsky.app", "arxiv.org.example.net/x")))
+    return f"SELECT page_id, {route} AS route, {host} AS host FROM (SELECT page_id, url AS u FROM v_pages UNION ALL SELECT page_id, u FROM (VALUES {known}) AS k(page_id, u)) x"
 
 
 def public_url_policy(d: Dialect) -> str:
@@ -201,7 +215,8 @@ def xml_escape(d: Dialect) -> str:
 def json_props(d: Dialect) -> str:
     """A number out of a JSON document, and the document encoded again."""
     k = "CAST(get_json_object(props, '$.k') AS BIGINT)" if d.spark else "CAST(json_extract_string(props, '$.k') AS BIGINT)"
-    return f"SELECT event_id, {k} AS k FROM events"
+    again = "to_json(map('k', get_json_object(props, '$.k')))" if d.spark else "'{\"k\":\"' || json_extract_string(props, '$.k') || '\"}'"
+    return f"SELECT event_id, {k} AS k, {again} AS encoded FROM events"
 
 
 def cosine_similarity(d: Dialect) -> str:
