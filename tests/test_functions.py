@@ -49,16 +49,29 @@ def test_math_pieces():
 def test_sanitizer_keeps_nothing_active():
     source = "<meta http-equiv=refresh content=0><p onclick=x()>Hi <script>bad()</script><a href='javascript:x'>l</a><a href='#top'>t</a></p><iframe src=x>y</iframe>"
     title, clean, text = html.sanitize("<title>T</title>" + source, "https://e.org/d/")
-    assert title == "T" and clean == '<p>Hi <a>l</a><a href="#top">t</a></p>' and text == "Hi l t"
+    assert title == "T" and clean == '<p>Hi <a>l</a><a href="https://e.org/d/#top">t</a></p>' and text == "Hi l t"
 
 
 def test_sanitizer_math_svg_and_images():
     _, clean, _ = html.sanitize("<script type='math/tex'>x^2</script><script type='math/tex; mode=display'>\\frac{a}{b}</script>")
     assert clean == r"\(x^2\)\[\frac{a}{b}\]"
-    _, clean, _ = html.sanitize("<svg><path d='M0'/><foreignObject><p>no</p></foreignObject><use href='#x'/></svg><math><mfrac><mi>a</mi></mfrac></math><img src='http://127.0.0.1/x.png'>")
-    assert clean == '<svg><path d="M0"></svg><math><mfrac><mi>a</mi></mfrac></math>'
-    _, clean, _ = html.sanitize("<img data-src='b.png' src='a.gif' style='width: 30px'><img srcset='s.png 1x, l.png 2x'>", "https://e.org/d/p")
-    assert clean == '<img src="https://e.org/d/b.png" width="30"><img src="https://e.org/d/l.png">'
+    _, clean, _ = html.sanitize("<svg onload=x()><path d='M0' fill='url(#x)'/><foreignObject><p>no</p></foreignObject><use href='#x'/></svg><math display=block><mfrac><mi>a</mi></mfrac></math>")
+    assert clean == '<svg><path d="M0"></path></svg><math display="block"><mfrac><mi>a</mi></mfrac></math>'
+    _, clean, _ = html.sanitize("<img data-src='b.png' src='a.gif' style='width: 30px; height: 60%'><img srcset='s.png 1x, l.png 2x'><img data-actualsrc=c.png src=d.gif>", "https://e.org/d/p")
+    assert clean == '<img src="https://e.org/d/b.png" width="30" height="60%"><img src="https://e.org/d/l.png"><img src="https://e.org/d/c.png">'
+
+
+@pytest.mark.parametrize("address", ["http://e.org/x.png", "https://127.0.0.1/x", "https://172.20.1.1/x", "https://192.168.0.9/x", "https://me:pw@e.org/x", "https://a.localhost/x", "//e.org/x", "javascript:x"])
+def test_sanitizer_keeps_images_of_public_https_hosts_alone(address):
+    assert html.sanitize(f"<img src='{address}' alt=a>")[1] == '<img alt="a">'
+    assert html.sanitize("<img src='https://172.32.1.1/x'>")[1] == '<img src="https://172.32.1.1/x">'
+
+
+def test_sanitizer_reads_on_after_a_tag_that_is_never_closed():
+    assert html.sanitize("<p>a</p><form><p>b</p>")[1] == "<p>a</p><p>b</p>"
+    assert html.sanitize("<p>a</p><form><p>b</p></form><p>c</p>")[1] == "<p>a</p><p>c</p>"
+    assert html.sanitize("<nav><p>a</p><p>b")[1] == "<p>a</p><p>b"
+    assert html.sanitize("<rect fill='javascript:x' width=1 stroke=url(x) onclick=y()>")[1] == '<rect width="1">'
 
 
 @given(st.text("<>/abp scrit='\"=&; \n", max_size=60))

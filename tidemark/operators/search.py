@@ -2,73 +2,156 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
 from tidemark.functions import text as t
-from tidemark.operators.texts import _han
-from tidemark.plans.dialect import Dialect
-from tidemark.plans.run import Query
+from tidemark.operators.dedup import spread
+from tidemark.operators.texts import HAN_ROWS
+from tidemark.plans.dialect import DUCK, Dialect
+from tidemark.plans.run import Query, duck_sql, spark_query
+from tidemark.plans.scratch import written
+
+K1, B, TITLE_WEIGHT, BODY_WEIGHT, TRIGRAM_TITLE = 1.2, 0.75, 6, 1, 5
+LEXICAL, TRIGRAM, HISTORY, RRF, MOST = 1.0, 0.8, 0.6, 60, 200
 
-K1, B, TITLE_WEIGHT, BODY_WEIGHT = 1.2, 0.75, 6, 1
-LEXICAL, TRIGRAM, HISTORY, RRF = 1.0, 0.8, 0.6, 60
 
+#: Queries: the benchmark's items; with those of former revisions, for which history has something.
+_ASKED = "SELECT item_id, text FROM benchmark"
+_ASKED_OF_HISTORY = f"{_ASKED} UNION ALL SELECT 1000000 + item_id, body FROM v_revisions WHERE ordinal = 0"
 
-def _queries(d: Dialect) -> str:
+
+def _queries(d: Dialect, asked: str = _ASKED) -> str:
     """A query for each benchmark item: the first three of its sorted distinct words of three letters or more; all must match."""
     words = d.filter(d.split("lower(text)", t.BREAKS), "w", "length(w) >= 3")
     if d.spark:
-        return f"SELECT item_id AS query_id, term FROM (SELECT item_id, {d.distinct(words)} AS ts FROM benchmark) LATERAL VIEW explode(slice(ts, 1, 3)) AS term"
-    return f"SELECT query_id, unnest(ts) AS term FROM (SELECT item_id AS query_id, {d.distinct(words)}[1:3] AS ts FROM benchmark)"
+        return f"SELECT item_id AS query_id, term FROM (SELECT item_id, {d.distinct(words)} AS ts FROM ({asked}) a) LATERAL VIEW explode(slice(ts, 1, 3)) AS term"
+    return f"SELECT query_id, unnest(ts) AS term FROM (SELECT item_id AS query_id, {d.distinct(words)}[1:3] AS ts FROM ({asked}) a)"
 
 
-def _postings(d: Dialect, terms: str) -> str:
+def _postings(d: Dialect, terms: str, source: str, x: str) -> str:
     """Weighted term frequencies of the query terms, with document lengths and frequencies: only matching postings are kept."""
-    body, title = (d.filter(d.split(f"lower({x})", t.BREAKS), "w", "w <> ''") for x in ("plain_text", "title"))
-    docs = f"(SELECT item_id, {body} AS bw, {title} AS tw FROM v_items)"
-    return f"""t AS (SELECT DISTINCT term FROM ({terms})),
-        docs AS (SELECT item_id, bw, tw, {d.size('bw')} + {d.size('tw')} AS len FROM {docs} x),
-        n AS (SELECT count(*) AS n, avg(len) AS mean FROM docs),
-        p AS (SELECT item_id, term, CAST(sum(weight) AS DOUBLE) AS tf FROM (
-            SELECT item_id, w AS term, {BODY_WEIGHT} AS weight FROM {d.explode("docs", "bw", "w")} UNION ALL SELECT item_id, w, {TITLE_WEIGHT} FROM {d.explode("docs", "tw", "w")}) y
-            WHERE term IN (SELECT term FROM t) GROUP BY item_id, term),
-        f AS (SELECT term, count(*) AS df FROM p GROUP BY term)"""
+    body, title = (d.filter(d.split(f"lower({c})", t.BREAKS), "w", "w <> ''") for c in ("plain_text", "title"))
+    docs = f"(SELECT item_id, {body} AS bw, {title} AS tw FROM ({source}) s)"
+    return f"""{x}t AS (SELECT DISTINCT term FROM ({terms})),
+        {x}docs AS (SELECT item_id, bw, tw, {d.size('bw')} + {d.size('tw')} AS len FROM {docs} x),
+        {x}n AS (SELECT count(*) AS n, avg(len) AS mean FROM {x}docs),
+        {x}p AS (SELECT item_id, term, CAST(sum(weight) AS DOUBLE) AS tf FROM (
+            SELECT item_id, w AS term, {BODY_WEIGHT} AS weight FROM {d.explode(f"{x}docs", "bw", "w")} UNION ALL SELECT item_id, w, {TITLE_WEIGHT} FROM {d.explode(f"{x}docs", "tw", "w")}) y
+            WHERE term IN (SELECT term FROM {x}t) GROUP BY item_id, term),
+        {x}f AS (SELECT term, count(*) AS df FROM {x}p GROUP BY term)"""
 
 
-def _bm25(d: Dialect) -> str:
-    terms = _queries(d)
-    return f"""WITH q AS ({terms}), qn AS (SELECT query_id, count(*) AS terms_n FROM q GROUP BY query_id), {_postings(d, terms)},
-        h AS (SELECT q.query_id, p.item_id, count(*) AS hits, sum(ln(1 + (n.n - f.df + 0.5) / (f.df + 0.5)) * p.tf * {K1 + 1} / (p.tf + {K1} * (1 - {B} + {B} * dl.len / n.mean))) AS bm25
-            FROM q JOIN p ON p.term = q.term JOIN f ON f.term = q.term JOIN docs dl ON dl.item_id = p.item_id CROSS JOIN n GROUP BY q.query_id, p.item_id),
-        b AS (SELECT h.query_id, h.item_id, round(CAST(h.bm25 AS DOUBLE), 9) AS bm25 FROM h JOIN qn ON qn.query_id = h.query_id AND qn.terms_n = h.hits)"""
+_CURRENT = "SELECT item_id, title, plain_text FROM v_items"
+#: A former revision is known by its item and ordinal.
+_FORMER = "SELECT item_id * 1000 + ordinal AS item_id, author AS title, body AS plain_text FROM v_revisions"
 
 
-def lexical_bm25(d: Dialect) -> str:
-    """All words must match; BM25 over two weighted columns; both the compatible score 1 / (1 + |bm25|) and the monotone one."""
-    return f"{_bm25(d)} SELECT query_id, item_id, {d.real('bm25', 5)} AS bm25, {d.real(f'{LEXICAL} / (1 + abs(bm25))', 5)} AS compat_score, {d.real('bm25 / (1 + abs(bm25))', 5)} AS corrected_score FROM b"
+def _bm25(d: Dialect, source: str = _CURRENT, x: str = "", asked: str = _ASKED) -> str:
+    """CTEs that end in {x}b (query_id, item_id, bm25): documents of the source that hold all terms of a query."""
+    terms = _queries(d, asked)
+    return f"""{x}q AS ({terms}), {x}qn AS (SELECT query_id, count(*) AS terms_n FROM {x}q GROUP BY query_id), {_postings(d, terms, source, x)},
+        {x}h AS (SELECT q.query_id, p.item_id, count(*) AS hits, sum(ln(1 + (n.n - f.df + 0.5) / (f.df + 0.5)) * p.tf * {K1 + 1} / (p.tf + {K1} * (1 - {B} + {B} * dl.len / n.mean))) AS bm25
+            FROM {x}q q JOIN {x}p p ON p.term = q.term JOIN {x}f f ON f.term = q.term JOIN {x}docs dl ON dl.item_id = p.item_id CROSS JOIN {x}n n GROUP BY q.query_id, p.item_id),
+        {x}b AS (SELECT h.query_id, h.item_id, round(CAST(h.bm25 AS DOUBLE), 9) AS bm25 FROM {x}h h JOIN {x}qn qn ON qn.query_id = h.query_id AND qn.terms_n = h.hits)"""
 
 
-def trigram_search(d: Dialect) -> str:
-    """Texts that contain the query's last word, found by its trigrams, at the trigram factor."""
-    last = f"SELECT query_id, max(term) AS term FROM ({_queries(d)}) z GROUP BY query_id"
-    has = "contains(lower(i.title), q.term)"
-    return f"SELECT q.query_id, i.item_id, {d.real(f'{TRIGRAM} / (1 + length(i.title) / 100.0)')} AS score FROM ({last}) q JOIN v_items i ON {has} WHERE length(q.term) >= 3"
+def lexical_bm25(d: Dialect) -> str:
+    """All words must match; BM25 over two weighted columns; both the compatible score 1 / (1 + |bm25|) and the monotone one."""
+    return f"WITH {_bm25(d)} SELECT query_id, item_id, {d.real('bm25', 5)} AS bm25, {d.real(f'{LEXICAL} / (1 + abs(bm25))', 5)} AS compat_score, {d.real('bm25 / (1 + abs(bm25))', 5)} AS corrected_score FROM b"
+
+
+def trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, item_id, bm25: items that hold all terms of a query anywhere in title or text, found by the terms' rarest trigrams.
+
+    A term's texts all have each of its trigrams, so those of the rarest one are candidates enough; containment decides.
+    """
+    lower = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+    items = spread(spark_query(lambda d: _CURRENT)(spark, sf_dir)).select("item_id", lower("title").alias("title"), lower("plain_text").alias("body"))
+    terms = written(spark_query(_queries)(spark, sf_dir).withColumn("term", F.col("term")), "terms")
+    grams = lambda c: F.when(F.length(c) >= 3, F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(F.col(c), i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+    asked = terms.select("term").distinct().select("term", F.explode(F.array_distinct(grams("term"))).alias("gram"))
+    index = items.select("item_id", F.explode(F.array_distinct(F.concat(grams("title"), grams("body")))).alias("gram"))
+    index = written(index.join(asked.select("gram").distinct(), "gram", "left_semi"), "trigrams")
+    often = index.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = asked.join(often, "gram").groupBy("term").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    count = lambda c, w: (F.length(c) - F.length(F.replace(F.col(c), F.col(w)))) / F.length(w)
+    found = index.join(rarest, "gram").select("item_id", "term").join(items, "item_id").select("item_id", "term", (F.length("title") + F.length("body")).alias("len"), (TRIGRAM_TITLE * count("title", "term") + count("body", "term")).alias("tf")).where("tf > 0")
+    found = written(found, "found")
+    size = items.agg(F.count("*").alias("all"), F.avg(F.length("title") + F.length("body")).alias("mean")).first()
+    rare = found.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", F.log(1 + (F.lit(size["all"]) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(size["mean"] or 1.0)))
+    scored = terms.join(found, "term").join(rare, "term").groupBy("query_id", "item_id").agg(F.count("*").alias("hits"), F.sum(part).alias("bm25"))
+    of_query = terms.groupBy("query_id").agg(F.count("*").alias("terms_n"))
+    return scored.join(of_query, "query_id").where("hits = terms_n").select("query_id", "item_id", F.round("bm25", 9).alias("bm25"))
+
+
+def _trigrams_sql(d: Dialect) -> str:
+    """CTEs that end in tb, by comparing every text with every term."""
+    count = lambda c: f"(length(i.{c}) - length(replace(i.{c}, q.term, ''))) / CAST(length(q.term) AS DOUBLE)"
+    return f"""ti AS (SELECT item_id, lower(title) AS title, lower(plain_text) AS body FROM v_items), tq AS ({_queries(d)}),
+        tf AS (SELECT i.item_id, q.term, length(i.title) + length(i.body) AS len, {TRIGRAM_TITLE} * {count('title')} + {count('body')} AS tf FROM ti i JOIN (SELECT DISTINCT term FROM tq) q ON contains(i.title, q.term) OR contains(i.body, q.term)),
+        tn AS (SELECT count(*) AS n, avg(length(title) + length(body)) AS mean FROM ti), td AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+        th AS (SELECT q.query_id, f.item_id, count(*) AS hits, sum(ln(1 + (tn.n - td.df + 0.5) / (td.df + 0.5)) * f.tf * {K1 + 1} / (f.tf + {K1} * (1 - {B} + {B} * f.len / tn.mean))) AS bm25 FROM tq q JOIN tf f ON f.term = q.term JOIN td ON td.term = q.term CROSS JOIN tn GROUP BY q.query_id, f.item_id),
+        tb AS (SELECT th.query_id, th.item_id, round(th.bm25, 9) AS bm25 FROM th JOIN (SELECT query_id, count(*) AS terms_n FROM tq GROUP BY query_id) m ON m.query_id = th.query_id AND m.terms_n = th.hits)"""
+
+
+def trigram_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items that hold all terms of a query anywhere in title or text, at the trigram factor."""
+    return trigrams(spark, sf_dir).select("query_id", "item_id", F.round(F.lit(TRIGRAM) / (1 + F.abs("bm25")), 5).alias("score"))
 
 
 def short_token_search(d: Dialect) -> str:
-    """One- and two-character Han queries use their own postings with fixed scores."""
-    queries = "(VALUES ('智'), ('智能'), ('旧'), ('科学'), ('京')) AS q(query)"
-    return f"SELECT q.query, f.id, CASE WHEN length(q.query) = 1 THEN 1.7 ELSE 2.0 END AS score FROM {queries} JOIN {_han(d)} ON contains(f.txt, q.query)"
+    """One- and two-character Han queries by postings of the Han runs' characters and pairs: 1.7 and 2.0, former revisions 1.0 and 1.2.
+
+    No table at hand has Han text, so each item and each revision has a line of it in front, by its number.
+    """
+    line = f"CASE {{}} % {len(HAN_ROWS)} " + " ".join(f"WHEN {i % len(HAN_ROWS)} THEN {d.text(x)}" for i, x in HAN_ROWS) + " END"
+    texts = f"SELECT item_id, FALSE AS is_historical, concat({line.format('item_id')}, ' ', plain_text) AS txt FROM v_items UNION ALL SELECT item_id * 1000 + ordinal, TRUE, concat({line.format('ordinal')}, ' ', body) FROM v_revisions"
+    runs = d.find_all("txt", t.HAN_RUN)
+    tokens = d.distinct(f"flatten({d.map(runs, 'r', d.concat(t.char_grams(d, 'r', 1), t.char_grams(d, 'r', 2)))})")
+    postings = d.explode(f"(SELECT item_id, is_historical, {tokens} AS tokens FROM ({texts}) y)", "tokens", "token")
+    queries = ", ".join(f"({d.text(q)}, {str(h).upper()})" for q, h in [("智", True), ("智能", False), ("旧", True), ("科学", True), ("京", False), ("开幕", True), ("界城", True)])
+    score = "CASE WHEN p.is_historical THEN CASE WHEN length(q.query) = 2 THEN 1.2 ELSE 1.0 END ELSE CASE WHEN length(q.query) = 2 THEN 2.0 ELSE 1.7 END END"
+    return f"""SELECT q.query, p.item_id, p.is_historical, {score} AS score FROM (SELECT item_id, is_historical, token FROM {postings}) p
+        JOIN (VALUES {queries}) AS q(query, with_history) ON p.token = q.query AND (q.with_history OR NOT p.is_historical)"""
 
 
 def history_opt_in(d: Dialect) -> str:
-    """History counts only where asked for, by the history factor; the current row comes first."""
-    return f"""SELECT item_id, ordinal, CASE WHEN ordinal = last_n THEN 1.0 ELSE {HISTORY} END AS factor FROM (SELECT item_id, ordinal, body, max(ordinal) OVER (PARTITION BY item_id) AS last_n FROM v_revisions) x WHERE contains(lower(body), 'the')"""
+    """Current items for every query; former revisions, by the history factor, for the queries that ask for them (every other one)."""
+    return f"""WITH {_bm25(d, asked=_ASKED_OF_HISTORY)}, {_bm25(d, _FORMER, 'old_', _ASKED_OF_HISTORY)}
+        SELECT query_id, item_id, FALSE AS is_historical, {d.real(f'{LEXICAL} / (1 + abs(bm25))', 5)} AS score FROM b
+        UNION ALL SELECT query_id, item_id, TRUE, {d.real(f'{HISTORY} / (1 + abs(bm25))', 5)} FROM old_b WHERE query_id % 2 = 0"""
 
 
-def best_per_document(d: Dialect) -> str:
-    """Best result of each document over the indexes, then the best two hundred of a query."""
-    return f"""{_bm25(d)}, u AS (SELECT query_id, item_id, {LEXICAL} / (1 + abs(bm25)) AS score FROM b UNION ALL
-        SELECT q.query_id, i.item_id, {TRIGRAM} / (1 + length(i.title) / 100.0) FROM (SELECT query_id, max(term) AS term FROM q GROUP BY query_id) q JOIN v_items i ON contains(lower(i.title), q.term)),
-        m AS (SELECT query_id, item_id, max(round(CAST(score AS DOUBLE), 9)) AS score FROM u GROUP BY query_id, item_id)
-        SELECT query_id, item_id, {d.real('score', 5)} AS score, rn FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rn FROM m) x WHERE rn <= 200"""
+def facets(d: Dialect) -> str:
+    """Counts of each query's results by source and language."""
+    return f"""WITH {_bm25(d)} SELECT b.query_id, i.source_id, i.language_code, count(*) AS n FROM b JOIN v_items i ON i.item_id = b.item_id GROUP BY b.query_id, i.source_id, i.language_code"""
+
+
+def best_per_document(spark: SparkSession, sf_dir: str, limit: int = MOST) -> DataFrame:
+    """Best result of each document over the indexes, each of which gives more than asked for; then the best of a query.
+
+    limit is held between 1 and 200; the word index gives twice as many, the trigram index as many.
+    """
+    limit = max(1, min(limit, MOST))
+    words = spark_query(lambda d: f"WITH {_bm25(d)} SELECT query_id, item_id, bm25 FROM b")(spark, sf_dir)
+
+    def best(rows: DataFrame, factor: float, most: int) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bm25"), "item_id"))
+        return rows.withColumn("rn", rank).where(F.col("rn") <= most).select("query_id", "item_id", F.round(F.lit(factor) / (1 + F.abs("bm25")), 9).alias("score"))
+
+    both = best(words, LEXICAL, 2 * limit).unionByName(best(trigrams(spark, sf_dir), TRIGRAM, limit))
+    once = both.groupBy("query_id", "item_id").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id"))
+    return once.withColumn("rn", rank).where(F.col("rn") <= limit).select("query_id", "item_id", F.round("score", 5).alias("score"), "rn")
+
+
+def _best_sql(d: Dialect) -> str:
+    rank = "row_number() OVER (PARTITION BY query_id ORDER BY {} DESC, item_id)"
+    top = lambda rows, factor, most: f"SELECT query_id, item_id, round({factor} / (1 + abs(bm25)), 9) AS score FROM (SELECT *, {rank.format('bm25')} AS rn FROM {rows}) r WHERE rn <= {most}"
+    return f"""WITH {_bm25(d)}, {_trigrams_sql(d)}, u AS ({top('b', LEXICAL, 2 * MOST)} UNION ALL {top('tb', TRIGRAM, MOST)}), m AS (SELECT query_id, item_id, max(score) AS score FROM u GROUP BY query_id, item_id)
+        SELECT query_id, item_id, round(score, 5) AS score, rn FROM (SELECT *, {rank.format('score')} AS rn FROM m) x WHERE rn <= {MOST}"""
 
 
 def _vector_top(d: Dialect, k: int) -> str:
@@ -93,7 +176,7 @@ def _lists(d: Dialect) -> str:
 
 def hybrid_merge(d: Dialect) -> str:
     """Both: min(1, 0.7 lexical + 0.3 semantic); semantic only: 0.75 of it; the best fifty of a query."""
-    return f"""{_bm25(d)}, {_lists(d)}, j AS (SELECT coalesce(lx.query_id, sm.query_id) AS query_id, coalesce(lx.item_id, sm.item_id) AS item_id,
+    return f"""WITH {_bm25(d)}, {_lists(d)}, j AS (SELECT coalesce(lx.query_id, sm.query_id) AS query_id, coalesce(lx.item_id, sm.item_id) AS item_id,
         CASE WHEN lx.score IS NOT NULL AND sm.score IS NOT NULL THEN least(1.0, 0.7 * lx.score + 0.3 * sm.score) WHEN lx.score IS NOT NULL THEN lx.score ELSE 0.75 * sm.score END AS score
         FROM lx FULL OUTER JOIN sm ON lx.query_id = sm.query_id AND lx.item_id = sm.item_id)
         SELECT query_id, item_id, {d.real('score', 5)} AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item_id) AS rn FROM j WHERE score > 0) x WHERE rn <= 50"""
@@ -101,7 +184,7 @@ def hybrid_merge(d: Dialect) -> str:
 
 def rrf(d: Dialect) -> str:
     """Reciprocal rank fusion of both lists."""
-    return f"""{_bm25(d)}, {_lists(d)} SELECT query_id, item_id, {d.real(f'sum(1.0 / ({RRF} + rn))', 9)} AS score FROM (SELECT query_id, item_id, rn FROM lx UNION ALL SELECT query_id, item_id, rn FROM sm) u GROUP BY query_id, item_id"""
+    return f"""WITH {_bm25(d)}, {_lists(d)} SELECT query_id, item_id, {d.real(f'sum(1.0 / ({RRF} + rn))', 9)} AS score FROM (SELECT query_id, item_id, rn FROM lx UNION ALL SELECT query_id, item_id, rn FROM sm) u GROUP BY query_id, item_id"""
 
 
 def retrieval_eval(d: Dialect) -> str:
@@ -110,6 +193,10 @@ def retrieval_eval(d: Dialect) -> str:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f
-    for f in (lexical_bm25, trigram_search, short_token_search, history_opt_in, best_per_document, vector_topk, hybrid_merge, rrf, retrieval_eval)
+    f.__name__: f for f in (lexical_bm25, short_token_search, history_opt_in, facets, vector_topk, hybrid_merge, rrf, retrieval_eval)
+}
+SPARK_QUERIES = {f.__name__: f for f in (trigram_search, best_per_document)}
+ORACLES = {
+    "trigram_search": duck_sql(lambda d: f"WITH {_trigrams_sql(DUCK)} SELECT query_id, item_id, round({TRIGRAM} / (1 + abs(bm25)), 5) AS score FROM tb"),
+    "best_per_document": duck_sql(_best_sql),
 }
