@@ -32,37 +32,58 @@ UNKNOWN = "und"
 
 
 class Model:
-    """languages, and one matrix of log frequencies by language; words and, by length, n-grams name its rows."""
+    """languages; 64-bit hashes of the known words and n-grams, ascending; and log frequencies by language, a row for each.
+
+    Row 0 is for what is not known at all. Arrays, not names: every Python worker holds a model.
+    """
 
     def __init__(self, languages: list[str], words: dict[str, list[int]], by_size: dict[int, dict[str, list[int]]]):
-        self.languages, self.words, self.grams = languages, {}, {n: {} for n in GRAM_SIZES}
-        parts = [np.zeros((1, len(languages)))]
-        for names, counts in [(self.words, words), *((self.grams[n], by_size.get(n, {})) for n in GRAM_SIZES)]:
-            at = sum(map(len, parts))
-            names.update((k, at + i) for i, k in enumerate(counts))
+        self.languages = languages
+        keys, logs = [np.empty(0, np.uint64)], [np.empty((0, len(languages)))]
+        for size, counts in [(0, words), *by_size.items()]:
             if counts:
                 own = np.array(list(counts.values()), float)
-                parts.append(np.log((own + SMOOTH) / (own.sum(axis=0) + SMOOTH * len(own))))
-        self.logs = np.concatenate(parts)
-
-    def rows(self, word: str) -> list[int]:
-        """Rows whose mean scores the word: its own, else those of its longest known n-grams, else the empty row."""
-        if word in self.words:
-            return [self.words[word]]
-        w = f"<{word}>"
+                keys.append(self.hashes(size, counts))
+                logs.append(np.log((own + SMOOTH) / (own.sum(axis=0) + SMOOTH * len(own))))
+        order = np.argsort(all_ := np.concatenate(keys))
+        self.keys, self.logs = all_[order], np.concatenate([np.zeros((1, len(languages))), np.concatenate(logs)[order]])
+
+    @staticmethod
+    def hashes(size: int, names) -> np.ndarray:
+        """Of words (size 0) or n-grams."""
+        import xxhash
+
+        return np.fromiter((xxhash.xxh64_intdigest(x, size) for x in names), np.uint64)
+
+    def find(self, size: int, names) -> np.ndarray:
+        """Row of each word (size 0) or n-gram; 0 for what is not known."""
+        own = self.hashes(size, names)
+        if not len(self.keys):
+            return np.zeros(len(own), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
+        return np.where(self.keys[at] == own, at + 1, 0)
+
+    def rows(self, words: list[str]) -> list[np.ndarray]:
+        """For each word, rows whose mean scores it: its own, else those of its longest known n-grams, else row 0."""
+        out = list(self.find(0, words)[:, None])
+        rest = [i for i, r in enumerate(out) if not r[0]]
         for n in GRAM_SIZES:
-            known = self.grams[n]
-            found = [known[g] for i in range(len(w) - n + 1) if (g := w[i : i + n]) in known]
-            if found:
-                return found
-        return [0]
+            grams = [[w[i : i + n] for i in range(len(w) - n + 1)] for w in (f"<{words[i]}>" for i in rest)]
+            found = self.find(n, (g for own in grams for g in own))
+            open_ = []
+            for i, own in zip(rest, np.split(found, np.cumsum([len(g) for g in grams])[:-1]) if rest else [], strict=True):
+                if own.any():
+                    out[i] = own[own > 0]
+                else:
+                    open_.append(i)
+            rest = open_
+        return out
 
     def scores(self, words: list[str]) -> np.ndarray:
         """A row of scores by language for each word."""
-        found = [self.rows(w) for w in words]
+        found = self.rows(words)
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((r for f in found for r in f), np.int64, int(sizes.sum()))
-        return np.add.reduceat(self.logs[flat], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
+        return np.add.reduceat(self.logs[np.concatenate(found)], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
 
 
 def fit(docs: DataFrame, sample_docs: int = 1000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
