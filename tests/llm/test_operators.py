@@ -43,16 +43,17 @@ def test_language_learns_long_runs_and_words_that_occur_once(spark):
     run = "".join(chr(0x4E00 + i * 37 % 900) for i in range(200))
     docs = spark.createDataFrame([(1, run, "zh"), (2, "einmal", "de"), (3, None, "de"), (4, run[50:150], None)], "doc_id long, text string, lang string")
     model = language_id.fit(docs)
-    assert model.languages == ["de", "zh"] and "einmal" in model.words and run[:48] in model.words and run[10:15] in model.grams[5]
+    assert model.languages == ["de", "zh"] and model.find(0, ["einmal", run[:48], run[48:96]]).all() and model.find(5, [run[10:15]]).all()
     found = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(docs, model).collect()}
     assert found == {1: "zh", 2: "de", 3: "und", 4: "zh"}
 
 
 def test_language_backoff_takes_the_longest_known_grams():
     model = language_id.Model(["a", "b"], {"known": [5, 1]}, {5: {"<zqwx": [1, 9]}, 1: {"z": [9, 1]}})
-    assert model.rows("known") == [model.words["known"]]
-    assert model.rows("zqwxy") == [model.grams[5]["<zqwx"]]
-    assert model.rows("zz") == [model.grams[1]["z"]] * 2 and model.rows("kk") == [0]
+    known, five, one = model.find(0, ["known"])[0], model.find(5, ["<zqwx"])[0], model.find(1, ["z"])[0]
+    assert sorted([known, five, one]) == [1, 2, 3] and model.find(5, ["known", "<zqw"]).tolist() == [0, 0]
+    assert [r.tolist() for r in model.rows(["known", "zqwxy", "zz", "kk"])] == [[known], [five], [one, one], [0]]
+    assert np.allclose(np.exp(model.logs[five]), 1) and model.scores(["zz"]).tolist() == [model.logs[one].tolist()]
 
 
 def test_language_held_out_accuracy(spark):

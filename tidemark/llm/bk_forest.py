@@ -11,7 +11,7 @@ import numpy as np
 
 _SPAN = 1 << 16
 #: (query, node) pairs that a search may hold at once, for each level of the trees.
-_WIDTH = 1 << 19
+_WIDTH = 1 << 17
 
 
 def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:

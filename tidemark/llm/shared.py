@@ -145,6 +145,12 @@ def _moves(rows, n_keys: int) -> np.ndarray:
     return np.flatnonzero(np.any([np.diff(k) != 0 for k in keys], axis=0)) + 1
 
 
+def lists(parts: list[np.ndarray]) -> pa.Array:
+    """A list of 64-bit integers for each of the arrays."""
+    offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *(p.view(np.int64) for p in parts)])))
+
+
 def types_of(df: DataFrame) -> dict[str, DataType]:
     return {f.name: f.dataType for f in df.schema.fields}
 

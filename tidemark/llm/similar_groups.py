@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.bk_forest import Forest, hamming, unite
-from tidemark.llm.shared import arrow_schema, free_name, map_rows, shards, small_batches, text_keys, types_of, word_hashes
+from tidemark.llm.shared import arrow_schema, free_name, lists, map_rows, shards, small_batches, text_keys, types_of, word_hashes
 from tidemark.llm.simhash_dedup import dealt_out, in_blocks
 from tidemark.operators.components import connected
 from tidemark.plans.scratch import written
@@ -216,7 +216,7 @@ def _sets(rows: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     texts = rows.join(_limited(asked), (F.col("h") == F.col("_h")) & (F.col("g") == F.col("_g")) & F.col("id").eqNullSafe(F.col("_id"))).select("node", "text")
 
     def batch(b: pa.RecordBatch):
-        return {"node": b.column(0), "shingles": [shingle_set(t, words).view(np.int64).tolist() for t in b.column(1).to_pylist()]}
+        return {"node": b.column(0), "shingles": lists([shingle_set(t, words) for t in b.column(1).to_pylist()])}
 
     return map_rows(texts, {"node": "long", "shingles": "array<long>"}, lambda: batch).dropDuplicates(["node"])
 
@@ -256,7 +256,7 @@ def _prefixes(rows: DataFrame, own: DataFrame, words: int, similarity: float) ->
 
         def batch(b: pa.RecordBatch):
             sets = [s for s in (shingle_set(t, words) for t in b.column(0).to_pylist()) if len(s)]
-            return {"node": [set_key(s) for s in sets], "size": [len(s) for s in sets], "prefix": [prefix(s, similarity, common, rank).view(np.int64).tolist() for s in sets]}
+            return {"node": [set_key(s) for s in sets], "size": [len(s) for s in sets], "prefix": lists([prefix(s, similarity, common, rank) for s in sets])}
 
         return batch
 

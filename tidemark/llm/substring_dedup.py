@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import arrow_schema, free_name, map_rows, shards, small_batches, text_keys, types_of, word_hashes, words_of
+from tidemark.llm.shared import arrow_schema, free_name, lists, map_rows, shards, small_batches, text_keys, types_of, word_hashes, words_of
 from tidemark.plans.scratch import written
 
 #: Places of an anchor above which its fragments are counted by hash, so that no task gathers them.
@@ -156,11 +156,6 @@ def shard_spans(fragments: list[tuple[bytes, int]], window: int) -> dict[bytes,
     return out
 
 
-def _lists(parts: list[np.ndarray]) -> pa.Array:
-    offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64)))
-
-
 def repeated_spans(docs: DataFrame, window: int) -> DataFrame:
     """By text hash (_h, _g) of docs (id, text): copies, and the repeated spans as lists starts, counts."""
     id_col, text_col = "id", "text"
@@ -169,7 +164,7 @@ def repeated_spans(docs: DataFrame, window: int) -> DataFrame:
     def find():
         def batch(b: pa.RecordBatch):
             found = [anchors(word_hashes((t or "").encode()), window)[0] for t in b.column(3).to_pylist()]
-            return {"_h": b.column(0), "_g": b.column(1), "id": b.column(2), "anchors": _lists(found)}
+            return {"_h": b.column(0), "_g": b.column(1), "id": b.column(2), "anchors": lists(found)}
 
         return batch
 
@@ -218,7 +213,7 @@ def repeated_spans(docs: DataFrame, window: int) -> DataFrame:
                 for c, x in zip(parts, ([a for a, _ in found], keys, [h] * len(found), [g] * len(found)), strict=True):
                     parts[c].append(np.array(x, np.int64))
             flat = {c: pa.array(np.concatenate(x)) for c, x in parts.items()}
-            return flat | {"at": _lists(places), "ws": _lists(ws)}
+            return flat | {"at": lists(places), "ws": lists(ws)}
 
         return batch
 
