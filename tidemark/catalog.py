@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.operators import aggregates, clusters, dedup, fold, lifecycle, pages, ranking, relational, search, texts
+from tidemark.operators import aggregates, clusters, dedup, fold, lifecycle, pages, ranking, relational, scalars, search, texts
 from tidemark.plans.run import both
 from tidemark.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (relational, aggregates, texts, dedup, clusters, fold, ranking, search, lifecycle, pages, ingest):
+for _module in (relational, aggregates, texts, scalars, dedup, clusters, fold, ranking, search, lifecycle, pages, ingest):
     _queries, _sql = both(getattr(_module, "QUERIES", {}))
     QUERIES |= _queries | getattr(_module, "SPARK_QUERIES", {})
     ORACLE_SQL |= _sql | getattr(_module, "ORACLES", {})
