@@ -44,8 +44,18 @@ def unseen(candidates: DataFrame, cursor: DataFrame) -> DataFrame:
 OUTLINE = "struct<_text:string, _title:string, _xmlUrl:string, _htmlUrl:string"
 
 
-def opml(raw: DataFrame, depth: int = 4) -> DataFrame:
-    """source_id, path, title, xml_url, html_url of OPML text; folders nest up to `depth` levels."""
+def _depth(raw: DataFrame) -> int:
+    """The deepest nesting of outlines in the table."""
+    tags = F.regexp_extract_all("body", F.lit("(?i)<outline\\b[^>]*[^/]>|</outline>|<outline\\b[^>]*/>"), F.lit(0))
+    step = lambda x: F.when(x.startswith("</"), -1).when(x.endswith("/>"), 0).otherwise(1)
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    walk = F.aggregate(tags, start, lambda a, x: F.struct((a["now"] + step(x)).alias("now"), F.greatest(a["most"], a["now"] + F.greatest(step(x), F.lit(0)) + x.endswith("/>").cast("int")).alias("most")))
+    return raw.agg(F.max(walk["most"])).first()[0] or 1
+
+
+def opml(raw: DataFrame, depth: int | None = None) -> DataFrame:
+    """source_id, path, title, xml_url, html_url of OPML text; folders nest as deep as the text has them, or up to `depth` levels."""
+    depth = depth or _depth(raw)
     kind = f"{OUTLINE}>"
     for _ in range(depth - 1):
         kind = f"{OUTLINE}, outline:array<{kind}>>"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.plans.scratch import folder
@@ -16,8 +16,11 @@ def _stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path + "*")
 
 
-def drained(result: DataFrame, mode: str) -> DataFrame:
-    """Runs a streaming result over all that is there and returns the written rows (exactly once by checkpoint)."""
+def drained(result: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
+    """Runs a streaming result over all that is there and returns the written rows (exactly once by checkpoint).
+
+    In update mode each batch leaves the rows that it changed; of those with equal keys the last batch's count.
+    """
     spark, path = result.sparkSession, f"{folder(result.sparkSession)}/tidemark/stream-{uuid.uuid4().hex}"
     writer = result.writeStream.option("checkpointLocation", f"{path}/log").trigger(availableNow=True).outputMode(mode)
     if mode == "append":
@@ -29,22 +32,46 @@ def drained(result: DataFrame, mode: str) -> DataFrame:
 
     writer.foreachBatch(keep).start().awaitTermination()
     all_ = spark.read.parquet(f"{path}/state")
+    if keys:
+        rest = [c for c in result.columns if c not in keys]
+        return all_.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, *[F.col(f"r.{c}").alias(c) for c in rest])
     last = all_.agg(F.max("batch")).first()[0]
     return all_.where(F.col("batch") == last).drop("batch")
 
 
 def stream_metric_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly metric roll-ups with a watermark (complete at the end of what is there)."""
+    """Hourly metric roll-ups in update mode: the watermark lets hours leave the state a day after they are over."""
     events = _stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 day")
     rolled = events.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-    return drained(rolled, "complete").select(F.unix_seconds("window.start").alias("start_at"), "event_type", "n", F.round("total", 4).alias("total"))
+    return drained(rolled, "update", ["window", "event_type"]).select(F.unix_seconds("window.start").alias("start_at"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+def ledgered(turns: DataFrame, path: str) -> DataFrame:
+    """Runs a stream of (item_id, content_hash, ordinal) through a ledger under path and returns it: item_id, content_hash, ordinal, revision.
+
+    The first arrival of a content opens the item's next revision; later ones, and a batch that is run again, write nothing: a
+    batch replaces its own folder, and looks only at the folders of the batches before it.
+    """
+    spark = turns.sparkSession
+    schema = "item_id long, content_hash string, ordinal long, revision int, batch int"
+
+    def commit(rows: DataFrame, batch: int) -> None:
+        before = rows.sparkSession.read.schema(schema).parquet(f"{path}/ledger").where(F.col("batch") < batch) if batch else rows.sparkSession.createDataFrame([], schema)
+        first = rows.groupBy("item_id", "content_hash").agg(F.min("ordinal").alias("ordinal"))
+        fresh = first.join(before.select("item_id", "content_hash"), ["item_id", "content_hash"], "left_anti")
+        had = before.groupBy("item_id").agg(F.max("revision").alias("had"))
+        place = F.row_number().over(Window.partitionBy("item_id").orderBy("ordinal"))
+        numbered = fresh.join(had, "item_id", "left").withColumn("revision", (F.coalesce("had", F.lit(0)) + place).cast("int"))
+        numbered.select("item_id", "content_hash", "ordinal", "revision").write.mode("overwrite").parquet(f"{path}/ledger/batch={batch}")
+
+    turns.writeStream.option("checkpointLocation", f"{path}/log").trigger(availableNow=True).foreachBatch(commit).start().awaitTermination()
+    return spark.read.schema(schema).parquet(f"{path}/ledger").select("item_id", "content_hash", "ordinal", "revision")
 
 
 def stream_ingest_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The commit ledger as a stream: the first row of each (item, content) opens a revision, later ones write nothing."""
-    turns = _stream(spark, sf_dir, "conversations").select(F.col("conv_id").alias("item_id"), F.col("turn").alias("ordinal"), F.sha2("text", 256).alias("content_hash"))
-    first = turns.groupBy("item_id", "content_hash").agg(F.min("ordinal").alias("ordinal"))
-    return drained(first, "complete").select("item_id", "content_hash", "ordinal")
+    """The commit ledger as a stream: the first arrival of each (item, content) opens a revision, later ones write nothing."""
+    turns = _stream(spark, sf_dir, "conversations").select(F.col("conv_id").alias("item_id"), F.sha2("text", 256).alias("content_hash"), F.col("turn").alias("ordinal"))
+    return ledgered(turns, f"{folder(spark)}/tidemark/ledger-{uuid.uuid4().hex}")
 
 
 def x_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +90,7 @@ def x_session(spark: SparkSession, sf_dir: str) -> DataFrame:
 SPARK_QUERIES = {f.__name__: f for f in (stream_metric_rollup, stream_ingest_revisions, x_sliding, x_session)}
 ORACLES = {
     "stream_metric_rollup": "SELECT CAST(epoch(time_bucket(INTERVAL 1 HOUR, ts)) AS BIGINT) AS start_at, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
-    "stream_ingest_revisions": "SELECT conv_id AS item_id, sha256(text) AS content_hash, min(turn) AS ordinal FROM conversations GROUP BY 1, 2",
+    "stream_ingest_revisions": "SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY ordinal) AS revision FROM (SELECT conv_id AS item_id, sha256(text) AS content_hash, min(turn) AS ordinal FROM conversations GROUP BY 1, 2)",
     "x_sliding": "SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) - k * 3600 AS start_at, event_type, count(*) AS n FROM events CROSS JOIN (SELECT unnest(range(6)) AS k) GROUP BY 1, 2",
     "x_session": """WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS opens FROM events),
         s AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
