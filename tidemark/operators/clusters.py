@@ -145,12 +145,19 @@ def manual_merge(d: Dialect) -> str:
 
 
 def entity_mentions(d: Dialect) -> str:
-    """Names of 8 to 100 characters among a text's words (ASCII), each once with its first place; `entity_spans` has every span."""
-    words = d.distinct(d.filter(d.split("lower(plain_text)", "[^a-z0-9]+"), "w", "length(w) BETWEEN 4 AND 100"))
-    alias = "(SELECT DISTINCT lower(part) AS alias FROM " + d.explode(f"(SELECT item_id AS bid, {d.split('text', '[^A-Za-z0-9]+')} AS ps FROM benchmark)".replace("item_id AS bid", "item_id AS bid"), "ps", "part") + " WHERE length(part) BETWEEN 8 AND 100)"
-    at = "instr(lower(i.plain_text), x.w)" if d.spark else "strpos(lower(i.plain_text), x.w)"
-    return f"""SELECT x.item_id, x.w AS alias, CAST({at} AS BIGINT) AS first_char FROM (SELECT item_id, w FROM {d.explode(f"(SELECT item_id, {words} AS ws FROM v_items)", "ws", "w")}) x
-        JOIN {alias} a ON a.alias = x.w JOIN v_items i ON i.item_id = x.item_id"""
+    """Names of 2 to 100 letters or digits that a text holds as whole words, each with its first place in bytes and its de-dup key.
+
+    Names are the words of the benchmark texts; `entity_spans` has every span, with diacritics and width folded.
+    """
+    mark = r"[^\p{L}\p{N}]"
+    words = lambda x: d.distinct(d.filter(d.split(f"lower({x})", mark + "+"), "w", "length(w) BETWEEN 2 AND 100"))
+    exploded = lambda table, key, x: d.explode(f"(SELECT {key}, {words(x)} AS ws FROM {table})", "ws", "w")
+    bare = f"concat(' ', {d.replace_all('lower(plain_text)', mark, chr(39) + ' ' + chr(39))}, ' ')"
+    place = f"{'instr' if d.spark else 'strpos'}(i.bare, concat(' ', m.w, ' '))"
+    start = d.n_bytes(f"substr(i.plain_text, 1, CAST({place} AS INT) - 1)")
+    key = d.sha256(f"concat(CAST(m.item_id AS {'STRING' if d.spark else 'VARCHAR'}), '|', m.w)")
+    return f"""SELECT m.item_id, m.w AS alias, {start} AS utf8_start, {d.n_bytes("m.w")} AS utf8_length, substr({key}, 1, 16) AS dedup_key FROM (SELECT item_id, w FROM {exploded("v_items", "item_id", "plain_text")}) m
+        JOIN (SELECT DISTINCT w FROM {exploded("benchmark", "item_id AS bid", "text")}) n ON n.w = m.w JOIN (SELECT item_id, plain_text, {bare} AS bare FROM v_items) i ON i.item_id = m.item_id"""
 
 
 def entity_resolution(d: Dialect) -> str:
