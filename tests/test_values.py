@@ -9,7 +9,7 @@ from tidemark.catalog import QUERIES
 from tidemark.functions import folding, html
 from tidemark.operators.pages import align
 from tidemark.plans import published
-from tidemark.sources import feeds
+from tidemark.sources import feeds, registry
 from tidemark.streaming.ingest import ledgered
 
 DATA = "/root/testdata/sf0.001"
@@ -74,3 +74,14 @@ def test_outlines_of_any_depth_are_read(spark):
     deep = "<outline text='f'>" * 7 + "<outline text='x' xmlUrl='http://e/x'/>" + "</outline>" * 7
     raw = spark.createDataFrame([("s", f"<opml><body><outline text='t' xmlUrl='http://e/t'/>{deep}</body></opml>")], "source_id string, body string")
     assert sorted((r["path"], r["title"]) for r in feeds.opml(raw).collect()) == [("", "t"), ("/f" * 7, "x")]
+
+
+def test_refreshes_move_their_cursors(spark):
+    items = "".join(f"<item><guid>{i}</guid><title>t{i}</title></item>" for i in range(40))
+    raw = spark.createDataFrame([("s", f"<rss><channel>{items}</channel></rss>")], "source_id string, body string")
+    found, cursor = registry.refresh("rss", raw)
+    assert sorted(int(r["external_id"]) for r in found.collect()) == list(range(30)) and cursor.count() == 40
+    assert registry.refresh("rss", raw, cursor)[0].count() == 0
+    page = lambda after: '{"data":{"after":%s,"children":[{"data":{"name":"n","title":"t","permalink":"/p"}}]}}' % after
+    pages = spark.createDataFrame([("a", page('"t3_x"')), ("b", page("null"))], "endpoint_id string, body string")
+    assert sorted(map(tuple, registry.refresh("reddit", pages)[1].collect())) == [("a", "t3_x", False), ("b", None, True)]
