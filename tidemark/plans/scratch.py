@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _made: list[tuple[SparkSession, str]] = []
+_scopes: list[list[tuple[SparkSession, str]]] = []
 
 
 def folder(spark: SparkSession) -> str:
@@ -34,7 +37,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     path = f"{folder(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
     if not _made:
         atexit.register(_remove)
-    _made.append((spark, path))
+    (_scopes[-1] if _scopes else _made).append((spark, path))
     return path
 
 
@@ -47,13 +50,44 @@ def written(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch = path
+    return table
+
+
+def drop(table: DataFrame) -> None:
+    """Deletes a written table that nothing reads any more."""
+    _delete(table.sparkSession, table._scratch)
+
+
+@contextmanager
+def scope() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes the scratch tables that are written inside, but for those given to the yielded function, when it ends."""
+    kept: set[str] = set()
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.add(table._scratch)
+        return table
+
+    _scopes.append([])
+    try:
+        yield keep
+    finally:
+        for spark, path in _scopes.pop():
+            if path in kept:
+                (_scopes[-1] if _scopes else _made).append((spark, path))
+            else:
+                _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def _remove() -> None:
     for spark, path in _made:
         try:
-            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         except Exception:  # the JVM may have ended already
             return
