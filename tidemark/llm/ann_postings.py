@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import arrow_schema, map_rows, small_batches
-from tidemark.plans.scratch import written
+from tidemark.plans.scratch import scope, written
 
 LIST_AIM, MAX_CENTROIDS, SAMPLE_PER_CENTROID, MAX_SAMPLE = 256, 16_384, 64, 100_000
 #: Centroids that the driver fits by itself; rows in a slice of a list; edges and width of the walk; numbers in one block of distances.
@@ -197,6 +197,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, probes: int = 64
 
 def _search(own: DataFrame, asked: DataFrame, dim: int, n: int, longest: float, k: int, probes: int, replicas: int, boundary: float, prune: float) -> DataFrame:
     """search() among vectors of one length."""
+    with scope() as keep:
+        return keep(_found(own, asked, dim, n, longest, k, probes, replicas, boundary, prune))
+
+
+def _found(own: DataFrame, asked: DataFrame, dim: int, n: int, longest: float, k: int, probes: int, replicas: int, boundary: float, prune: float) -> DataFrame:
+    """The written result of one index."""
     spark = own.sparkSession
     n_lists = min(MAX_CENTROIDS, max(1, -(-n // LIST_AIM)))
     take = min(MAX_SAMPLE, SAMPLE_PER_CENTROID * n_lists)
@@ -270,4 +276,4 @@ def _search(own: DataFrame, asked: DataFrame, dim: int, n: int, longest: float,
     if short.isEmpty():
         return first
     again = probe(short.withColumn("list", F.explode(F.sequence(F.lit(0), F.lit(len(graph.centroids) - 1)))))
-    return first.join(short, same, "left_anti").unionByName(again)
+    return written(first.join(short, same, "left_anti").unionByName(again), "found")

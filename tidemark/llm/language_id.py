@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from tidemark.llm.shared import free_name, map_rows, small_batches, types_of
-from tidemark.plans.scratch import written
+from tidemark.plans.scratch import drop, written
 
 #: A word is a run of letters; a longer one (a clause, in scripts without spaces) is cut into words of 48 letters.
 _WORD = re.compile(r"[^\W\d_]{1,48}")
@@ -111,6 +111,7 @@ def fit(docs: DataFrame, sample_docs: int = 1000, id_col: str = "doc_id", text_c
     by_gram = pieces.groupBy("l", "size", "w").agg(F.sum("n").alias("n"))
     # all of the sample, which is bounded
     found = counted.select("l", F.lit(0).alias("size"), "w", "n").unionByName(by_gram).orderBy("size", "w", "l").toArrow().to_pydict()
+    drop(counted)
     languages = sorted(set(found["l"]))
     at = {x: i for i, x in enumerate(languages)}
     by_size: dict[int, dict[str, list[int]]] = {n: {} for n in (0, *GRAM_SIZES)}

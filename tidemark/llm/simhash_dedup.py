@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.bk_forest import Forest, unite
 from tidemark.llm.shared import arrow_schema, map_rows, shards, small_batches, types_of
 from tidemark.operators.components import connected
-from tidemark.plans.scratch import written
+from tidemark.plans.scratch import scope, written
 
 BITS, SEED = 64, 42
 #: Mean members of a shard, above which more blocks are cut; members of a shard that one task may search.
@@ -119,10 +119,11 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, id_col: st
     null). An empty table gives no rows. Only the two named columns are read. Texts of any length are hashed whole.
     """
     small_batches(docs.sparkSession)
-    own = written(fingerprints(docs, words, id_col, text_col), "fingerprints")
-    distinct = written(own.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct")
-    joined = connected(shard_links(distinct.select("fp"), radius, hot_shard)).toDF("node", "center")
-    placed = distinct.join(joined, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("center", "fp").alias("center"))
-    named = placed.groupBy("center").agg(F.min("least").alias("component_id"))
-    by_fp = written(placed.join(named, "center").select("fp", "component_id"), "named")
+    with scope() as keep:
+        own = keep(written(fingerprints(docs, words, id_col, text_col), "fingerprints"))
+        distinct = written(own.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct")
+        joined = connected(shard_links(distinct.select("fp"), radius, hot_shard)).toDF("node", "center")
+        placed = distinct.join(joined, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("center", "fp").alias("center"))
+        named = placed.groupBy("center").agg(F.min("least").alias("component_id"))
+        by_fp = keep(written(placed.join(named, "center").select("fp", "component_id"), "named"))
     return own.join(by_fp, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -27,7 +27,7 @@ from tidemark.llm.bk_forest import Forest, hamming, unite
 from tidemark.llm.shared import arrow_schema, free_name, lists, map_rows, shards, small_batches, text_keys, types_of, word_hashes
 from tidemark.llm.simhash_dedup import dealt_out, in_blocks
 from tidemark.operators.components import connected
-from tidemark.plans.scratch import written
+from tidemark.plans.scratch import drop, scope, written
 
 #: Fingerprint words of 64 bits, min-hash keys and minima in each key, and the radius in bits within which step 1 proposes.
 WIDE, KEYS, MINIMA, WIDE_RADIUS = 2, 6, 2, 44
@@ -265,9 +265,10 @@ def _prefixes(rows: DataFrame, own: DataFrame, words: int, similarity: float) ->
 
 def _lost_links(rows: DataFrame, own: DataFrame, parts: DataFrame, words: int, similarity: float, compared: int) -> DataFrame | None:
     """a, b: links between different groups (column center), by step 2; None if no two groups share a shingle of their prefixes."""
-    found = written(_prefixes(rows, own, words, similarity), "prefixes")
-    found = found.groupBy("node").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix")).join(parts.select("node", "center", "bits"), "node")
+    made = written(_prefixes(rows, own, words, similarity), "prefixes")
+    found = made.groupBy("node").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix")).join(parts.select("node", "center", "bits"), "node")
     found = written(found, "members")
+    drop(made)
     postings = found.select(F.explode("prefix").alias("key"), "node", "center")
     mixed = postings.groupBy("key").agg(F.min("center").alias("lo"), F.max("center").alias("hi")).where("lo != hi").select("key")
     mixed = written(postings.join(written(mixed, "mixed"), "key"), "mixed")
@@ -303,7 +304,7 @@ def _lost_links(rows: DataFrame, own: DataFrame, parts: DataFrame, words: int, s
     if asked.isEmpty():
         return None
     pairs = written(asked.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct(), "pairs")
-    nodes = asked.select("node").union(pairs.select("b")).distinct().join(parts.select("node", "least"), "node")
+    nodes = written(asked.select("node").union(pairs.select("b")).distinct().join(parts.select("node", "least"), "node"), "asked")
     whole = written(_sets(rows, nodes, words), "sets")
 
     def check(batches):
@@ -340,20 +341,32 @@ def _grouped(docs: DataFrame, words: int, similarity: float, id_col: str, text_c
     """(id, h, g, node of each row; node and first, the struct (no, id, h, g) of its group's row of the smallest id)."""
     small_batches(docs.sparkSession)
     rows = _rows(docs, id_col, text_col)
-    own = written(_sketches(rows, words), "sketches")
-    least = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "h", "g")).alias("least")
-    nodes = written(own.groupBy("node").agg(least, F.first("keys").alias("keys"), F.first("bits").alias("bits")), "nodes")
+    with scope() as keep:
+        own = keep(written(_sketches(rows, words), "sketches"))
+        least = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "h", "g")).alias("least")
+        nodes = written(own.groupBy("node").agg(least, F.first("keys").alias("keys"), F.first("bits").alias("bits")), "nodes")
+        joined = _proposed_groups(rows, nodes, words, similarity, searched)
+        parts = written(nodes.join(joined, "node", "left").select("node", "least", "bits", F.coalesce("center", "node").alias("center")), "parts")
+        with scope() as keep_links:
+            more = _lost_links(rows, own, parts, words, similarity, compared)
+            if more is not None:
+                keep_links(more)
+        if more is not None and not more.isEmpty():
+            joined = connected(joined.select(F.col("node").alias("a"), F.col("center").alias("b")).union(more)).toDF("node", "center")
+            parts = nodes.join(joined, "node", "left").select("node", "least", F.coalesce("center", "node").alias("center"))
+        first = parts.groupBy("center").agg(F.min("least").alias("first"))
+        named = keep(written(parts.select("node", "center").join(first, "center").select("node", "first"), "named"))
+    return own.select("id", "h", "g", "node"), named
+
+
+def _proposed_groups(rows: DataFrame, nodes: DataFrame, words: int, similarity: float, searched: int) -> DataFrame:
+    """node, center: the groups that step 1 finds."""
     pairs = written(_proposed(nodes, searched), "pairs")
     asked = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "least"), "node"), "asked")
     whole = written(_sets(rows, asked, words), "sets")
     joined = connected(_linked(pairs, whole, similarity)).toDF("node", "center")
-    parts = written(nodes.join(joined, "node", "left").select("node", "least", "bits", F.coalesce("center", "node").alias("center")), "parts")
-    more = _lost_links(rows, own, parts, words, similarity, compared)
-    if more is not None and not more.isEmpty():
-        joined = connected(joined.select(F.col("node").alias("a"), F.col("center").alias("b")).union(more)).toDF("node", "center")
-        parts = nodes.join(joined, "node", "left").select("node", "least", F.coalesce("center", "node").alias("center"))
-    first = parts.groupBy("center").agg(F.min("least").alias("first"))
-    return own.select("id", "h", "g", "node"), written(parts.select("node", "center").join(first, "center").select("node", "first"), "named")
+    drop(whole)
+    return joined
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", searched: int = SEARCHED, compared: int = COMPARED) -> DataFrame:
@@ -374,9 +387,10 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: s
     An id whose texts are of several groups stays in each group where it is the smallest. Repeated rows of the kept id and text are one row.
     The columns are those of docs; an empty table gives none.
     """
-    own, named = _grouped(docs, words, similarity, id_col, text_col, SEARCHED, COMPARED)
     same = F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.h") == F.col("h")) & (F.col("first.g") == F.col("g"))
-    told = written(own.join(named, "node").groupBy("id", "h", "g").agg(F.first(same).alias("stays"), F.count("*").alias("n")), "told")
+    with scope() as keep:
+        own, named = _grouped(docs, words, similarity, id_col, text_col, SEARCHED, COMPARED)
+        told = keep(written(own.join(named, "node").groupBy("id", "h", "g").agg(F.first(same).alias("stays"), F.count("*").alias("n")), "told"))
     names = dict(zip(("id", "h", "g"), (free_name(f"_{c}", docs.columns) for c in ("id", "h", "g")), strict=True))
     h, g = text_keys(text_col)
     keyed = docs.withColumns({names["h"]: h, names["g"]: g, names["id"]: F.col(id_col)})

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import arrow_schema, free_name, lists, map_rows, shards, small_batches, text_keys, types_of, word_hashes, words_of
-from tidemark.plans.scratch import written
+from tidemark.plans.scratch import scope, written
 
 #: Places of an anchor above which its fragments are counted by hash, so that no task gathers them.
 HOT = 200
@@ -277,7 +277,8 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     small_batches(docs.sparkSession)
     own = docs if rewrite else docs.select(id_col, text_col)
     names, kinds = own.columns, types_of(own)
-    marks = repeated_spans(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), window)
+    with scope() as keep:
+        marks = keep(written(repeated_spans(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), window), "marks"))
     marks = marks.toDF(*[free_name(c, names) for c in marks.columns])
     h, g, *found = marks.columns
     joined = own.withColumns(dict(zip((h, g), text_keys(text_col), strict=True))).join(marks, [h, g], "left").select(*names, *found)
