@@ -15,7 +15,7 @@ from tidemark.llm.mixing import mix
 from tidemark.llm.packing import pack
 from tidemark.llm.similar_groups import keep_one
 from tidemark.llm.substring_dedup import remove_repeats
-from tidemark.plans.scratch import written
+from tidemark.plans.scratch import drop, scope, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -82,7 +82,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; a stage's own scratch tables go when it is written, its output when the next one is."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    for i, (name, stage) in enumerate(STAGES):
+        before = docs
+        with scope() as keep:
+            docs = keep(written(stage(spark, before, sf_dir), f"stage-{name}"))
+        if i:
+            drop(before)
     return docs
