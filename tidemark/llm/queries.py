@@ -130,8 +130,9 @@ r AS (
 m AS (
   SELECT r.capture_id, r.canonical_url, r.stamp, f.capture_id AS response_id, f.etag AS old_etag, f.payload_digest AS old_digest, f.stamp AS old_stamp,
          CASE WHEN f.capture_id IS NULL THEN 'missing'
-              WHEN r.etag IS NOT NULL THEN CASE WHEN regexp_replace(r.etag, '^W/', '') = f.etag THEN 'etag' ELSE 'mismatch' END
-              WHEN r.payload_digest = f.payload_digest THEN 'digest' ELSE 'mismatch' END AS validated
+              WHEN r.etag IS NOT NULL AND f.etag IS NOT NULL THEN CASE WHEN regexp_replace(r.etag, '^W/', '') = f.etag THEN 'etag' ELSE 'mismatch' END
+              WHEN r.payload_digest IS NOT NULL AND f.payload_digest IS NOT NULL THEN CASE WHEN r.payload_digest = f.payload_digest THEN 'digest' ELSE 'mismatch' END
+              ELSE 'unchecked' END AS validated
   FROM r LEFT JOIN u AS f ON f.kind = 'response' AND f.canonical_url = r.canonical_url AND f.capture_id = r.code % 1000000000000
   WHERE r.kind = 'revisit')
 SELECT capture_id, canonical_url, CASE WHEN validated IN ('etag', 'digest') THEN response_id END AS response_id, validated,
