@@ -49,7 +49,7 @@ def digest_state(d: Dialect) -> str:
     day, key = "CAST(floor(captured_at / 86400) AS BIGINT)", "captured_at * 10000000 + event_id"
     first, last = ("min_by", "max_by") if d.spark else ("arg_min", "arg_max")
     hour = "CAST(floor(captured_at % 86400 / 3600) AS BIGINT)"
-    return f"SELECT {day} AS day_n, {first}(event_id, {key}) AS initial_id, {last}(event_id, {key}) AS latest_id, count(*) AS revisions, {d.join(d.gather(f'CASE WHEN {hour} IN (12, 18) THEN {hour} END'))} AS done_hours FROM v_metrics WHERE metric = 'signup' GROUP BY {day}"
+    return f"SELECT {day} AS day_n, {first}(event_id, {key}) AS initial_id, {last}(event_id, {key}) AS latest_id, count(*) AS revisions, coalesce({d.join(d.gather(f'CASE WHEN {hour} IN (12, 18) THEN {hour} END'))}, '') AS done_hours FROM v_metrics WHERE metric = 'signup' GROUP BY {day}"
 
 
 def key_points(d: Dialect) -> str:
