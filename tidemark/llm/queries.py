@@ -11,9 +11,14 @@ from pyspark.sql import functions as F
 from tidemark.functions.urls import canonical_url_sql
 from tidemark.llm.ann_postings import search
 from tidemark.llm.language_id import fit, predict
+from tidemark.llm.lexical_ranking import rank
 from tidemark.llm.media_sequences import texts_as_media
 from tidemark.llm.mixing import mix
 from tidemark.llm.packing import pack
+from tidemark.llm.periodic_runs import periodic_runs
+from tidemark.llm.personal_data import KINDS, find_spans
+from tidemark.llm.personal_data import fit as fit_spans
+from tidemark.llm.shared import WORD
 from tidemark.llm.simhash_dedup import near_duplicates
 from tidemark.llm.substring_dedup import remove_repeats
 from tidemark.llm.token_counts import count_tokens
@@ -197,11 +202,70 @@ def op10_ann_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's personal data: how many spans of each exact form, their digest, and all spans.
+
+    A null text is an empty one: no spans, the digest of no bytes, an empty string; spans that the method adds are in `spans` alone;
+    repeated rows and null ids give rows like any other; an empty table gives none.
+    """
+    docs = table(spark, sf_dir, "documents")
+    found = find_spans(docs, fit_spans(docs))
+    said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, KINDS), F.sha2(said("base"), 256).alias("base_sha256"), said("spans").alias("spans"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's runs, a tenth of the documents made periodic from some word on, and the digest of what is left without repeats.
+
+    A null text has no words: no runs, nulls for the longest, the digests of no bytes; a null id is never made periodic; repeated rows give
+    rows like any other; an empty table gives none.
+    """
+    h = F.crc32(F.col("doc_id").cast("string"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", h.alias("h"), F.floor(h / 10).alias("g"))
+    docs = docs.withColumn("words", F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))).withColumn("n", F.size("words"))
+    docs = docs.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    docs = docs.withColumn("p", F.lit(1) + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    word = lambda w, i: F.when(i < F.col("a"), w).otherwise(F.element_at("words", (F.col("a") + (i - F.col("a")) % F.col("p") + 1).cast("int")))
+    docs = docs.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(F.transform("words", word), " ")).otherwise(F.col("text")).alias("text"))
+    found = periodic_runs(docs)
+    first = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("below"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), first.alias("first"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    length, period = -F.col("first.below"), F.col("first.period")
+    return found.select("doc_id", "n_runs", F.col("first.start").alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op13_lexical_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark item's 50 documents of highest score.
+
+    Null texts and those without terms match nothing and count in no statistic; equal scores come by ascending id, null last; repeated rows are
+    documents of their own, and rows of one item are one query; empty tables give no rows.
+    """
+    return rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_TERMS = "unnest(regexp_extract_all(translate(text, '" + _UPPER + "', '" + _UPPER.lower() + r"'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))"
+OP13_SQL = f"""
+WITH d AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, {_TERMS} AS term FROM documents) GROUP BY doc_id, term),
+q AS (SELECT DISTINCT item_id, {_TERMS} AS term FROM benchmark),
+s AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM d GROUP BY doc_id),
+c AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM s),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM d, c GROUP BY term, docs),
+r AS (SELECT q.item_id, d.doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // words)))) AS BIGINT) AS score
+  FROM q JOIN d USING (term) JOIN w USING (term) JOIN s ON s.doc_id = d.doc_id, c GROUP BY q.item_id, d.doc_id),
+o AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM r WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 50
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_language_id, op2_source_mixing, op3_substring_dedup, op4_warc_revisit, op5_best_fit_packing,
         op6_simhash_groups, op7_media_sequences, op8_token_counts, op9_token_store, op10_ann_postings,
+        op11_personal_data, op12_periodic_runs, op13_lexical_ranking,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op2_source_mixing": OP2_SQL, "op4_warc_revisit": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_source_mixing": OP2_SQL, "op4_warc_revisit": OP4_SQL, "op13_lexical_ranking": OP13_SQL}
