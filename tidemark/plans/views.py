@@ -73,4 +73,7 @@ def with_views(sql: str, d: Dialect) -> str:
     if not head:
         return sql
     own = sql.lstrip()
-    return f"WITH {head},\n{own[5:]}" if own[:5].upper() == "WITH " else f"WITH {head}\n{own}"
+    for opening in ("WITH RECURSIVE ", "WITH "):
+        if own.startswith(opening):
+            return f"{opening}{head},\n{own.removeprefix(opening)}"
+    return f"WITH {head}\n{own}"
