@@ -275,5 +275,6 @@ def _found(own: DataFrame, asked: DataFrame, dim: int, n: int, longest: float, k
     short = written(short, "short")
     if short.isEmpty():
         return first
+    done = first.join(short.select(F.col("vec_id").alias("query_id"), F.col("copy").alias("query_copy")), ["query_id", "query_copy"], "left_anti").select(*first.columns)
     again = probe(short.withColumn("list", F.explode(F.sequence(F.lit(0), F.lit(len(graph.centroids) - 1)))))
-    return written(first.join(short, same, "left_anti").unionByName(again), "found")
+    return written(done.unionByName(again), "found")
