@@ -10,12 +10,13 @@ of shingles (equal sets are one node from the start, however many texts have the
    n - ceil(similarity * n) + 1 shingles. Wherever members of different groups share such a shingle, pairs of different groups
    whose sizes and fingerprints allow the similarity are compared by whole sets, in pairs of blocks of bounded
    size. Fingerprints exclude in two ways: by 512 parities of the shingles, which differ in no more bits than the sets differ in
-   shingles, so that they never exclude a link; and by SimHash, where sets at the similarity differ in some 19 of 128 bits
-   (deviation 4) and only pairs over EXACT_RADIUS bits apart are passed over, a chance under 1e-13 for a link.
+   shingles, so that they never exclude a link; and, where both sets have FEW shingles or more, by SimHash: sets at the similarity differ
+   in some 20 of 128 bits (deviation 4), and only pairs over EXACT_RADIUS bits apart are passed over, a chance under 1e-14 for a link.
 """
 
 from __future__ import annotations
 
+from itertools import chain
 from math import ceil
 
 import numpy as np
@@ -33,8 +34,9 @@ from tidemark.plans.scratch import drop, scope, written
 WIDE, KEYS, MINIMA, WIDE_RADIUS = 2, 6, 2, 44
 #: Parity bits of a set, after its SimHash words in the column bits.
 PARITIES = 512
-#: Radius in bits within which step 2 compares whole sets.
-EXACT_RADIUS = 56
+#: Radius in bits within which step 2 compares whole sets, and the size from which it does. Of two sets of FEW shingles or more at a similarity of
+#: 0.8, a bit differs with a chance of 0.16 at most, so 61 of the 128 differ with one under 1e-14. Smaller sets are compared whatever their bits are.
+EXACT_RADIUS, FEW = 60, 64
 #: Members of a shard that one task searches in step 1, and half of those that one task compares by whole sets in step 2.
 SEARCHED, COMPARED = 4096, 512
 #: Pairs for each member of a shard that are compared one by one; the members of a shard with more are compared together.
@@ -135,6 +137,15 @@ def met_before(key: np.ndarray, one: np.ndarray, other: np.ndarray) -> np.ndarra
     return out
 
 
+def neighbours(shard: np.ndarray):
+    """Yields (a, b), a < b: all pairs of positions of one shard; shards lie together."""
+    ends = np.searchsorted(shard, shard, "right")
+    at, step = np.arange(len(shard)), 1
+    while len(at := at[at + step < ends[at]]):
+        yield at, at + step
+        step += 1
+
+
 def crossing(values: np.ndarray, parity: np.ndarray, starts: np.ndarray, key: np.ndarray, firsts: np.ndarray, center: np.ndarray, size: np.ndarray, similarity: float, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(members, a, b): pairs of different groups in a shard that could link, as pairs where a shard has few, else as members.
 
@@ -142,9 +153,15 @@ def crossing(values: np.ndarray, parity: np.ndarray, starts: np.ndarray, key: np
     """
     n = np.diff(np.append(starts, len(values)))
     shard = np.repeat(np.arange(len(starts)), n)
-    forest, pairs = Forest(values, shard), [np.empty((0, 2), np.int64)]
-    for asked, found, _ in forest.searches(radius):
+    pairs = [np.empty((0, 2), np.int64)]
+    # sets of fewer than FEW shingles, with all that they could link to; then larger ones, by their trees
+    small, large = np.flatnonzero(size < FEW / similarity), np.flatnonzero(size >= FEW)
+    forest = Forest(values[large], np.unique(shard[large], return_inverse=True)[1]) if len(large) else None
+    ways = ((small[x], small[y], True) for x, y in neighbours(shard[small])), ((large[x], large[y], False) for x, y, _ in (forest.searches(radius) if forest else ()))
+    for asked, found, few in chain(*ways):
         open_ = (asked < found) & (center[asked] != center[found])
+        if few:
+            open_ &= np.minimum(size[asked], size[found]) < FEW
         open_ &= np.minimum(size[asked], size[found]) >= similarity * np.maximum(size[asked], size[found]) - 1e-9
         asked, found = asked[open_], found[open_]
         # at the similarity, sets differ in this many shingles at most, and their parities in no more bits
