@@ -57,12 +57,21 @@ def fingerprints(docs: DataFrame, words: int, id_col: str, text_col: str) -> Dat
 
 
 def block_masks(n: int, radius: int) -> list[int]:
-    """For each choice of agreeing blocks, the mask of their bits, as signed 64-bit integers."""
-    b = next((b for b in range(radius + 1, 16) if n <= SHARD_AIM << (BITS * (b - radius) // b)), 16)
+    """For each choice of blocks that must agree, a mask of as many of their bits as make shards of about SHARD_AIM members, as
+    signed 64-bit integers. Fingerprints within the radius agree in all bits of some choice, so in those of its mask."""
+    wanted = max(0, (max(n, 1) - 1) // SHARD_AIM).bit_length()
+    if not wanted:
+        return [0]
+    b = next((b for b in range(radius + 1, 16) if wanted <= BITS * (b - radius) // b), 16)
     edges = [BITS * i // b for i in range(b + 1)]
-    blocks = [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(edges, edges[1:], strict=False)]
+    blocks = [range(lo, hi) for lo, hi in zip(edges, edges[1:], strict=False)]
     assert comb(b, radius) < 4096
-    return [x - (1 << 64) if x >> 63 else x for x in (sum(c) for c in combinations(blocks, b - radius))]
+    masks = []
+    for chosen in combinations(blocks, b - radius):
+        bits = [i for block in chosen for i in block]
+        k = min(wanted, len(bits))
+        masks.append(sum(1 << bits[len(bits) * i // k] for i in range(k)))
+    return [x - (1 << 64) if x >> 63 else x for x in masks]
 
 
 def in_blocks(dealt: DataFrame, keys: list[str], item: str, most: int) -> DataFrame:
