@@ -36,6 +36,7 @@ def empty(spark, no_docs, tmp_path_factory):
     no_docs.write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([], EMBEDDINGS).write.parquet(f"{path}/embeddings.parquet")
     spark.createDataFrame([], PAGES).write.parquet(f"{path}/pages.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
     return path
 
 
