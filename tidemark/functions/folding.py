@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -71,28 +69,6 @@ def alias_spans(text: str, alias: str) -> list[tuple[int, int, str]]:
     return out
 
 
-#: What alias_spans takes for a word: letters and digits, Han apart.
-_RUN = re.compile(r"[^\W_㐀-鿿]+")
-
-
-def word_spans(text: str) -> Iterator[tuple[str, int, int, str]]:
-    """(folded word, UTF-8 start, UTF-8 length, original spelling) of each word: the `alias_spans` of all names of one word, in one pass."""
-    if text.isascii():
-        yield from ((m[0].lower(), m.start(), len(m[0]), m[0]) for m in _RUN.finditer(text))
-        return
-    folded, back, bytes_to = [], [], [0]
-    for i, c in enumerate(text):
-        bytes_to.append(bytes_to[-1] + len(c.encode()))
-        for x in unicodedata.normalize("NFKD", c).casefold():
-            if not unicodedata.combining(x):
-                folded.append(x)
-                back.append(i)
-    back.append(len(text))
-    for m in _RUN.finditer("".join(folded)):
-        lo, hi = back[m.start()], back[m.end()]
-        yield m[0], bytes_to[lo], bytes_to[hi] - bytes_to[lo], text[lo:hi]
-
-
 def math_pieces(text: str) -> list[tuple[str, str]]:
     r"""(kind, content) pieces: text, inline \( \) or $ $, display \[ \] or $$ $$; a backslash escapes a dollar."""
     pairs = (("\\(", "\\)", "inline"), ("\\[", "\\]", "display"), ("$$", "$$", "display"), ("$", "$", "inline"))

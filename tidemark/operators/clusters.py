@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as t
-from tidemark.functions.folding import word_spans
+from tidemark.functions.names import name_spans
 from tidemark.plans.dialect import Dialect
 from tidemark.plans.run import Query
 
@@ -167,24 +166,16 @@ def entity_resolution(d: Dialect) -> str:
 
 
 def entity_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every whole-word span of every name of 2 to 100 characters: item_id, alias, utf8_start, utf8_length, mentioned_text.
+    """Every whole span of every name of 2 to 100 characters: item_id, alias, utf8_start, utf8_length, mentioned_text.
 
-    Case, diacritics and width are folded in the texts. Names are the distinct words (ASCII letters and digits) of the benchmark texts.
+    Case, diacritics and width are folded. Names are the words of the benchmark texts, and each two that stand side by side there.
     """
-    part = F.explode(F.transform(F.split("text", "[^A-Za-z0-9]+"), F.lower)).alias("alias")
-    names = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(part).where(F.length("alias").between(2, 100)).distinct()
-    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("item_id"), "text")
-
-    def spans(batches):
-        schema = pa.schema([("item_id", pa.int64()), ("alias", pa.string()), ("utf8_start", pa.int64()), ("utf8_length", pa.int64()), ("mentioned_text", pa.string())])
-        for batch in batches:
-            for at in range(0, len(batch), 200):
-                own = batch.slice(at, 200)
-                rows = [(i, *x) for i, text in zip(own.column(0).to_pylist(), own.column(1).to_pylist(), strict=True) for x in word_spans(text) if 2 <= len(x[0]) <= 100]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
-
-    found = texts.mapInArrow(spans, "item_id long, alias string, utf8_start long, utf8_length long, mentioned_text string")
-    return found.join(names, "alias").select("item_id", "alias", "utf8_start", "utf8_length", "mentioned_text")
+    words = F.filter(F.split("text", r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    pairs = F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.concat_ws(" ", F.element_at("words", i), F.element_at("words", i + 1)))
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("text IS NOT NULL").select(words.alias("words"))
+    names = items.select(F.explode(F.when(F.size("words") > 1, F.concat("words", pairs)).otherwise(F.col("words"))).alias("name")).where(F.length("name").between(2, 100)).distinct()
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("item_id"), "text")
+    return name_spans(texts, names, "item_id", "text", "name")
 
 
 SPARK_QUERIES = {f.__name__: f for f in (entity_spans,)}
