@@ -9,7 +9,6 @@ join moves a short row for each reference and each distinct payload, never the p
 from __future__ import annotations
 
 import hashlib
-import re
 import struct
 import zlib
 from collections import Counter
@@ -20,14 +19,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.html import end_tags
 from tidemark.llm.shared import map_rows, small_batches, types_of
 from tidemark.plans.scratch import scratch_path
 
 WIDTH, FILL, LEVEL, MAX_SEEN = 576, 255, 1, 200_000
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
+#: But for the first two, skipped only where they are closed: a page that forgets to close one is read on.
 _SKIPPED = {"script", "style", "noscript", "template", "title"}
-#: Skipped only where they are closed: a page that forgets to close one is read on.
-_CLOSED = re.compile("</(noscript|template|title)[\\s/>]", re.IGNORECASE)
 _MEDIA = {"img", "video", "audio", "source", "embed"}
 _BLOCKS = {"p", "div", "article", "section", "figure", "figcaption", "li", "ul", "ol", "table", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "br", "hr", "nav", "body", "blockquote", "pre"}
 
@@ -146,7 +145,7 @@ class _Sequence(HTMLParser):
 
 def parse_sequence(html: str | None) -> list[list[str | None]]:
     """[kind, text, source, caption] in document order; a figure's caption goes to its media, wherever it stands."""
-    parser = _Sequence(Counter(x.lower() for x in _CLOSED.findall(html or "")))
+    parser = _Sequence(end_tags(html or ""))
     parser.feed(html or "")
     parser.close()
     parser.flush()
