@@ -80,8 +80,11 @@ def test_refreshes_move_their_cursors(spark):
     items = "".join(f"<item><guid>{i}</guid><title>t{i}</title></item>" for i in range(40))
     raw = spark.createDataFrame([("s", f"<rss><channel>{items}</channel></rss>")], "source_id string, body string")
     found, cursor = registry.refresh("rss", raw)
-    assert sorted(int(r["external_id"]) for r in found.collect()) == list(range(30)) and cursor.count() == 40
+    assert sorted(int(r["external_id"]) for r in found.collect()) == list(range(30)) and cursor.count() == 30
     assert registry.refresh("rss", raw, cursor)[0].count() == 0
+    shorter = "".join(f"<item><guid>{i}</guid><title>t{i}</title></item>" for i in range(20, 40))
+    later = spark.createDataFrame([("s", f"<rss><channel>{shorter}</channel></rss>")], "source_id string, body string")
+    assert sorted(int(r["external_id"]) for r in registry.refresh("rss", later, cursor)[0].collect()) == list(range(30, 40))
     page = lambda after: '{"data":{"after":%s,"children":[{"data":{"name":"n","title":"t","permalink":"/p"}}]}}' % after
     pages = spark.createDataFrame([("a", page('"t3_x"')), ("b", page("null"))], "endpoint_id string, body string")
     assert sorted(map(tuple, registry.refresh("reddit", pages)[1].collect())) == [("a", "t3_x", False), ("b", None, True)]

@@ -28,7 +28,6 @@ LAZY = ("data-src", "data-original", "data-lazy-src", "data-actualsrc", "src")
 #: Values that could run or load something, in any attribute.
 _ACTIVE = re.compile(r"javascript:|url\(|[\x00-\x08\x0a-\x1f]", re.IGNORECASE)
 _PRIVATE = re.compile(r"(0|10|127)(\.\d+){3}|169\.254(\.\d+){2}|192\.168(\.\d+){2}|172\.(1[6-9]|2\d|3[01])(\.\d+){2}")
-_ENDS = re.compile("</([a-z]+)", re.IGNORECASE)
 
 
 def safe_url(value: str | None, base: str | None, image: bool = False) -> str | None:
@@ -61,6 +60,24 @@ def best_source(srcset: str) -> str | None:
     return max(found)[1] if found else None
 
 
+class _Ends(HTMLParser):
+    """Counts the end tags that the parser comes to, so none in comments, scripts or attributes."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.found = Counter()
+
+    def handle_endtag(self, tag):
+        self.found[tag] += 1
+
+
+def end_tags(source: str) -> Counter:
+    parser = _Ends()
+    parser.feed(source)
+    parser.close()
+    return parser.found
+
+
 class _Sanitizer(HTMLParser):
     def __init__(self, base: str | None, ends: Counter):
         super().__init__(convert_charrefs=True)
@@ -101,7 +118,9 @@ class _Sanitizer(HTMLParser):
         self.handle_starttag(tag, attrs)
         if tag not in VOID and tag not in DROPPED:
             self.handle_endtag(tag)
-        elif self.skip and self.skip[-1] == tag:
+            return
+        self.ends[tag] -= 1
+        if self.skip and self.skip[-1] == tag:
             self.skip.pop()
 
     def handle_endtag(self, tag):
@@ -133,7 +152,7 @@ class _Sanitizer(HTMLParser):
 
 def sanitize(source: str | None, base: str | None = None) -> tuple[str, str, str]:
     """(title, sanitized HTML, plain text). Never runs or keeps anything active; TeX scripts become text delimiters."""
-    parser = _Sanitizer(base, Counter(x.lower() for x in _ENDS.findall(source or "")))
+    parser = _Sanitizer(base, end_tags(source or ""))
     parser.feed(source or "")
     parser.close()
     return " ".join("".join(parser.title).split()), "".join(parser.out), " ".join("".join(parser.text).split())

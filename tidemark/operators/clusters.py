@@ -27,10 +27,14 @@ def segment_spans(d: Dialect) -> str:
 
 
 def revision_alignment_exact(d: Dialect) -> str:
-    """Turns of a conversation aligned with the turn before by equal hash, each prior used once."""
-    place = f"row_number() OVER (PARTITION BY item_id, {d.sha256('body')} ORDER BY ordinal)"
-    return f"""SELECT a.item_id, a.ordinal, min(b.ordinal) AS prior_ordinal FROM (SELECT item_id, ordinal, {d.sha256("body")} AS h, {place} AS k FROM v_revisions) a
-        JOIN (SELECT item_id, ordinal, {d.sha256("body")} AS h, {place} AS k FROM v_revisions) b ON a.item_id = b.item_id AND a.h = b.h AND b.k = a.k - 1 GROUP BY a.item_id, a.ordinal"""
+    """Segments of an item's next revision aligned with those of the one before by equal hash, each prior used once, in their order.
+
+    The next revision has every fifth segment edited and every seventh left out.
+    """
+    place = "row_number() OVER (PARTITION BY item_id, h ORDER BY ordinal)"
+    own = lambda text, where: f"SELECT item_id, ordinal, h, {place} AS k FROM (SELECT item_id, ordinal, {d.sha256(text)} AS h FROM v_segments WHERE {where}) r"
+    edited = "CASE WHEN ordinal % 5 = 4 THEN concat(text, ' (edited)') ELSE text END"
+    return f"SELECT a.item_id, a.ordinal, b.ordinal AS prior_ordinal FROM ({own(edited, 'ordinal % 7 <> 3')}) a LEFT JOIN ({own('text', 'TRUE')}) b ON a.item_id = b.item_id AND a.h = b.h AND a.k = b.k"
 
 
 def _scores(d: Dialect) -> str:

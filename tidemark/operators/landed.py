@@ -11,17 +11,17 @@ from tidemark.plans.run import Query, duck_sql, spark_query
 from tidemark.plans.scratch import scratch_path
 from tidemark.sources import api_pages, blobs, feeds
 
-#: Entries that a made feed lists, of which a refresh reads the first thirty.
-LISTED, READ = 40, 30
+#: Entries that a made feed lists, of which a refresh reads the first thirty; and posts of a page of a made listing, which goes on to the last post.
+LISTED, READ, PAGE = 40, 30, 100
 
 
-def _recent(d: Dialect) -> str:
-    return f"SELECT source_id, item_id, title, place FROM (SELECT source_id, item_id, substr({d.replace_all('title', '[^A-Za-z0-9 ]', chr(39) * 2)}, 1, 60) AS title, row_number() OVER (PARTITION BY source_id ORDER BY published_at DESC, item_id) - 1 AS place FROM v_items) x WHERE place < {LISTED}"
+def _recent(d: Dialect, where: str = f"place < {LISTED}") -> str:
+    return f"SELECT source_id, item_id, title, place, CAST(floor(place / {PAGE}.0) AS BIGINT) AS page FROM (SELECT source_id, item_id, substr({d.replace_all('title', '[^A-Za-z0-9 ]', chr(39) * 2)}, 1, 60) AS title, row_number() OVER (PARTITION BY source_id ORDER BY published_at DESC, item_id) - 1 AS place FROM v_items) x WHERE {where}"
 
 
-def _entries(entry, head: str, foot: str, between: str = "") -> str:
-    """SQL of a document for each source from its recent items in order."""
-    return f"SELECT source_id, concat('{head}', array_join(transform(array_sort(collect_list(struct(place, {entry} AS e))), x -> x.e), '{between}'), '{foot}') AS body FROM ({_recent(SPARK)}) GROUP BY source_id"
+def _entries(entry, head: str, foot: str, between: str = "", items: str | None = None) -> str:
+    """SQL of a document for each page of each source from its items in order."""
+    return f"SELECT source_id, concat('{head}', array_join(transform(array_sort(collect_list(struct(place, {entry} AS e))), x -> x.e), '{between}'), '{foot}') AS body FROM ({items or _recent(SPARK)}) GROUP BY source_id, page"
 
 
 def feed_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,9 +36,9 @@ def feed_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def forum_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Listings of each source's recent items, read back with the cursor that follows; removed posts are deleted, not dropped."""
+    """Listings of each source's items, page by page to the last, read back with the cursor that follows; removed posts are deleted, not dropped."""
     child = "concat('{\"data\":{\"name\":\"t3_', item_id, '\",\"title\":\"', title, '\",\"permalink\":\"/r/', source_id, '/', item_id, '\",\"score\":', item_id, if(item_id % 9 = 0, ',\"removed_by_category\":\"moderator\"', ''), '}}')"
-    raw = spark_query(lambda d: _entries(child, '{"data":{"after":"t3_next","children":[', "]}}", ","))(spark, sf_dir).withColumnRenamed("source_id", "endpoint_id")
+    raw = spark_query(lambda d: _entries(child, '{"data":{"after":"t3_next","children":[', "]}}", ",", _recent(SPARK, "TRUE")))(spark, sf_dir).withColumnRenamed("source_id", "endpoint_id")
     found = api_pages.forum_posts(raw)
     return found.select("endpoint_id", "external_id", "canonical_url", F.trim("title").alias("title"), "deletion_state", "next_cursor", F.element_at("metrics", "score").alias("score"))
 
@@ -91,7 +91,7 @@ def _feeds_sql(d: Dialect) -> str:
 
 
 def _forum_sql(d: Dialect) -> str:
-    return f"SELECT source_id AS endpoint_id, concat('t3_', item_id) AS external_id, concat('https://www.reddit.com/r/', source_id, '/', item_id) AS canonical_url, trim(title) AS title, CASE WHEN item_id % 9 = 0 THEN 'deleted' ELSE 'available' END AS deletion_state, 't3_next' AS next_cursor, CAST(item_id AS DOUBLE) AS score FROM ({_recent(d)}) r"
+    return f"SELECT source_id AS endpoint_id, concat('t3_', item_id) AS external_id, concat('https://www.reddit.com/r/', source_id, '/', item_id) AS canonical_url, trim(title) AS title, CASE WHEN item_id % 9 = 0 THEN 'deleted' ELSE 'available' END AS deletion_state, 't3_next' AS next_cursor, CAST(item_id AS DOUBLE) AS score FROM ({_recent(d, 'TRUE')}) r"
 
 
 def _outline_sql(d: Dialect) -> str:

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import folding
 from tidemark.functions.html import sanitized_pages
+from tidemark.functions.urls import canonical_url, canonical_url_sql
+from tidemark.plans.dialect import SPARK, Dialect
+from tidemark.plans.run import duck_sql, spark_query
 
 ALIGNED, ALIGNED_SINGLE = 0.67, 0.50
 
@@ -77,4 +80,53 @@ def revision_alignment_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.groupBy("conv_id").applyInPandas(run, "conv_id long, turn long, place long, prior long, similarity double")
 
 
-SPARK_QUERIES = {f.__name__: f for f in (html_sanitize, readable_extract, folded_names, revision_alignment_fuzzy)}
+def _captures(d: Dialect) -> str:
+    """Each page fetched three times: a third of them is edited before the second time, and some servers send no entity tag."""
+    edited = "CASE WHEN capture > 0 AND page_id % 3 = 0 THEN 1 ELSE 0 END"
+    body = f"CASE WHEN {edited} = 1 THEN concat(html, '<!-- edited -->') ELSE html END"
+    times = " UNION ALL ".join(f"SELECT {n} AS capture" for n in range(3))
+    return f"SELECT page_id, url, capture, {d.sha256(body)} AS body_hash, octet_length({body if d.spark else f'encode({body})'}) AS n_bytes, 1704067200 + 86400 * {edited} AS modified_at, page_id % 5 = 0 AS untagged FROM v_pages CROSS JOIN ({times}) t WHERE html IS NOT NULL AND url IS NOT NULL"
+
+
+def _sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark_query(_captures)(spark, sf_dir).withColumn("site", canonical_url(F.col("url")))
+
+
+_BEFORE = "lag({}) OVER (PARTITION BY site ORDER BY capture, page_id)"
+
+
+def _changes(d: Dialect, sites: str) -> str:
+    return f"SELECT page_id, capture, site, body_hash, {_BEFORE.format('body_hash')} IS NULL OR {_BEFORE.format('body_hash')} <> body_hash AS is_new FROM {sites}"
+
+
+def page_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A web page as one item: a capture is a new revision where its whole body's hash differs from the one before of its canonical address."""
+    return spark.sql(_changes(SPARK, "{s}"), s=_sites(spark, sf_dir))
+
+
+#: Bytes of a response that are stored at most, a larger one is never reused.
+STORED = 4096
+
+
+def _fetches(d: Dialect, sites: str) -> str:
+    tag = "CASE WHEN NOT untagged THEN substr(body_hash, 1, 16) END"
+    small = lambda x: f"CASE WHEN n_bytes <= {STORED} THEN {x} END"
+    sent = "coalesce(if_none_match = tag, if_modified_since >= modified_at, FALSE)"
+    return f"""SELECT page_id, capture, site, if_none_match, if_modified_since, CASE WHEN {sent} THEN 304 ELSE 200 END AS status, CASE WHEN {sent} THEN stored_hash ELSE body_hash END AS served_hash, {sent} AS from_cache FROM (
+        SELECT *, {_BEFORE.format(small("tag"))} AS if_none_match, {_BEFORE.format(small("modified_at"))} AS if_modified_since, {_BEFORE.format(small("body_hash"))} AS stored_hash FROM (SELECT *, {tag} AS tag FROM {sites}) x) y"""
+
+
+def conditional_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fetches by a cache of validators: an address's next fetch sends the stored entity tag and date; an unchanged body answers 304 and is served from the store.
+
+    A tag decides where both sides have one, else the date; a response over the size limit is not stored, so the next fetch sends no validators.
+    """
+    return spark.sql(_fetches(SPARK, "{s}"), s=_sites(spark, sf_dir))
+
+
+def _duck_sites(make) -> str:
+    return duck_sql(lambda d: make(d, f"(SELECT *, {canonical_url_sql('url')} AS site FROM ({_captures(d)}) c) s"))
+
+
+SPARK_QUERIES = {f.__name__: f for f in (html_sanitize, readable_extract, folded_names, revision_alignment_fuzzy, page_changes, conditional_get)}
+ORACLES = {"page_changes": _duck_sites(_changes), "conditional_get": _duck_sites(_fetches)}

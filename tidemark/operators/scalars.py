@@ -96,13 +96,20 @@ def vector_keys(d: Dialect) -> str:
 
 def header_lookup(d: Dialect) -> str:
     """The value of a header whatever the case of its name, and two header maps merged, the right one winning."""
+    string = "STRING" if d.spark else "VARCHAR"
+    asked = "CASE item_id % 3 WHEN 0 THEN 'ETAG' WHEN 1 THEN 'etag' ELSE 'VARY' END"
+    date = f"CAST(published_at AS {string})"
     if d.spark:
-        old, new = "map('ETag', content_hash, 'Vary', 'a')", "map('etag', external_id, 'Date', CAST(published_at AS STRING))"
+        old, new = "map('ETag', content_hash, 'Vary', 'a')", f"map(CASE WHEN item_id % 2 = 0 THEN 'etag' ELSE 'Link' END, external_id, 'Date', {date})"
         low = lambda m: f"map_from_entries(transform(map_entries({m}), e -> struct(lower(e.key), e.value)))"
         merged = f"map_concat(map_filter({low(old)}, (k, v) -> NOT map_contains_key({low(new)}, k)), {low(new)})"
         shown = f"array_join(transform(array_sort(map_entries({merged})), e -> concat(e.key, '=', e.value)), ';')"
-        return f"SELECT item_id, element_at({low(old)}, lower('ETAG')) AS etag, {shown} AS merged FROM v_items"
-    return "SELECT item_id, content_hash AS etag, concat('date=', CAST(published_at AS VARCHAR), ';etag=', external_id, ';vary=a') AS merged FROM v_items"
+        return f"SELECT item_id, element_at({low(old)}, lower({asked})) AS found, {shown} AS merged FROM v_items"
+    # here headers are lists of pairs, found by going through them
+    old, new = "[{'k': 'ETag', 'v': content_hash}, {'k': 'Vary', 'v': 'a'}]", f"[{{'k': CASE WHEN item_id % 2 = 0 THEN 'etag' ELSE 'Link' END, 'v': external_id}}, {{'k': 'Date', 'v': {date}}}]"
+    kept = f"list_filter({old}, lambda o: len(list_filter({new}, lambda n: lower(n.k) = lower(o.k))) = 0)"
+    shown = f"array_to_string(list_sort(list_transform(list_concat({kept}, {new}), lambda e: concat(lower(e.k), '=', e.v))), ';')"
+    return f"SELECT item_id, list_filter({old}, lambda o: lower(o.k) = lower({asked}))[1].v AS found, {shown} AS merged FROM v_items"
 
 
 def remote_deletions(d: Dialect) -> str:
@@ -116,9 +123,17 @@ def insert_select_literal(d: Dialect) -> str:
 
 
 def active_consent(d: Dialect) -> str:
-    """Consent by user: a grant revokes the one before, an error revokes without granting; the active one covers its task."""
-    return """SELECT item_id, event_id, granted_at, revoked_at, revoked_at IS NULL AND metric = 'signup' AS active FROM (
-        SELECT item_id, event_id, metric, captured_at AS granted_at, lead(captured_at) OVER (PARTITION BY item_id ORDER BY captured_at, event_id) AS revoked_at FROM v_metrics WHERE metric IN ('signup', 'error')) x WHERE metric = 'signup'"""
+    """The consent that covers each task of a provider, source and privacy class, or none: the latest that is granted, not revoked, and lists the task.
+
+    A record revokes what its provider, source (none is one too) and privacy class had; a sign-up grants anew, with tasks, an error only revokes.
+    """
+    tasks = "CASE event_id % 4 WHEN 0 THEN " + d.array("'summarize'") + " WHEN 1 THEN " + d.array("'summarize'", "'translate'") + " WHEN 2 THEN " + d.array("'embed'") + " ELSE " + d.array("'embed'", "'translate'") + " END"
+    own = "item_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id % 3 END AS source_id, CASE WHEN event_id % 5 < 3 THEN 'public' ELSE 'private' END AS privacy"
+    last = lambda x: f"{'max_by' if d.spark else 'arg_max'}({x}, granted_at * 10000000 + event_id)"
+    asked = " UNION ALL ".join(f"SELECT '{x}' AS task" for x in ("summarize", "translate", "embed"))
+    granted = f"SELECT *, lead(granted_at) OVER (PARTITION BY item_id, source_id, privacy ORDER BY granted_at, event_id) AS revoked_at FROM (SELECT {own}, event_id, metric, captured_at AS granted_at, {tasks} AS tasks FROM v_metrics WHERE metric IN ('signup', 'error')) y"
+    return f"""SELECT item_id AS provider_id, source_id, privacy, task, {last("CASE WHEN array_contains(tasks, task) AND metric = 'signup' AND revoked_at IS NULL THEN event_id END")} AS consent_id, count(revoked_at) AS revoked
+        FROM ({granted}) x CROSS JOIN ({asked}) t GROUP BY item_id, source_id, privacy, task"""
 
 
 def interaction_log(d: Dialect) -> str:
@@ -127,25 +142,10 @@ def interaction_log(d: Dialect) -> str:
         max(CASE WHEN metric = 'view' THEN captured_at END) AS last_viewed_at, count(*) AS interactions FROM v_metrics GROUP BY item_id"""
 
 
-def conditional_get(d: Dialect) -> str:
-    """Fetches by a cache of validators: a host's later pages send the entity tag of the one before; an unchanged body answers 304 and is reused."""
-    host = "regexp_extract(url, " + d.re("://([^/?#]+)") + ", 1)"
-    tag = f"substr({d.sha256('substr(html, 1, 60)')}, 1, 8)"
-    return f"""SELECT page_id, host, validator AS if_none_match, CASE WHEN validator = tag THEN 304 ELSE 200 END AS status, validator = tag AND validator IS NOT NULL AS from_cache FROM (
-        SELECT page_id, host, tag, lag(tag) OVER (PARTITION BY host ORDER BY page_id) AS validator FROM (SELECT page_id, {host} AS host, {tag} AS tag FROM v_pages) y) x"""
-
-
-def page_changes(d: Dialect) -> str:
-    """A web page as one item: a capture is a new revision where its content hash differs from the one before of its canonical address."""
-    path = "regexp_extract(url, " + d.re("^[a-z]+://[^/?#]+(/[a-z]+)") + ", 1)"
-    return f"""SELECT page_id, site, before IS NULL OR before <> h AS is_new FROM (SELECT page_id, site, h, lag(h) OVER (PARTITION BY site ORDER BY page_id) AS before
-        FROM (SELECT page_id, {path} AS site, {d.sha256("regexp_extract(html, " + d.re("<html lang=.([a-z]+)") + ", 1)")} AS h FROM v_pages) y) x"""
-
-
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         alias_qualifies, meaningful_domain, http_only_url, membership_constraints, topic_assertions, digest_state, key_points, capped_postings, text_prefixes,
-        language_detect, prompt_template, vector_keys, header_lookup, remote_deletions, insert_select_literal, active_consent, interaction_log, conditional_get, page_changes,
+        language_detect, prompt_template, vector_keys, header_lookup, remote_deletions, insert_select_literal, active_consent, interaction_log,
     )
 }

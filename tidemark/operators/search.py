@@ -44,7 +44,7 @@ def _postings(d: Dialect, terms: str, source: str, x: str) -> str:
 
 _CURRENT = "SELECT item_id, title, plain_text FROM v_items"
 #: A former revision is known by its item and ordinal.
-_FORMER = "SELECT item_id * 1000 + ordinal AS item_id, author AS title, body AS plain_text FROM v_revisions"
+_FORMER = "SELECT item_id * 1000000000 + ordinal AS item_id, author AS title, body AS plain_text FROM v_revisions"
 
 
 def _bm25(d: Dialect, source: str = _CURRENT, x: str = "", asked: str = _ASKED) -> str:
@@ -107,7 +107,7 @@ def short_token_search(d: Dialect) -> str:
     No table at hand has Han text, so each item and each revision has a line of it in front, by its number.
     """
     line = f"CASE {{}} % {len(HAN_ROWS)} " + " ".join(f"WHEN {i % len(HAN_ROWS)} THEN {d.text(x)}" for i, x in HAN_ROWS) + " END"
-    texts = f"SELECT item_id, FALSE AS is_historical, concat({line.format('item_id')}, ' ', plain_text) AS txt FROM v_items UNION ALL SELECT item_id * 1000 + ordinal, TRUE, concat({line.format('ordinal')}, ' ', body) FROM v_revisions"
+    texts = f"SELECT item_id, FALSE AS is_historical, concat({line.format('item_id')}, ' ', plain_text) AS txt FROM v_items UNION ALL SELECT item_id * 1000000000 + ordinal, TRUE, concat({line.format('ordinal')}, ' ', body) FROM v_revisions"
     runs = d.find_all("txt", t.HAN_RUN)
     tokens = d.distinct(f"flatten({d.map(runs, 'r', d.concat(t.char_grams(d, 'r', 1), t.char_grams(d, 'r', 2)))})")
     postings = d.explode(f"(SELECT item_id, is_historical, {tokens} AS tokens FROM ({texts}) y)", "tokens", "token")
@@ -170,8 +170,8 @@ def vector_topk(d: Dialect) -> str:
 def _lists(d: Dialect) -> str:
     ranked = "SELECT query_id, item_id, score, rn FROM (SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rn FROM ({}) z) w"
     lexical = "SELECT query_id, item_id, bm25 / (1 + bm25) AS score FROM b"
-    semantic = f"SELECT label_n AS query_id, vec_id AS item_id, score FROM (SELECT dense_rank() OVER (ORDER BY query_id) - 1 AS label_n, vec_id, score FROM ({_vector_top(d, 50)}) y) v"
-    return f"lx AS ({ranked.format(lexical)}), sm AS ({ranked.format(semantic)})"
+    semantic = f"SELECT label_n AS query_id, vec_id AS item_id, score FROM (SELECT n.label_n, y.vec_id, y.score FROM vt y JOIN (SELECT query_id, row_number() OVER (ORDER BY query_id) - 1 AS label_n FROM (SELECT DISTINCT query_id FROM vt) q) n ON n.query_id = y.query_id) v"
+    return f"vt AS ({_vector_top(d, 50)}), lx AS ({ranked.format(lexical)}), sm AS ({ranked.format(semantic)})"
 
 
 def hybrid_merge(d: Dialect) -> str:

@@ -57,10 +57,10 @@ def han_ngrams(d: Dialect) -> str:
 
 
 def sentence_summary(d: Dialect) -> str:
-    """The first three sentences of 20 characters or more, joined by the joiner of the language."""
+    """The first three sentences of 20 characters or more, joined by a full stop: a Han one without a space where the text is Han."""
     kept = d.filter(t.sentences(d, "plain_text"), "s", "length(s) >= 20")
     first = f"slice({kept}, 1, 3)" if d.spark else f"{kept}[1:3]"
-    return f"SELECT item_id, {d.sha256(d.join(first, chr(39) + '. ' + chr(39)))} AS h, {d.size(first)} AS n FROM v_items"
+    return f"SELECT item_id, {d.sha256(f"CASE WHEN {d.matches('plain_text', t.HAN)} THEN {d.join(first, chr(39) + '。' + chr(39))} ELSE {d.join(first, chr(39) + '. ' + chr(39))} END")} AS h, {d.size(first)} AS n FROM v_items"
 
 
 def key_sentences(d: Dialect) -> str:

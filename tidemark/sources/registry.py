@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from tidemark.sources import api_pages, feeds
 
-#: Entries of a feed that a refresh reads, and ids that its cursor remembers.
-READ, SEEN = 30, 500
+#: Entries of a feed that a refresh reads; its cursor remembers these.
+READ = 30
 
 
 @dataclass(frozen=True)
@@ -40,13 +40,12 @@ def refresh(kind: str, raw: DataFrame, cursor: DataFrame | None = None) -> tuple
     """(candidates, next cursor) of landed bodies; KeyError for a kind that nothing reads.
 
     Feeds: cursor (source_id, external_id) holds the ids seen; what it holds is dropped, and the next one holds the ids that
-    the feed lists now. A feed is read to its end. Pages: the next cursor is (endpoint_id, next_cursor, reached_end), null
+    were read now, so that an entry further down is delivered once it moves up. Pages: the next cursor is (endpoint_id, next_cursor, reached_end), null
     where there is no further page.
     """
     connector = REGISTRY[kind]
     found = connector.read(raw, READ)
     if connector.family == "feed-seen-v1":
-        following = connector.read(raw, SEEN).select("source_id", "external_id").distinct()
-        return (feeds.unseen(found, cursor) if cursor is not None else found), following
+        return (feeds.unseen(found, cursor) if cursor is not None else found), found.select("source_id", "external_id").distinct()
     last = found.groupBy("endpoint_id").agg(F.max("next_cursor").alias("next_cursor"))
     return found, last.withColumn("reached_end", F.col("next_cursor").isNull())
