@@ -38,13 +38,6 @@ def bits(kind: str) -> int:
     return sum(1 << CAPABILITIES.index(c) for c in KINDS.get(kind, ()))
 
 
-def _opened(path: str):
-    """The file system of a path and the path there."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
-
-
 @dataclass
 class Endpoint(InputPartition):
     """The landings of an endpoint after one and up to another."""
@@ -60,22 +53,30 @@ class Endpoint(InputPartition):
 
 class _Landed:
     def __init__(self, options: dict[str, str]):
-        self.root = options["path"].replace("file:///", "/").replace("file:/", "/").rstrip("/")
+        path = options["path"]
+        self.root = path if "://" in path else "file://" + path.removeprefix("file:")
+
+    def _store(self):
+        """The root's file system and the root's path there; names below it are not addresses, so they are joined to the path as they are."""
+        from pyarrow import fs
+
+        store, at = fs.FileSystem.from_uri(self.root)
+        return store, at.rstrip("/")
 
-    def _names(self, path: str, head: str) -> list[str]:
+    def _names(self, folder: str, head: str) -> list[str]:
         from pyarrow import fs
 
-        store, at = _opened(path)
-        found = store.get_file_info(fs.FileSelector(at, allow_not_found=True))
+        store, root = self._store()
+        found = store.get_file_info(fs.FileSelector(f"{root}/{folder}", allow_not_found=True))
         return sorted(x.base_name.removeprefix(head) for x in found if x.base_name.startswith(head))
 
     def cursors(self) -> dict[str, int]:
         """kind/endpoint_id: the last whole landing that has pages of it."""
-        whole = {int(n) for n in self._names(f"{self.root}/_landed", "landing-")}
+        whole = {int(n) for n in self._names("_landed", "landing-")}
         out = {}
-        for kind in self._names(self.root, "kind="):
-            for endpoint in self._names(f"{self.root}/kind={kind}", "endpoint_id="):
-                own = whole & {int(n) for n in self._names(f"{self.root}/kind={kind}/endpoint_id={endpoint}", "landing=")}
+        for kind in self._names("", "kind="):
+            for endpoint in self._names(f"kind={kind}", "endpoint_id="):
+                own = whole & {int(n) for n in self._names(f"kind={kind}/endpoint_id={endpoint}", "landing=")}
                 if own:
                     out[f"{kind}/{endpoint}"] = max(own)
         return out
@@ -86,17 +87,16 @@ class _Landed:
     def read(self, partition: Endpoint) -> Iterator[tuple]:
         from urllib.parse import unquote
 
-        own = f"{self.root}/kind={partition.kind}/endpoint_id={partition.endpoint_id}"
-        whole = {int(n) for n in self._names(f"{self.root}/_landed", "landing-")}
-        for n in sorted(whole & {int(n) for n in self._names(own, "landing=")}):
+        own, (store, root) = f"kind={partition.kind}/endpoint_id={partition.endpoint_id}", self._store()
+        kind, endpoint = unquote(partition.kind), unquote(partition.endpoint_id)
+        for n in sorted({int(n) for n in self._names("_landed", "landing-")} & {int(n) for n in self._names(own, "landing=")}):
             if partition.after < n <= partition.upto:
                 for part in self._names(f"{own}/landing={n}", "part-"):
-                    store, at = _opened(f"{own}/landing={n}/part-{part}")
-                    with store.open_input_stream(at) as f:
+                    with store.open_input_stream(f"{root}/{own}/landing={n}/part-{part}") as f:
                         for line in f.read().decode().split("\n"):
                             if line:
                                 row = json.loads(line)
-                                yield unquote(partition.kind), unquote(partition.endpoint_id), n, row["page"], row.get("body"), bits(unquote(partition.kind))
+                                yield kind, endpoint, n, row["page"], row.get("body"), bits(kind)
 
 
 class LandedReader(_Landed, DataSourceReader):
