@@ -42,8 +42,15 @@ def test_alias_spans_cut_the_text(text, alias):
         assert raw[start : start + n].decode("utf-8", "surrogatepass") == own
 
 
-def test_math_pieces():
-    assert folding.math_pieces(r"a $x$ b \(y\) $$z$$ \$5") == [("text", "a "), ("inline", "x"), ("text", " b "), ("inline", "y"), ("text", " "), ("display", "z"), ("text", " $5")]
+@pytest.mark.parametrize(("text", "pieces"), [
+    (r"a $x$ b \(y\) $$z$$ \$5", [("text", "a "), ("inline", "x"), ("text", " b "), ("inline", "y"), ("text", " "), ("display", "z"), ("text", r" \$5")]),
+    (r"\\(a\\)", [("text", r"\\(a\\)")]), (r"\\\(b\)", [("text", r"\\"), ("inline", "b")]), ("$ x$", [("text", "$ x$")]), ("$y $", [("text", "$y $")]), ("$$ $$", [("text", "$$ $$")]),
+    (r"$p\$q$", [("text", r"$p\$q$")]), ("5$ and 6$ $r$", [("text", "5$ and 6$ "), ("inline", "r")]), (r"\[ u \] \( \)", [("display", " u "), ("text", r" \( \)")]), ("", []), ("$", [("text", "$")]),
+    ("$a$$b$", [("inline", "a"), ("inline", "b")]), ("$$$c$$", [("display", "$c")]), (r"\(open $q$", [("text", r"\(open "), ("inline", "q")]),
+])
+def test_math_pieces(text, pieces):
+    assert folding.math_pieces(text) == pieces
+    assert len(folding.math_pieces(text.replace("$", "$ ") * 20_000)) >= 0
 
 
 def test_sanitizer_keeps_nothing_active():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -69,25 +70,66 @@ def alias_spans(text: str, alias: str) -> list[tuple[int, int, str]]:
     return out
 
 
+class _Marks:
+    """Places of marks in a text, looked up forwards; none is searched for again from where it was missing."""
+
+    def __init__(self, text: str):
+        self.text, self.found = text, {}
+
+    def next(self, mark: str, at: int) -> int:
+        known = self.found.get(mark)
+        if known is None or 0 <= known < at:
+            known = self.found[mark] = self.text.find(mark, at)
+        return known
+
+    def escaped(self, at: int) -> bool:
+        """Is there an odd number of backslashes before?"""
+        first = at
+        while first and self.text[first - 1] == "\\":
+            first -= 1
+        return (at - first) % 2 == 1
+
+
+def _formula(marks: _Marks, at: int) -> tuple[str, int, int, int] | None:
+    """(kind, first and end of the content, end of the formula) of a formula that opens here, if one does."""
+    text = marks.text
+    opening = next((o for o in ("\\(", "\\[", "$$", "$") if text.startswith(o, at)), None)
+    if opening is None or marks.escaped(at):
+        return None
+    closing = {"\\(": "\\)", "\\[": "\\]"}.get(opening, opening)
+    first = at + len(opening)
+    end = marks.next(closing, first)
+    if end < 0 or text[first:end].isspace() or first == end:
+        return None
+    if opening == "$" and (text[first].isspace() or text[end - 1].isspace() or marks.escaped(end)):
+        return None
+    return ("display" if opening in ("\\[", "$$") else "inline"), first, end, end + len(closing)
+
+
 def math_pieces(text: str) -> list[tuple[str, str]]:
-    r"""(kind, content) pieces: text, inline \( \) or $ $, display \[ \] or $$ $$; a backslash escapes a dollar."""
-    pairs = (("\\(", "\\)", "inline"), ("\\[", "\\]", "display"), ("$$", "$$", "display"), ("$", "$", "inline"))
-    out, plain, at = [], "", 0
-    while at < len(text):
-        if text.startswith("\\$", at):
-            plain, at = plain + "$", at + 2
+    r"""(kind, content) pieces: text, inline \( \) or $ $, display \[ \] or $$ $$; a backslash before an opening mark, itself not escaped, makes it text.
+
+    Content is never blank, and between single dollars it neither begins nor ends with white space; a formula ends at the first closing mark.
+    """
+    out, plain, marks = [], 0, _Marks(text)
+    openings = re.compile(r"\\[(\[]|\$")
+    at = 0
+    while m := openings.search(text, at):
+        at = m.start()
+        found = _formula(marks, at)
+        if found is None:
+            at += 1
             continue
-        for opening, closing, kind in pairs:
-            if text.startswith(opening, at):
-                end = text.find(closing, at + len(opening))
-                while opening[0] == "$" and end > 0 and text[end - 1] == "\\":
-                    end = text.find(closing, end + 1)
-                if end > at + len(opening):
-                    if plain:
-                        out.append(("text", plain))
-                    out.append((kind, text[at + len(opening) : end]))
-                    plain, at = "", end + len(closing)
-                    break
-        else:
-            plain, at = plain + text[at], at + 1
-    return [*out, ("text", plain)] if plain else out
+        kind, first, end, after = found
+        if plain < at:
+            out.append(("text", text[plain:at]))
+        out.append((kind, text[first:end]))
+        plain = at = after
+    return [*out, ("text", text[plain:])] if plain < len(text) else out
+
+
+class MathPieces:
+    """For spark.udtf: a row (place, kind, content) for each piece of a text."""
+
+    def eval(self, text: str):
+        yield from ((i, kind, content) for i, (kind, content) in enumerate(math_pieces(text or "")))

@@ -192,11 +192,50 @@ def retrieval_eval(d: Dialect) -> str:
     return f"SELECT e.label, count(*) AS found, sum(CASE WHEN e.label = n.label THEN 1 ELSE 0 END) AS relevant FROM ({_vector_top(d, 10)}) t JOIN embeddings e ON e.vec_id = t.query_id JOIN embeddings n ON n.vec_id = t.vec_id GROUP BY e.label"
 
 
+#: Characters of a snippet.
+SNIPPET = 220
+
+
+def _longest(d: Dialect) -> str:
+    """Each benchmark item asks for its longest word, in capitals; of words of one length for the last."""
+    words = d.filter(d.split("text", t.BREAKS), "w", "length(w) > 3")
+    return f"SELECT query_id, upper(max(w)) AS word FROM (SELECT query_id, w, length(w) AS n, max(length(w)) OVER (PARTITION BY query_id) AS most FROM {d.explode(f'(SELECT item_id AS query_id, {words} AS ws FROM benchmark)', 'ws', 'w')}) x WHERE n = most GROUP BY query_id"
+
+
+def _snippet(p: str) -> str:
+    """SQL of the window around the 1-based place p of body; the whole body where it is short."""
+    first = f"greatest(1, {p} - {SNIPPET // 2})"
+    return f"CASE WHEN length(body) <= {SNIPPET} THEN body ELSE concat(CASE WHEN {first} > 1 THEN '…' ELSE '' END, substr(body, CAST({first} AS INT), {SNIPPET}), CASE WHEN length(body) > {first} + {SNIPPET - 1} THEN '…' ELSE '' END) END"
+
+
+def snippet_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items that hold a query's own word, whatever case, marks, width or form of composition either has, with a window around its first place.
+
+    Words are compared under a collation, so what is joined are their keys.
+    """
+    asked = spark_query(_longest)(spark, sf_dir)
+    items = spark_query(lambda d: f"SELECT item_id, plain_text AS body, array_distinct(filter({d.split('plain_text', t.BREAKS)}, w -> length(w) > 3)) AS ws FROM v_items")(spark, sf_dir)
+    return spark.sql(
+        f"""SELECT query_id, item_id, {_snippet("p")} AS snippet FROM (
+        SELECT h.query_id, i.item_id, i.body, instr(i.body COLLATE UNICODE_CI_AI, h.word COLLATE UNICODE_CI_AI) AS p FROM
+        (SELECT DISTINCT q.query_id, q.word, w.item_id FROM (SELECT item_id, explode(ws) AS w FROM {{i}}) w JOIN {{q}} q ON q.word COLLATE UNICODE_CI_AI = w.w COLLATE UNICODE_CI_AI) h JOIN {{i}} i ON i.item_id = h.item_id) x""",
+        q=asked, i=items,
+    )
+
+
+def _snippet_sql(d: Dialect) -> str:
+    fold = lambda x: f"lower(strip_accents(nfc_normalize({x})))"
+    words = d.explode(f"(SELECT item_id, {d.split('plain_text', t.BREAKS)} AS ws FROM v_items)", "ws", "w")
+    return f"""SELECT query_id, item_id, {_snippet("p")} AS snippet FROM (SELECT q.query_id, i.item_id, i.plain_text AS body, strpos({fold("i.plain_text")}, {fold("q.word")}) AS p FROM ({_longest(d)}) q
+        JOIN (SELECT DISTINCT item_id, {fold("w")} AS w FROM {words} WHERE length(w) > 3) w ON w.w = {fold("q.word")} JOIN v_items i ON i.item_id = w.item_id) x"""
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (lexical_bm25, short_token_search, history_opt_in, facets, vector_topk, hybrid_merge, rrf, retrieval_eval)
 }
-SPARK_QUERIES = {f.__name__: f for f in (trigram_search, best_per_document)}
+SPARK_QUERIES = {f.__name__: f for f in (trigram_search, best_per_document, snippet_window)}
 ORACLES = {
+    "snippet_window": duck_sql(_snippet_sql),
     "trigram_search": duck_sql(lambda d: f"WITH {_trigrams_sql(DUCK)} SELECT query_id, item_id, round({TRIGRAM} / (1 + abs(bm25)), 5) AS score FROM tb"),
     "best_per_document": duck_sql(_best_sql),
 }

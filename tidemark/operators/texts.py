@@ -72,13 +72,6 @@ def key_sentences(d: Dialect) -> str:
         WHERE length(s) >= 20) x WHERE rn <= 3"""
 
 
-def snippet_window(d: Dialect) -> str:
-    """A window of 220 characters around the first match, with ellipses where text is cut."""
-    at = "CAST(instr(lower(body), 'the') AS BIGINT)" if d.spark else "CAST(strpos(lower(body), 'the') AS BIGINT)"
-    return f"""SELECT item_id, ordinal, CASE WHEN p > 111 THEN '…' ELSE '' END || substr(body, CAST(greatest(1, p - 110) AS INT), 220) || CASE WHEN length(body) > greatest(1, p - 110) + 219 THEN '…' ELSE '' END AS snippet
-        FROM (SELECT item_id, ordinal, body, {at} AS p FROM v_revisions) x WHERE p > 0"""
-
-
 def language_family(d: Dialect) -> str:
     """Language family by code and by script."""
     han, latin = d.size(d.find_all("plain_text", t.HAN)), d.size(d.find_all("plain_text", "[A-Za-z]"))
@@ -229,7 +222,7 @@ def cosine_similarity(d: Dialect) -> str:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        tokens_dedup, tokens_cluster, shingles, char_trigrams, char_bigrams, han_ngrams, sentence_summary, key_sentences, snippet_window,
+        tokens_dedup, tokens_cluster, shingles, char_trigrams, char_bigrams, han_ngrams, sentence_summary, key_sentences,
         language_family, author_split, content_hash, stable_uuid, url_canonicalize, http_redaction, meta_extract, plain_text_simple,
         feed_autodiscovery, connector_routing, public_url_policy, retry_backoff, retention_cutoff, privacy_policy, fixed_times,
         xml_escape, json_props, cosine_similarity,
