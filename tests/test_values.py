@@ -88,3 +88,12 @@ def test_refreshes_move_their_cursors(spark):
     page = lambda after: '{"data":{"after":%s,"children":[{"data":{"name":"n","title":"t","permalink":"/p"}}]}}' % after
     pages = spark.createDataFrame([("a", page('"t3_x"')), ("b", page("null"))], "endpoint_id string, body string")
     assert sorted(map(tuple, registry.refresh("reddit", pages)[1].collect())) == [("a", "t3_x", False), ("b", None, True)]
+
+
+def test_words_are_found_whatever_their_case_marks_width_or_composition(spark, tmp_path):
+    long_ = "x" * 300
+    texts = ["ein CAFÉHAUS hier", "ｃａｆｅｈａｕｓ", f"{long_} caféhaus {long_}", "cafehausen", None, "cafeh aus"]
+    spark.createDataFrame([(i, t, "de", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "das Caféhaus an der"), (8, None), (9, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = {r["item_id"]: r["snippet"] for r in QUERIES["snippet_window"](spark, str(tmp_path)).collect()}
+    assert sorted(found) == [0, 1, 2] and found[1] == texts[1] and found[2] == "…" + texts[2][191:411] + "…"
