@@ -62,11 +62,17 @@ def weighted_membership_sum(d: Dialect) -> str:
 
 
 def nearest_rank_percentile(d: Dialect) -> str:
-    """p50 and p95 by nearest rank: the element at ceil((n - 1) * q) of the sorted values, from 0; equal values are counted first."""
-    at = lambda q: f"min(CASE WHEN upto > ceil((total - 1) * {q}) THEN value END)"
-    over = "OVER (PARTITION BY metric{})"
+    """p50 and p95 by nearest rank: the element at ceil((n - 1) * q) of the sorted values, from 0.
+
+    Values are counted in ranges of one first, and only the range that a rank falls in is put in order.
+    """
+    ranges = "SELECT metric, floor(value) AS bucket, count(*) AS n FROM v_metrics WHERE value IS NOT NULL GROUP BY metric, floor(value)"
+    upto = f"SELECT metric, bucket, n, sum(n) OVER (PARTITION BY metric ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS upto, sum(n) OVER (PARTITION BY metric) AS total FROM ({ranges}) r"
+    asked = f"SELECT metric, bucket, total, q, ceil((total - 1) * q) - (upto - n) AS place FROM ({upto}) u CROSS JOIN (SELECT 0.5 AS q UNION ALL SELECT 0.95) t WHERE ceil((total - 1) * q) < upto AND ceil((total - 1) * q) >= upto - n"
+    counted = f"SELECT a.metric, a.q, a.total, a.place, m.value, count(*) AS n FROM ({asked}) a JOIN v_metrics m ON m.metric = a.metric AND floor(m.value) = a.bucket GROUP BY a.metric, a.q, a.total, a.place, m.value"
+    at = lambda q: f"min(CASE WHEN q = {q} AND upto > place THEN value END)"
     return f"""SELECT metric, CAST(max(total) AS BIGINT) AS n, {d.real(at('0.5'))} AS p50, {d.real(at('0.95'))} AS p95 FROM (
-        SELECT metric, value, sum(n) {over.format(' ORDER BY value ROWS UNBOUNDED PRECEDING')} AS upto, sum(n) {over.format('')} AS total FROM (SELECT metric, value, count(*) AS n FROM v_metrics GROUP BY metric, value) c) u GROUP BY metric"""
+        SELECT *, sum(n) OVER (PARTITION BY metric, q ORDER BY value ROWS UNBOUNDED PRECEDING) AS upto FROM ({counted}) c) x GROUP BY metric"""
 
 
 def latest_row_per_key(d: Dialect) -> str:

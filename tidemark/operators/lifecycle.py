@@ -85,8 +85,12 @@ def conditional_update(d: Dialect) -> str:
 
 
 def bounded_pages(d: Dialect) -> str:
-    """Items by page of a cursor, fifty to a page, with the cursor that follows."""
-    return "SELECT item_id, page_n, max(item_id) OVER (PARTITION BY source_id, page_n) AS next_cursor FROM (SELECT item_id, source_id, CAST(floor((row_number() OVER (PARTITION BY source_id ORDER BY item_id) - 1) / 50) AS BIGINT) AS page_n FROM v_items) x"
+    """Items by page of a cursor, fifty to a page, with the cursor that follows. A source's items are numbered in slices of ids."""
+    cut = "CAST(floor(item_id / 1000.0) AS BIGINT)"
+    slices = f"SELECT source_id, cut, sum(n) OVER (PARTITION BY source_id ORDER BY cut ROWS UNBOUNDED PRECEDING) - n AS before FROM (SELECT source_id, {cut} AS cut, count(*) AS n FROM v_items GROUP BY source_id, {cut}) c"
+    placed = f"SELECT item_id, source_id, cut, row_number() OVER (PARTITION BY source_id, cut ORDER BY item_id) - 1 AS place FROM (SELECT item_id, source_id, {cut} AS cut FROM v_items) i"
+    return f"""SELECT item_id, page_n, max(item_id) OVER (PARTITION BY source_id, page_n) AS next_cursor FROM (
+        SELECT p.item_id, p.source_id, CAST(floor((s.before + p.place) / 50) AS BIGINT) AS page_n FROM ({placed}) p JOIN ({slices}) s ON s.source_id IS NOT DISTINCT FROM p.source_id AND s.cut = p.cut) x"""
 
 
 def x_asof(d: Dialect) -> str:

@@ -20,17 +20,18 @@ def _snapshot(d: Dialect) -> str:
     # the primary membership is the first that is not rejected; its trace tells a first-party source, a repository or a paper
     traced = "s.is_followed OR s.ecosystem IN ('chinaFocused', 'globalFocused')"
     primary = f"min(struct(m.ordinal, m.item_id, m.source_id, {traced} AS traced)).traced" if d.spark else f"min({{'a': m.ordinal, 'b': m.item_id, 'c': m.source_id, 'traced': {traced}}}).traced"
-    china, world = (f"count(DISTINCT CASE WHEN s.ecosystem = '{x}' THEN s.independence_group END)" for x in ("chinaFocused", "globalFocused"))
+    china, world = (d.n_distinct(f"CASE WHEN s.ecosystem = '{x}' THEN s.independence_group END") for x in ("chinaFocused", "globalFocused"))
+    recent, prior = (d.n_distinct(f"CASE WHEN m.published_at {c} {now} - 86400 THEN s.independence_group END") for c in (">=", "<"))
     return f"""SELECT e.event_id, e.title, e.change_kind, e.is_saved, e.started_at, e.weight, coalesce(c.sources, 0) AS sources, coalesce(c.groups_n, 0) AS groups_n, coalesce(c.ecosystems, 0) AS ecosystems,
         coalesce(p.is_followed, FALSE) AS followed_people, coalesce(c.followed_source, FALSE) AS followed_source, coalesce(c.followed_topic, FALSE) AS followed_topic,
         coalesce(c.topics, 0) AS topics, coalesce(c.best, 0.0) AS best, CASE WHEN coalesce(c.traced, FALSE) THEN 1.0 ELSE 0.65 END AS authority, coalesce(v.recent, 0) AS recent, coalesce(v.prior, 0) AS prior,
         coalesce(c.china, 0) >= 2 AND coalesce(c.world, 0) >= 2 AS covered_both, CAST(floor(e.weight / 100) AS BIGINT) AS reader_chars,
         CASE WHEN coalesce(v.recent, 0) >= 2 THEN least(1.0, v.recent / greatest(2.0, v.prior / 7.0)) ELSE 0.0 END AS velocity, greatest(coalesce(c.latest_at, e.started_at), e.started_at) AS latest_at
         FROM v_events e LEFT JOIN v_entities p ON p.entity_id = e.entity_id
-        LEFT JOIN (SELECT m.event_id, count(DISTINCT m.source_id) AS sources, count(DISTINCT s.independence_group) AS groups_n, count(DISTINCT s.ecosystem) AS ecosystems, bool_or(s.is_followed) AS followed_source, bool_or(t.is_followed) AS followed_topic,
-                   count(DISTINCT t.topic) AS topics, max(m.confidence) AS best, {primary} AS traced, {china} AS china, {world} AS world, max(m.published_at) AS latest_at
+        LEFT JOIN (SELECT m.event_id, count(DISTINCT m.source_id) AS sources, {d.n_distinct("s.independence_group")} AS groups_n, {d.n_distinct("s.ecosystem")} AS ecosystems, bool_or(s.is_followed) AS followed_source, bool_or(t.is_followed) AS followed_topic,
+                   {d.n_distinct("t.topic")} AS topics, max(m.confidence) AS best, {primary} AS traced, {china} AS china, {world} AS world, max(m.published_at) AS latest_at
                    FROM v_memberships m JOIN v_sources s ON s.source_id = m.source_id JOIN v_topics t ON t.item_id = m.item_id WHERE m.decision <> 'rejected' GROUP BY m.event_id) c ON c.event_id = e.event_id
-        LEFT JOIN (SELECT m.event_id, count(DISTINCT CASE WHEN m.published_at >= {now} - 86400 THEN s.independence_group END) AS recent, count(DISTINCT CASE WHEN m.published_at < {now} - 86400 THEN s.independence_group END) AS prior
+        LEFT JOIN (SELECT m.event_id, {recent} AS recent, {prior} AS prior
                    FROM v_memberships m JOIN v_sources s ON s.source_id = m.source_id GROUP BY m.event_id) v ON v.event_id = e.event_id
         WHERE e.lifecycle = 'active' AND NOT e.is_tombstoned"""
 

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
-from tidemark.plans.scratch import folder
+from tidemark.plans.scratch import folder, scratch_path
+from tidemark.streaming.queue import rocks
 
 
 def _stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -46,26 +50,43 @@ def stream_metric_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(rolled, "update", ["window", "event_type"]).select(F.unix_seconds("window.start").alias("start_at"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
+class Ledger(StatefulProcessor):
+    """An item's contents so far, and how many there are. A batch's rows of one item are taken in the order of their ordinals."""
+
+    def init(self, handle) -> None:
+        self.seen = handle.getMapState("seen", "content_hash string", "revision int")
+        self.count = handle.getValueState("count", "n int")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first: dict[str, int] = {}
+        for part in rows:
+            for h, ordinal in zip(part["content_hash"], part["ordinal"], strict=True):
+                first[h] = min(first.get(h, ordinal), ordinal)
+        n, out = (self.count.get()[0] if self.count.exists() else 0), []
+        for h, ordinal in sorted(first.items(), key=lambda x: (x[1], x[0])):
+            if not self.seen.containsKey((h,)):
+                n += 1
+                self.seen.updateValue((h,), (n,))
+                out.append((key[0], h, ordinal, n))
+        self.count.update((n,))
+        yield pd.DataFrame(out, columns=["item_id", "content_hash", "ordinal", "revision"])
+
+    def close(self) -> None:
+        pass
+
+
 def ledgered(turns: DataFrame, path: str) -> DataFrame:
     """Runs a stream of (item_id, content_hash, ordinal) through a ledger under path and returns it: item_id, content_hash, ordinal, revision.
 
-    The first arrival of a content opens the item's next revision; later ones, and a batch that is run again, write nothing: a
-    batch replaces its own folder, and looks only at the folders of the batches before it.
+    The first arrival of a content opens the item's next revision; later ones write nothing. The ledger is keyed state, so a batch looks
+    only at its own items; a batch that is run again writes once. Rows without item or content are dropped.
     """
-    spark = turns.sparkSession
-    schema = "item_id long, content_hash string, ordinal long, revision int, batch int"
-
-    def commit(rows: DataFrame, batch: int) -> None:
-        before = rows.sparkSession.read.schema(schema).parquet(f"{path}/ledger").where(F.col("batch") < batch) if batch else rows.sparkSession.createDataFrame([], schema)
-        first = rows.groupBy("item_id", "content_hash").agg(F.min("ordinal").alias("ordinal"))
-        fresh = first.join(before.select("item_id", "content_hash"), ["item_id", "content_hash"], "left_anti")
-        had = before.groupBy("item_id").agg(F.max("revision").alias("had"))
-        place = F.row_number().over(Window.partitionBy("item_id").orderBy("ordinal"))
-        numbered = fresh.join(had, "item_id", "left").withColumn("revision", (F.coalesce("had", F.lit(0)) + place).cast("int"))
-        numbered.select("item_id", "content_hash", "ordinal", "revision").write.mode("overwrite").parquet(f"{path}/ledger/batch={batch}")
-
-    turns.writeStream.option("checkpointLocation", f"{path}/log").trigger(availableNow=True).foreachBatch(commit).start().awaitTermination()
-    return spark.read.schema(schema).parquet(f"{path}/ledger").select("item_id", "content_hash", "ordinal", "revision")
+    schema, spark = "item_id long, content_hash string, ordinal long, revision int", turns.sparkSession
+    with rocks(spark):
+        rows = turns.where("item_id IS NOT NULL AND content_hash IS NOT NULL").groupBy("item_id")
+        out = rows.transformWithStateInPandas(statefulProcessor=Ledger(), outputStructType=schema, outputMode="append", timeMode="none")
+        out.writeStream.format("parquet").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start(f"{path}/ledger").awaitTermination()
+    return spark.read.schema(schema).parquet(f"{path}/ledger")
 
 
 def stream_ingest_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,9 +103,17 @@ def x_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def x_session(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Extra, not in the reference: sessions of a user with gaps under two hours."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    return events.groupBy("user_id", F.session_window("ts", "2 hours").alias("s")).agg(F.count("*").alias("n")).select("user_id", F.unix_seconds("s.start").alias("start_at"), "n")
+    """Extra, not in the reference: sessions of a user with gaps under two hours, written once the watermark has left them behind.
+
+    An event far ahead of all others, which itself is left out, lets the watermark pass the last session.
+    """
+    path = scratch_path(spark, "sessions")
+    own = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("ts")).where("ts IS NOT NULL AND user_id IS NOT NULL")
+    end = own.agg(F.max("ts").alias("ts")).where("ts IS NOT NULL").select(F.lit(None).cast("long").alias("user_id"), (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"))
+    own.unionByName(end).write.parquet(path)
+    events = spark.readStream.schema("user_id long, ts timestamp").parquet(path).withWatermark("ts", "1 hour")
+    sessions = events.groupBy("user_id", F.session_window("ts", "2 hours").alias("s")).agg(F.count("*").alias("n"))
+    return drained(sessions, "append").where("user_id IS NOT NULL").select("user_id", F.unix_seconds("s.start").alias("start_at"), "n")
 
 
 SPARK_QUERIES = {f.__name__: f for f in (stream_metric_rollup, stream_ingest_revisions, x_sliding, x_session)}
