@@ -49,11 +49,17 @@ def test_language_learns_long_runs_and_words_that_occur_once(spark):
 
 
 def test_language_backoff_takes_the_longest_known_grams():
-    model = language_id.Model(["a", "b"], {"known": [5, 1]}, {5: {"<zqwx": [1, 9]}, 1: {"z": [9, 1]}})
+    model = language_id.Model.counted(["a", "b"], {0: {"known": [5, 1]}, 5: {"<zqwx": [1, 9]}, 1: {"z": [9, 0], "y": [0, 4]}})
     known, five, one = model.find(0, ["known"])[0], model.find(5, ["<zqwx"])[0], model.find(1, ["z"])[0]
-    assert sorted([known, five, one]) == [1, 2, 3] and model.find(5, ["known", "<zqw"]).tolist() == [0, 0]
+    assert len({known, five, one, 0}) == 4 and max(known, five, one) <= 4 and model.find(5, ["known", "<zqw"]).tolist() == [0, 0]
     assert [r.tolist() for r in model.rows(["known", "zqwxy", "zz", "kk"])] == [[known], [five], [one, one], [0]]
-    assert np.allclose(np.exp(model.logs[five]), 1) and model.scores(["zz"]).tolist() == [model.logs[one].tolist()]
+    logs = model.logs(np.array([five, one, 0, known, one]))
+    assert np.allclose(np.exp(logs[0]), 1) and np.allclose(np.exp(logs[1]), [9.5 / 10, 0.5 / 5]) and np.array_equal(logs[2], [0, 0]) and np.array_equal(logs[1], logs[4])
+    assert np.allclose(model.scores(["zz", "zy"]), [logs[1], logs[1] / 2 + model.logs(model.find(1, ["y"]))[0] / 2])
+
+
+def test_words_are_runs_of_letters():
+    assert language_id.words_of("a½b ⅷ c² d_e 4f é") == ["a", "b", "c", "d", "e", "f", "é"] and language_id.words_of("x" * 100) == ["x" * 48, "x" * 48, "x" * 4]
 
 
 def test_language_held_out_accuracy(spark):

@@ -23,30 +23,53 @@ from pyspark.sql.types import StructField, StructType
 from tidemark.llm.shared import free_name, map_rows, small_batches, types_of
 from tidemark.plans.scratch import drop, written
 
-#: A word is a run of letters; a longer one (a clause, in scripts without spaces) is cut into words of 48 letters.
-_WORD = re.compile(r"[^\W\d_]{1,48}")
-#: The same for the JVM, where texts are learnt from.
+#: A word is a run of letters; a longer one (a clause, in scripts without spaces) is cut into words of 48 letters. The same for the JVM, where texts
+#: are learnt from.
 JVM_WORD = r"\p{L}{1,48}"
+#: As JVM_WORD finds them, but for numbers like a half that are no letters and stand in a word.
+_WORD = re.compile(r"[^\W\d_]{1,48}")
 GRAM_SIZES, SMOOTH, MAX_CACHED, MAX_SCORES = (5, 4, 3, 2, 1), 0.5, 200_000, 8_000_000
 UNKNOWN = "und"
 
 
 class Model:
-    """languages; 64-bit hashes of the known words and n-grams, ascending; and log frequencies by language, a row for each.
+    """languages; 64-bit hashes of the known words (size 0) and n-grams, ascending; their counts, of the languages that have them only.
 
-    Row 0 is for what is not known at all. Arrays, not names: every Python worker holds a model.
+    Key r - 1 is row r; row 0 is for what is not known at all. A key's log frequency in a language is that of a count of none for its size, and
+    more where it was counted. Arrays, not names: every Python worker holds a model.
     """
 
-    def __init__(self, languages: list[str], words: dict[str, list[int]], by_size: dict[int, dict[str, list[int]]]):
+    def __init__(self, languages: list[str], keys: np.ndarray, sizes: np.ndarray, starts: np.ndarray, of: np.ndarray, counts: np.ndarray):
+        """sizes: each key's size. of, counts: language numbers and counts, those of a key from its start up to the next one's."""
         self.languages = languages
-        keys, logs = [np.empty(0, np.uint64)], [np.empty((0, len(languages)))]
-        for size, counts in [(0, words), *by_size.items()]:
-            if counts:
-                own = np.array(list(counts.values()), float)
-                keys.append(self.hashes(size, counts))
-                logs.append(np.log((own + SMOOTH) / (own.sum(axis=0) + SMOOTH * len(own))))
-        order = np.argsort(all_ := np.concatenate(keys))
-        self.keys, self.logs = all_[order], np.concatenate([np.zeros((1, len(languages))), np.concatenate(logs)[order]])
+        totals, kinds = np.zeros((max(GRAM_SIZES) + 1, len(languages))), np.bincount(sizes, minlength=max(GRAM_SIZES) + 1)
+        n = np.diff(np.append(starts, len(of)))
+        np.add.at(totals, (np.repeat(sizes, n), of), counts)
+        #: log frequency of a count of none, by size and language.
+        self.none = np.log(SMOOTH / (totals + SMOOTH * np.maximum(kinds, 1)[:, None]))
+        order = np.argsort(keys)
+        self.keys, self.sizes = keys[order], np.append(0, sizes[order]).astype(np.int8)
+        self.ends = np.cumsum(np.append(0, n[order]))
+        at = np.repeat(starts[order] - self.ends[:-1], n[order]) + np.arange(len(of))
+        self.of, self.more = of[at].astype(np.int32), np.log((counts[at] + SMOOTH) / SMOOTH).astype(np.float32)
+
+    @classmethod
+    def counted(cls, languages: list[str], by_size: dict[int, dict[str, list[int]]]) -> Model:
+        """From counts by language of each word (size 0) or n-gram."""
+        rows = [(size, name, row) for size, own in by_size.items() for name, row in own.items()]
+        keys = np.array([cls.hashes(size, [name])[0] for size, name, _ in rows], np.uint64)
+        full = np.array([row for _, _, row in rows], np.int64).reshape(len(rows), len(languages))
+        at, of = np.nonzero(full)
+        starts = np.searchsorted(at, np.arange(len(rows)))
+        return cls(languages, keys, np.array([size for size, _, _ in rows], np.int64), starts, of, full[at, of])
+
+    def logs(self, rows: np.ndarray) -> np.ndarray:
+        """Log frequencies by language of each row."""
+        out = np.where((rows > 0)[:, None], self.none[self.sizes[rows]], 0.0)
+        n = np.where(rows > 0, self.ends[rows] - self.ends[np.maximum(rows - 1, 0)], 0)
+        at = np.repeat(self.ends[np.maximum(rows - 1, 0)] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        out[np.repeat(np.arange(len(rows)), n), self.of[at]] += self.more[at]
+        return out
 
     @staticmethod
     def hashes(size: int, names) -> np.ndarray:
@@ -83,7 +106,7 @@ class Model:
         """A row of scores by language for each word."""
         found = self.rows(words)
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        return np.add.reduceat(self.logs[np.concatenate(found)], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
+        return np.add.reduceat(self.logs(np.concatenate(found)), np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
 
 
 def fit(docs: DataFrame, sample_docs: int = 1000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -99,7 +122,7 @@ def fit(docs: DataFrame, sample_docs: int = 1000, id_col: str = "doc_id", text_c
     ids = first.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h", "i"))).where(F.col("r") <= sample_docs)
     chosen = [r["i"] for r in ids.select("i").distinct().collect()]  # at most sample_docs a language
     if not chosen:
-        return Model([], {}, {})
+        return Model.counted([], {})
     kind = StructType([StructField("_i", types_of(docs)[id_col])])
     sample = docs.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in chosen], kind)), F.col(id_col) == F.col("_i"), "left_semi")
     words = sample.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("l"), F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(JVM_WORD), F.lit(0))).alias("w"))
@@ -110,14 +133,23 @@ def fit(docs: DataFrame, sample_docs: int = 1000, id_col: str = "doc_id", text_c
     pieces = counted.select("l", "n", marked.alias("m"), size).select("l", "n", "size", F.explode(F.transform(starts, lambda i: F.substring(F.col("m"), i, F.col("size")))).alias("w"))
     by_gram = pieces.groupBy("l", "size", "w").agg(F.sum("n").alias("n"))
     # all of the sample, which is bounded
-    found = counted.select("l", F.lit(0).alias("size"), "w", "n").unionByName(by_gram).orderBy("size", "w", "l").toArrow().to_pydict()
+    found = counted.select("l", F.lit(0).alias("size"), "w", "n").unionByName(by_gram).orderBy("size", "w", "l").toArrow().combine_chunks()
     drop(counted)
-    languages = sorted(set(found["l"]))
-    at = {x: i for i, x in enumerate(languages)}
-    by_size: dict[int, dict[str, list[int]]] = {n: {} for n in (0, *GRAM_SIZES)}
-    for lang, n, word, times in zip(found["l"], found["size"], found["w"], found["n"], strict=True):
-        by_size[n].setdefault(word, [0] * len(languages))[at[lang]] = times
-    return Model(languages, by_size.pop(0), by_size)
+    names = found.column("l").combine_chunks().dictionary_encode()
+    languages = sorted(names.dictionary.to_pylist())
+    of = np.array([languages.index(x) for x in names.dictionary.to_pylist()], np.int64)[names.indices.to_numpy()]
+    size = found.column("size").to_numpy().astype(np.int64)
+    keys = np.concatenate([np.empty(0, np.uint64), *(Model.hashes(n, found.column("w").filter(pa.array(size == n)).to_pylist()) for n in sorted({*size.tolist()}))])
+    starts = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (size[1:] != size[:-1]))) if len(keys) else np.empty(0, np.int64)
+    return Model(languages, keys[starts], size[starts], starts, of, found.column("n").to_numpy())
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a lower-cased text."""
+    found = _WORD.findall(text)
+    if not all(map(str.isalpha, found)):
+        found = _WORD.findall("".join(c if c.isalpha() else " " for c in text))
+    return found
 
 
 class _Cache(dict):
@@ -156,9 +188,9 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     broadcast = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample that it was fitted on
 
     def judge(cache: _Cache, text: str | None) -> tuple[str, float]:
-        words = _WORD.findall(text.lower()) if text else []
+        words = words_of(text.lower()) if text else []
         languages = cache.model.languages
-        if not languages or not any(c.isalpha() for w in words for c in w):
+        if not languages or not words:
             return UNKNOWN, 0.0
         total = cache.total(words)
         best = int(np.argmax(total))
