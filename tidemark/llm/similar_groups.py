@@ -3,15 +3,15 @@
 A similarity of 0.8 is about 10 of 64 SimHash bits, too many for blocks of agreeing bits. So there are two steps, over distinct sets
 of shingles (equal sets are one node from the start, however many texts have them):
 
-1. Shards are dealt by min-hash keys and searched by BK-trees over 128-bit fingerprints; each shard proposes every member's nearest
+1. Shards are dealt by min-hash keys and searched by BK-trees over 256-bit fingerprints; each shard proposes every member's nearest
    one and a spanning forest of what lies within the radius, as many pairs as members. Whole sets decide on each pair. This
    joins nearly all that belongs together.
 2. The exact completion: in one order of all shingles, common ones last, two sets at the similarity share one of their first
    n - ceil(similarity * n) + 1 shingles. Wherever members of different groups share such a shingle, pairs of different groups
    whose sizes and fingerprints allow the similarity are compared by whole sets, in pairs of blocks of bounded
-   size. Fingerprints exclude in two ways: by 512 parities of the shingles, which differ in no more bits than the sets differ in
+   size. Fingerprints exclude in two ways: by 384 parities of the shingles, which differ in no more bits than the sets differ in
    shingles, so that they never exclude a link; and, where both sets have FEW shingles or more, by SimHash: sets at the similarity differ
-   in some 20 of 128 bits (deviation 4), and only pairs over EXACT_RADIUS bits apart are passed over, a chance under 1e-14 for a link.
+   in some 40 of 256 bits (deviation 6), and only pairs over EXACT_RADIUS bits apart are passed over, a chance under 1e-14 for a link.
 """
 
 from __future__ import annotations
@@ -31,12 +31,12 @@ from tidemark.operators.components import connected
 from tidemark.plans.scratch import drop, scope, written
 
 #: Fingerprint words of 64 bits, min-hash keys and minima in each key, and the radius in bits within which step 1 proposes.
-WIDE, KEYS, MINIMA, WIDE_RADIUS = 2, 6, 2, 44
+WIDE, KEYS, MINIMA, WIDE_RADIUS = 4, 6, 2, 80
 #: Parity bits of a set, after its SimHash words in the column bits.
-PARITIES = 512
+PARITIES = 384
 #: Radius in bits within which step 2 compares whole sets, and the size from which it does. Of two sets of FEW shingles or more at a similarity of
-#: 0.8, a bit differs with a chance of 0.16 at most, so 61 of the 128 differ with one under 1e-14. Smaller sets are compared whatever their bits are.
-EXACT_RADIUS, FEW = 60, 64
+#: 0.8, a bit differs with a chance of 0.16 at most, so 97 of the 256 differ with one under 1e-14. Smaller sets are compared whatever their bits are.
+EXACT_RADIUS, FEW = 96, 64
 #: Members of a shard that one task searches in step 1, and half of those that one task compares by whole sets in step 2.
 SEARCHED, COMPARED = 4096, 512
 #: Pairs for each member of a shard that are compared one by one; the members of a shard with more are compared together.
