@@ -141,10 +141,36 @@ def merge_identity(d: Dialect) -> str:
 
 
 def manual_merge(d: Dialect) -> str:
-    """Must-link rows and aliases that a merge of two events of an entity leaves behind."""
-    return """SELECT l.entity_id, l.event_id AS losing_event_id, w.survivor AS surviving_event_id, m.item_id AS must_link_item FROM v_events l
-        JOIN (SELECT entity_id, min(event_id) AS survivor FROM v_events WHERE is_tombstoned GROUP BY entity_id) w ON w.entity_id = l.entity_id AND w.survivor <> l.event_id
-        JOIN (SELECT DISTINCT event_id, item_id FROM v_memberships WHERE decision = 'accepted') m ON m.event_id = l.event_id WHERE l.is_tombstoned"""
+    """What a merge of the tombstoned events of an entity leaves: clones of the losers' memberships, must-links, lineage, aliases, and losers hidden.
+
+    The event of the largest weight survives, of equal weights the smallest id.
+    """
+    weight = "sum(greatest(0.0, confidence) * CASE decision WHEN 'accepted' THEN CASE WHEN provenance = 'user' THEN 1.5 ELSE 1.0 END WHEN 'provisional' THEN 0.5 ELSE 0.0 END)"
+    rated = f"SELECT e.entity_id, e.event_id, coalesce(round(w.weight, 9), 0.0) AS weight FROM v_events e LEFT JOIN (SELECT event_id, {weight} AS weight FROM v_memberships GROUP BY event_id) w ON w.event_id = e.event_id WHERE e.is_tombstoned"
+    first = f"SELECT *, first_value(event_id) OVER (PARTITION BY entity_id ORDER BY weight DESC, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS survivor, count(*) OVER (PARTITION BY entity_id) AS n FROM ({rated}) r"
+    events = f"SELECT * FROM ({first}) f WHERE n > 1"
+    none = "CAST(NULL AS BIGINT)"
+    items = "SELECT DISTINCT event_id, item_id FROM v_memberships WHERE decision <> 'rejected'"
+    real = d.real("weight")
+    return f"""SELECT 'membership' AS kind, survivor AS event_id, event_id AS other_id, item_id, CAST(NULL AS DOUBLE) AS weight FROM (SELECT m.survivor, m.event_id, i.item_id FROM ({events}) m JOIN ({items}) i ON i.event_id = m.event_id WHERE m.event_id <> m.survivor) a
+        UNION ALL SELECT DISTINCT 'mustLink', m.survivor, {none}, i.item_id, CAST(NULL AS DOUBLE) FROM ({events}) m JOIN ({items}) i ON i.event_id = m.event_id
+        UNION ALL SELECT 'lineage', survivor, event_id, {none}, {real} FROM ({events}) b UNION ALL SELECT 'alias', event_id, survivor, {none}, CAST(NULL AS DOUBLE) FROM ({events}) c WHERE event_id <> survivor
+        UNION ALL SELECT 'merged', event_id, {none}, {none}, CAST(NULL AS DOUBLE) FROM ({events}) e WHERE event_id <> survivor"""
+
+
+def manual_split(d: Dialect) -> str:
+    """A split of an event's items by a moving one, the largest id: both partitions with their confirmed memberships, the new event's identity, and cannot-links between them.
+
+    Events of over 50 items are not split here: cannot-links are as many as the product of the partitions.
+    """
+    items = "SELECT event_id, item_id, max(item_id) OVER (PARTITION BY event_id) AS moving, count(*) OVER (PARTITION BY event_id) AS n FROM (SELECT DISTINCT event_id, item_id FROM v_memberships WHERE decision = 'accepted') i"
+    own = f"SELECT s.event_id, s.item_id, s.item_id = s.moving AS moves FROM ({items}) s JOIN v_events e ON e.event_id = s.event_id WHERE s.n BETWEEN 2 AND 50 AND e.is_saved"
+    string = "STRING" if d.spark else "VARCHAR"
+    new = t.name_uuid(d, f"concat('split:', CAST(event_id AS {string}))")
+    key = f"CASE WHEN moves THEN {new} ELSE CAST(event_id AS {string}) END"
+    return f"""SELECT 'membership' AS kind, {key} AS event_key, item_id, CAST(NULL AS BIGINT) AS other_item FROM ({own}) a
+        UNION ALL SELECT 'lineage', {new}, CAST(NULL AS BIGINT), event_id FROM ({own}) b WHERE moves
+        UNION ALL SELECT 'cannotLink', CAST(x.event_id AS {string}), x.item_id, y.item_id FROM ({own}) x JOIN ({own}) y ON y.event_id = x.event_id AND y.moves AND NOT x.moves"""
 
 
 def entity_mentions(d: Dialect) -> str:
@@ -188,6 +214,6 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         segment_spans, revision_alignment_exact, cluster_scores, cluster_assign, primary_score, primary_switch, membership_weight, split_identity,
-        merge_identity, manual_merge, entity_mentions, entity_resolution,
+        merge_identity, manual_merge, manual_split, entity_mentions, entity_resolution,
     )
 }

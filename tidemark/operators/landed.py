@@ -43,6 +43,32 @@ def forum_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("endpoint_id", "external_id", "canonical_url", F.trim("title").alias("title"), "deletion_state", "next_cursor", F.element_at("metrics", "score").alias("score"))
 
 
+#: Releases of a page.
+RELEASES = 20
+
+
+def _releases(d: Dialect) -> str:
+    """Each source's items as releases, some without a name or a date of publication."""
+    string = "STRING" if d.spark else "VARCHAR"
+    item = f"CAST(item_id AS {string})"
+    return f"""SELECT source_id, item_id, place, page, CAST(NULL AS {string}) AS nothing, CASE item_id % 4 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE title END AS name, concat('v', {item}) AS tag, concat('https://e.org/r/', {item}) AS url,
+        CASE WHEN item_id % 3 <> 0 THEN concat('p', {item}) END AS published_at, concat('c', {item}) AS created_at FROM (SELECT source_id, item_id, title, place, CAST(floor(place / {RELEASES}.0) AS BIGINT) AS page FROM ({_recent(d, 'TRUE')}) r) x"""
+
+
+def release_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of releases of each source, read back with the cursor that follows: none after a page that is not full."""
+    rows = spark_query(_releases)(spark, sf_dir)
+    made = F.struct(F.col("item_id").alias("id"), F.col("url").alias("html_url"), "name", F.col("tag").alias("tag_name"), F.col("tag").alias("body"), "created_at", "published_at", F.struct(F.concat(F.lit("by "), "source_id").alias("login")).alias("author"))
+    pages = rows.groupBy(F.col("source_id").alias("endpoint_id"), "page").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("place", made.alias("r")))), lambda x: x["r"])).alias("body"))
+    found = api_pages.code_releases(pages)
+    return found.select("endpoint_id", "external_id", "canonical_url", F.trim("title").alias("title"), "author", "published", "next_cursor", F.array_join("topics", ",").alias("topics"))
+
+
+def _releases_sql(d: Dialect) -> str:
+    return f"""SELECT source_id AS endpoint_id, concat('release:', item_id) AS external_id, url AS canonical_url, trim(coalesce(nullif(name, ''), tag)) AS title, concat('by ', source_id) AS author, coalesce(published_at, created_at) AS published,
+        CASE WHEN count(*) OVER (PARTITION BY source_id, page) >= {RELEASES} THEN CAST(page + 1 AS VARCHAR) END AS next_cursor, concat('release,', tag) AS topics FROM ({_releases(d)}) x"""
+
+
 def outline_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources as an outline nested by ecosystem, group and standing, read back with their folders, however deep."""
     feed = "concat('<outline type=\"rss\" text=\"', display_name, '\" xmlUrl=\"https://e.org/', source_id, '\"/>')"
@@ -108,5 +134,5 @@ def _sync_sql(d: Dialect) -> str:
 
 
 QUERIES: dict[str, Query] = {"job_states": job_states}
-SPARK_QUERIES = {f.__name__: f for f in (feed_candidates, forum_candidates, outline_feeds, blob_addresses, index_synchronise)}
-ORACLES = {"feed_candidates": duck_sql(_feeds_sql), "forum_candidates": duck_sql(_forum_sql), "outline_feeds": duck_sql(_outline_sql), "blob_addresses": duck_sql(_blobs_sql), "index_synchronise": duck_sql(_sync_sql)}
+SPARK_QUERIES = {f.__name__: f for f in (feed_candidates, forum_candidates, release_candidates, outline_feeds, blob_addresses, index_synchronise)}
+ORACLES = {"feed_candidates": duck_sql(_feeds_sql), "forum_candidates": duck_sql(_forum_sql), "release_candidates": duck_sql(_releases_sql), "outline_feeds": duck_sql(_outline_sql), "blob_addresses": duck_sql(_blobs_sql), "index_synchronise": duck_sql(_sync_sql)}

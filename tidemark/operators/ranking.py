@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import clamp01
+from tidemark.plans.commits import Store
 from tidemark.plans.dialect import Dialect
 from tidemark.plans.run import Query, duck_sql, spark_query
-from tidemark.plans.scratch import written
+from tidemark.plans.scratch import scratch_path, written
 
 NOW = "2001-11-05 00:00:00"
 
@@ -146,10 +147,27 @@ def schedule_times(d: Dialect) -> str:
 
 
 def flow_order(d: Dialect) -> str:
-    """Cards by score with display reasons: the best hundred."""
-    return f"SELECT event_id, {d.real('least(1.0, 0.5 + 0.06 * sources)')} AS card_score, reasons FROM ({_ranked(d)}) x ORDER BY card_score DESC, event_id LIMIT 100"
+    """Cards in both orders, by score with display reasons and by date: the best hundred of each, with their places."""
+    score = d.real("least(1.0, 0.5 + 0.06 * sources)")
+    one = lambda name, by: f"SELECT '{name}' AS ordered_by, place, event_id, card_score, reasons, started_at FROM (SELECT c.*, row_number() OVER (ORDER BY {by}, event_id) AS place FROM ({cards}) c ORDER BY {by}, event_id LIMIT 100) q"
+    cards = f"SELECT x.event_id, {score} AS card_score, x.reasons, e.started_at FROM ({_ranked(d)}) x JOIN v_events e ON e.event_id = x.event_id"
+    return f"SELECT * FROM ({one('score', 'card_score DESC')}) a UNION ALL SELECT * FROM ({one('date', 'started_at DESC')}) b"
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (event_snapshot, ranking_signals, ranked_events, briefing_decisions, schedule_times, flow_order)}
-SPARK_QUERIES = {"digest_sections": digest_sections}
-ORACLES = {"digest_sections": duck_sql(_digest_sql)}
+def digest_persist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The day's digest as written and read back: digests, revisions and entries in one commit, whose key keeps a second run from writing."""
+    store, day = Store(spark, scratch_path(spark, "digests"), "briefing"), NOW[:10]
+    entries = written(digest_sections(spark, sf_dir), "entries")
+    revision = f"{day}#1"
+    head = spark.createDataFrame([(day, revision)], "day string, current_revision string")
+    made = spark.createDataFrame([(revision, day, 1, "initialDaily")], "revision string, day string, ordinal int, trigger string")
+    rows = {"digests": ("replace", head), "revisions": ("append", made), "entries": ("append", entries.withColumn("revision", F.lit(revision)))}
+    if store.commit(rows, {"digests"}, key=f"digest:{day}:initialDaily") != 1 or store.commit(rows, {"digests"}, key=f"digest:{day}:initialDaily") is not None:
+        raise AssertionError("a digest is written once a day")
+    found = store.table("digests").join(store.table("revisions").withColumnRenamed("day", "of"), F.col("current_revision") == F.col("revision")).drop("revision", "of")
+    return found.join(store.table("entries"), F.col("current_revision") == F.col("revision")).select("day", "ordinal", "trigger", "section", "event_id", "rank_n", "score")
+
+
+SPARK_QUERIES = {"digest_sections": digest_sections, "digest_persist": digest_persist}
+ORACLES = {"digest_sections": duck_sql(_digest_sql), "digest_persist": duck_sql(lambda d: f"SELECT '{NOW[:10]}' AS day, 1 AS ordinal, 'initialDaily' AS trigger, * FROM ({_digest_sql(d)}) x")}

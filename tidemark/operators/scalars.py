@@ -81,8 +81,20 @@ def language_detect(d: Dialect) -> str:
 
 
 def prompt_template(d: Dialect) -> str:
-    """A template whose {{names}} are filled from columns; a name without a value stays as it is."""
-    return "SELECT item_id, replace(replace(replace('Summarize {{title}} ({{language}}) for {{reader}}.', '{{title}}', substr(title, 1, 40)), '{{language}}', coalesce(language_code, '')), '{{source}}', source_id) AS prompt FROM v_items"
+    """Templates whose {{names}} are read from the text and filled from an item's values, with the names that have none: these stay as they are.
+
+    A template is cut at its names; each piece is followed by the value of the name behind it, so that a value which itself looks like a name is left alone.
+    """
+    template = "CASE item_id % 3 WHEN 0 THEN 'Summarize {{title}} ({{language}}) for {{reader}}.' WHEN 1 THEN '{{source}}: {{title}} {{ title}} {{title}}' ELSE 'No names, {{{source}}} and {{}}.' END"
+    pattern = "[{][{]([A-Za-z]+)[}][}]"
+    names = d.map(d.find_all("template", pattern), "m", "substr(m, 3, length(m) - 4)")
+    pieces = d.split("template", pattern)
+    value = "CASE {0} WHEN 'title' THEN concat(substr(title, 1, 40), ' {{{{source}}}}') WHEN 'language' THEN coalesce(language_code, '') WHEN 'source' THEN source_id ELSE concat('{{{{', {0}, '}}}}') END"
+    filled = f"concat({d.at('pieces', 'i')}, CASE WHEN i <= {d.size('names')} THEN {value.format(d.at('names', f'least(i, greatest({d.size(chr(110) + "ames")}, 1))'))} ELSE '' END)"
+    count = d.size("pieces")
+    all_ = d.map(f"sequence(1, CAST({count} AS INT))" if d.spark else f"range(1, {count} + 1)", "i", filled)
+    missing = d.distinct(d.filter("names", "x", "x NOT IN ('title', 'language', 'source')"))
+    return f"SELECT item_id, {d.join(all_, chr(39) * 2)} AS prompt, {d.join(missing)} AS missing FROM (SELECT *, {pieces} AS pieces, {'CASE WHEN size(' + names + ') = 0 THEN array(' + chr(39) * 2 + ') ELSE ' + names + ' END' if d.spark else names} AS names FROM (SELECT *, {template} AS template FROM v_items) x) y"
 
 
 def vector_keys(d: Dialect) -> str:

@@ -182,11 +182,18 @@ def retry_backoff(d: Dialect) -> str:
         CAST(least(21600, power(2, least(attempt, 10)) * 15) AS BIGINT) AS delay_s FROM (VALUES {rows}) AS f(status, attempt)"""
 
 
+#: Days that raw fetches of each class are kept, null: for good.
+RETENTION = {"publicRaw30Days": 30, "privateRaw7Days": 7, "failedExtraction30Days": 30, "publicDiagnostic30Days": 30, "privateDiagnostic7Days": 7, "cache30Days": 30, "durableEvidence": None, "savedOffline": None}
+
+
 def retention_cutoff(d: Dialect) -> str:
-    """What each retention class expires at a fixed moment."""
-    now = d.now("2024-02-01 00:00:00")
-    return f"""SELECT metric, count(*) AS expired FROM v_metrics JOIN (VALUES ('click', 1), ('view', 7), ('purchase', 14), ('signup', 21), ('error', 28)) AS c(name, days) ON name = metric
-        WHERE captured_at < {now} - days * 86400 GROUP BY metric"""
+    """Raw fetches of each retention class at a fixed moment: how many there are, its cut-off, and how many are older and expire."""
+    now = d.now("2024-02-10 00:00:00")
+    days = ", ".join(f"('{k}', {'CAST(NULL AS INT)' if v is None else v})" for k, v in RETENTION.items())
+    string = "STRING" if d.spark else "VARCHAR"
+    kind = f"CASE WHEN user_n % 11 = 0 THEN 'savedOffline' WHEN metric = 'error' THEN 'failedExtraction30Days' WHEN metric = 'purchase' THEN 'durableEvidence' WHEN metric = 'view' THEN 'cache30Days' WHEN metric = 'signup' THEN CASE WHEN event_id % 2 = 0 THEN 'publicDiagnostic30Days' ELSE 'privateDiagnostic7Days' END WHEN event_id % 3 = 0 THEN 'privateRaw7Days' ELSE 'publicRaw30Days' END"
+    return f"""SELECT c.name AS retention_class, {now} - c.days * 86400 AS cutoff, count(*) AS fetches, sum(CASE WHEN fetched_at < {now} - c.days * 86400 THEN 1 ELSE 0 END) AS expired
+        FROM (SELECT CAST({kind} AS {string}) AS name, captured_at AS fetched_at FROM (SELECT event_id, metric, captured_at, item_id AS user_n FROM v_metrics) e) f JOIN (VALUES {days}) AS c(name, days) ON c.name = f.name GROUP BY c.name, c.days"""
 
 
 def privacy_policy(d: Dialect) -> str:
@@ -200,6 +207,25 @@ def fixed_times(d: Dialect) -> str:
     return f"SELECT event_id, CAST(floor(captured_at / 86400) AS BIGINT) AS day_n, CAST(floor(captured_at % 86400 / 60) AS BIGINT) AS minute_n, CAST(floor(captured_at / 1800) AS BIGINT) AS bucket, {d.real(t.clamp01('1 - abs(captured_at - ' + d.now('2024-01-20 00:00:00') + ') / 1209600.0'), 9)} AS decay FROM v_metrics"
 
 
+def day_times(d: Dialect) -> str:
+    """Moments as HH:mm keys of their day, and the keys of turns read back into minutes; what is no time of day is null."""
+    two = lambda x: f"lpad(CAST({x} AS {'STRING' if d.spark else 'VARCHAR'}), 2, '0')"
+    minute = "CAST(floor(captured_at % 86400 / 60) AS BIGINT)"
+    key = f"concat({two(f'CAST(floor({minute} / 60.0) AS BIGINT)')}, ':', {two(f'{minute} % 60')})"
+    said = f"CASE event_id % 5 WHEN 0 THEN concat(k, ' ') WHEN 1 THEN replace(k, ':', '-') WHEN 2 THEN concat('7', k) ELSE k END"
+    parsed = f"CASE WHEN {d.matches('said', '^([01][0-9]|2[0-3]):[0-5][0-9]$')} THEN CAST(substr(said, 1, 2) AS BIGINT) * 60 + CAST(substr(said, 4, 2) AS BIGINT) END"
+    return f"SELECT event_id, said, {parsed} AS minute_of_day, captured_at - captured_at % 86400 AS day_start FROM (SELECT event_id, captured_at, {said} AS said FROM (SELECT event_id, captured_at, {key} AS k FROM v_metrics) x) y"
+
+
+def vector_parity(d: Dialect) -> str:
+    """Each label's vectors pooled by their mean and normalised, and how far each vector of the label is from that: cosine and largest difference of a component."""
+    parts = d.explode("(SELECT vec_id, label, embedding FROM embeddings WHERE embedding IS NOT NULL)", "embedding", "x", "place")
+    mean = f"SELECT label, place, avg(CAST(x AS DOUBLE)) AS m FROM {parts} GROUP BY label, place"
+    pooled = f"SELECT label, place, m / n AS m FROM (SELECT label, place, m, sqrt(sum(m * m) OVER (PARTITION BY label)) AS n FROM ({mean}) a) b WHERE n > 0"
+    return f"""SELECT vec_id, {d.real('sum(x * m) / sqrt(sum(x * x))')} AS cosine, {d.real('max(abs(x - m))')} AS max_abs_diff FROM (
+        SELECT v.vec_id, CAST(v.x AS DOUBLE) AS x, p.m FROM (SELECT * FROM {parts}) v JOIN ({pooled}) p ON p.label = v.label AND p.place = v.place) j GROUP BY vec_id HAVING sum(x * x) > 0"""
+
+
 def xml_escape(d: Dialect) -> str:
     """Escaped titles and folded names."""
     return f"SELECT item_id, {d.sha256(t.escape_xml(d, 'title'))} AS h, {d.sha256(t.normal_name(d, 'title'))} AS folded FROM v_items"
@@ -225,6 +251,6 @@ QUERIES: dict[str, Query] = {
         tokens_dedup, tokens_cluster, shingles, char_trigrams, char_bigrams, han_ngrams, sentence_summary, key_sentences,
         language_family, author_split, content_hash, stable_uuid, url_canonicalize, http_redaction, meta_extract, plain_text_simple,
         feed_autodiscovery, connector_routing, public_url_policy, retry_backoff, retention_cutoff, privacy_policy, fixed_times,
-        xml_escape, json_props, cosine_similarity,
+        xml_escape, json_props, cosine_similarity, day_times, vector_parity,
     )
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 FIELDS = ("endpoint_id", "external_id", "canonical_url", "title", "author", "published", "body", "deletion_state", "metrics", "next_cursor")
 _EVENTS = "array<struct<id:string, type:string, created_at:string, actor:struct<login:string, display_login:string>, repo:struct<name:string>, payload:struct<size:double, ref_type:string, commits:array<struct<message:string>>>>>"
+_RELEASES = "array<struct<id:bigint, html_url:string, name:string, tag_name:string, body:string, created_at:string, published_at:string, updated_at:string, author:struct<login:string>>>"
 _LISTING = "data struct<after:string, children:array<struct<data:struct<name:string, title:string, author:string, permalink:string, selftext:string, created_utc:double, score:double, num_comments:double, removed_by_category:string>>>>"
 _POSTS = "cursor string, feed array<struct<post:struct<uri:string, cid:string, likeCount:double, repostCount:double, replyCount:double, author:struct<did:string, handle:string, displayName:string>, record:struct<text:string, createdAt:string>>>>"
 
@@ -39,6 +40,18 @@ def code_events(pages: DataFrame) -> DataFrame:
     return made.where(F.col("title").isNotNull())
 
 
+def code_releases(pages: DataFrame) -> DataFrame:
+    """Releases: the name, or where that is empty the tag, as title; pages (endpoint_id, page, body) of twenty."""
+    rows = pages.select("endpoint_id", "page", F.from_json("body", _RELEASES).alias("all")).select("endpoint_id", F.when(F.size("all") >= 20, (F.col("page") + 1).cast("string")).alias("next_cursor"), F.explode("all").alias("r"))
+    title = F.coalesce(F.nullif("r.name", F.lit("")), "r.tag_name")
+    made = rows.select(
+        "endpoint_id", F.concat(F.lit("release:"), F.col("r.id").cast("string")).alias("external_id"), F.col("r.html_url").alias("canonical_url"), title.alias("title"), F.col("r.author.login").alias("author"),
+        F.coalesce("r.published_at", "r.created_at").alias("published"), F.col("r.body").alias("body"), F.lit("available").alias("deletion_state"), F.create_map().cast("map<string,double>").alias("metrics"), "next_cursor",
+        F.col("r.updated_at").alias("modified"), F.array(F.lit("release"), "r.tag_name").alias("topics"),
+    )
+    return made
+
+
 def forum_posts(pages: DataFrame) -> DataFrame:
     """Forum listings; a post that moderators removed is deleted, not dropped."""
     rows = pages.select("endpoint_id", F.from_json("body", _LISTING).alias("x")).select("endpoint_id", F.col("x.data.after").alias("next_cursor"), F.explode("x.data.children.data").alias("p"))

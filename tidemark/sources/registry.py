@@ -31,7 +31,7 @@ REGISTRY = {
     c.kind: c
     for c in (
         Connector("rss", "feed-seen-v1", feeds.rss), Connector("atom", "feed-seen-v1", feeds.atom), Connector("jsonFeed", "feed-seen-v1", feeds.json_feed),
-        Connector("github", "page-v1", _paged(api_pages.code_events)), Connector("reddit", "after-v1", _paged(api_pages.forum_posts)), Connector("bluesky", "opaque-v1", _paged(api_pages.author_posts)),
+        Connector("github", "page-v1", _paged(api_pages.code_events)), Connector("githubReleases", "release-page-v1", _paged(api_pages.code_releases)), Connector("reddit", "after-v1", _paged(api_pages.forum_posts)), Connector("bluesky", "opaque-v1", _paged(api_pages.author_posts)),
     )
 }
 
