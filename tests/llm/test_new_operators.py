@@ -299,3 +299,22 @@ def test_a_far_group_of_fewer_than_k_finds_all(spark):
         score = lambda i, q=q: sum(a * b for a, b in zip(rows[q], rows[i], strict=True))
         want = sorted((i for i in rows if i != q), key=lambda i: (-score(i), i))[:20]
         assert [i for _, i in sorted(own)] == want
+
+
+def test_the_share_of_lists_decides_where_there_are_many(spark, monkeypatch):
+    monkeypatch.setattr(ann_postings, "LIST_AIM", 16)
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = vectors.toPandas()
+    x, ids = np.stack(rows["embedding"].values).astype(float), rows["vec_id"].to_numpy()
+
+    def recall(share):
+        found, hits = {}, []
+        for r in ann_postings.search(vectors, vectors.where("vec_id % 40 = 0"), k=20, probes=8, share=share).collect():
+            found.setdefault(r["query_id"], set()).add(r["vec_id"])
+        for q in np.flatnonzero(ids % 40 == 0):
+            score = x @ x[q]
+            score[q] = -np.inf
+            hits.append(len(found[int(ids[q])] & set(ids[np.argsort(-score)[:20]].tolist())) / 20)
+        return np.mean(hits)
+
+    assert recall(0.0) + 0.2 < recall(0.5) >= 0.9

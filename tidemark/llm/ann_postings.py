@@ -167,15 +167,15 @@ def best(q: np.ndarray, q_keys: np.ndarray, v: np.ndarray, v_keys: np.ndarray, k
     return row[place < k], col[place < k], score[place < k]
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, probes: int = 64, replicas: int = 4, boundary: float = 1.12, prune: float = 1.35, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, probes: int = 64, share: float = 0.125, replicas: int = 4, boundary: float = 1.12, prune: float = 1.35, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score, query_copy: the k nearest found of each query among all vectors but its own row.
 
     Vectors (and queries) that are null, zero or hold null or non-finite components take no part, nor do rows without id.
     Vectors of different lengths have no inner product, so each length is an index of its own and its vectors are found
     by queries of that length. Rows that repeat an id are rows like any other, told apart by `copy`, their number in the
     order of their vectors (queries hold all rows of an id, or none); ties go to the smaller id. A query with fewer than k found
-    in its lists is searched again in all lists, so it gets all candidates if there are fewer than k. No vectors or queries:
-    no rows. Only the two named columns are read.
+    in its lists is searched again in all lists, so it gets all candidates if there are fewer than k. A query visits `probes` lists, or this
+    share of the lists where that is more. No vectors or queries: no rows. Only the two named columns are read.
     """
     spark = vectors.sparkSession
     small_batches(spark)
@@ -191,17 +191,17 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, probes: int = 64
     own, asked = pick(vectors), pick(queries)
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     sizes = own.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(norm).alias("m")).orderBy("d").collect()  # a row for each length
-    found = [_search(own.where(F.size("v") == s["d"]), asked.where(F.size("v") == s["d"]), s["d"], s["n"], float(np.sqrt(s["m"]) * (1 + 1e-12)), k, probes, replicas, boundary, prune) for s in sizes]
+    found = [_search(own.where(F.size("v") == s["d"]), asked.where(F.size("v") == s["d"]), s["d"], s["n"], float(np.sqrt(s["m"]) * (1 + 1e-12)), k, probes, share, replicas, boundary, prune) for s in sizes]
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, query_copy int")
 
 
-def _search(own: DataFrame, asked: DataFrame, dim: int, n: int, longest: float, k: int, probes: int, replicas: int, boundary: float, prune: float) -> DataFrame:
+def _search(own: DataFrame, asked: DataFrame, dim: int, n: int, longest: float, k: int, probes: int, share: float, replicas: int, boundary: float, prune: float) -> DataFrame:
     """search() among vectors of one length."""
     with scope() as keep:
-        return keep(_found(own, asked, dim, n, longest, k, probes, replicas, boundary, prune))
+        return keep(_found(own, asked, dim, n, longest, k, probes, share, replicas, boundary, prune))
 
 
-def _found(own: DataFrame, asked: DataFrame, dim: int, n: int, longest: float, k: int, probes: int, replicas: int, boundary: float, prune: float) -> DataFrame:
+def _found(own: DataFrame, asked: DataFrame, dim: int, n: int, longest: float, k: int, probes: int, share: float, replicas: int, boundary: float, prune: float) -> DataFrame:
     """The written result of one index."""
     spark = own.sparkSession
     n_lists = min(MAX_CENTROIDS, max(1, -(-n // LIST_AIM)))
@@ -210,7 +210,7 @@ def _found(own: DataFrame, asked: DataFrame, dim: int, n: int, longest: float, k
     likely = own.withColumn("h", h).where(F.col("h") < int(min(1.0, 2 * take / n) * (1 << 30)) + 1)
     sample = written(likely.orderBy("h", "vec_id", "copy").limit(take).select("h", "v"), "sample")
     centroids = sample_centroids(sample, dim, longest, n_lists) if not sample.isEmpty() else np.zeros((1, dim + 1))
-    graph = CentroidGraph(centroids)
+    graph, probes = CentroidGraph(centroids), max(probes, ceil(share * len(centroids)))
     shared = spark.sparkContext.broadcast(graph)  # at most 2 * MAX_CENTROIDS centroids
 
     def to_lists(df: DataFrame, query: bool) -> DataFrame:
