@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import folding, html
 from tidemark.functions.urls import canonical_url, canonical_url_spark_sql
 from tidemark.operators.components import connected
-from tidemark.operators.pages import align, similarity
+from tidemark.operators.pages import Segment, align, segments, similarity
 from tidemark.sources import blobs, feeds
 
 URLS = {
@@ -88,10 +88,22 @@ def test_sanitizer_never_fails_and_never_scripts(text):
 
 
 def test_alignment():
-    assert [x[:2] for x in align(["a b c d", "new words here"], ["a b c d", "other"])] == [(0, 0), (1, None)]
-    old = "Ordinary page edits keep the lineage of a segment"
-    assert align([old.replace("page", "web page")], [old])[0][1] == 0
-    assert 0 <= similarity("abc", "xyz") <= similarity("abc", "abc") <= 1.0 + 1e-9
+    whole = lambda *xs: [Segment(x) for x in xs]
+    assert [x[:2] for x in align(whole("a b c d", "new words here"), whole("a b c d", "other"))] == [(0, 0), (1, None)]
+    old = "the page says that the bridge will be closed for repairs until spring"
+    assert align(whole(old.replace("page", "web page")), whole(old))[0][1] == 0
+    assert 0 <= similarity(*whole("abc", "xyz")) <= similarity(*whole("abc", "abc")) <= 1.0 + 1e-9
+    # each equal text takes the first that is left; then edits take what is left
+    assert [x[1] for x in align(whole("x y z", "x y z", "x y z"), whole("x y z", "q", "x y z"))] == [0, 2, None]
+
+
+def test_kinds_and_headings_of_segments():
+    own = segments("# One\nThe first, long enough.\nTwo\nThe second.")
+    assert [(s.kind, s.heading) for s in own] == [("heading", "# One"), ("paragraph", "# One"), ("heading", "Two"), ("paragraph", "Two")] and segments("Two") == [Segment("Two")]
+    head, below = own[2], own[3]
+    assert similarity(head, Segment("Two", "paragraph", "Two")) == 0 and similarity(head, Segment("Two")) == pytest.approx(0.9)
+    assert similarity(below, below._replace(heading="# One")) == pytest.approx(0.9) and similarity(below, below) == pytest.approx(1)
+    assert similarity(Segment(""), Segment("")) == pytest.approx(1) and similarity(Segment("a"), Segment("a")) == pytest.approx(1)
 
 
 @given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12)), max_size=14))

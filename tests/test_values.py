@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog import QUERIES
 from tidemark.functions import folding, html
-from tidemark.operators.pages import align
+from tidemark.operators.pages import align, segments
 from tidemark.plans import published
 from tidemark.sources import feeds, registry
 from tidemark.streaming.ingest import ledgered
@@ -40,7 +40,7 @@ def test_revisions_align_turn_by_turn(spark):
     for conv, turns in by_conv.items():
         turns.sort()
         for (_, old), (turn, new) in zip(turns, turns[1:], strict=False):
-            want += [(conv, turn, i, -1 if j is None else j, round(s, 6)) for i, j, s in align(new.split("\n"), old.split("\n"))]
+            want += [(conv, turn, i, -1 if j is None else j, round(s, 6)) for i, j, s in align(segments(new), segments(old))]
     found = QUERIES["revision_alignment_fuzzy"](spark, DATA).select("conv_id", "turn", "place", F.coalesce("prior", F.lit(-1)), "similarity")
     assert sorted(map(tuple, found.collect())) == sorted(want)
 

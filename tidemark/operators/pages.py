@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from typing import NamedTuple
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,44 +38,71 @@ def folded_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", folding.fold_key(F.split_part("text", F.lit("\n"), F.lit(1))).alias("key"))
 
 
-def _bigrams(text: str) -> set[str]:
-    x = "".join(text.lower().split())
-    return {x[i : i + 2] for i in range(len(x) - 1)}
+class Segment(NamedTuple):
+    """A part of an item: its kind (whole, heading or paragraph) and the heading that it stands under."""
 
+    text: str
+    kind: str = "whole"
+    heading: str = ""
 
-def similarity(a: str, b: str) -> float:
-    """0.72 of the bigrams' Jaccard similarity, 0.18 of the ratio of lengths, 0.10 for the same heading (here: none)."""
-    x, y = _bigrams(a), _bigrams(b)
-    jaccard = len(x & y) / len(x | y) if x | y else 0.0
-    return 0.72 * jaccard + 0.18 * (min(len(a), len(b)) / max(len(a), len(b), 1)) + 0.10
 
+def segments(text: str) -> list[Segment]:
+    """Lines as headings (short, marked or without a stop) and paragraphs under the last heading; a single line is a whole."""
+    lines = text.split("\n")
+    if len(lines) == 1:
+        return [Segment(text)]
+    out, heading = [], ""
+    for line in lines:
+        kind = "heading" if len(line) < 100 and (line.startswith("#") or not re.search("[.。，]", line)) else "paragraph"
+        heading = line if kind == "heading" else heading
+        out.append(Segment(line, kind, heading))
+    return out
 
-def align(new: list[str], old: list[str]) -> list[tuple[int, int | None, float]]:
-    """(place, prior or none, similarity): equal texts first, then greedily the most similar prior, each used once."""
-    free, out = list(range(len(old))), {}
-    for i, text in enumerate(new):
-        same = next((j for j in free if old[j] == text), None)
-        if same is not None:
-            out[i] = (same, 1.0)
-            free.remove(same)
+
+def _bigrams(text: str) -> set[str]:
+    x = "".join(unicodedata.normalize("NFC", text).lower().split())
+    return {x[i : i + 2] for i in range(len(x) - 1)} if len(x) > 1 else set(x)
+
+
+def similarity(a: Segment, b: Segment) -> float:
+    """0.72 of the bigrams' Jaccard similarity, 0.18 of the ratio of lengths in bytes, 0.10 for the same heading; 0 for other kinds, unless one is a whole."""
+    if a.kind != b.kind and "whole" not in (a.kind, b.kind):
+        return 0.0
+    x, y = _bigrams(a.text), _bigrams(b.text)
+    jaccard = len(x & y) / len(x | y) if x | y else float(a.text == b.text)
+    short, long_ = sorted((len(a.text.encode()), len(b.text.encode())))
+    return 0.72 * jaccard + 0.18 * (short / long_ if long_ else 1.0) + 0.10 * (a.heading == b.heading)
+
+
+def align(new: list[Segment], old: list[Segment]) -> list[tuple[int, int | None, float]]:
+    """(place, prior or none, similarity): equal texts first, then greedily the most similar prior (ties: the first), each used once."""
+    free, out = dict.fromkeys(range(len(old))), {}
+    by_text: dict[str, list[int]] = {}
+    for j in reversed(range(len(old))):
+        by_text.setdefault(old[j].text, []).append(j)
+    for i, own in enumerate(new):
+        if by_text.get(own.text):
+            j = by_text[own.text].pop()
+            out[i] = (j, 1.0)
+            del free[j]
     least = ALIGNED_SINGLE if len(new) == len(old) == 1 else ALIGNED
-    for i, text in enumerate(new):
+    for i, own in enumerate(new):
         if i not in out and free:
-            score, j = max((similarity(text, old[j]), -j) for j in free)
+            score, j = max((similarity(own, old[j]), -j) for j in free)
             if score >= least:
                 out[i] = (-j, score)
-                free.remove(-j)
+                del free[-j]
     return [(i, *out.get(i, (None, 0.0))) for i in range(len(new))]
 
 
 def revision_alignment_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of each turn aligned with those of the turn before, conversation by conversation."""
+    """Lines of each turn, as headings and paragraphs, aligned with those of the turn before, conversation by conversation."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("text is not null")
 
     def run(own: pd.DataFrame) -> pd.DataFrame:
         rows, before = [], None
         for conv, turn, text in own.sort_values(["turn", "text"])[["conv_id", "turn", "text"]].itertuples(index=False):
-            lines = text.split("\n")
+            lines = segments(text)
             if before is not None:
                 rows += [(conv, turn, i, j, round(s, 6)) for i, j, s in align(lines, before)]
             before = lines
