@@ -10,7 +10,7 @@ from tidemark.functions.names import name_spans
 from tidemark.plans.dialect import Dialect
 from tidemark.plans.run import Query
 
-#: Weights of the candidate score and the maintainer's policy.
+#: Weights of the candidate score and the maintainer's policy.
 W_SEMANTIC, W_ENTITY, W_TOPIC, W_TEMPORAL, W_TITLE, W_CITATION, W_INDEPENDENCE, W_COHERENCE = 0.28, 0.17, 0.14, 0.11, 0.10, 0.07, 0.06, 0.07
 THRESHOLD, SECONDARY, MARGIN, MOST = 0.50, 0.78, 0.025, 2
 DECAY_DAYS = 14

@@ -13,7 +13,7 @@ def connected(edges: DataFrame) -> DataFrame:
 
     Each round hangs every node's larger neighbours, then its smaller ones, on the smallest of them, so chains
     shorten quickly; rounds end when the edges are stars. A round is a written table, so a lost executor
-    repeats one round at most; nothing is gathered.
+    repeats one round at most; nothing is gathered. Edges with a null end, of a node to itself, and repeated ones join nothing; no edges give no rows.
     """
     a, b = F.col("a"), F.col("b")
     with scope() as keep:

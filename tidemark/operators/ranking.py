@@ -43,6 +43,7 @@ def event_snapshot(d: Dialect) -> str:
     return f"SELECT event_id, title, change_kind, sources, groups_n, ecosystems, {flags}, topics, {d.real('best')} AS best, {d.real('authority')} AS authority, recent, prior, {d.real('velocity')} AS velocity, reader_chars, latest_at FROM ({_snapshot(d)}) x"
 
 
+# Fixed values from here to REASONS: magnitudes, weights, bonuses and reasons.
 #: How far a change matters, by its kind.
 MAGNITUDE = {"initial": 1.0, "majorUpdate": 1.0, "correction": 1.0, "contentUpdate": 0.72, "merge": 0.72, "split": 0.72, "minorMetadata": 0.25}
 #: Weights of the clamped signals, and what each tie to the reader adds.

@@ -28,6 +28,7 @@ def code_events(pages: DataFrame) -> DataFrame:
     repo = F.coalesce("e.repo.name", "endpoint_id")
     bare = F.regexp_replace("e.type", "Event", "")
     message = _first_line(F.col("e.payload.commits")[0]["message"])
+    # fixed values: titles by type of event
     title = (
         F.when(F.col("e.type") == "PushEvent", F.when(message.isNotNull(), F.concat(message, F.lit(" — "), repo)).otherwise(F.concat(F.lit("New commits in "), repo)))
         .when(F.col("e.type") == "ReleaseEvent", F.concat(F.lit("New release in "), repo)).when(F.col("e.type") == "IssuesEvent", F.concat(F.lit("Issue updated in "), repo))
