@@ -111,14 +111,13 @@ def op4_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Null urls match nothing; equal times go to the larger capture id; repeated pages give a row each; an empty table gives none.
     """
-    table(spark, sf_dir, "pages").createOrReplaceTempView("_op4_pages")
     etag = "substr(md5(html), 1, 8)"
-    sql = CAPTURES_SQL.format(etag=etag, weak=f"'W/' || {etag}", digest="md5(html)", string="string").replace("FROM pages", "FROM _op4_pages")
+    sql = CAPTURES_SQL.format(etag=etag, weak=f"'W/' || {etag}", digest="md5(html)", string="string").replace("FROM pages", "FROM {pages}")
     pair = lambda k, v: (F.lit(k), v)
     stamp = F.col("stamp").cast("string")
     full = F.create_map(*pair("Content-Type", F.lit("text/html")), *pair("ETag", F.col("etag")), *pair("Date", stamp))
     short = F.create_map(*pair("date", stamp), *pair("Cache-Control", F.lit("max-age=60")), *pair("Content-Length", F.lit("0")))
-    captures = spark.sql(sql).withColumn("headers", F.when(F.col("kind") == "response", full).otherwise(short))
+    captures = spark.sql(sql, pages=table(spark, sf_dir, "pages")).withColumn("headers", F.when(F.col("kind") == "response", full).otherwise(short))
     found = resolve_revisits(captures)
     entries = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return found.select("capture_id", "canonical_url", "response_id", "validated", "payload_digest", F.array_join(entries, ";").alias("merged_headers"))

@@ -47,7 +47,7 @@ def fingerprint(text: str | None, words: int) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """id, fp (signed 64 bits) for each row; null and empty texts have 0. bytes.lower() changes A-Z only, and bytes.split()
+    """id, fp (signed 64 bits) for each row; null and empty texts have 0, null ids and repeated rows are rows. bytes.lower() changes A-Z only, and bytes.split()
     parts at ASCII white space only."""
 
     def batch(b: pa.RecordBatch):
@@ -98,7 +98,7 @@ def dealt_out(dealt: DataFrame, n_keys: int) -> DataFrame:
 
 
 def shard_links(distinct: DataFrame, radius: int, hot_shard: int = HOT_SHARD) -> DataFrame:
-    """a, b: links of distinct fingerprints (column fp) that join whatever chains of links join."""
+    """a, b: links of distinct fingerprints (column fp, no nulls) that join whatever chains of links join; no fingerprints, no links."""
     masks = block_masks(distinct.count(), radius)
     keys = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])
     dealt = in_blocks(distinct.select("fp", F.explode(keys).alias("k")).select("k.t", "k.key", "fp"), ["t", "key"], "fp", hot_shard)

@@ -114,7 +114,7 @@ def prefix(shingles: np.ndarray, similarity: float, common: np.ndarray, rank: np
 
 
 def proposals(values: np.ndarray, starts: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of positions within the radius: each member's nearest, and a spanning forest of each shard's links."""
+    """Pairs of positions within the radius: each member's nearest, and a spanning forest of each shard's links; none of no values or lone ones."""
     forest = Forest(values, np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(values)))))
     part, out = np.arange(len(values)), []
     for asked, found, far in forest.searches(radius):
