@@ -14,7 +14,7 @@ from itertools import accumulate, repeat
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.folding import fold_key
@@ -109,16 +109,20 @@ def _in_turn(folded: str, name: str) -> Iterator[tuple[int, int]]:
         at = end
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of an Arrow batch for good, as Spark reads the setting when a plan runs; a smaller bound is kept."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key, str((1 << 31) - 2)).rstrip("bB")) > int(BATCH_BYTES):
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def name_spans(texts: DataFrame, names: DataFrame, id_col: str, text_col: str, name_col: str, sent: int = SENT) -> DataFrame:
     """id, alias, utf8_start, utf8_length, mentioned_text: every whole span of every name in every text.
 
     alias is the folded name; names with the same folded form, repeated ones and blank or null ones are one or none. Null texts have no spans;
     repeated rows give rows each. Names go to the tasks as an automaton, in as many turns as their bytes ask for.
     """
-    spark = texts.sparkSession
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key, str((1 << 31) - 2)).rstrip("bB")) > int(BATCH_BYTES):
-        spark.conf.set(key, BATCH_BYTES)
+    _small_batches(texts.sparkSession)
     folded = names.select(fold_key(name_col).alias("n")).where("n <> ''").distinct()
     size = folded.agg(F.coalesce(F.sum(F.octet_length("n")), F.lit(0))).first()[0]
     turns = size // sent + 1
@@ -132,6 +136,46 @@ def name_spans(texts: DataFrame, names: DataFrame, id_col: str, text_col: str, n
     return out
 
 
+_WORD = re.compile(r"[^\W_]+")
+
+
+def word_places(texts: DataFrame, words: DataFrame, id_col: str, text_col: str, word_col: str, sent: int = SENT) -> DataFrame:
+    """id, alias, utf8_start, utf8_length: the first place of each word (lower case, letters and digits) in each text, in one pass over the text.
+
+    Words go to the tasks as a set, in as many turns as their bytes ask for. Null texts have none; repeated rows give rows each.
+    """
+    _small_batches(texts.sparkSession)
+    own = words.where(F.col(word_col).isNotNull()).select(F.col(word_col).alias("w")).distinct()
+    size = own.agg(F.coalesce(F.sum(F.octet_length("w")), F.lit(0))).first()[0]
+    turns = size // sent + 1
+    schema = f"{id_col} {texts.schema[id_col].dataType.simpleString()}, alias string, utf8_start long, utf8_length long"
+    out = None
+    for i in range(turns):
+        some = own.where(F.pmod(F.xxhash64("w"), F.lit(turns)) == i) if turns > 1 else own
+        found = texts.select(id_col, text_col).mapInArrow(_first_places({r[0] for r in some.toLocalIterator()}), schema)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _first_places(wanted: set[str]):
+    def run(batches):
+        for batch in batches:
+            rows, own = [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                seen, at, size = set(), 0, 0
+                for m in _WORD.finditer(text or ""):
+                    word = m[0].lower()
+                    if word in wanted and word not in seen:
+                        seen.add(word)
+                        size, at = size + len(text[at : m.start()].encode()), m.start()
+                        rows.append(i)
+                        own.append((word, size, len(m[0].encode())))
+            kinds = (pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array([x[k] for x in own], t) for k, t in enumerate(kinds))], names=[batch.schema.names[0], "alias", "utf8_start", "utf8_length"])
+
+    return run
+
+
 def _finder(names: list[str]):
     def run(batches):
         automaton = Names(names)

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as t
-from tidemark.functions.names import name_spans
+from tidemark.functions.names import name_spans, word_places
 from tidemark.plans.dialect import Dialect
-from tidemark.plans.run import Query
+from tidemark.plans.run import Query, duck_sql, spark_query
 
 #: Weights of the candidate score and the maintainer's policy.
 W_SEMANTIC, W_ENTITY, W_TOPIC, W_TEMPORAL, W_TITLE, W_CITATION, W_INDEPENDENCE, W_COHERENCE = 0.28, 0.17, 0.14, 0.11, 0.10, 0.07, 0.06, 0.07
@@ -173,18 +173,27 @@ def manual_split(d: Dialect) -> str:
         UNION ALL SELECT 'cannotLink', CAST(x.event_id AS {string}), x.item_id, y.item_id FROM ({own}) x JOIN ({own}) y ON y.event_id = x.event_id AND y.moves AND NOT x.moves"""
 
 
-def entity_mentions(d: Dialect) -> str:
+def entity_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of 2 to 100 letters or digits that a text holds as whole words, each with its first place in bytes and its de-dup key.
 
     Names are the words of the benchmark texts; `entity_spans` has every span, with diacritics and width folded.
     """
-    mark = r"[^\p{L}\p{N}]"
-    words = lambda x: d.distinct(d.filter(d.split(f"lower({x})", mark + "+"), "w", "length(w) BETWEEN 2 AND 100"))
-    exploded = lambda table, key, x: d.explode(f"(SELECT {key}, {words(x)} AS ws FROM {table})", "ws", "w")
-    bare = f"concat(' ', {d.replace_all('lower(plain_text)', mark, chr(39) + ' ' + chr(39))}, ' ')"
-    place = f"{'instr' if d.spark else 'strpos'}(i.bare, concat(' ', m.w, ' '))"
-    start = d.n_bytes(f"substr(i.plain_text, 1, CAST({place} AS INT) - 1)")
-    key = d.sha256(f"concat(CAST(m.item_id AS {'STRING' if d.spark else 'VARCHAR'}), '|', m.w)")
+    names = spark_query(lambda d: f"SELECT item_id, {_words(d, 'text')} AS ws FROM benchmark")(spark, sf_dir).select(F.explode("ws").alias("w"))
+    texts = spark_query(lambda d: "SELECT item_id, plain_text FROM v_items")(spark, sf_dir)
+    found = word_places(texts, names, "item_id", "plain_text", "w")
+    return found.withColumn("dedup_key", F.substring(F.sha2(F.concat_ws("|", F.col("item_id").cast("string"), "alias"), 256), 1, 16))
+
+
+def _words(d: Dialect, x: str) -> str:
+    return d.distinct(d.filter(d.split(f"lower({x})", r"[^\p{L}\p{N}]+"), "w", "length(w) BETWEEN 2 AND 100"))
+
+
+def _mentions_sql(d: Dialect) -> str:
+    """The same by looking each word up in its text."""
+    exploded = lambda table, key, x: d.explode(f"(SELECT {key}, {_words(d, x)} AS ws FROM {table})", "ws", "w")
+    bare = f"concat(' ', {d.replace_all('lower(plain_text)', r'[^\p{L}\p{N}]', chr(39) + ' ' + chr(39))}, ' ')"
+    start = d.n_bytes("substr(i.plain_text, 1, CAST(strpos(i.bare, concat(' ', m.w, ' ')) AS INT) - 1)")
+    key = d.sha256("concat(CAST(m.item_id AS VARCHAR), '|', m.w)")
     return f"""SELECT m.item_id, m.w AS alias, {start} AS utf8_start, {d.n_bytes("m.w")} AS utf8_length, substr({key}, 1, 16) AS dedup_key FROM (SELECT item_id, w FROM {exploded("v_items", "item_id", "plain_text")}) m
         JOIN (SELECT DISTINCT w FROM {exploded("benchmark", "item_id AS bid", "text")}) n ON n.w = m.w JOIN (SELECT item_id, plain_text, {bare} AS bare FROM v_items) i ON i.item_id = m.item_id"""
 
@@ -208,12 +217,13 @@ def entity_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return name_spans(texts, names, "item_id", "text", "name")
 
 
-SPARK_QUERIES = {f.__name__: f for f in (entity_spans,)}
+SPARK_QUERIES = {f.__name__: f for f in (entity_mentions, entity_spans)}
+ORACLES = {"entity_mentions": duck_sql(_mentions_sql)}
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         segment_spans, revision_alignment_exact, cluster_scores, cluster_assign, primary_score, primary_switch, membership_weight, split_identity,
-        merge_identity, manual_merge, manual_split, entity_mentions, entity_resolution,
+        merge_identity, manual_merge, manual_split, entity_resolution,
     )
 }
