@@ -97,3 +97,17 @@ def test_words_are_found_whatever_their_case_marks_width_or_composition(spark, t
     spark.createDataFrame([(7, "das Caféhaus an der"), (8, None), (9, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     found = {r["item_id"]: r["snippet"] for r in QUERIES["snippet_window"](spark, str(tmp_path)).collect()}
     assert sorted(found) == [0, 1, 2] and found[1] == texts[1] and found[2] == "…" + texts[2][191:411] + "…"
+
+
+def test_rows_of_formulas_are_the_pieces_of_each_text(spark):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").where("text is not null").collect()}
+    found = defaultdict(list)
+    for r in QUERIES["math_rows"](spark, DATA).collect():
+        found[r["item_id"]].append((r["place"], r["kind"], r["content_hash"]))
+    for i, text in texts.items():
+        title = text.split("\n")[0]
+        body = text if i % 5 else f"{text} so \\(x_{i}\\) and $a+{i}$, not \\$5 but $${title}$$"
+        marked = any(m in body for m in ("$", "\\(", "\\["))
+        want = [(n, kind, hashlib.sha256(content.encode()).hexdigest()) for n, (kind, content) in enumerate(folding.math_pieces(body))] if marked else []
+        assert sorted(found.get(i, [])) == want
+    assert sum(k == "inline" for own in found.values() for _, k, _ in own) >= 2 * len([i for i in texts if i % 5 == 0])
