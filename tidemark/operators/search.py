@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import base64
+import binascii
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StringType
 
 from tidemark.functions import text as t
 from tidemark.operators.dedup import spread
 from tidemark.operators.texts import HAN_ROWS
 from tidemark.plans.dialect import DUCK, Dialect
 from tidemark.plans.run import Query, duck_sql, spark_query
-from tidemark.plans.scratch import written
+from tidemark.plans.scratch import scratch_path, written
 
 K1, B, TITLE_WEIGHT, BODY_WEIGHT, TRIGRAM_TITLE = 1.2, 0.75, 6, 1, 5
 LEXICAL, TRIGRAM, HISTORY, RRF, MOST = 1.0, 0.8, 0.6, 60, 200
@@ -192,6 +198,59 @@ def retrieval_eval(d: Dialect) -> str:
     return f"SELECT e.label, count(*) AS found, sum(CASE WHEN e.label = n.label THEN 1 ELSE 0 END) AS relevant FROM ({_vector_top(d, 10)}) t JOIN embeddings e ON e.vec_id = t.query_id JOIN embeddings n ON n.vec_id = t.vec_id GROUP BY e.label"
 
 
+@F.pandas_udf(StringType())
+def encoded(vectors: pd.Series) -> pd.Series:
+    """Vectors as base64 of little-endian 32-bit floats."""
+    return vectors.map(lambda v: base64.b64encode(np.asarray(v, "<f4").tobytes()).decode(), na_action="ignore")
+
+
+@F.pandas_udf(ArrayType(FloatType()))
+def decoded(references: pd.Series, dimensions: pd.Series) -> pd.Series:
+    """The vectors again; null where the text is no base64, has another length than its dimensions say, or holds a value that is not finite."""
+
+    def vector(text: str | None, n: int) -> np.ndarray | None:
+        try:
+            raw = base64.b64decode(text or "", validate=True)
+        except binascii.Error:
+            return None
+        own = np.frombuffer(raw, "<f4") if len(raw) == 4 * n and n else None
+        return own if own is not None and np.isfinite(own).all() else None
+
+    return pd.Series([vector(t, n) for t, n in zip(references, dimensions, strict=True)])
+
+
+def vector_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors written as base64 references and read back, some of them cut short or with a wrong number of dimensions, which is refused."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.size("embedding").alias("n"), encoded("embedding").alias("reference"))
+    spoilt = F.when(F.col("vec_id") % 9 == 0, F.expr("substr(reference, 1, length(reference) - 8)")).when(F.col("vec_id") % 9 == 1, F.concat(F.lit("*"), "reference")).otherwise(F.col("reference"))
+    sizes = F.when(F.col("vec_id") % 9 == 2, F.col("n") + 1).otherwise(F.col("n"))
+    read = rows.select("vec_id", decoded(spoilt, sizes).alias("v"))
+    total = F.aggregate("v", F.lit(0.0), lambda a, x: a + F.abs(x.cast("double")))
+    return read.select("vec_id", F.col("v").isNotNull().alias("accepted"), F.round(total, 6).alias("l1"))
+
+
+def _references_sql(d: Dialect) -> str:
+    return "SELECT vec_id, vec_id % 9 > 2 AS accepted, CASE WHEN vec_id % 9 > 2 THEN round(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: abs(x))), 6) END AS l1 FROM embeddings"
+
+
+#: Of a label's neighbours, the share that has to be of the label for it to pass.
+PASSING = 0.1
+
+
+def _report(d: Dialect) -> str:
+    """The evaluation in one row: labels, neighbours, those of the query's own label, the labels that pass, and the least and largest share."""
+    share = "relevant * 1.0 / found"
+    return f"SELECT count(*) AS labels, CAST(sum(found) AS BIGINT) AS found, CAST(sum(relevant) AS BIGINT) AS relevant, sum(CASE WHEN {share} >= {PASSING} THEN 1 ELSE 0 END) AS passing, {d.real(f'min({share})')} AS least, {d.real(f'max({share})')} AS largest FROM ({retrieval_eval(d)}) r"
+
+
+def qualification_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of the retrieval evaluation as it was written, a JSON file, and read back."""
+    path = scratch_path(spark, "report")
+    made = spark_query(_report)(spark, sf_dir).withColumn("outcome", F.when(F.col("passing") == F.col("labels"), "qualified").otherwise("rejected"))
+    made.coalesce(1).write.json(path)
+    return spark.read.schema(made.schema).json(path)
+
+
 #: Characters of a snippet.
 SNIPPET = 220
 
@@ -233,9 +292,11 @@ def _snippet_sql(d: Dialect) -> str:
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (lexical_bm25, short_token_search, history_opt_in, facets, vector_topk, hybrid_merge, rrf, retrieval_eval)
 }
-SPARK_QUERIES = {f.__name__: f for f in (trigram_search, best_per_document, snippet_window)}
+SPARK_QUERIES = {f.__name__: f for f in (trigram_search, best_per_document, snippet_window, vector_references, qualification_report)}
 ORACLES = {
     "snippet_window": duck_sql(_snippet_sql),
+    "vector_references": duck_sql(_references_sql),
+    "qualification_report": duck_sql(lambda d: f"SELECT *, CASE WHEN passing = labels THEN 'qualified' ELSE 'rejected' END AS outcome FROM ({_report(d)}) q"),
     "trigram_search": duck_sql(lambda d: f"WITH {_trigrams_sql(DUCK)} SELECT query_id, item_id, round({TRIGRAM} / (1 + abs(bm25)), 5) AS score FROM tb"),
     "best_per_document": duck_sql(_best_sql),
 }
