@@ -110,16 +110,21 @@ def _spark_url(x: str) -> str:
 
 
 def http_redaction(d: Dialect) -> str:
-    """Header and query redaction: values whose name holds a secret fragment are replaced; user and fragment go."""
+    """Header and query redaction: values whose name holds a secret fragment, or is one that the connector names, are replaced; user and fragment go.
+
+    Headers are those of requests made from events: a name by the event's number, its properties as the value; clicks' connector names one of its own.
+    """
     # fixed values: fragments of secret header and parameter names
     header = "authorization|cookie|api-key|apikey|access-token|session|csrf|xsrf|client-secret|signature"
     query = "token|key|secret|signature|sig|auth|session|code|credential|password"
     items = d.filter(d.split("regexp_extract(url, " + d.re(r"\?([^#]*)") + ", 1)", "&"), "q", "q <> ''")
     safe = d.map(items, "q", f"CASE WHEN {d.matches('lower(split_part(q, ' + chr(39) + '=' + chr(39) + ', 1))', query)} THEN split_part(q, '=', 1) || '=<redacted>' ELSE q END")
-    rows = "(VALUES (1, 'Authorization'), (2, 'Content-Type'), (3, 'X-Api-Key'), (4, 'Set-Cookie'), (5, 'ETag')) AS h(hid, name)"
+    names = ("Authorization", "Content-Type", "X-Api-Key", "Set-Cookie", "ETag", "My-Session-Id", "X-Own", "accept", "X-CSRF")
+    named = f"CASE event_id % {len(names)} " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(names)) + " END"
+    rows = f"(SELECT event_id AS hid, {named} AS name, props AS v, event_type = 'click' AS names_own FROM events WHERE event_id IS NOT NULL) h"
     base = f"{d.replace_all('split_part(split_part(url, ' + chr(39) + '#' + chr(39) + ', 1), ' + chr(39) + '?' + chr(39) + ', 1)', '//[^/@]*@', chr(39) + '//' + chr(39))}"
     return f"""SELECT page_id, {base} || CASE WHEN {d.size(items)} > 0 THEN '?' || {d.join(safe, chr(39) + '&' + chr(39))} ELSE '' END AS safe_url, 'url' AS part FROM v_pages
-        UNION ALL SELECT hid, CASE WHEN {d.matches('lower(name)', header)} THEN name || ': <redacted>' ELSE name || ': kept' END, 'header' FROM {rows}"""
+        UNION ALL SELECT hid, CASE WHEN {d.matches('lower(name)', header)} OR (names_own AND lower(name) = 'x-own') THEN name || ': <redacted>' ELSE name || ': ' || coalesce(v, '') END, 'header' FROM {rows}"""
 
 
 def meta_extract(d: Dialect) -> str:
@@ -157,13 +162,20 @@ def feed_autodiscovery(d: Dialect) -> str:
 
 
 def connector_routing(d: Dialect) -> str:
-    """Connectors to try by host (the host itself or one below it), in order; rss then website for all others."""
+    """Connectors to try by host (the host itself or one below it), in order, rss then website for all others; the first that succeeds, and how many fail before.
+
+    What succeeds is made by page: a host's own connector for a third, rss for half, website for all but an eleventh.
+    """
     host = "lower(regexp_extract(u, " + d.re("^[a-zA-Z]+://([^/:?#]+)") + ", 1))"
     sites = {"github.com": "github", "reddit.com": "reddit", "bsky.app": "bluesky", "arxiv.org": "arxiv", "news.ycombinator.com": "hackernews"}
     of = lambda h: f"({host} = '{h}' OR {'endswith' if d.spark else 'ends_with'}({host}, '.{h}'))"
     route = "CASE " + " ".join(f"WHEN {of(h)} THEN '{c},rss,website'" for h, c in sites.items()) + " ELSE 'rss,website' END"
     known = ", ".join(f"({-1 - i}, 'https://{x}')" for i, x in enumerate(("github.com/a/b", "notgithub.com/a", "export.arxiv.org/abs/1", "old.reddit.com/r/x", "bsky.app", "arxiv.org.example.net/x")))
-    return f"SELECT page_id, {route} AS route, {host} AS host FROM (SELECT page_id, url AS u FROM v_pages UNION ALL SELECT page_id, u FROM (VALUES {known}) AS k(page_id, u)) x"
+    works = "CASE c WHEN 'rss' THEN page_id % 2 = 0 WHEN 'website' THEN page_id % 11 <> 0 ELSE page_id % 3 = 0 END"
+    good = d.filter(d.split("route", ","), "c", works)
+    tried = f"CASE WHEN {d.size('good')} > 0 THEN {d.at('good', '1')} END"
+    before = f"CASE WHEN {d.size('good')} > 0 THEN CAST({'array_position' if d.spark else 'list_position'}({d.split('route', ',')}, {d.at('good', '1')}) AS BIGINT) - 1 ELSE {d.size(d.split('route', ','))} END"
+    return f"SELECT page_id, route, host, {tried} AS chosen, {before} AS failures FROM (SELECT *, {good} AS good FROM (SELECT page_id, {route} AS route, {host} AS host FROM (SELECT page_id, url AS u FROM v_pages WHERE url IS NOT NULL UNION ALL SELECT page_id, u FROM (VALUES {known}) AS k(page_id, u)) x) y) z"
 
 
 def public_url_policy(d: Dialect) -> str:
@@ -238,6 +250,15 @@ def json_props(d: Dialect) -> str:
     return f"SELECT event_id, {k} AS k, {again} AS encoded FROM events"
 
 
+def json_forms(d: Dialect) -> str:
+    """Turns as JSON of lists, maps and structs with nulls, and what is read back of each."""
+    if d.spark:
+        made = "to_json(named_struct('words', split(text, ' '), 'meta', map('role', role, 'none', CAST(NULL AS STRING)), 'at', named_struct('turn', turn, 'none', CAST(NULL AS STRING))))"
+        read = "from_json(js, 'words array<string>, meta map<string,string>, at struct<turn:bigint, none:string>')"
+        return f"SELECT conv_id, turn, sha2(array_join(j.words, '|'), 256) AS words_hash, CAST(size(j.words) AS BIGINT) AS n_words, j.meta['role'] AS role, j.at.turn AS again, j.at.none IS NULL AND j.meta['none'] IS NULL AS none FROM (SELECT conv_id, turn, {read} AS j FROM (SELECT conv_id, turn, {made} AS js FROM conversations WHERE text IS NOT NULL) a) b"
+    return "SELECT conv_id, turn, sha256(array_to_string(string_split(text, ' '), '|')) AS words_hash, len(string_split(text, ' ')) AS n_words, role, turn AS again, TRUE AS none FROM conversations WHERE text IS NOT NULL"
+
+
 def cosine_similarity(d: Dialect) -> str:
     """Cosine, length and the score of a distance, of each vector against the first."""
     a, b = "a.embedding", "b.embedding"
@@ -251,6 +272,6 @@ QUERIES: dict[str, Query] = {
         tokens_dedup, tokens_cluster, shingles, char_trigrams, char_bigrams, han_ngrams, sentence_summary, key_sentences,
         language_family, author_split, content_hash, stable_uuid, url_canonicalize, http_redaction, meta_extract, plain_text_simple,
         feed_autodiscovery, connector_routing, public_url_policy, retry_backoff, retention_cutoff, privacy_policy, fixed_times,
-        xml_escape, json_props, cosine_similarity, day_times, vector_parity,
+        xml_escape, json_props, cosine_similarity, json_forms, day_times, vector_parity,
     )
 }
