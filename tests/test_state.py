@@ -213,3 +213,13 @@ def test_an_import_keeps_no_secrets_and_creates_nothing_twice(spark):
 ])
 def test_only_real_end_tags_close(source, kept):
     assert sanitize(source)[2] == kept
+
+
+@pytest.mark.parametrize("name", ["job_queue", "stream_ingest_revisions", "x_session", "stream_metric_rollup", "endpoint_refresh", "share_inbox", "landed_pages", "landed_stream", "ranked_listing", "outline_import", "outline_export", "math_rows", "snippet_window", "entity_spans", "entity_mentions"])
+def test_empty_tables_give_no_rows(spark, tmp_path, name):
+    from tidemark.catalog import QUERIES
+    from tidemark.plans.views import TABLES
+
+    for t in TABLES:
+        spark.createDataFrame([], spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").schema).write.parquet(f"{tmp_path}/{t}.parquet")
+    assert QUERIES[name](spark, str(tmp_path)).count() == 0

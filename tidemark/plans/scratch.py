@@ -55,6 +55,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+def table_at(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The Parquet table at path; one without rows where a stream that had nothing to read has written none."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+
+
 def drop(table: DataFrame) -> None:
     """Deletes a written table that nothing reads any more."""
     _delete(table.sparkSession, table._scratch)

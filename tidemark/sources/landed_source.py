@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from tidemark.plans.run import duck_sql, spark_query
-from tidemark.plans.scratch import scratch_path
+from tidemark.plans.scratch import scratch_path, table_at
 
 #: The bits of a connector's capabilities.
 CAPABILITIES = ("discovery", "authentication", "deltaSync", "pagination", "fullContent", "browserRequired", "deletionSignals", "engagementMetrics", "backgroundRefresh")
@@ -178,7 +178,7 @@ def landed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         land(_pages(spark, sf_dir, n), root, n)
         read()
     read()  # nothing new: nothing is read
-    rows = spark.read.parquet(f"{out}/rows")
+    rows = table_at(spark, f"{out}/rows", "kind string, endpoint_id string, landing long, page long, body_hash string, capabilities int")
     return rows.groupBy(*rows.columns).agg(F.count("*").alias("times"))
 
 

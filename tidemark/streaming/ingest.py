@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
-from tidemark.plans.scratch import folder, scratch_path
+from tidemark.plans.scratch import folder, scratch_path, table_at
 from tidemark.streaming.queue import rocks
 
 
@@ -29,7 +29,7 @@ def drained(result: DataFrame, mode: str, keys: list[str] | None = None) -> Data
     writer = result.writeStream.option("checkpointLocation", f"{path}/log").trigger(availableNow=True).outputMode(mode)
     if mode == "append":
         writer.format("parquet").start(f"{path}/rows").awaitTermination()
-        return spark.read.schema(result.schema).parquet(f"{path}/rows")
+        return table_at(spark, f"{path}/rows", result.schema)
 
     def keep(rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{path}/state/batch={batch}")
@@ -86,7 +86,7 @@ def ledgered(turns: DataFrame, path: str) -> DataFrame:
         rows = turns.where("item_id IS NOT NULL AND content_hash IS NOT NULL").groupBy("item_id")
         out = rows.transformWithStateInPandas(statefulProcessor=Ledger(), outputStructType=schema, outputMode="append", timeMode="none")
         out.writeStream.format("parquet").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start(f"{path}/ledger").awaitTermination()
-    return spark.read.schema(schema).parquet(f"{path}/ledger")
+    return table_at(spark, f"{path}/ledger", schema)
 
 
 def stream_ingest_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:

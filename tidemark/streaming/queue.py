@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from tidemark.plans.dialect import DUCK, Dialect
 from tidemark.plans.run import duck_sql, spark_query
-from tidemark.plans.scratch import folder, written
+from tidemark.plans.scratch import folder, table_at, written
 
 #: What a command is: the job, when, its id (commands of one second are run by it), what to do, and the token that the worker holds.
 COMMAND = "job_id long, moment long, command_id long, op string, token long"
@@ -134,7 +134,7 @@ def job_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     with rocks(spark):
         out = run_queue(spark.readStream.schema(COMMAND).parquet(landed._scratch))
         out.writeStream.format("parquet").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start(f"{path}/rows").awaitTermination()
-    return spark.read.schema(RESULT).parquet(f"{path}/rows")
+    return table_at(spark, f"{path}/rows", RESULT)
 
 
 def _oracle(d: Dialect) -> str:

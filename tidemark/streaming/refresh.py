@@ -16,7 +16,7 @@ from tidemark.functions import text as t
 from tidemark.functions.urls import canonical_url, canonical_url_sql
 from tidemark.plans.dialect import DUCK, SPARK, Dialect
 from tidemark.plans.run import duck_sql, spark_query
-from tidemark.plans.scratch import folder, scratch_path
+from tidemark.plans.scratch import folder, scratch_path, table_at
 
 #: A landed page's rows: its candidates by place, and a row of place -1 that says what follows.
 PAGE_ROW = "endpoint_id string, page long, place long, external_id string, title string, next_cursor string, landed_at timestamp"
@@ -45,7 +45,7 @@ def refresh(landed: DataFrame, store: str) -> None:
 
 def cursors(spark: SparkSession, store: str) -> DataFrame:
     """endpoint_id, page, next_cursor, reached_end, items: where each endpoint's next run begins, and how many items it has given."""
-    rows = spark.read.parquet(f"{store}/cursors").groupBy("endpoint_id").agg(F.max_by(F.struct("page", "next_cursor"), "page").alias("l"), F.sum("items").alias("items"))
+    rows = table_at(spark, f"{store}/cursors", "endpoint_id string, page long, next_cursor string, items long").groupBy("endpoint_id").agg(F.max_by(F.struct("page", "next_cursor"), "page").alias("l"), F.sum("items").alias("items"))
     return rows.select("endpoint_id", F.col("l.page").alias("page"), F.col("l.next_cursor").alias("next_cursor"), F.col("l.next_cursor").isNull().alias("reached_end"), "items")
 
 
@@ -73,7 +73,7 @@ def endpoint_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     for late in (False, True):
         rows.where((F.col("page") >= 2) == late).repartition("page").write.mode("append").parquet(root)
         refresh(spark.readStream.schema(PAGE_ROW).option("maxFilesPerTrigger", FILES).parquet(root), store)
-    found = spark.read.parquet(f"{store}/candidates").select("endpoint_id", "external_id", "title")
+    found = table_at(spark, f"{store}/candidates", "endpoint_id string, external_id string, title string")
     return found.join(cursors(spark, store), "endpoint_id").select("endpoint_id", "external_id", "title", "page", "reached_end", "items")
 
 
@@ -131,7 +131,7 @@ def share_inbox(spark: SparkSession, sf_dir: str) -> DataFrame:
         records.where(F.col("createdAt") % 2 == half).write.mode("append").json(f"{root}/box")
         rows = shared_records(spark, f"{root}/box", f"{root}/done").select("id", "url", "title", F.col("selectedText").alias("selected"), F.col("createdAt").alias("created_at"))
         rows.writeStream.format("parquet").option("checkpointLocation", f"{store}/log").trigger(availableNow=True).start(f"{store}/rows").awaitTermination()
-    return spark.sql(_imported(SPARK, "{r}"), r=spark.read.parquet(f"{store}/rows").withColumn("url", canonical_url(F.col("url"))))
+    return spark.sql(_imported(SPARK, "{r}"), r=table_at(spark, f"{store}/rows", "id string, url string, title string, selected string, created_at long").withColumn("url", canonical_url(F.col("url"))))
 
 
 #: Ids of a listing that are read, and of these in a page.
