@@ -137,6 +137,7 @@ def shards(batches, n_keys: int, work):
             held.append(batch)
     if held:
         yield done(held)
+    pa.default_memory_pool().release_unused()  # workers live on, and would keep what their largest batch took
 
 
 def _moves(rows, n_keys: int) -> np.ndarray:
@@ -183,5 +184,6 @@ def map_rows(df: DataFrame, columns: dict[str, str | DataType], build) -> DataFr
             got = made(batch)
             own = [x if isinstance(x := got[f.name], pa.Array) else pa.array(x, f.type) for f in schema]
             yield pa.RecordBatch.from_arrays(own, names=schema.names)
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, result)
