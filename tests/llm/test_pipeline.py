@@ -12,6 +12,8 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from tests.llm.test_operators import kept_by_hand, key, removed_by_counting
 from tidemark.llm import language_id, mixing, similar_groups
+from tidemark.llm.packing import token_pieces
+from tidemark.llm.shared import map_rows
 from tidemark.plans.scratch import written
 
 
@@ -108,3 +110,15 @@ def test_nothing_else_imports_the_subpackage():
 
 def test_ops_give_whole_results_on_equal_hashes():
     assert np.array_equal(similar_groups.shingle_set("A b C", 5), similar_groups.shingle_set("a B c", 5))
+
+
+def test_workers_drop_the_vocabulary_when_another_operator_comes(spark, docs):
+    def build():
+        import gc
+
+        n = sum(type(x).__name__ == "WordTokens" for x in gc.get_objects())
+        return lambda b: {"n": [n] * len(b)}
+
+    token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), 1, 4096).collect()
+    seen = map_rows(spark.range(0, 8, 1, 4), {"n": "long"}, build).collect()
+    assert [r["n"] for r in seen] == [0] * 8

@@ -97,7 +97,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: in
         return batch
 
     kind = types_of(docs)[id_col]
-    return map_rows(docs.select(id_col, text_col), {id_col: kind, "piece": "int", "start": "long", "length": "long", "ids_crc32": "long", "slice": "int", "rank": "long"}, build)
+    return map_rows(docs.select(id_col, text_col), {id_col: kind, "piece": "int", "start": "long", "length": "long", "ids_crc32": "long", "slice": "int", "rank": "long"}, build, keeps=tokenizer_path)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,6 +38,31 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+_kept: dict = {}
+
+
+def kept(key, make):
+    """make() of the key, kept by this worker process for later tasks; what it kept of another key goes before."""
+    forget(key)
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
+def forget(key=None) -> None:
+    """Drops what this worker process keeps, but for that of the key: workers live on, and serve other operators next."""
+    if key not in _kept:
+        _kept.clear()
+
+
+def give_back() -> None:
+    """Free memory of this worker process goes to the system; workers live on, and would keep what their largest task took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def n_words(text: Column) -> Column:
     """Number of words, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -113,6 +140,12 @@ def shards(batches, n_keys: int, work):
 
     starts: the first row of each shard in the table. Only the last shard of a batch waits for the next one.
     """
+    forget()
+    yield from _whole(batches, n_keys, work)
+    give_back()
+
+
+def _whole(batches, n_keys: int, work):
     held: list[pa.RecordBatch] = []
 
     def same(a: pa.RecordBatch, b: pa.RecordBatch) -> bool:
@@ -137,7 +170,6 @@ def shards(batches, n_keys: int, work):
             held.append(batch)
     if held:
         yield done(held)
-    pa.default_memory_pool().release_unused()  # workers live on, and would keep what their largest batch took
 
 
 def _moves(rows, n_keys: int) -> np.ndarray:
@@ -168,22 +200,27 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return pa.schema([pa.field(n, _arrow_type(k)) for n, k in (x.split(" ", 1) for x in ddl.split(", "))])
 
 
-def map_rows(df: DataFrame, columns: dict[str, str | DataType], build) -> DataFrame:
+def map_rows(df: DataFrame, columns: dict[str, str | DataType], build, keeps=None) -> DataFrame:
     """mapInArrow whose function turns one batch into lists by column.
 
     columns: name to type of the result. build() is called once in each task and returns a function from a
     RecordBatch to {column: values}. Arrays that it passes on from the batch keep their type, whatever it is.
+    keeps: the key of what build() gets from kept(), if anything.
     """
     plain = lambda k: StructType.fromDDL(f"x {k}")["x"].dataType if isinstance(k, str) else k
     result = StructType([StructField(name, plain(kind)) for name, kind in columns.items()])
     schema = to_arrow_schema(result)
 
-    def run(batches):
+    def rows(batches):
         made = build()
         for batch in batches:
             got = made(batch)
             own = [x if isinstance(x := got[f.name], pa.Array) else pa.array(x, f.type) for f in schema]
             yield pa.RecordBatch.from_arrays(own, names=schema.names)
-        pa.default_memory_pool().release_unused()
+
+    def run(batches):
+        forget(keeps)
+        yield from rows(batches)  # what it holds goes with its frame
+        give_back()
 
     return df.mapInArrow(run, result)

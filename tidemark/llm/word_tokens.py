@@ -11,6 +11,8 @@ import re
 
 import numpy as np
 
+from tidemark.llm.shared import kept
+
 #: All but characters that neither normalization form C nor context changes and that both libraries class alike.
 _ODD = re.compile("[^\t\n\x20-\x7eÀ-ÖØ-öø-ÿ]|<\\|")
 _PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
@@ -61,11 +63,6 @@ class WordTokens(dict):
         return b"".join(map(self.__getitem__, text.split(" ")))
 
 
-_loaded: dict[str, WordTokens] = {}
-
-
 def word_tokens(path: str) -> WordTokens:
-    """One for each worker process and vocabulary file; tasks of the same worker share its caches."""
-    if path not in _loaded:
-        _loaded[path] = WordTokens(path)
-    return _loaded[path]
+    """One for each worker process; tasks of the same worker share its caches, until one of another operator comes."""
+    return kept(path, lambda: WordTokens(path))
