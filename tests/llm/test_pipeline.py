@@ -13,7 +13,7 @@ import corpus_pipeline
 from tests.llm.test_operators import kept_by_hand, key, removed_by_counting
 from tidemark.llm import language_id, mixing, similar_groups
 from tidemark.llm.packing import token_pieces
-from tidemark.llm.shared import map_rows
+from tidemark.llm.shared import driver_rows, map_rows
 from tidemark.plans.scratch import written
 
 
@@ -122,3 +122,12 @@ def test_workers_drop_the_vocabulary_when_another_operator_comes(spark, docs):
     token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), 1, 4096).collect()
     seen = map_rows(spark.range(0, 8, 1, 4), {"n": "long"}, build).collect()
     assert [r["n"] for r in seen] == [0] * 8
+
+
+def test_rows_of_the_driver_start_no_python_workers(spark, docs, monkeypatch):
+    """From a list they would be those of a Python RDD, whose workers stay in each executor beside those of Arrow functions."""
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", None)
+    assert driver_rows(spark, [("a", 1), (None, None)], "s string, n long").collect() == [("a", 1), (None, None)]
+    assert driver_rows(spark, [], "s string, n long").collect() == []
+    assert language_id.fit(docs).languages == ["de", "en"]
+    assert mixing.mix(docs).count() == mixing.mix(docs, carry=True).count() == docs.count()

@@ -120,11 +120,12 @@ def fit(docs: DataFrame, sample_docs: int = 1000, id_col: str = "doc_id", text_c
     # two steps, so that a language with a third of all rows is not ranked in one task
     first = least.withColumn("r", F.row_number().over(Window.partitionBy("l", "slot").orderBy("h", "i"))).where(F.col("r") <= sample_docs)
     ids = first.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h", "i"))).where(F.col("r") <= sample_docs)
-    chosen = [r["i"] for r in ids.select("i").distinct().collect()]  # at most sample_docs a language
-    if not chosen:
+    chosen = ids.select(F.col("i").alias("_i")).distinct().toArrow()  # at most sample_docs a language
+    if not len(chosen):
         return Model.counted([], {})
     kind = StructType([StructField("_i", types_of(docs)[id_col])])
-    sample = docs.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in chosen], kind)), F.col(id_col) == F.col("_i"), "left_semi")
+    # back through Arrow, as from a list Python workers of another kind would start in the executors, and stay
+    sample = docs.join(F.broadcast(docs.sparkSession.createDataFrame(chosen, kind)), F.col(id_col) == F.col("_i"), "left_semi")
     words = sample.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("l"), F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(JVM_WORD), F.lit(0))).alias("w"))
     counted = written(words.groupBy("l", "w").agg(F.count("*").alias("n")), "words")
     marked = F.concat(F.lit("<"), F.col("w"), F.lit(">"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import free_name, n_words
+from tidemark.llm.shared import driver_rows, free_name, n_words
 from tidemark.plans.scratch import written
 
 HASH_BITS, LEVEL_BITS = 60, 12
@@ -53,7 +53,7 @@ def thresholds(rows: DataFrame, budgets: dict[str | None, float]) -> dict[str |
     state = {s: (0, b) for s, b in budgets.items()}
     shift = HASH_BITS - LEVEL_BITS
     while state:
-        prefixes = spark.createDataFrame([(s, p, float(b)) for s, (p, b) in state.items()], "s string, prefix long, budget double")
+        prefixes = driver_rows(spark, [(s, p, float(b)) for s, (p, b) in state.items()], "s string, prefix long, budget double")
         inside = rows.join(F.broadcast(prefixes), F.col("source").eqNullSafe(F.col("s"))).where(F.shiftright("h", shift + LEVEL_BITS) == F.col("prefix"))
         sums = inside.groupBy("s", "budget", F.shiftright("h", shift).alias("bucket")).agg(F.sum("size").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi"))
         upto = F.sum("n").over(Window.partitionBy("s").orderBy("bucket"))
@@ -96,7 +96,7 @@ def mix(docs: DataFrame, cap: int = 3, cycle: tuple[int, ...] = (1, 2, 3), id_co
     targets = share(sizes, repeating_weights(list(sizes), cycle), cap)
     whole = {s: int(targets[s] // n) if n else 0 for s, n in sizes.items()}
     cuts = thresholds(rows, {s: targets[s] - whole[s] * n for s, n in sizes.items() if n}) if sizes else {}
-    plan = spark.createDataFrame([(s, n, targets[s], whole[s], cuts.get(s, 0)) for s, n in sizes.items()], "_s string, _n long, _target double, _whole long, _cut long")
+    plan = driver_rows(spark, [(s, n, targets[s], whole[s], cuts.get(s, 0)) for s, n in sizes.items()], "_s string, _n long, _target double, _whole long, _cut long")
     if carry:
         of, h, last = (free_name(x, docs.columns) for x in ("_of", "_hash", "copies"))
         plan = plan.toDF(*[free_name(c, docs.columns) for c in plan.columns])

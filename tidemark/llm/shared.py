@@ -184,6 +184,13 @@ def lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *(p.view(np.int64) for p in parts)])))
 
 
+def driver_rows(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """Rows that the driver has, through Arrow: from a list, createDataFrame starts Python workers of another kind in the executors, which stay."""
+    kind = StructType.fromDDL(ddl)
+    columns = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(to_arrow_schema(kind))]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, names=kind.names), kind)
+
+
 def types_of(df: DataFrame) -> dict[str, DataType]:
     return {f.name: f.dataType for f in df.schema.fields}
 
